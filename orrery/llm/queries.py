@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, near_dedup, packing, secret_scan, sharding
+from . import chat, common, decontamination, embedding_dedup, near_dedup, packing, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_sharding": op5_sharding,
     "op7_secret_scans": op7_secret_scans,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_chat_formatting": op9_chat_formatting,
 }
 
