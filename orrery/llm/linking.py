@@ -22,12 +22,16 @@ def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
     component or all its pairs are decided. So no link between components is lost, a round makes `pivots` rows a
     member at most, and rows of one component are never compared again.
     """
-    sizes = members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = members.join(sizes, "key").where("id <> hub")
-    star = common.written(star.select("key", "id", "hub", "n"), "star")
-    links = common.written(verify(star.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()), "links")
+    sizes = common.written(
+        members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and hub <> last"), "buckets"
+    )
+    # A bucket of two is its pair; only the members of larger ones are looked up again.
+    large = sizes.where("n > 2").select("key", "hub")
+    star = common.written(members.join(large, "key").where("id <> hub").select("key", "id", "hub"), "star")
+    pairs = sizes.where("n = 2").select(F.col("last").alias("a"), F.col("hub").alias("b")).unionByName(star.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    links = common.written(verify(pairs.distinct()), "links")
     # Every bucket of three or more, as (key, id) without its hub, which is done.
-    rest = star.where("n > 2").select("key", "id").distinct()
+    rest = star.select("key", "id").distinct()
     done = 0
     while True:
         components = common.written(common.connected_components(links, "a", "b"), "components")
