@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table from written() that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    for file in table.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, out: str = "rank") -> DataFrame:
     """Adds a number from 0, gapless within each key, without one task per key.
 

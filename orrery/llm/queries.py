@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, near_dedup, packing, secret_scan, sharding
+from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_conversations(turns.unionByName(own)))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(_table(spark, sf_dir, "documents"), common.crc_mod("doc_id", 10) != 0)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -72,6 +76,7 @@ QUERIES = {
     "op7_secret_scans": op7_secret_scans,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}

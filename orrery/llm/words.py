@@ -65,7 +65,7 @@ class Words:
     `first` (index of each text's first word, and the number of words last) and `hash`."""
 
     def __init__(self, texts: list[bytes], is_word: np.ndarray):
-        self.buf = buf = LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+        self.buf = buf = LOWER[np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         edges = np.concatenate([[0], np.cumsum(lengths)])
         inside = is_word[buf]
