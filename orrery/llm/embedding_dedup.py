@@ -17,7 +17,7 @@ COSINE = 0.93
 #: Parts of the product code; a filter direction is one short code vector for each part.
 PARTS = 4
 #: Filters that two vectors of just COSINE share on average, and the least that a vector gets.
-SHARED, LEAST = 16, 8
+SHARED, LEAST = 48, 64
 #: Least cap height in standard deviations of a random direction, and the random vectors a cap may hold: the height
 #: and with it the code grow with the number of vectors.
 HEIGHT, LOAD = 4.0, 16
