@@ -1,0 +1 @@
+"""Infrastructure-graph analytics on Spark: versioned configuration items and relationships as DataFrames."""
