@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that one bucket of a distributed ranking should hold, and the most buckets a key is dealt to.
@@ -76,8 +76,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     logarithm of the longest path.
     """
     u, v = F.greatest(a, b), F.least(a, b)
-    now = written(edges.select(u.alias("u"), v.alias("v")).where("u <> v").distinct(), "edges")
-    sums = None
+    first = edges.select(u.alias("u"), v.alias("v")).where("u <> v").distinct()
+    seen = Observation()
+    now = written(first.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    sums = seen.get
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hub = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least(F.col("u"), F.col("m")).alias("m"))
@@ -90,11 +92,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        now = written(small, "edges")
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == sums or not row[0]:
+        seen = Observation()
+        now = written(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        if seen.get == sums or not seen.get["n"]:
             break
-        sums = tuple(row)
+        sums = seen.get
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 

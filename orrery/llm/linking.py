@@ -9,42 +9,80 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Members of a bucket that are compared with all others of it in one round.
-PIVOTS = 64
+#: Members of a bucket that are compared with all others of it in one round: PIVOTS, or more where few rows are left, as
+#: long as PAIRS pairs or fewer come of it.
+PIVOTS, PAIRS = 64, 200_000
 
 
-def linked_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int = PIVOTS) -> DataFrame:
+def linked_components(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    pivots: int = PIVOTS,
+) -> DataFrame:
     """(id, component) of the graph whose links are the pairs (a, b) that share a bucket and pass `verify`.
 
     members has (key, id). First each member is compared with its bucket's smallest id only, which joins a
-    bucket of copies at once. Buckets that then still hold several components go on: in rounds, `pivots` of
-    their members at a time are compared with all later members of other components, until a bucket is one
-    component or all its pairs are decided. So no link between components is lost, a round makes `pivots` rows a
-    member at most, and rows of one component are never compared again.
+    bucket of copies at once. Buckets that then still hold several components go on. If there is `refine`, it deals
+    their ids to finer buckets, in which every pair that could pass still meets, and the same is done in these. At
+    last, in rounds, `pivots` members of a bucket at a time are compared with all later members of other components,
+    until a bucket is one component or all its pairs are decided. So no link between components is lost, a round
+    makes `pivots` rows a member at most, and rows of one component are never compared again.
     """
+    rest, links = _star(members, verify, None)
+    components = common.written(common.connected_components(links, "a", "b"), "components")
+    mixed = _mixed(rest, components, 1)
+    if refine is not None and not mixed.isEmpty():
+        rest, more = _star(refine(mixed.select("id").distinct()), verify, components)
+        components, _ = _joined(components, more)
+        mixed = _mixed(rest, components, 1)
+    done = 0
+    while rows := mixed.count():
+        if not done:  # numbered once, for all rounds
+            mixed = common.written(common.ranked(mixed, ["key"], ["id"], rows, "rank"), "ranked")
+        step = max(pivots, PAIRS // rows)
+        heads = mixed.where((F.col("rank") >= done) & (F.col("rank") < done + step)).select("key", F.col("id").alias("b"), F.col("component").alias("_c"), F.col("rank").alias("_r"))
+        pairs = mixed.join(heads, "key").where("rank > _r and component <> _c").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+        done += step
+        components, more = _joined(components, common.written(verify(pairs), "links"))
+        # with no new link the components are as they were, and only buckets with pairs left go on
+        mixed = _mixed(mixed.select("key", "id", "rank"), components, done + 1) if more else mixed.join(mixed.groupBy("key").count().where(f"count > {done + 1}"), "key", "left_semi")
+    return components
+
+
+def _joined(components: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """Components after some more links, of which there may be none. Links join components, which are few rows."""
+    if links.isEmpty():
+        return components, False
+    a = components.select(F.col("id").alias("a"), F.col("component").alias("_a"))
+    b = components.select(F.col("id").alias("b"), F.col("component").alias("_b"))
+    between = common.written(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct(), "between")
+    merged = common.written(common.connected_components(between, "a", "b"), "merged")
+    old = components.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_new")), "component", "left")
+    kept = old.select("id", F.coalesce("_new", "component").alias("component"))
+    born = merged.join(components, "id", "left_anti").select("id", "component")
+    return common.written(kept.unionByName(born), "components"), True
+
+
+def _star(members: DataFrame, verify, components: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The members, but for the smallest id, of buckets of three or more; and the links of all with the smallest id, but of
+    those that are of its component already."""
     sizes = common.written(
         members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and hub <> last"), "buckets"
     )
     # A bucket of two is its pair; only the members of larger ones are looked up again.
     large = sizes.where("n > 2").select("key", "hub")
-    star = common.written(members.join(large, "key").where("id <> hub").select("key", "id", "hub"), "star")
-    pairs = sizes.where("n = 2").select(F.col("last").alias("a"), F.col("hub").alias("b")).unionByName(star.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    links = common.written(verify(pairs.distinct()), "links")
-    # Every bucket of three or more, as (key, id) without its hub, which is done.
-    rest = star.select("key", "id").distinct()
-    done = 0
-    while True:
-        components = common.written(common.connected_components(links, "a", "b"), "components")
-        named = rest.join(components.withColumnRenamed("component", "_of"), "id", "left").withColumn("component", F.coalesce("_of", "id")).drop("_of")
-        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x <> y and n > {done + 1}").select("key")
-        left = common.written(named.join(mixed, "key"), "mixed")
-        rows = left.count()
-        if not rows:
-            return components
-        if not done:  # numbered once, for all rounds
-            left = common.written(common.ranked(left, ["key"], ["id"], rows, "rank"), "ranked")
-        heads = left.where((F.col("rank") >= done) & (F.col("rank") < done + pivots)).select("key", F.col("id").alias("b"), F.col("component").alias("_c"), F.col("rank").alias("_r"))
-        pairs = left.join(heads, "key").where("rank > _r and component <> _c").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        links = links.unionByName(common.written(verify(pairs), "links"))
-        rest = left.select("key", "id", "rank")
-        done += pivots
+    star = common.written(members.join(large, "key").where("id <> hub").select("key", "id", "hub").distinct(), "star")
+    pairs = sizes.where("n = 2").select(F.col("last").alias("a"), F.col("hub").alias("b")).unionByName(star.select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct()
+    if components is not None:
+        a = components.select(F.col("id").alias("a"), F.col("component").alias("_a"))
+        b = components.select(F.col("id").alias("b"), F.col("component").alias("_b"))
+        pairs = pairs.join(a, "a", "left").join(b, "b", "left").where("not coalesce(_a, a) = coalesce(_b, b)").select("a", "b")
+    return star.select("key", "id"), common.written(verify(pairs), "links")
+
+
+def _mixed(rest: DataFrame, components: DataFrame, least: int) -> DataFrame:
+    """The rows of buckets of more than `least` members and several components, with their component."""
+    named = rest.join(components.withColumnRenamed("component", "_of"), "id", "left").withColumn("component", F.coalesce("_of", "id")).drop("_of")
+    keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x <> y and n > {least}").select("key")
+    return common.written(named.join(keys, "key"), "mixed")

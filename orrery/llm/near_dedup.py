@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -96,12 +96,39 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / (BANDS * ROWS)) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. texts: (doc_id, text)."""
-    ids = common.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (doc_id, text) of these different ids, written."""
+    ids = common.written(ids, "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    held = common.written(texts.join(ids, "doc_id", "left_semi").distinct(), "texts")
+    return common.written(texts.join(ids, "doc_id", "left_semi").distinct(), "texts")
+
+
+def prefix_members(ids: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, id): the shingles of the prefixes of these documents' sets, rarest first among them. Sets of n and more
+    shingles that are similar enough share one of the first n - ceil(n * percent / 100) + 1 of each, in any common order;
+    with the rarest first, documents that share only what many share don't meet."""
+
+    def shingles(batches):
+        for batch in batches:
+            sets = shingle_sets(encoded(batch.column(1)), width)
+            for k in range(0, len(sets), 500):
+                part = sets[k : k + 500]
+                sizes = np.array([len(s) for s in part], np.int64)
+                columns = (np.repeat(batch.column(0).to_numpy()[k : k + 500], sizes), np.concatenate(part).view(np.int64), np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["id", "key", "most"])
+
+    held = _texts_of(ids.select(F.col("id").alias("doc_id")), texts)
+    rows = common.written(held.select("doc_id", "text").mapInArrow(shingles, "id long, key long, most long"), "shingles")
+    known = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    alone = rows.join(known, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("id", "most").orderBy("df", "key"))
+    return alone.withColumn("place", place).where("place <= most and df > 1").select("key", "id")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. texts: (doc_id, text)."""
+    held = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), texts)
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def confirm(batches):
@@ -124,8 +151,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept): documents whose sets of `width`-word shingles have a similarity of
     percent / 100 or more are linked; component_id is the smallest doc_id reachable, kept where it is its own.
 
-    Equal sets are one class, and only its smallest doc_id is sketched into bands. Band buckets give candidates
-    (see linked_components), packed b-bit signatures prune them, full sets confirm them. Null, empty and wordless
+    Equal sets are one class, and only its smallest doc_id goes into band buckets, which give candidates (see
+    linked_components); packed b-bit signatures prune them, full sets confirm them. Documents of buckets that many of
+    different groups share, as passages that many repeat make them, meet again by their rarest shingles only. Null, empty and wordless
     texts, and rows with a null doc_id, link with nothing; a null doc_id has a null component_id and is kept. Rows of
     one doc_id are one document that has the links of all its texts. Other columns are left out.
     """
@@ -142,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         likely = pairs.join(a, "a").join(b, "b").where(estimate(F.col("_a"), F.col("_b")) >= percent / 100 - SLACK).select("a", "b").distinct()
         return confirmed(common.written(likely, "likely"), texts, width, percent)
 
-    components = linked_components(members, verify)
+    components = linked_components(members, verify, lambda ids: prefix_members(ids, texts, width, percent))
     # Rows of one doc_id with several texts tie the classes of these together.
     ties = sketch.where("set_key is not null").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     named = classes.join(components, classes.rep == components.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

@@ -277,7 +277,7 @@ def aging_sweep(spark, sf_dir):
 
 
 @query(_OBS + """, again AS (SELECT DISTINCT src, dst FROM flow WHERE event_id % 3 = 0)
-SELECT o.src || '>' || o.dst AS id, CASE WHEN a.src IS NULL THEN 'none' ELSE 'accumulate' END AS action, CASE WHEN a.src IS NOT NULL THEN CAST(o.n + 1 AS INTEGER) END AS count, CASE WHEN a.src IS NOT NULL THEN 1.0 - (1.0 - CAST(0.6 AS DOUBLE)) * pow(0.5, o.n) END AS confidence FROM obs o LEFT JOIN again a ON a.src = o.src AND a.dst = o.dst
+SELECT o.src || '>' || o.dst AS id, CASE WHEN a.src IS NULL THEN 'none' ELSE 'accumulate' END AS action, CASE WHEN a.src IS NOT NULL THEN CAST(o.n + 1 AS INTEGER) ELSE 0 END AS count, CASE WHEN a.src IS NOT NULL THEN 1.0 - (1.0 - CAST(0.6 AS DOUBLE)) * pow(0.5, o.n) ELSE 0.0 END AS confidence FROM obs o LEFT JOIN again a ON a.src = o.src AND a.dst = o.dst
 UNION ALL SELECT a.src || '>' || a.dst, 'create', 1, 0.6 FROM again a LEFT JOIN obs o ON a.src = o.src AND a.dst = o.dst WHERE o.src IS NULL""")
 def edge_accumulate(spark, sf_dir):
     state = _observed(spark, sf_dir)
@@ -287,7 +287,7 @@ def edge_accumulate(spark, sf_dir):
     acted = versions.edge_actions(state, batch)
     pair = F.concat_ws(">", "from_id", "to_id")
     done = acted.select(pair.alias("id"), "action", versions.observation_count(F.col("new_evidence")).alias("count"), F.col("new_confidence").alias("confidence"))
-    rest = state.join(batch, ["from_id", "to_id"], "left_anti").select("id", F.lit("none").alias("action"), F.lit(None).cast("int").alias("count"), F.lit(None).cast("double").alias("confidence"))
+    rest = state.join(batch, ["from_id", "to_id"], "left_anti").select("id", F.lit("none").alias("action"), F.lit(0).alias("count"), F.lit(0.0).alias("confidence"))
     return done.unionByName(rest)
 
 

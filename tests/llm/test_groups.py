@@ -108,7 +108,9 @@ def norm(line):
 
 
 def simhash(text):
-    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split(" ")]
+    words = text.split(" ")
+    long = [w for w in words if len(w) >= line_dedup.LONG_WORD]
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (long if len(long) >= line_dedup.MIN_WORDS else words)]
     return sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in words) > len(words))
 
 
@@ -121,9 +123,12 @@ def brute_lines(rows):
                 places[norm(line)].append((i, k))
     keys = sorted(places)
     sims = [simhash(x) for x in keys]
-    links = [(a, b) for a, b in combinations(range(len(keys)), 2) if (sims[a] ^ sims[b]).bit_count() <= line_dedup.DISTANCE]
     longer = lambda a, b: max(len(keys[a]), len(keys[b]))
-    links = [(a, b) for a, b in links if edit(keys[a], keys[b]) <= (1 - line_dedup.SIMILARITY) * longer(a, b)]
+    links = [(a, b) for a, b in combinations(range(len(keys)), 2) if (sims[a] ^ sims[b]).bit_count() <= line_dedup.DISTANCE]
+    words = lambda a, b: (set(keys[a].split()), set(keys[b].split()))
+    far = [(a, b) for a, b in links if longer(a, b) > line_dedup.EDIT_LENGTH and min(len(keys[a]), len(keys[b])) >= 0.85 * longer(a, b)]
+    far = [(a, b) for a, b in far if len(set.intersection(*words(a, b))) >= 0.85 / 1.15 * len(set.union(*words(a, b)))]
+    links = far + [(a, b) for a, b in links if longer(a, b) <= line_dedup.EDIT_LENGTH and edit(keys[a], keys[b]) <= (1 - line_dedup.SIMILARITY) * longer(a, b)]
     of = groups(range(len(keys)), links)
     keep = {}
     for k, x in enumerate(keys):
