@@ -152,7 +152,8 @@ def aging_sweep(state: DataFrame, now: Column) -> DataFrame:
     """The table of edges after decay and closing; a decayed edge is a new version with a note among its evidence."""
     acted = aging_actions(state, now)
     note = F.struct(F.lit("aging").alias("source"), now.alias("observed_at"), F.format_string("decayed %.4f->%.4f age_days=%d", "confidence", "new_confidence", F.floor("days")).alias("detail"))
-    opened = acted.where("action = 'decay'").withColumn("confidence", F.col("new_confidence")).withColumn("evidence", F.concat("evidence", F.array(note))).withColumn("valid_from", now)
+    # The note tells the confidence before the decay, so it's made first.
+    opened = acted.where("action = 'decay'").withColumn("evidence", F.concat("evidence", F.array(note))).withColumn("confidence", F.col("new_confidence")).withColumn("valid_from", now)
     did = acted.where("action <> 'untouched'").select("id", "valid_from", F.lit(True).alias("_over"))
     kept = state.join(did, ["id", "valid_from"], "left").withColumn("valid_to", F.when(F.col("_over"), now).otherwise(F.col("valid_to")))
     return kept.select(*state.columns).unionByName(opened.select(*state.columns))
