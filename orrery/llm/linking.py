@@ -39,14 +39,16 @@ def linked_components(
     done = 0
     while rows := mixed.count():
         if not done:  # numbered once, for all rounds
-            mixed = common.written(common.ranked(mixed, ["key"], ["id"], rows, "rank"), "ranked")
+            sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+            mixed = common.written(common.ranked(mixed, ["key"], ["id"], rows, "rank").join(sizes, "key"), "ranked")
         step = max(pivots, PAIRS // rows)
         heads = mixed.where((F.col("rank") >= done) & (F.col("rank") < done + step)).select("key", F.col("id").alias("b"), F.col("component").alias("_c"), F.col("rank").alias("_r"))
         pairs = mixed.join(heads, "key").where("rank > _r and component <> _c").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
         done += step
         components, more = _joined(components, common.written(verify(pairs), "links"))
-        # with no new link the components are as they were, and only buckets with pairs left go on
-        mixed = _mixed(mixed.select("key", "id", "rank"), components, done + 1) if more else mixed.join(mixed.groupBy("key").count().where(f"count > {done + 1}"), "key", "left_semi")
+        # With no new link the components are as they were, and only buckets with pairs left go on. The rows of a round
+        # are those of a written table, filtered: a round must not make the plan of the next one longer.
+        mixed = _mixed(mixed.select("key", "id", "rank", "size"), components, done + 1) if more else mixed.where(F.col("size") > done + 1)
     return components
 
 
