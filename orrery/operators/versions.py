@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
 from ..schema import CONFIDENCE_EPSILON, COUNT_MARKER, DECLARED, EVIDENCE, EVIDENCE_KEPT, FRESH_DAYS, INFERRED, TTL_DAYS
+from ..session import written
 
 CI_KEY, EDGE_KEY = ["type", "external_id"], ["type", "from_id", "to_id", "edge_key"]
 
@@ -194,35 +195,36 @@ def reconcile(state: dict[str, DataFrame], cis: DataFrame, edges: DataFrame, ten
 
     Items are matched by key, then by alias (resolution.deterministic); absent ones of the declared types that this source
     owns are closed. Edges resolve their ends against the new items; unresolved ones are skipped; open edges of the declared
-    types that weren't seen are closed, whatever their source, unless scope_edges_by_source.
+    types that weren't seen are closed, whatever their source, unless scope_edges_by_source. What later steps and the next
+    discovery read again is written, so that plans don't grow from one to the next.
     """
     from . import resolution
 
     open_cis = state["cis"].where("valid_to is null")
-    merged = resolution.deterministic(cis.join(open_cis, CI_KEY, "left_anti"), state["alias_keys"], open_cis, source)
+    merged = written(resolution.deterministic(cis.join(open_cis, CI_KEY, "left_anti"), state["alias_keys"], open_cis, source), "merges")
     renamed = cis.join(merged.select("type", "external_id", F.col("canonical_external_id").alias("_ext")), CI_KEY, "left")
-    batch = deduplicated(renamed.withColumn("_native", F.col("external_id")).withColumn("external_id", F.coalesce("_ext", "external_id")), CI_KEY, "_native")
+    batch = written(deduplicated(renamed.withColumn("_native", F.col("external_id")).withColumn("external_id", F.coalesce("_ext", "external_id")), CI_KEY, "_native"), "batch")
     actions = ci_actions(open_cis, batch)
     after = upsert_cis(state["cis"], batch.select(*CI_KEY, "name", "attributes", "confidence"), tenant_id, now)
     seen = batch.select(*CI_KEY)
     owned = state["source_keys"].where(F.col("source") == source).select(F.col("ci_id").alias("id")).distinct()
     absent = open_cis.where(F.col("type").isin(*ci_types)).join(owned, "id", "left_semi").join(seen, CI_KEY, "left_anti")
-    after = closed(after, absent, CI_KEY, now)
+    after = written(closed(after, absent, CI_KEY, now), "cis")
     live = after.where("valid_to is null")
     native = renamed.select("type", F.coalesce("_ext", "external_id").alias("_key"), F.col("external_id").alias("native_id"))
     bound = native.join(live.select("type", F.col("external_id").alias("_key"), F.col("id").alias("ci_id")), ["type", "_key"]).select(F.lit(tenant_id).alias("tenant_id"), F.lit(source).alias("source"), "native_id", "ci_id", now.alias("observed_at"))
-    source_keys = latest_keys(state["source_keys"], bound.dropDuplicates(["tenant_id", "source", "native_id"]), ["tenant_id", "source", "native_id"], "observed_at")
+    source_keys = written(latest_keys(state["source_keys"], bound.dropDuplicates(["tenant_id", "source", "native_id"]), ["tenant_id", "source", "native_id"], "observed_at"), "source-keys")
     aliases = renamed.select("type", F.coalesce("_ext", "external_id").alias("_key"), F.explode("alias_keys").alias("alias_key")).join(live.select("type", F.col("external_id").alias("_key"), F.col("id").alias("ci_id")), ["type", "_key"])
     aliases = aliases.select(F.lit(tenant_id).alias("tenant_id"), "alias_key", "ci_id", F.col("type").alias("ci_type"), F.lit(source).alias("source"), now.alias("observed_at")).dropDuplicates(["alias_key"])
-    alias_keys = latest_keys(state["alias_keys"], aliases, ["tenant_id", "alias_key"], "observed_at")
+    alias_keys = written(latest_keys(state["alias_keys"], aliases, ["tenant_id", "alias_key"], "observed_at"), "alias-keys")
     linked = resolved_endpoints(edges, live, source_keys).where("from_id is not null and to_id is not null")
-    links = deduplicated(linked.withColumn("_o", F.to_json("evidence")), EDGE_KEY, "_o").select(*EDGE_KEY, "source", "confidence", "evidence")
+    links = written(deduplicated(linked.withColumn("_o", F.to_json("evidence")), EDGE_KEY, "_o").select(*EDGE_KEY, "source", "confidence", "evidence"), "links")
     open_edges = state["edges"].where("valid_to is null")
     edge_acts = edge_actions(open_edges, links)
     gone = open_edges.where(F.col("type").isin(*edge_types)).join(links.select(*EDGE_KEY), EDGE_KEY, "left_anti")
     if scope_edges_by_source:
         gone = gone.where(F.exists("evidence", lambda e: e["source"] == source))
-    new_edges = closed(upsert_edges(state["edges"], links, tenant_id, now), gone, EDGE_KEY, now)
+    new_edges = written(closed(upsert_edges(state["edges"], links, tenant_id, now), gone, EDGE_KEY, now), "edges")
     counts = (
         actions.groupBy("action").count()
         .unionByName(absent.groupBy().count().select(F.lit("closed").alias("action"), "count"))
