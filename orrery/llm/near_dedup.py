@@ -104,8 +104,8 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return common.written(texts.join(ids, "doc_id", "left_semi").distinct(), "texts")
 
 
-def prefix_members(ids: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, id): the shingles of the prefixes of these documents' sets, rarest first among them. Sets of n and more
+def prefix_members(held: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, id): the shingles of the prefixes of the sets of these documents (doc_id, text), rarest first among them. Sets of n and more
     shingles that are similar enough share one of the first n - ceil(n * percent / 100) + 1 of each, in any common order;
     with the rarest first, documents that share only what many share don't meet."""
 
@@ -118,7 +118,6 @@ def prefix_members(ids: DataFrame, texts: DataFrame, width: int, percent: int) -
                 columns = (np.repeat(batch.column(0).to_numpy()[k : k + 500], sizes), np.concatenate(part).view(np.int64), np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes))
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["id", "key", "most"])
 
-    held = _texts_of(ids.select(F.col("id").alias("doc_id")), texts)
     rows = common.written(held.select("doc_id", "text").mapInArrow(shingles, "id long, key long, most long"), "shingles")
     known = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     alone = rows.join(known, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
@@ -164,13 +163,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
     signatures = common.written(first.select("doc_id", "signature"), "signatures")
 
+    # Once refined, all pairs are of the refined ids: their texts are read from a table of their own in each round.
+    held = [texts]
+
+    def refine(ids: DataFrame) -> DataFrame:
+        held.append(_texts_of(ids.select(F.col("id").alias("doc_id")), texts))
+        return prefix_members(held[-1], width, percent)
+
     def verify(pairs: DataFrame) -> DataFrame:
         a = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("_a"))
         b = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("_b"))
         likely = pairs.join(a, "a").join(b, "b").where(estimate(F.col("_a"), F.col("_b")) >= percent / 100 - SLACK).select("a", "b").distinct()
-        return confirmed(common.written(likely, "likely"), texts, width, percent)
+        return confirmed(common.written(likely, "likely"), held[-1], width, percent)
 
-    components = linked_components(members, verify, lambda ids: prefix_members(ids, texts, width, percent))
+    components = linked_components(members, verify, refine)
     # Rows of one doc_id with several texts tie the classes of these together.
     ties = sketch.where("set_key is not null").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     named = classes.join(components, classes.rep == components.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
