@@ -67,7 +67,7 @@ def apply_findings(findings: DataFrame, desired: DataFrame, rule: tuple[str, str
     wanted = desired.select("subject_ci_id").distinct().withColumn("_wanted", F.lit(True))
     seen = findings.join(wanted, "subject_ci_id", "left")
     gone = is_open & F.col("_wanted").isNull()
-    kept = seen.withColumn("valid_to", F.when(gone, now).otherwise(F.col("valid_to"))).withColumn("status", F.when(gone, "resolved").otherwise(F.col("status"))).select(*findings.columns)
+    kept = seen.withColumns({"valid_to": F.when(gone, now).otherwise(F.col("valid_to")), "status": F.when(gone, "resolved").otherwise(F.col("status"))}).select(*findings.columns)
     new = desired.join(findings.where(is_open).select("subject_ci_id"), "subject_ci_id", "left_anti")
     new = new.select(
         canonical_id(F.lit(tenant_id), F.lit(rule_id), F.col("subject_ci_id"), now.cast("string")).alias("id"), F.lit(tenant_id).alias("tenant_id"), F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"),
