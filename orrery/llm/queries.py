@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secret_scan, sharding
+from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secret_scan, sharding, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,10 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others have none: tokens, models, SimHash, best-fit placing and patterns with lookahead are not DuckDB SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": sql.NEAR_DEDUP,
+    "op4_benchmark_decontamination": sql.DECONTAMINATION,
+    "op8_embedding_near_dedup": sql.EMBEDDING_DEDUP,
+    "op9_chat_formatting": sql.CHAT,
+}
