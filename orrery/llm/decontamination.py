@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 from .words import LETTER_DIGIT, Words, encoded, slices, window_hashes
@@ -18,6 +19,7 @@ WINDOW = 10
 BLOCK_WINDOWS = 1_000_000
 
 HITS = "doc_id long, n_words long, hits array<struct<start:long,stop:long>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 class WindowIndex:
@@ -100,8 +102,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 
 def _scanner(index, seen: bool, last: bool):
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-
     def scan(batches):
         rows, window = index.value
         known = WindowIndex(rows, window)
@@ -112,7 +112,7 @@ def _scanner(index, seen: bool, last: bool):
                 hits = [h + [(s["start"], s["stop"]) for s in o] for h, o in zip(hits, batch.column("hits").to_pylist())]
                 items = [i | set(o) for i, o in zip(items, batch.column("items").to_pylist())]
             columns = {"doc_id": batch.column("doc_id")} | ({} if last else {"text": batch.column("text")})
-            columns |= {"n_words": pa.array([n for n, _ in found], pa.int64()), "hits": pa.array(list(map(_spans, hits)), spans_type)}
+            columns |= {"n_words": pa.array([n for n, _ in found], pa.int64()), "hits": pa.array(list(map(_spans, hits)), SPANS)}
             columns |= {"items": pa.array(list(map(sorted, items)), pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -132,21 +132,35 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents with benchmark passages cut out, in the columns of docs. A document of whose words hit
     passages cover `drop_share` or more goes as a whole; of others the hit words go, with what stands
-    between them."""
+    between them. The uncut text is scanned for all blocks of the benchmark first, each handing its spans to the next; the
+    last one decides and cuts."""
     schema, at = docs.schema, docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    def cleaner(index):
+    carried = "_hits"
+    while carried in docs.columns:
+        carried += "_"
+    wide = StructType([*schema.fields, *StructType.fromDDL(f"`{carried}` array<struct<start:long,stop:long>>").fields])
+
+    def cleaner(index, seen, last):
         def cut(batches):
             rows, width = index.value
             known = WindowIndex(rows, width)
             for batch in batches:
                 texts = encoded(batch.column(at))
+                found = [(n, hits) for n, (hits, _) in known.scan(texts)]
+                if seen:
+                    found = [(n, h + [(s["start"], s["stop"]) for s in o]) for (n, h), o in zip(found, batch.column(batch.num_columns - 1).to_pylist())]
+                    batch = batch.select(range(batch.num_columns - 1))
+                if not last:
+                    columns = [*batch.columns, pa.array([_spans(h) for _, h in found], SPANS)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, carried])
+                    continue
                 keep, new = [], []
-                for i, (x, (n, (hits, _))) in enumerate(zip(texts, known.scan(texts))):
+                for i, (x, (n, hits)) in enumerate(zip(texts, found)):
                     spans = _spans(hits)
                     if spans and sum(s["stop"] - s["start"] for s in spans) >= drop_share * n:
                         continue
@@ -161,8 +175,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, window
 
         return cut
 
-    for index in _blocks(benchmark, window, BLOCK_WINDOWS):
-        docs = docs.mapInArrow(cleaner(index), schema)
+    blocks = _blocks(benchmark, window, block_windows)
+    for k, index in enumerate(blocks):
+        last = k == len(blocks) - 1
+        docs = docs.mapInArrow(cleaner(index, k > 0, last), schema if last else wide)
     return docs
 
 

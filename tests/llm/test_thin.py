@@ -111,6 +111,38 @@ def test_decontamination(spark, data, odd, empty):
     assert None in texts and "x" not in texts and not any("lazy" in (t or "") for t in texts)
 
 
+def brute_clean(rows, items, window=10):
+    for i, x in rows:
+        at = [m.span() for m in re.finditer(r"[A-Za-z0-9]+", x)]
+        w = [x[a:b].lower() for a, b in at]
+        hit = set()
+        for item in items:
+            v = re.findall(r"[a-z0-9]+", item.lower())
+            n = min(window, len(v))
+            known = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}
+            hit |= {k + j for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in known for j in range(n)}
+        if 2 * len(hit) < len(w):
+            spans = [k for k in range(len(w)) if k in hit]
+            drop = {c for k in spans for c in range(*at[k])} | {c for k in spans if k + 1 in hit for c in range(at[k][1], at[k + 1][0])}
+            yield i, "".join(c for k, c in enumerate(x) if k not in drop)
+
+
+def test_clean_in_blocks(spark):
+    a, b, c, d, other = ([f"{x}{k}" for k in range(n)] for x, n in (("a", 30), ("b", 30), ("c", 12), ("d", 10), ("o", 200)))
+    items = [" ".join(x) for x in (a, b, c, c[6:] + d[:6], other[:5] + other[15:20])]
+    texts = [a + b + other[20:60], a + other[20:100], c + d + other[20:60], other[:5] + d + other[15:120], other[:5] + c[:10] + other[15:120], other]
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    table = spark.createDataFrame([(*r, len(r[1]), "x") for r in rows], "doc_id long, text string, n_chars long, _hits string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = sorted(brute_clean(rows, items))
+    assert 0 not in dict(want) and len(want) == len(rows) - 1
+    for windows in (10**6, 40):
+        out = decontamination.clean(table, benchmark, block_windows=windows)
+        got = out.collect()
+        assert out.columns == table.columns and sorted((r.doc_id, r.text) for r in got) == want
+        assert all(r.n_chars == len(r.text) and r._hits == "x" for r in got)
+
+
 @pytest.mark.parametrize("shards", [40, 3])
 def test_sharding(spark, data, odd, empty, shards):
     docs = spark.read.parquet(f"{data}/documents.parquet")
