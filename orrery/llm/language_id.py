@@ -182,9 +182,10 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 
 def label_words(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Viterbi labels of the words of texts. A text whose best language is beaten by no other by more than the penalty
-    in any stretch of words has that language throughout, as each stretch of another costs a penalty at
-    least; only the other texts take the search."""
+    """Viterbi labels of the words of texts. A text has its best language throughout if no other beats that by more than
+    the penalty in any stretch of words, nor any two together in a beginning and an end: a path that comes to the best
+    language pays a penalty for each stretch of another, and one that doesn't for each but one. Only
+    the other texts take the search."""
     full = np.flatnonzero(np.diff(first) > 0)
     labels = np.zeros(len(scores), np.int16)
     if not len(full):
@@ -193,7 +194,7 @@ def label_words(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY)
     best = np.add.reduceat(scores, starts, axis=0).argmax(1)
     labels[:] = np.repeat(best, stops - starts)
     own = scores[np.arange(len(scores)), labels]
-    gain = np.zeros(len(full))
+    gain, head, tail = np.zeros((3, len(full)))
     for k in range(scores.shape[1]):
         d = scores[:, k] - own
         c = np.cumsum(d)
@@ -202,7 +203,9 @@ def label_words(scores: np.ndarray, first: np.ndarray, penalty: float = PENALTY)
         down = np.repeat(np.arange(len(full)) * far, stops - starts)
         low = np.minimum.accumulate(np.minimum(c - d, c) - down) + down
         gain = np.maximum(gain, np.maximum.reduceat(c - low, starts))
-    hard = np.flatnonzero(gain > penalty)
+        head = np.maximum(head, np.maximum.reduceat(c, starts))
+        tail = np.maximum(tail, c[stops - 1] - np.minimum.reduceat(c - d, starts))
+    hard = np.flatnonzero((gain > penalty) | (head + tail > penalty))
     for i, path in zip(hard, viterbi([scores[starts[i] : stops[i]] for i in hard], penalty)):
         labels[starts[i] : stops[i]] = path
     return labels

@@ -47,6 +47,20 @@ def test_labels_are_those_of_viterbi():
                 assert math.isclose(value, brute_viterbi(scores[a:b], 5.0)[0], abs_tol=1e-9)
 
 
+def test_labels_of_two_languages_beside_a_third():
+    scores = np.array([[0, -30, -8], [-30, 0, -8]], float)
+    assert language_id.label_words(scores, np.array([0, 2]), 12.0).tolist() == [0, 1]
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        halves = [np.repeat([[0, -30, -8, -20], [-30, 0, -8, -20]], rng.integers(1, 4, 2), axis=0) for _ in range(5)]
+        scores = np.concatenate(halves) / rng.choice([1, 2, 4]) + rng.standard_normal((sum(map(len, halves)), 4))
+        first = np.concatenate([[0], np.cumsum([len(x) for x in halves])])
+        labels = language_id.label_words(scores, first, 12.0)
+        for a, b in zip(first, first[1:]):
+            value = scores[np.arange(a, b), labels[a:b]].sum() - 12.0 * (np.diff(labels[a:b]) != 0).sum()
+            assert math.isclose(value, brute_viterbi(scores[a:b], 12.0)[0], abs_tol=1e-9)
+
+
 def test_language_spans_and_odd_rows(spark, data, odd, empty):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts = {lang: docs.where(F.col("lang") == lang).where("n_chars > 800").first().text[:800] for lang in ("en", "fr")}
