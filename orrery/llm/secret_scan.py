@@ -19,8 +19,8 @@ ASSIGN_VALUE, ACCESS_ALL, HEX_ALL = 6, 20, 24
 
 #: Weak parts: an identifier, a secret and an endpoint, none of which says enough alone.
 WEAK = {
-    "identifier": re.compile(r"""(?ai:\b(?:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.A),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])", re.A),
+    "identifier": re.compile(r"""(?ai:\b(?:user(?:name)?|login|client_?id|account(?:_?name)?|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.A),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])", re.A),
     "endpoint": re.compile(r"(?ai:(?:https?|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3|ftp)://[A-Za-z0-9._:@/-]+)", re.A),
 }
 #: What makes a weak part worth a report, if within SCOPE code points of it.

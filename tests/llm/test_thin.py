@@ -200,6 +200,17 @@ def test_secret_scan(spark, data, odd, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_weak_secrets_of_any_length(spark):
+    key = (SECRET * 3)[:86] + "=="
+    short, url_safe = SECRET[:20], SECRET[:12] + "-_" + SECRET[12:24]
+    rows = [(1, f"account: demo {key} at https://demo.example"), (2, f"AccountName=demo;AccountKey={key};x"), (3, f"user=alice {short}"), (4, f"user=alice {url_safe}"), (5, f"user=alice {SECRET * 30}")]
+    rows += [(6, f"{key} alone"), (7, f"user=alice {SECRET[:19]}"), (8, f"user=alice {key}=")]
+    got = {r.doc_id: r.spans for r in secret_scan.report(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for (i, text), secret in zip(rows, (key, key, short, url_safe, SECRET * 30)):
+        assert f"weak_secret:{text.index(secret)}:{text.index(secret) + len(secret)}" in got[i].split(",")
+    assert all("weak_secret" not in got[i] for i in (6, 7, 8))
+
+
 def digest(turns):
     told = "".join(f"{r}\n{t}\n" for r, t in turns)
     loss = "".join(t for r, t in turns if r == "assistant")
