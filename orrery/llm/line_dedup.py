@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from . import common
 from .linking import linked_components
 
-#: Lines of fewer words are never removed. Lines are alike whose SimHashes differ in DISTANCE bits at most and whose
+#: Lines of fewer words are never removed; of the scripts in UNSPACED, which are written without blanks, every WORD_LETTERS
+#: letters count as a word, and lines that are mostly of them have the SimHash of their runs of GRAM letters. Lines are alike whose SimHashes differ in DISTANCE bits at most and whose
 #: edit similarity, 1 - distance / longer length, is SIMILARITY or more.
 MIN_WORDS, DISTANCE, SIMILARITY = 4, 3, 0.85
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+WORD_LETTERS, GRAM = 2, 3
 LONG_WORD, EDIT_LENGTH = 4, 2048
 #: Bits of a SimHash, and the bits of a lane in which one of them is counted: three lanes to a long.
 SIM_BITS, LANE = 63, 21
@@ -25,6 +28,11 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
+def unspaced(norm: Column) -> Column:
+    """The number of letters of UNSPACED scripts; lines without any, which are most, aren't rewritten to count them."""
+    return F.when(norm.rlike(UNSPACED), F.length(norm) - F.length(F.regexp_replace(norm, UNSPACED, ""))).otherwise(0)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(id, body, line, norm, key): the lines of documents that are long enough. id and body tell documents apart; key is
     a 64-bit hash of the normalised line, which two different of ten billion lines share about once or twice."""
@@ -34,19 +42,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
     norm = lines.select("id", "body", "line", normalised(F.col("raw")).alias("norm"))
     blanks = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit("")))
-    return norm.where(blanks >= MIN_WORDS - 1).select("id", "body", "line", "norm", F.xxhash64("norm").alias("key"))
+    return norm.where((blanks >= MIN_WORDS - 1) | (unspaced(F.col("norm")) >= MIN_WORDS * WORD_LETTERS)).select("id", "body", "line", "norm", F.xxhash64("norm").alias("key"))
 
 
 def occurrences(lines: DataFrame) -> DataFrame:
     """(id, body, line, key, sim) of lines_of(): sim is the SimHash of the words of LONG_WORD letters or more, as shorter ones
-    are much the same in all lines of a language; of all words where those are fewer than MIN_WORDS.
+    are much the same in all lines of a language; of all words where those are fewer than MIN_WORDS; of runs of GRAM letters
+    where half the letters or more are of UNSPACED scripts.
 
     Bit counts of the words' hashes are summed in lanes of packed longs, which hold lines of up to 2**21 words.
     """
     ones = sum(1 << (LANE * k) for k in range(SIM_BITS // LANE))
     every = F.split("norm", " ")
     some = F.filter(every, lambda w: F.length(w) >= LONG_WORD)
-    words = lines.select("id", "body", "line", "key", F.explode(F.when(F.size(some) >= MIN_WORDS, some).otherwise(every)).alias("w")).withColumn("h", F.xxhash64("w"))
+    letters = F.split(F.replace(F.col("norm"), F.lit(" "), F.lit("")), "")
+    grams = F.transform(F.slice(letters, 1, F.greatest(F.size(letters) - (GRAM - 1), F.lit(1))), lambda x, i: F.concat_ws("", x, *(F.get(letters, i + k) for k in range(1, GRAM))))
+    features = F.when(2 * unspaced(F.col("norm")) >= F.length("norm"), grams).when(F.size(some) >= MIN_WORDS, some).otherwise(every)
+    words = lines.select("id", "body", "line", "key", F.explode(features).alias("w")).withColumn("h", F.xxhash64("w"))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(ones))).alias(f"s{k}") for k in range(LANE)]
     counted = words.groupBy("id", "body", "line", "key").agg(F.count(F.lit(1)).alias("n"), *sums)
     bits = F.lit(0).cast("long")
@@ -131,7 +143,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     table, that of the smallest (doc_id, hash of the text, line number).
 
     All columns stay, with n_chars, if there is one, counted anew; a document that loses all its lines stays with an
-    empty text. Null and empty texts, and lines of fewer than MIN_WORDS words, stay as they are. A null doc_id comes
+    empty text. Null and empty texts, and lines of fewer than MIN_WORDS words (see there), stay as they are. A null doc_id comes
     after all others. Rows of equal doc_id and text are one document and keep the same lines. No rows give none.
     """
     gone = repeated_lines(docs).groupBy("id", "body").agg(F.collect_set("line").alias("_gone"))

@@ -151,6 +151,17 @@ def test_lines(spark, data, empty):
     assert line_dedup.without_repeated_lines(empty).count() == 0
 
 
+def test_lines_without_blanks(spark):
+    rng = np.random.default_rng(12)
+    han = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 3000, 400))
+    thai = "".join(chr(0x0E01 + int(k)) for k in rng.integers(0, 40, 60))
+    near = han[:300] + "新" + han[301:]
+    rows = [(1, han), (2, "a first line\n" + han + "。"), (3, near), (4, thai), (5, thai + "\nlast"), (6, "東京都" * 2), (7, "東京都" * 2), (8, "東京都" * 3), (9, "東京都" * 3), (10, han[::-1])]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(rows) | {2: "a first line", 3: "", 5: "last", 9: ""}
+    assert got == want
+
+
 def test_lines_odd_rows(spark, odd):
     out = line_dedup.without_repeated_lines(odd).collect()
     assert len(out) == odd.count()
