@@ -2,46 +2,54 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Rows that one bucket of a distributed ranking should hold, and the most buckets a key is dealt to.
 RANK_BUCKET_ROWS, RANK_BUCKETS = 512, 4096
 
 
-@functools.cache
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="orrery-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local mode, where it is unset, an own one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _own_folder(spark.sparkContext.applicationId)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes the files of a table from written() that nothing reads any more."""
-    jvm = table.sparkSession._jvm
-    for file in table.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from written() that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for file in table.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def whole_groups(batches, keys: tuple[str, ...], rows: int = 20_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups of a partition that is sorted by some columns of longs, with the edges of the groups in each.
+    A batch has some `rows` rows, or one group if that has more."""
+
+    def edges_of(t: pa.Table) -> np.ndarray:
+        change = np.zeros(t.num_rows, bool)
+        for c in keys:
+            v = t.column(c).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(change), [t.num_rows]])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        edges = edges_of(t)
+        if len(edges) > 2:
+            yield t.slice(0, edges[-2]).combine_chunks().to_batches()[0], edges[:-1]
+            t = t.slice(edges[-2])
+        held, size = t.to_batches(), 0
+    if held and (t := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield t.to_batches()[0], edges_of(t)
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, out: str = "rank") -> DataFrame:
@@ -92,8 +100,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        seen = Observation()
+        seen, before = Observation(), now
         now = written(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        discard(before)
         if seen.get == sums or not seen.get["n"]:
             break
         sums = seen.get

@@ -1,4 +1,5 @@
-"""Connected groups of rows that share buckets, without all pairs of a bucket."""
+"""Connected groups of rows that share buckets. Buckets are compared block by block, and no pair leaves its block but as a
+link that joins two groups."""
 
 from __future__ import annotations
 
@@ -9,82 +10,88 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Members of a bucket that are compared with all others of it in one round: PIVOTS, or more where few rows are left, as
-#: long as PAIRS pairs or fewer come of it.
-PIVOTS, PAIRS = 64, 200_000
+
+def sized(members: DataFrame) -> DataFrame:
+    """members (key, id) of buckets of two ids and more, with the bucket's count n."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(sizes, "key")
+
+
+def dealt(members: DataFrame, limit: int) -> DataFrame:
+    """Adds `block` to members (key, id, n): a bucket of up to `limit` is one block. A larger one is dealt out twice, by two
+    hashes of the id, so that each member meets two random parts of about half of `limit` members, through which
+    groups that are alike throughout become one."""
+    parts = F.ceil(F.col("n") / (limit / 2)).cast("long")
+    many = F.col("n") > limit
+    twice = members.withColumn("_deal", F.explode(F.when(many, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return twice.withColumn("block", F.when(many, parts * F.col("_deal") + F.pmod(F.xxhash64("id", "_deal"), parts)).otherwise(0)).drop("_deal", "n")
+
+
+def crossed(members: DataFrame, limit: int) -> DataFrame:
+    """Adds `block` to members (key, id, n) so that each two of a bucket meet in one block of about `limit` members."""
+    parts = F.ceil(F.col("n") / (limit / 2)).cast("long")
+    own = members.withColumn("_part", F.pmod(F.xxhash64("id"), parts))
+    each = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return each.withColumn("block", F.least("_part", "_other") * parts + F.greatest("_part", "_other")).drop("_part", "_other", "n")
 
 
 def linked_components(
     members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    refine: Callable[[DataFrame], DataFrame] | None = None,
-    pivots: int = PIVOTS,
+    compare: Callable[[DataFrame, DataFrame | None], DataFrame],
+    limit: int,
+    split: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(id, component) of the graph whose links are the pairs (a, b) that share a bucket and pass `verify`.
-
-    members has (key, id). First each member is compared with its bucket's smallest id only, which joins a
-    bucket of copies at once. Buckets that then still hold several components go on. If there is `refine`, it deals
-    their ids to finer buckets, in which every pair that could pass still meets, and the same is done in these. At
-    last, in rounds, `pivots` members of a bucket at a time are compared with all later members of other components,
-    until a bucket is one component or all its pairs are decided. So no link between components is lost, a round
-    makes `pivots` rows a member at most, and rows of one component are never compared again.
-    """
-    rest, links = _star(members, verify, None)
+    """(id, component) of the graph whose links are the pairs of ids that share a bucket and pass `compare`.
+
+    members has (key, id, n) with the count of its bucket's members, two or more; with the columns beside them, which
+    go along. compare(blocks, components) gets (key, block, id) and gives links (a, b) that decide each
+    pair of a block: two ids of a block that pass are linked, or joined through others. Buckets of more than `limit`
+    members that then hold several components go on: `split`, if there is one, deals their members (key, id) to finer
+    buckets in which all pairs that could pass still meet. What is then still larger and mixed is compared part by
+    part, each part with each, which is exact for any bucket. Null ids are not among the members."""
+    links = compare(dealt(members, limit), None)
     components = common.written(common.connected_components(links, "a", "b"), "components")
-    mixed = _mixed(rest, components, 1)
-    if refine is not None and not mixed.isEmpty():
-        rest, more = _star(refine(mixed.select("id").distinct()), verify, components)
-        components, _ = _joined(components, more)
-        mixed = _mixed(rest, components, 1)
-    done = 0
-    while rows := mixed.count():
-        if not done:  # numbered once, for all rounds
-            sizes = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-            mixed = common.written(common.ranked(mixed, ["key"], ["id"], rows, "rank").join(sizes, "key"), "ranked")
-        step = max(pivots, PAIRS // rows)
-        heads = mixed.where((F.col("rank") >= done) & (F.col("rank") < done + step)).select("key", F.col("id").alias("b"), F.col("component").alias("_c"), F.col("rank").alias("_r"))
-        pairs = mixed.join(heads, "key").where("rank > _r and component <> _c").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        done += step
-        components, more = _joined(components, common.written(verify(pairs), "links"))
-        # With no new link the components are as they were, and only buckets with pairs left go on. The rows of a round
-        # are those of a written table, filtered: a round must not make the plan of the next one longer.
-        mixed = _mixed(mixed.select("key", "id", "rank", "size"), components, done + 1) if more else mixed.where(F.col("size") > done + 1)
+    common.discard(links)
+    large = _mixed(members.where(F.col("n") > limit), components)
+    for deal in ([dealt] if split else []) + [crossed]:
+        if large.isEmpty():
+            break
+        rows = common.written(sized(split(large)), "finer") if deal is dealt else large
+        links = compare(deal(rows, limit), components)
+        new = joined(components, links)
+        if deal is dealt:
+            common.discard(large)
+            large = _mixed(rows.where(F.col("n") > limit), new)
+            common.discard(rows)
+        common.discard(links, *([components] if new is not components else []))
+        components = new
     return components
 
 
-def _joined(components: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
-    """Components after some more links, of which there may be none. Links join components, which are few rows."""
+def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after some more links, of which there may be none; else a new table. Links join components, which are few rows."""
     if links.isEmpty():
-        return components, False
+        return components
     a = components.select(F.col("id").alias("a"), F.col("component").alias("_a"))
     b = components.select(F.col("id").alias("b"), F.col("component").alias("_b"))
-    between = common.written(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct(), "between")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
     merged = common.written(common.connected_components(between, "a", "b"), "merged")
     old = components.join(merged.select(F.col("id").alias("component"), F.col("component").alias("_new")), "component", "left")
     kept = old.select("id", F.coalesce("_new", "component").alias("component"))
     born = merged.join(components, "id", "left_anti").select("id", "component")
-    return common.written(kept.unionByName(born), "components"), True
-
-
-def _star(members: DataFrame, verify, components: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The members, but for the smallest id, of buckets of three or more; and the links of all with the smallest id, but of
-    those that are of its component already."""
-    sizes = common.written(
-        members.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and hub <> last"), "buckets"
-    )
-    # A bucket of two is its pair; only the members of larger ones are looked up again.
-    large = sizes.where("n > 2").select("key", "hub")
-    star = common.written(members.join(large, "key").where("id <> hub").select("key", "id", "hub").distinct(), "star")
-    pairs = sizes.where("n = 2").select(F.col("last").alias("a"), F.col("hub").alias("b")).unionByName(star.select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct()
-    if components is not None:
-        a = components.select(F.col("id").alias("a"), F.col("component").alias("_a"))
-        b = components.select(F.col("id").alias("b"), F.col("component").alias("_b"))
-        pairs = pairs.join(a, "a", "left").join(b, "b", "left").where("not coalesce(_a, a) = coalesce(_b, b)").select("a", "b")
-    return star.select("key", "id"), common.written(verify(pairs), "links")
-
-
-def _mixed(rest: DataFrame, components: DataFrame, least: int) -> DataFrame:
-    """The rows of buckets of more than `least` members and several components, with their component."""
-    named = rest.join(components.withColumnRenamed("component", "_of"), "id", "left").withColumn("component", F.coalesce("_of", "id")).drop("_of")
-    keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where(f"x <> y and n > {least}").select("key")
-    return common.written(named.join(keys, "key"), "mixed")
+    out = common.written(kept.unionByName(born), "components")
+    common.discard(merged)
+    return out
+
+
+def with_component(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """rows with the component of their id, which is the id itself where there is none."""
+    named = rows.join(components.withColumnRenamed("component", "_of"), "id", "left")
+    return named.withColumn("component", F.coalesce("_of", "id")).drop("_of")
+
+
+def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members of buckets of several components."""
+    named = with_component(members, components)
+    keys = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return common.written(members.join(keys, "key", "left_semi"), "mixed")

@@ -6,11 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .linking import linked_components
+from .linking import joined, linked_components, sized, with_component
 from .words import NOT_SPACE, Words, encoded, mix, slices, window_hashes
 
 #: Bands of rows: a pair of similarity 0.8 shares no band once in ten million times.
@@ -18,8 +18,8 @@ BANDS, ROWS = 40, 5
 #: Low bits kept of each minimum. Signatures whose corrected estimate is below the threshold by more than SLACK
 #: (over five standard deviations of it) are not compared in full.
 BITS, SLACK = 2, 0.19
-#: Most ids that are broadcast to pick their texts; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Members of a bucket that are compared in one block, and so the sets that a task holds at once.
+BLOCK = 1024
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _XOR = (_SEEDS[: BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)
@@ -83,52 +83,128 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(sketch, SKETCH)
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity from packed signatures: the share of equal minima, corrected for low bits that are equal by chance."""
-    word = lambda s, k, w: F.get(s, F.lit(k * LONGS + w))
-    differ = F.lit(0)
-    for w in range(LONGS):
-        apart = F.lit(0).cast("long")
-        for k in range(BITS):
-            apart = apart.bitwiseOR(word(a, k, w).bitwiseXOR(word(b, k, w)))
-        differ = differ + F.bit_count(apart)
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many minima packed signatures differ, as far as BITS bits show."""
+    x = (a ^ b).view(np.uint64)  # the bits of a negative number would be those of its amount
+    apart = x[..., :LONGS]
+    for k in range(1, BITS):
+        apart = apart | x[..., k * LONGS : (k + 1) * LONGS]
+    return np.bitwise_count(apart).sum(-1, dtype=np.int64)
+
+
+def estimate(differ: np.ndarray) -> np.ndarray:
+    """Similarity from differing minima: the share of equal ones, corrected for low bits that are equal by chance."""
     chance = 1 / 2**BITS
     return ((1 - differ / (BANDS * ROWS)) - chance) / (1 - chance)
 
 
-def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts (doc_id, text) of these different ids, written."""
-    ids = common.written(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return common.written(texts.join(ids, "doc_id", "left_semi").distinct(), "texts")
+def likely(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return estimate(differing(a, b)) >= percent / 100 - SLACK
 
 
-def prefix_members(held: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, id): the shingles of the prefixes of the sets of these documents (doc_id, text), rarest first among them. Sets of n and more
-    shingles that are similar enough share one of the first n - ceil(n * percent / 100) + 1 of each, in any common order;
-    with the rarest first, documents that share only what many share don't meet."""
+def _signatures(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("signature").flatten().to_numpy().reshape(batch.num_rows, -1)
 
-    def shingles(batches):
-        for batch in batches:
-            sets = shingle_sets(encoded(batch.column(1)), width)
-            for k in range(0, len(sets), 500):
-                part = sets[k : k + 500]
-                sizes = np.array([len(s) for s in part], np.int64)
-                columns = (np.repeat(batch.column(0).to_numpy()[k : k + 500], sizes), np.concatenate(part).view(np.int64), np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes))
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["id", "key", "most"])
 
-    rows = common.written(held.select("doc_id", "text").mapInArrow(shingles, "id long, key long, most long"), "shingles")
-    known = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    alone = rows.join(known, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("id", "most").orderBy("df", "key"))
-    return alone.withColumn("place", place).where("place <= most and df > 1").select("key", "id")
+def forest(signatures: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows: a spanning forest of the graph of likely pairs, along the greatest estimates (Prim)."""
+    n = len(signatures)
+    far = np.iinfo(np.int64).max
+    best, parent, rest, out = np.full(n, far), np.zeros(n, np.int64), np.ones(n, bool), []
+    for _ in range(n):
+        near = np.where(rest, best, far)
+        i = int(near.argmin())
+        if near[i] == far or estimate(near[i]) < percent / 100 - SLACK:
+            i = int(rest.argmax())
+        else:
+            out.append((parent[i], i))
+        rest[i] = False
+        now = differing(signatures, signatures[i])
+        closer = now < best
+        best[closer], parent[closer] = now[closer], i
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _blocks_of(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("key", "block", *columns).repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def likely_forest(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the likely pairs of each block of (key, block, id, signature)."""
+
+    def compare(batches):
+        for batch, edges in common.whole_groups(batches, ("key", "block")):
+            ids, sig, sizes = batch.column("id").to_numpy(), _signatures(batch), np.diff(edges)
+            two = edges[:-1][sizes == 2]
+            two = two[likely(sig[two], sig[two + 1], percent)]
+            found = [np.stack([two, two + 1], 1)]
+            found += [forest(sig[edges[k] : edges[k + 1]], percent) + edges[k] for k in np.flatnonzero(sizes > 2)]
+            pairs = ids[np.concatenate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], names=["a", "b"])
+
+    return _blocks_of(blocks, "id", "signature").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
+def undecided(blocks: DataFrame, percent: int) -> DataFrame:
+    """(key, block, id, component) of the members of blocks (and signature) that are likely to be like one of another component."""
+
+    def pick(batches):
+        for batch, edges in common.whole_groups(batches, ("key", "block")):
+            sig, component = _signatures(batch), batch.column("component").to_numpy()
+            hit = np.zeros(batch.num_rows, bool)
+            mixed = np.flatnonzero(np.minimum.reduceat(component, edges[:-1]) != np.maximum.reduceat(component, edges[:-1]))
+            for k in mixed:
+                a, b = edges[k], edges[k + 1]
+                for i in range(a, b):
+                    other = np.flatnonzero(component[a:b] != component[i])
+                    hit[i] = likely(sig[a:b][other], sig[i], percent).any()
+            yield batch.filter(pa.array(hit)).select(["key", "block", "id", "component"])
+
+    return _blocks_of(blocks, "id", "component", "signature").mapInArrow(pick, "key long, block long, id long, component long")
+
+
+def exact_links(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links by full shingle sets between the components of each block of (key, block, id, component, text)."""
+
+    def compare(batches):
+        for batch, edges in common.whole_groups(batches, ("key", "block"), BLOCK):
+            ids, component = batch.column("id").to_numpy(), batch.column("component").to_numpy()
+            texts = encoded(batch.column("text"))
+            known = dict.fromkeys(texts)
+            known = dict(zip(known, shingle_sets(list(known), width)))
+            out = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(edges, edges[1:]):
+                out.append(ids[a:b][links_between([known[x] for x in texts[a:b]], component[a:b], percent)])
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], names=["a", "b"])
+
+    return _blocks_of(blocks, "id", "component", "text").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
+def links_between(sets: list[np.ndarray], component: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows that are linked, one for each two components that a row joins; rows of a common component are one already.
+    Shared shingles are counted through an index of all sets, row by row, but for those of the largest component."""
+    sizes, component = np.array(list(map(len, sets))), component.copy()
+    values, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], of[order]
+    names, n = np.unique(component, return_counts=True)
+    out = []
+    for i in np.flatnonzero(component != names[n.argmax()]).tolist():
+        low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        shared = np.bincount(of[at], minlength=len(sets))
+        linked = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (component != component[i]))
+        for c, k in zip(*np.unique(component[linked], return_index=True)):
+            out.append((i, linked[k]))
+            component[component == c] = component[i]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. texts: (doc_id, text)."""
-    held = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), texts)
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union. texts: (id, text)."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def confirm(batches):
         for batch in batches:
@@ -150,33 +226,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept): documents whose sets of `width`-word shingles have a similarity of
     percent / 100 or more are linked; component_id is the smallest doc_id reachable, kept where it is its own.
 
-    Equal sets are one class, and only its smallest doc_id goes into band buckets, which give candidates (see
-    linked_components); packed b-bit signatures prune them, full sets confirm them. Documents of buckets that many of
-    different groups share, as passages that many repeat make them, meet again by their rarest shingles only. Null, empty and wordless
+    Equal sets are one class, and only its smallest doc_id goes into band buckets, whose members are compared in blocks
+    (see linked_components): packed b-bit signatures give a forest of likely pairs, which full sets confirm; what is
+    likely and still apart after that is decided by the full sets inside the block. Members of a bucket of more than BLOCK
+    that hold several groups are dealt to pairs of bands. Null, empty and wordless
     texts, and rows with a null doc_id, link with nothing; a null doc_id has a null component_id and is kept. Rows of
-    one doc_id are one document that has the links of all its texts. Other columns are left out.
+    one doc_id are one document that has the links of all its texts. Other columns are left out; no rows give none.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).where("id is not null and text is not null")
     sketch = common.written(sketched(docs, width), "sketch")
-    classes = common.written(sketch.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-    first = sketch.join(classes, "set_key").where("doc_id = rep")
-    members = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    signatures = common.written(first.select("doc_id", "signature"), "signatures")
-
-    # Once refined, all pairs are of the refined ids: their texts are read from a table of their own in each round.
-    held = [texts]
-
-    def refine(ids: DataFrame) -> DataFrame:
-        held.append(_texts_of(ids.select(F.col("id").alias("doc_id")), texts))
-        return prefix_members(held[-1], width, percent)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("_a"))
-        b = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("_b"))
-        likely = pairs.join(a, "a").join(b, "b").where(estimate(F.col("_a"), F.col("_b")) >= percent / 100 - SLACK).select("a", "b").distinct()
-        return confirmed(common.written(likely, "likely"), held[-1], width, percent)
-
-    components = linked_components(members, verify, refine)
+    classes = common.written(sketch.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    first = common.written(sketch.join(classes, "set_key").where("doc_id = rep").select(F.col("doc_id").alias("id"), "bands", "signature"), "first")
+    members = common.written(sized(first.select(F.explode("bands").alias("key"), "id")), "members")
+    shared = common.written(texts.join(members.select("id").distinct(), "id", "left_semi").distinct(), "texts")
+
+    def compare(blocks: DataFrame, components: DataFrame | None) -> DataFrame:
+        signed = common.written(blocks.select("key", "block", "id").join(first.select("id", "signature"), "id"), "signed")
+        pairs = common.written(likely_forest(signed, percent), "likely")
+        links = common.written(confirmed(pairs, shared, width, percent), "links")
+        known = common.written(common.connected_components(links, "a", "b"), "known") if components is None else joined(components, links)
+        left = common.written(undecided(with_component(signed, known), percent), "undecided")
+        more = common.written(exact_links(left.join(shared, "id"), width, percent), "more")
+        out = common.written(links.unionByName(more), "links")
+        common.discard(signed, pairs, links, left, more, *([known] if known is not components else []))
+        return out
+
+    def split(large: DataFrame) -> DataFrame:
+        # Similar sets that share a band share a second one but twice or thrice in a million pairs.
+        pairs = large.select("key", "id").join(first.select("id", F.explode("bands").alias("other")), "id").where("key <> other")
+        return pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
+
+    components = linked_components(members, compare, BLOCK, split)
     # Rows of one doc_id with several texts tie the classes of these together.
     ties = sketch.where("set_key is not null").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     named = classes.join(components, classes.rep == components.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
@@ -191,6 +271,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each group of near-duplicates."""
+    """docs with one document, that of the smallest doc_id, of each group of near-duplicates.
+
+    All columns stay. Rows that repeat the kept doc_id all stay, as do those of a null doc_id and those of null, empty and
+    wordless texts; no rows give none."""
     gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
 
 from orrery.llm import common, embedding_dedup, line_dedup, linking, near_dedup, queries
@@ -36,11 +37,22 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_linked_components_decides_all_pairs_of_a_bucket(spark):
-    # One bucket in which only neighbours of equal remainder are linked: the hub shows almost none of them.
+def compare_within(rule):
+    """All pairs of a block that pass a rule, by a join: for small tables."""
+    def compare(blocks, components):
+        return blocks.select("key", "block", F.col("id").alias("a")).join(blocks.select("key", "block", F.col("id").alias("b")), ["key", "block"]).where("a > b").where(rule).select("a", "b").distinct()
+
+    return compare
+
+
+@pytest.mark.parametrize("limit", [100, 10])
+def test_linked_components_decides_all_pairs_of_a_bucket(spark, limit):
+    # One bucket in which only neighbours of equal remainder are linked, in one block, or part by part.
     n = 60
-    members = spark.range(n).select(F.lit(7).alias("key"), F.col("id"))
-    got = linking.linked_components(members, lambda p: p.where("a % 6 = b % 6 and abs(a - b) = 6"), pivots=5)
+    members = spark.range(n).select(F.lit(7).alias("key"), F.col("id"), F.lit(n).cast("long").alias("n"))
+    compare = compare_within("a % 6 = b % 6 and abs(a - b) = 6")
+    written = lambda blocks, components: common.written(compare(blocks, components), "links")
+    got = linking.linked_components(members, written, limit)
     want = groups(range(n), [(i, i + 6) for i in range(n - 6)])
     assert {r.id: r.component for r in got.collect()} == want
 
@@ -84,11 +96,39 @@ def test_signature_estimate_is_close(spark):
     base = rng.integers(0, 2**63, 1000).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[:k], rng.integers(0, 2**63, 1000 - k).astype(np.uint64)])) for k in (1000, 900, 500, 0)]
     _, signature = near_dedup.sketches(sets)
-    table = spark.createDataFrame([(k, [int(x) for x in s]) for k, s in enumerate(signature)], "k int, s array<long>")
-    pairs = table.alias("a").join(table.alias("b"), F.col("a.k") == 0).select("b.k", near_dedup.estimate(F.col("a.s"), F.col("b.s")).alias("e"))
-    for r in pairs.collect():
-        true = len(np.intersect1d(sets[0], sets[r.k])) / len(np.union1d(sets[0], sets[r.k]))
-        assert abs(r.e - true) < 0.13
+    for k in range(4):
+        true = len(np.intersect1d(sets[0], sets[k])) / len(np.union1d(sets[0], sets[k]))
+        assert abs(near_dedup.estimate(near_dedup.differing(signature[0], signature[k])) - true) < 0.13
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_hot_near_duplicates(spark, monkeypatch, block):
+    """Copies of one text with words replaced, some of them like few others only, and unlike texts that share a passage."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    words, passage = [f"w{k}" for k in range(150)], [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(90):
+        own = list(words)
+        for at in rng.choice(150, int(rng.integers(0, 8)), replace=False):
+            own[at] = f"x{k}.{at}"
+        rows.append((k, " ".join(own)))
+    rows += [(200 + k, " ".join(passage + [f"u{k}.{j}" for j in range(25)])) for k in range(40)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_near(rows, 4)
+
+
+def test_links_between_components():
+    rng = np.random.default_rng(3)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([rng.choice(base, 100 - k, replace=False), 1000 + 100 * np.uint64(k) + np.arange(k, dtype=np.uint64)])) for k in range(30)]
+    component = np.array([k % 7 for k in range(30)])
+    pairs = near_dedup.links_between(sets, component, 80)
+    like = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    assert all(like(a, b) for a, b in pairs)
+    same = [(a, b) for a in range(30) for b in range(a) if component[a] == component[b]]
+    every = [(a, b) for a in range(30) for b in range(a) if like(a, b)]
+    assert groups(range(30), same + [tuple(p) for p in pairs.tolist()]) == groups(range(30), same + every)
 
 
 def edit(a, b):
