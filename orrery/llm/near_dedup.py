@@ -106,8 +106,9 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("signature").flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
-def forest(signatures: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of rows: a spanning forest of the graph of likely pairs, along the greatest estimates (Prim)."""
+def forest(signatures: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows: a spanning forest of the graph of likely pairs, along the greatest estimates (Prim), whose rows of one
+    component are joined already."""
     n = len(signatures)
     far = np.iinfo(np.int64).max
     best, parent, rest, out = np.full(n, far), np.zeros(n, np.int64), np.ones(n, bool), []
@@ -116,10 +117,10 @@ def forest(signatures: np.ndarray, percent: int) -> np.ndarray:
         i = int(near.argmin())
         if near[i] == far or estimate(near[i]) < percent / 100 - SLACK:
             i = int(rest.argmax())
-        else:
+        elif component[i] != component[parent[i]]:
             out.append((parent[i], i))
         rest[i] = False
-        now = differing(signatures, signatures[i])
+        now = np.where(component == component[i], -1, differing(signatures, signatures[i]))
         closer = now < best
         best[closer], parent[closer] = now[closer], i
     return np.array(out, np.int64).reshape(-1, 2)
@@ -129,20 +130,29 @@ def _blocks_of(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("key", "block", *columns).repartition("key", "block").sortWithinPartitions("key", "block")
 
 
+def _mixed(component: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Which groups of rows hold several components."""
+    return np.minimum.reduceat(component, edges[:-1]) != np.maximum.reduceat(component, edges[:-1])
+
+
 def likely_forest(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning forest of the likely pairs of each block of (key, block, id, signature)."""
+    """(a, b): a spanning forest of the likely pairs of each block of (key, block, id, component, signature), but for the pairs of
+    one component."""
 
     def compare(batches):
         for batch, edges in common.whole_groups(batches, ("key", "block")):
-            ids, sig, sizes = batch.column("id").to_numpy(), _signatures(batch), np.diff(edges)
-            two = edges[:-1][sizes == 2]
+            ids, component, sig = batch.column("id").to_numpy(), batch.column("component").to_numpy(), _signatures(batch)
+            mixed, sizes = _mixed(component, edges), np.diff(edges)
+            two = edges[:-1][mixed & (sizes == 2)]
             two = two[likely(sig[two], sig[two + 1], percent)]
             found = [np.stack([two, two + 1], 1)]
-            found += [forest(sig[edges[k] : edges[k + 1]], percent) + edges[k] for k in np.flatnonzero(sizes > 2)]
+            for k in np.flatnonzero(mixed & (sizes > 2)):
+                a, b = edges[k], edges[k + 1]
+                found.append(forest(sig[a:b], component[a:b], percent) + a)
             pairs = ids[np.concatenate(found)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs.max(1)), pa.array(pairs.min(1))], names=["a", "b"])
 
-    return _blocks_of(blocks, "id", "signature").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return _blocks_of(blocks, "id", "component", "signature").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def undecided(blocks: DataFrame, percent: int) -> DataFrame:
@@ -152,8 +162,7 @@ def undecided(blocks: DataFrame, percent: int) -> DataFrame:
         for batch, edges in common.whole_groups(batches, ("key", "block")):
             sig, component = _signatures(batch), batch.column("component").to_numpy()
             hit = np.zeros(batch.num_rows, bool)
-            mixed = np.flatnonzero(np.minimum.reduceat(component, edges[:-1]) != np.maximum.reduceat(component, edges[:-1]))
-            for k in mixed:
+            for k in np.flatnonzero(_mixed(component, edges)):
                 a, b = edges[k], edges[k + 1]
                 for i in range(a, b):
                     other = np.flatnonzero(component[a:b] != component[i])
@@ -241,11 +250,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = common.written(texts.join(members.select("id").distinct(), "id", "left_semi").distinct(), "texts")
 
     def compare(blocks: DataFrame, components: DataFrame | None) -> DataFrame:
-        signed = common.written(blocks.select("key", "block", "id").join(first.select("id", "signature"), "id"), "signed")
+        rows = blocks.select("key", "block", "id").join(first.select("id", "signature"), "id")
+        rows = rows.withColumn("component", F.col("id")) if components is None else with_component(rows, components)
+        signed = common.written(rows, "signed")
         pairs = common.written(likely_forest(signed, percent), "likely")
         links = common.written(confirmed(pairs, shared, width, percent), "links")
         known = common.written(common.connected_components(links, "a", "b"), "known") if components is None else joined(components, links)
-        left = common.written(undecided(with_component(signed, known), percent), "undecided")
+        left = common.written(undecided(with_component(signed.drop("component"), known), percent), "undecided")
         more = common.written(exact_links(left.join(shared, "id"), width, percent), "more")
         out = common.written(links.unionByName(more), "links")
         common.discard(signed, pairs, links, left, more, *([known] if known is not components else []))
