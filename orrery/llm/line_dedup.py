@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .linking import linked_components
+from .linking import linked_components, with_component
 
 #: Lines of fewer words are never removed; of the scripts in UNSPACED, which are written without blanks, every WORD_LETTERS
 #: letters count as a word, and lines that are mostly of them have the SimHash of their runs of GRAM letters. Lines are alike whose SimHashes differ in DISTANCE bits at most and whose
@@ -16,16 +16,18 @@ from .linking import linked_components
 MIN_WORDS, DISTANCE, SIMILARITY = 4, 3, 0.85
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 WORD_LETTERS, GRAM = 2, 3
-LONG_WORD, EDIT_LENGTH = 4, 2048
-#: Bits of a SimHash, and the bits of a lane in which one of them is counted: three lanes to a long.
-SIM_BITS, LANE = 63, 21
-#: Most rows that are broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 500_000
+LONG_WORD = 4
+#: Bits of a SimHash. They are counted in lanes of packed longs: of LANES[0] bits in lines of few features, else of LANES[1].
+SIM_BITS, LANES = 63, (7, 21)
+#: Lines of a bucket that are compared in one block.
+BLOCK = 512
+#: Most bytes that are broadcast; larger sides are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, and each run of anything but letters, marks and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
+def letters_only(text: Column) -> Column:
+    """Lower case, and each run of anything but letters, marks, digits and line ends as one blank."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\n]+", " ")
 
 
 def unspaced(norm: Column) -> Column:
@@ -33,109 +35,206 @@ def unspaced(norm: Column) -> Column:
     return F.when(norm.rlike(UNSPACED), F.length(norm) - F.length(F.regexp_replace(norm, UNSPACED, ""))).otherwise(0)
 
 
+def own_id() -> Column:
+    """doc_id, of which null comes last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, body, line, norm, key): the lines of documents that are long enough. id and body tell documents apart; key is
-    a 64-bit hash of the normalised line, which two different of ten billion lines share about once or twice."""
+    """(id, body, line, norm): the lines of documents that are long enough. id and body tell documents apart."""
     text = common.text_or_empty()
-    lines = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("body"), F.posexplode(F.split(text, "\n")).alias("line", "raw")
-    )
-    norm = lines.select("id", "body", "line", normalised(F.col("raw")).alias("norm"))
+    lines = docs.select(own_id().alias("id"), F.xxhash64(text).alias("body"), F.posexplode(F.split(letters_only(text), "\n")).alias("line", "raw"))
+    norm = lines.select("id", "body", "line", F.trim("raw").alias("norm"))
     blanks = F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit("")))
-    return norm.where((blanks >= MIN_WORDS - 1) | (unspaced(F.col("norm")) >= MIN_WORDS * WORD_LETTERS)).select("id", "body", "line", "norm", F.xxhash64("norm").alias("key"))
+    return norm.where((blanks >= MIN_WORDS - 1) | (unspaced(F.col("norm")) >= MIN_WORDS * WORD_LETTERS))
 
 
-def occurrences(lines: DataFrame) -> DataFrame:
-    """(id, body, line, key, sim) of lines_of(): sim is the SimHash of the words of LONG_WORD letters or more, as shorter ones
-    are much the same in all lines of a language; of all words where those are fewer than MIN_WORDS; of runs of GRAM letters
-    where half the letters or more are of UNSPACED scripts.
+def _counts(hashes: Column, lane: int) -> Column:
+    """A struct of longs that hold, in lanes of `lane` bits, how many hashes have each of their first SIM_BITS bits."""
+    ones = F.lit(sum(1 << (lane * k) for k in range(SIM_BITS // lane)))
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"s{k}") for k in range(lane)))
+    return F.aggregate(hashes, zero, lambda a, h: F.struct(*((a[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(ones)).alias(f"s{k}") for k in range(lane))))
 
-    Bit counts of the words' hashes are summed in lanes of packed longs, which hold lines of up to 2**21 words.
-    """
-    ones = sum(1 << (LANE * k) for k in range(SIM_BITS // LANE))
+
+def _majority(counts: Column, n: Column, lane: int) -> Column:
+    bits = F.lit(0).cast("long")
+    for at in range(SIM_BITS // lane):
+        for k in range(lane):
+            count = F.shiftrightunsigned(counts[f"s{k}"], lane * at).bitwiseAND(F.lit(2**lane - 1))
+            bits = bits.bitwiseOR(F.when(2 * count > n, F.lit(1 << (lane * at + k))).otherwise(F.lit(0)))
+    return bits
+
+
+def simhashed(lines: DataFrame) -> DataFrame:
+    """lines with `sim`, the SimHash of the words of norm of LONG_WORD letters or more, as shorter ones
+    are much the same in all lines of a language; of all words where those are fewer than MIN_WORDS; of runs of GRAM letters
+    where half the letters or more are of UNSPACED scripts. A line has 2**21 features at most."""
     every = F.split("norm", " ")
     some = F.filter(every, lambda w: F.length(w) >= LONG_WORD)
     letters = F.split(F.replace(F.col("norm"), F.lit(" "), F.lit("")), "")
     grams = F.transform(F.slice(letters, 1, F.greatest(F.size(letters) - (GRAM - 1), F.lit(1))), lambda x, i: F.concat_ws("", x, *(F.get(letters, i + k) for k in range(1, GRAM))))
-    features = F.when(2 * unspaced(F.col("norm")) >= F.length("norm"), grams).when(F.size(some) >= MIN_WORDS, some).otherwise(every)
-    words = lines.select("id", "body", "line", "key", F.explode(features).alias("w")).withColumn("h", F.xxhash64("w"))
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(ones))).alias(f"s{k}") for k in range(LANE)]
-    counted = words.groupBy("id", "body", "line", "key").agg(F.count(F.lit(1)).alias("n"), *sums)
-    bits = F.lit(0).cast("long")
-    for lane in range(SIM_BITS // LANE):
-        for k in range(LANE):
-            count = F.shiftrightunsigned(f"s{k}", LANE * lane).bitwiseAND(F.lit(2**LANE - 1))
-            bits = bits.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(1 << (LANE * lane + k))).otherwise(F.lit(0)))
-    return counted.select("id", "body", "line", "key", bits.alias("sim"))
+    out = lines.withColumn("_some", some)
+    features = F.when(2 * unspaced(F.col("norm")) >= F.length("norm"), grams).when(F.size("_some") >= MIN_WORDS, F.col("_some")).otherwise(every)
+    out = out.withColumn("_h", F.transform(features, lambda w: F.xxhash64(w))).withColumn("_n", F.size("_h"))
+    few = F.col("_n") < 2 ** LANES[0]
+    for k, lane in enumerate(LANES):
+        out = out.withColumn(f"_c{k}", F.when(few if k == 0 else ~few, _counts(F.col("_h"), lane)))
+    sim = F.when(few, _majority(F.col("_c0"), F.col("_n"), LANES[0])).otherwise(_majority(F.col("_c1"), F.col("_n"), LANES[1]))
+    return out.withColumn("sim", sim).drop("_some", "_h", "_n", "_c0", "_c1")
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(id, body, line, k1, k2, chars, sim) of each line that is long enough. k1, k2 and chars stand for the normalised line: of a
+    million million lines two different ones share them about once in 100,000 corpora."""
+    rows = simhashed(lines_of(docs))
+    return rows.select("id", "body", "line", F.xxhash64("norm").alias("k1"), F.hash("norm").alias("k2"), F.length("norm").alias("chars"), "sim")
+
+
+LINE = ["k1", "k2", "chars"]
 
 
 def different_lines(seen: DataFrame) -> DataFrame:
-    """(key, first, copies, sim) of each different line of occurrences(): first is its least (id, body, line)."""
-    each = seen.select("key", F.struct("id", "body", "line").alias("at"), "sim")
-    return each.groupBy("key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("sim").alias("sim"))
+    """(lid, k1, k2, chars, first, copies, sim) of each different line of occurrences(): first is its least (id, body, line)."""
+    each = seen.select(*LINE, F.struct("id", "body", "line").alias("at"), "sim")
+    return each.groupBy(*LINE).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("sim").alias("sim")).withColumn("lid", F.monotonically_increasing_id())
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), where value is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def alike(x: Column, y: Column) -> Column:
-    """Whether the edit similarity of two texts is SIMILARITY or more. The search is cut off at a constant distance for each
-    class of lengths, which is that of the longest of the class or more. Edits take time in the square of the length: over
-    EDIT_LENGTH letters the sets of words are compared instead, which share s / (2 - s) where a share s is left as it is."""
+    """Whether the edit similarity of two different texts is SIMILARITY or more.
+
+    Edits of words at equal places are an upper bound of the distance, which decides most; else the words that both begin or
+    end with are left out, which doesn't change the distance, and the search over the rest is cut off beyond the bound."""
     longer, shorter = F.greatest(F.length(x), F.length(y)), F.least(F.length(x), F.length(y))
-    distance = F.levenshtein(x, y)
-    for k in range(11, 4, -1):
-        distance = F.when(longer <= 2**k, F.levenshtein(x, y, int((1 - SIMILARITY) * 2**k) + 1)).otherwise(distance)
-    near = (distance >= 0) & (distance <= (1 - SIMILARITY) * longer)
-    a, b = F.split(x, " "), F.split(y, " ")
-    words = F.size(F.array_intersect(a, b)) >= SIMILARITY / (2 - SIMILARITY) * F.size(F.array_union(a, b))
-    return F.when(shorter < SIMILARITY * longer, False).when(longer > EDIT_LENGTH, words).otherwise(near)
-
-
-def block_keys(sim: Column, lines: int) -> Column:
-    """Keys of which two SimHashes at DISTANCE or less share one at least: the bits fall into m blocks, of which m -
-    DISTANCE are untouched, and each choice of so many blocks is a key. More lines take more, smaller blocks,
-    so that keys stay selective; the pairs found are the same."""
-    m = DISTANCE + (2 if lines < 5 * 10**7 else 3 if lines < 2 * 10**9 else 4)
-    edges = [SIM_BITS * k // m for k in range(m + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(m), m - DISTANCE)):
-        key = F.lit(t).cast("long")
-        for b in chosen:
-            width = edges[b + 1] - edges[b]
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(sim, edges[b]).bitwiseAND(F.lit(2**width - 1)))
-        keys.append(key)
-    return F.array(*keys)
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    edits = lambda p, q: F.when(p == q, 0).otherwise(F.levenshtein(p, q))
+    leading = lambda a, b: F.array_position(F.zip_with(a, b, lambda p, q: F.coalesce(p == q, F.lit(False))), False).cast("int") - 1
+
+    def within(s: Column) -> Column:
+        placed = F.aggregate(F.zip_with(s["a"], s["b"], edits), F.lit(0), lambda n, e: n + e)
+        return F.when((F.size(s["a"]) == F.size(s["b"])) & (placed <= s["most"]), True).otherwise(_let(F.struct(s["a"].alias("a"), s["b"].alias("b"), s["most"].alias("most"), leading(s["a"], s["b"]).alias("k")), headless))
+
+    def headless(s: Column) -> Column:
+        rest = lambda v: F.reverse(F.slice(v, s["k"] + 1, F.size(v)))
+        return _let(F.struct(rest(s["a"]).alias("a"), rest(s["b"]).alias("b"), s["most"].alias("most")), lambda r: _let(F.struct(r["a"].alias("a"), r["b"].alias("b"), r["most"].alias("most"), leading(r["a"], r["b"]).alias("k")), tailless))
+
+    def tailless(s: Column) -> Column:
+        rest = lambda v: F.array_join(F.reverse(F.slice(v, s["k"] + 1, F.size(v))), " ")
+        return _let(F.struct(rest(s["a"]).alias("x"), rest(s["b"]).alias("y"), s["most"].alias("most")), lambda r: F.when(F.greatest(F.length(r["x"]), F.length(r["y"])) <= r["most"], True).otherwise(F.call_function("levenshtein", r["x"], r["y"], r["most"]) >= 0))
+
+    # The greatest distance allowed; the small term takes back what the product of two fractions may be short of a whole number.
+    most = F.floor((1 - SIMILARITY) * longer + 1e-9).cast("int")
+    words = F.struct(F.split(x, " ").alias("a"), F.split(y, " ").alias("b"), most.alias("most"))
+    return F.when(longer - shorter > most, False).otherwise(_let(words, within))
+
+
+class Blocks:
+    """Keys of which two SimHashes at DISTANCE or less share one at least: the bits fall into m blocks, of which m - DISTANCE
+    are untouched, and each choice of so many blocks is a kind of key. m grows with the number of lines, so that a line meets
+    less than one other by chance; the pairs found are the same."""
+
+    def __init__(self, lines: int):
+        for m in range(DISTANCE + 2, 2 * DISTANCE + 8):
+            self.edges = [SIM_BITS * k // m for k in range(m + 1)]
+            self.kinds = list(combinations(range(m), m - DISTANCE))
+            if lines * len(self.kinds) < 2 ** (SIM_BITS * (m - DISTANCE) / m):
+                break
+
+    def _mask(self, b: int) -> int:
+        return (1 << self.edges[b + 1]) - (1 << self.edges[b])
+
+    def keys(self, sim: Column) -> Column:
+        out = []
+        for t, chosen in enumerate(self.kinds):
+            bits = F.lit(0).cast("long")
+            for b in chosen:
+                width = self.edges[b + 1] - self.edges[b]
+                bits = F.shiftleft(bits, width).bitwiseOR(F.shiftrightunsigned(sim, self.edges[b]).bitwiseAND(F.lit(2**width - 1)))
+            out.append(bits * len(self.kinds) + t)
+        return F.array(*out)
+
+    def owned(self, key: Column, differ: Column) -> Column:
+        """Whether two SimHashes with these differing bits are close, and the key is the first of those they share."""
+        touched = [[self._mask(b) for b in range(chosen[-1]) if b not in chosen] for chosen in self.kinds]
+        masks = F.array(*(F.array(*map(F.lit, t)).cast("array<bigint>") for t in touched))
+        first = F.forall(F.get(masks, F.pmod(key, F.lit(len(self.kinds))).cast("int")), lambda k: differ.bitwiseAND(k) != 0)
+        return (F.bit_count(differ) <= DISTANCE) & first
+
+
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if the bytes of its rows are few."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def texts_of(docs: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, norm) of these lines of different_lines(): only they are normalised again."""
+    wanted = known.join(ids, known.lid == ids.id, "left_semi").select("first.*", "lid")
+    by_doc = common.written(wanted.groupBy("id", "body").agg(F.collect_list(F.struct("line", "lid")).alias("wanted")).withColumnsRenamed({"id": "_id", "body": "_body"}), "wanted")
+    keyed = docs.select(own_id().alias("_own_id"), F.xxhash64(common.text_or_empty()).alias("_own_body"), common.text_or_empty().alias("text"))
+    some = keyed.join(_small(by_doc, F.lit(48) + 24 * F.size("wanted")), (F.col("_own_id") == F.col("_id")) & (F.col("_own_body") == F.col("_body")))
+    each = some.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.lid").alias("id"), F.trim(letters_only(F.get("lines", F.col("w.line")))).alias("norm"))
+    out = common.written(each.groupBy("id").agg(F.min("norm").alias("norm")), "texts")
+    common.discard(by_doc)
+    return out
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(id, body, line): the occurrences of lines that go, all but the least (id, body, line) of each connected group."""
-    seen = common.written(occurrences(lines_of(docs)), "lines")
+    seen = common.written(occurrences(docs), "lines")
     known = common.written(different_lines(seen), "lines")
-    n = known.count()
-    members = known.select(F.explode(block_keys(F.col("sim"), n)).alias("key"), F.col("key").alias("id"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = known.select(F.col("key").alias("a"), F.col("sim").alias("sim_a"), F.col("first").alias("at_a"))
-        b = known.select(F.col("key").alias("b"), F.col("sim").alias("sim_b"), F.col("first").alias("at_b"))
-        close = pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DISTANCE)
-        close = common.written(close.select("a", "b", "at_a", "at_b"), "close")
-        wanted = common.written(close.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("at_a.id").alias("id")), F.struct(F.col("b").alias("key"), F.col("at_b.id").alias("id")))).alias("w")).select("w.*").distinct(), "wanted")
-        some = docs.join(_small(wanted.select(F.col("id").alias("_id")).distinct()), F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)) == F.col("_id"), "left_semi")
-        texts = common.written(lines_of(some).join(_small(wanted.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm")), "texts")
-        both = close.join(texts.select(F.col("key").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("norm").alias("y")), "b")
-        return both.where(alike(F.col("x"), F.col("y"))).select("a", "b").distinct()
-
-    components = linked_components(members, verify)
-    grouped = known.join(components, known.key == components.id, "left").select("key", "first", "copies", F.coalesce("component", "key").alias("group"))
+    blocks = Blocks(known.count())
+    dealt_out = known.select(F.explode(blocks.keys(F.col("sim"))).alias("key"), F.col("lid").alias("id"), "sim")
+    buckets = dealt_out.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("b"), F.max("id").alias("a"), F.min("sim").alias("low"), F.max("sim").alias("high"))
+    # Where all SimHashes of a bucket are equal, the first kind of key has it already.
+    equal = (F.col("low") == F.col("high")) & (F.pmod("key", F.lit(len(blocks.kinds))) > 0)
+    decided = ~equal & ((F.col("n") > 2) | blocks.owned(F.col("key"), F.col("low").bitwiseXOR(F.col("high"))))
+    buckets = common.written(buckets.where((F.col("n") > 1) & decided).select("key", "n", "a", "b"), "buckets")
+    members = common.written(dealt_out.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
+    twos = buckets.where("n = 2").select("a", "b")
+
+    def compare(of: DataFrame, components: DataFrame | None) -> DataFrame:
+        rows = (with_component(of, components) if components is not None else of.withColumn("component", F.col("id"))).select("key", "block", F.struct("id", "sim", "component").alias("x"))
+        met = lambda x, y: (x["component"] != y["component"]) & blocks.owned(F.col("key"), x["sim"].bitwiseXOR(y["sim"]))
+        earlier = lambda x: F.aggregate("m", F.lit(None).cast("long"), lambda b, y: F.coalesce(b, F.when((y["id"] < x["id"]) & met(x, y), y["id"])))
+        held = rows.groupBy("key", "block").agg(F.collect_list("x").alias("m")).where(F.size("m") > 1)
+        close = held.select("key", "block", F.explode(F.filter("m", lambda x: F.exists("m", lambda y: met(x, y)))).alias("x"), "m")
+        near = common.written(close.select("key", "block", "x.*", earlier(F.col("x")).alias("b")), "near")
+        pairs = near.where("b is not null").select(F.col("id").alias("a"), "b")
+        pairs = (pairs.unionByName(twos) if components is None else pairs).distinct()
+        ids = near.select("id").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
+        texts = texts_of(docs, known, ids)
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+        links = common.written(both.where(alike(F.col("x"), F.col("y"))).select("a", "b"), "links")
+        # What is close and in another group after that is decided inside the block.
+        now = common.written(common.connected_components(links.unionByName(_as_links(components)) if components is not None else links, "a", "b"), "now")
+        rest = with_component(near.select("key", "block", "id", "sim"), now)
+        mixed = rest.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "block")
+        told = rest.join(mixed, ["key", "block"], "left_semi").join(texts, "id").select("key", "block", F.struct("id", "sim", "component", "norm").alias("x"))
+        held = told.groupBy("key", "block").agg(F.collect_list("x").alias("m"))
+        like = lambda x: F.transform(F.filter("m", lambda y: (y["id"] < x["id"]) & met(x, y) & alike(x["norm"], y["norm"])), lambda y: y["component"])
+        more = held.select(F.explode("m").alias("x"), "m", "key").select(F.col("x.id").alias("a"), F.explode(F.array_distinct(like(F.col("x")))).alias("b"))
+        out = common.written(links.unionByName(more), "links")
+        common.discard(near, texts, links, now)
+        return out
+
+    components = linked_components(members, compare, BLOCK)
+    grouped = known.join(components, known.lid == components.id, "left").select(*LINE, "first", "copies", F.coalesce("component", "lid").alias("group"))
     # A line that occurs once and is like no other needs no look at all.
     more = grouped.where("copies > 1").select("group").unionByName(components.select(F.col("component").alias("group"))).distinct()
-    kept = common.written(grouped.join(more, "group", "left_semi").groupBy("group").agg(F.min("first").alias("keep")), "kept")
-    keys = common.written(grouped.join(kept, "group").select("key", "keep"), "keys")
+    some = grouped.join(more, "group", "left_semi")
+    kept = some.groupBy("group").agg(F.min("first").alias("keep"))
+    keys = common.written(some.join(kept, "group").select(*LINE, "keep"), "keys")
     at = F.struct("id", "body", "line")
-    return common.written(seen.select("id", "body", "line", "key").join(_small(keys), "key").where(at != F.col("keep")).select("id", "body", "line"), "gone")
+    gone = common.written(seen.select("id", "body", "line", *LINE).join(keys, LINE).where(at != F.col("keep")).select("id", "body", "line"), "gone")
+    common.discard(seen, known, buckets, members, components, keys)
+    return gone
+
+
+def _as_links(components: DataFrame) -> DataFrame:
+    return components.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -146,11 +245,13 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     empty text. Null and empty texts, and lines of fewer than MIN_WORDS words (see there), stay as they are. A null doc_id comes
     after all others. Rows of equal doc_id and text are one document and keep the same lines. No rows give none.
     """
-    gone = repeated_lines(docs).groupBy("id", "body").agg(F.collect_set("line").alias("_gone"))
+    each = repeated_lines(docs)
+    gone = each.groupBy("id", "body").agg(F.collect_set("line").alias("_gone"))
     gone = common.written(gone.select(F.col("id").alias("_id"), F.col("body").alias("_body"), "_gone"), "gone")
+    common.discard(each)
     names = docs.columns
-    keyed = docs.withColumn("_own_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_own_body", F.xxhash64(common.text_or_empty()))
-    joined = keyed.join(_small(gone), (F.col("_own_id") == F.col("_id")) & (F.col("_own_body") == F.col("_body")), "left")
+    keyed = docs.withColumn("_own_id", own_id()).withColumn("_own_body", F.xxhash64(common.text_or_empty()))
+    joined = keyed.join(_small(gone, F.lit(48) + 8 * F.size("_gone")), (F.col("_own_id") == F.col("_id")) & (F.col("_own_body") == F.col("_body")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in names:
@@ -159,7 +260,10 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, text_sha256): each document's lines, those taken out, and the text that is left."""
+    """(doc_id, n_lines, n_removed, text_sha256): each document's lines, those taken out, and the text that is left.
+
+    A row for each row of docs, null doc_ids and repeated rows too; a null text is one empty line; other columns, of whatever
+    names, are left out; no rows give none."""
     out = without_repeated_lines(docs.select("doc_id", "text", F.size(F.split(common.text_or_empty(), "\n")).alias("_lines")))
     left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split(common.text_or_empty(), "\n")))
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), (F.col("_lines") - left).cast("long").alias("n_removed"), F.sha2(common.text_or_empty().cast("binary"), 256).alias("text_sha256"))

@@ -165,10 +165,7 @@ def brute_lines(rows):
     sims = [simhash(x) for x in keys]
     longer = lambda a, b: max(len(keys[a]), len(keys[b]))
     links = [(a, b) for a, b in combinations(range(len(keys)), 2) if (sims[a] ^ sims[b]).bit_count() <= line_dedup.DISTANCE]
-    words = lambda a, b: (set(keys[a].split()), set(keys[b].split()))
-    far = [(a, b) for a, b in links if longer(a, b) > line_dedup.EDIT_LENGTH and min(len(keys[a]), len(keys[b])) >= 0.85 * longer(a, b)]
-    far = [(a, b) for a, b in far if len(set.intersection(*words(a, b))) >= 0.85 / 1.15 * len(set.union(*words(a, b)))]
-    links = far + [(a, b) for a, b in links if longer(a, b) <= line_dedup.EDIT_LENGTH and edit(keys[a], keys[b]) <= (1 - line_dedup.SIMILARITY) * longer(a, b)]
+    links = [(a, b) for a, b in links if edit(keys[a], keys[b]) <= (1 - line_dedup.SIMILARITY) * longer(a, b) + 1e-9]
     of = groups(range(len(keys)), links)
     keep = {}
     for k, x in enumerate(keys):
@@ -214,11 +211,50 @@ def test_blocks_share_a_key_up_to_the_distance(spark):
     pairs = []
     for _ in range(200):
         a = int(rng.integers(0, 2**63))
-        pairs.append((a, a ^ sum(1 << int(b) for b in rng.choice(63, 3, replace=False))))
+        pairs.append((a, a ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 4)), replace=False))))
     table = spark.createDataFrame(pairs, "a long, b long")
     for n in (10, 10**8, 10**10):
-        shared = F.size(F.array_intersect(line_dedup.block_keys(F.col("a"), n), line_dedup.block_keys(F.col("b"), n)))
-        assert table.where(shared == 0).count() == 0
+        blocks = line_dedup.Blocks(n)
+        shared = F.array_intersect(blocks.keys(F.col("a")), blocks.keys(F.col("b")))
+        owners = F.size(F.filter(shared, lambda k: blocks.owned(k, F.col("a").bitwiseXOR(F.col("b")))))
+        assert table.where(owners != 1).count() == 0
+
+
+def test_alike_is_edit_similarity(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for _ in range(300):
+        n = int(rng.integers(4, 60))
+        a = ["".join(rng.choice(list("abcde"), int(rng.integers(1, 9)))) for _ in range(n)]
+        b = list(a)
+        for _ in range(int(rng.integers(1, 1 + n // 3 + 2))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 3))] = ["".join(rng.choice(list("abcdé"), 3))] * int(rng.integers(0, 3))
+        if a != b:
+            rows.append((" ".join(a), " ".join(b)))
+    rows += [("a b c d", "a b c"), ("a a a a", "a a a a a"), ("x", "y"), ("abcdefghijklmnopqrst", "abcdefghijklmnopq"), ("abcdefghijklmnopqrst", "abcdefghijklmnop")]
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", line_dedup.alike(F.col("x"), F.col("y")).alias("like")).collect()
+    want = [edit(r.x, r.y) <= 0.15 * max(len(r.x), len(r.y)) + 1e-9 for r in got]
+    assert [r.like for r in got] == want and 20 < sum(want) < len(want) - 20
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_hot_lines(spark, monkeypatch, block):
+    """Many lines of one template, of which some are alike only through others, long ones and one over 2048 letters too."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(2, 9)))) for _ in range(400)]
+    rows = []
+    for k in range(40):
+        own = words[:60]
+        for at in rng.choice(60, int(rng.integers(0, 14)), replace=False):
+            own[at] = own[at][:3] if rng.random() < 0.5 else f"{own[at]} of"
+        rows.append((k, " ".join(own)))
+    long = [" ".join(words), " ".join(words[:200] + ["another"] + words[201:]), " ".join(["from"] + words[:399])]
+    rows += [(100 + k, "first of the lines here\n" + x) for k, x in enumerate(long)]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, links = brute_lines(rows)
+    assert got == want and len(links) > 50 and min(map(len, long)) > 2048
 
 
 def brute_vectors(rows, cosine=0.93):
