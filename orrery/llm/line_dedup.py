@@ -21,6 +21,8 @@ LONG_WORD = 4
 SIM_BITS, LANES = 63, (7, 21)
 #: Lines of a bucket that are compared in one block.
 BLOCK = 512
+#: Rounds in which a line is compared with PARTNERS others of its block.
+ROUNDS, PARTNERS = 2, 4
 #: Most bytes that are broadcast; larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -57,11 +59,12 @@ def _counts(hashes: Column, lane: int) -> Column:
 
 
 def _majority(counts: Column, n: Column, lane: int) -> Column:
+    """The bits that more than half of n hashes have: a bias carries such a count into the top bit of its lane."""
+    ones = F.lit(sum(1 << (lane * k) for k in range(SIM_BITS // lane)))
+    bias = (F.lit(2 ** (lane - 1) - 1) - F.floor(n / 2)).cast("long") * ones
     bits = F.lit(0).cast("long")
-    for at in range(SIM_BITS // lane):
-        for k in range(lane):
-            count = F.shiftrightunsigned(counts[f"s{k}"], lane * at).bitwiseAND(F.lit(2**lane - 1))
-            bits = bits.bitwiseOR(F.when(2 * count > n, F.lit(1 << (lane * at + k))).otherwise(F.lit(0)))
+    for k in range(lane):
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(counts[f"s{k}"] + bias, lane - 1).bitwiseAND(ones), k))
     return bits
 
 
@@ -74,7 +77,9 @@ def simhashed(lines: DataFrame) -> DataFrame:
     letters = F.split(F.replace(F.col("norm"), F.lit(" "), F.lit("")), "")
     grams = F.transform(F.slice(letters, 1, F.greatest(F.size(letters) - (GRAM - 1), F.lit(1))), lambda x, i: F.concat_ws("", x, *(F.get(letters, i + k) for k in range(1, GRAM))))
     out = lines.withColumn("_some", some)
-    features = F.when(2 * unspaced(F.col("norm")) >= F.length("norm"), grams).when(F.size("_some") >= MIN_WORDS, F.col("_some")).otherwise(every)
+    # Letters of UNSPACED scripts take three bytes, so lines of few such bytes needn't be searched for them.
+    few_blanks = (F.octet_length("norm") >= 2 * F.length("norm")) & (2 * unspaced(F.col("norm")) >= F.length("norm"))
+    features = F.when(few_blanks, grams).when(F.size("_some") >= MIN_WORDS, F.col("_some")).otherwise(every)
     out = out.withColumn("_h", F.transform(features, lambda w: F.xxhash64(w))).withColumn("_n", F.size("_h"))
     few = F.col("_n") < 2 ** LANES[0]
     for k, lane in enumerate(LANES):
@@ -192,7 +197,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     equal = (F.col("low") == F.col("high")) & (F.pmod("key", F.lit(len(blocks.kinds))) > 0)
     decided = ~equal & ((F.col("n") > 2) | blocks.owned(F.col("key"), F.col("low").bitwiseXOR(F.col("high"))))
     buckets = common.written(buckets.where((F.col("n") > 1) & decided).select("key", "n", "a", "b"), "buckets")
-    members = common.written(dealt_out.join(buckets.where("n > 2").select("key", "n"), "key"), "members")
+    hot = common.written(buckets.where("n > 2").select("key", "n"), "hot")  # a few rows beside the pairs
+    members = common.written(dealt_out.join(hot, "key"), "members")
     twos = buckets.where("n = 2").select("a", "b")
 
     def compare(of: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -200,22 +206,43 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         met = lambda x, y: (x["component"] != y["component"]) & blocks.owned(F.col("key"), x["sim"].bitwiseXOR(y["sim"]))
         earlier = lambda x: F.aggregate("m", F.lit(None).cast("long"), lambda b, y: F.coalesce(b, F.when((y["id"] < x["id"]) & met(x, y), y["id"])))
         held = rows.groupBy("key", "block").agg(F.collect_list("x").alias("m")).where(F.size("m") > 1)
-        close = held.select("key", "block", F.explode(F.filter("m", lambda x: F.exists("m", lambda y: met(x, y)))).alias("x"), "m")
-        near = common.written(close.select("key", "block", "x.*", earlier(F.col("x")).alias("b")), "near")
+        with_b = lambda x: F.struct(x["id"].alias("id"), x["sim"].alias("sim"), earlier(x).alias("b"))
+        close = F.transform(F.filter("m", lambda x: F.exists("m", lambda y: met(x, y))), with_b)
+        near = common.written(held.select("key", "block", F.explode(close).alias("x")).select("key", "block", "x.*"), "near")
         pairs = near.where("b is not null").select(F.col("id").alias("a"), "b")
         pairs = (pairs.unionByName(twos) if components is None else pairs).distinct()
         ids = near.select("id").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
         texts = texts_of(docs, known, ids)
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-        links = common.written(both.where(alike(F.col("x"), F.col("y"))).select("a", "b"), "links")
-        # What is close and in another group after that is decided inside the block.
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+            return both.where(alike(F.col("x"), F.col("y"))).select("a", "b")
+
+        def mixed(columns: list[str], of: DataFrame) -> DataFrame:
+            """The blocks of near lines that hold several components, each with its members in one array."""
+            rest = with_component(of, now)
+            keys = rest.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "block")
+            return rest.join(keys, ["key", "block"], "left_semi").groupBy("key", "block").agg(F.collect_list(F.struct("id", "sim", "component", *columns)).alias("m"))
+
+        links = common.written(verified(pairs), "links")
         now = common.written(common.connected_components(links.unionByName(_as_links(components)) if components is not None else links, "a", "b"), "now")
-        rest = with_component(near.select("key", "block", "id", "sim"), now)
-        mixed = rest.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "block")
-        told = rest.join(mixed, ["key", "block"], "left_semi").join(texts, "id").select("key", "block", F.struct("id", "sim", "component", "norm").alias("x"))
-        held = told.groupBy("key", "block").agg(F.collect_list("x").alias("m"))
+        # Rounds of the nearest partners of other components join most of what belongs together, before all pairs that are
+        # then still close and apart are decided inside their block.
+        near = near.select("key", "block", "id", "sim")
+        apart = lambda x, y: F.struct(F.bit_count(x["sim"].bitwiseXOR(y["sim"])).alias("d"), F.xxhash64(x["id"], y["id"]).alias("h"), y["id"].alias("b"))
+        nearest = lambda x: F.slice(F.sort_array(F.transform(F.filter("m", lambda y: met(x, y)), lambda y: apart(x, y))), 1, PARTNERS)
+        for _ in range(ROUNDS):
+            each = mixed([], near).select(F.explode(F.transform("m", lambda x: F.struct(x["id"].alias("a"), nearest(x)["b"].alias("b")))).alias("x")).select("x.a", F.explode("x.b").alias("b"))
+            some = common.written(verified(each.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "some")
+            if some.isEmpty():
+                break
+            both, before = common.written(links.unionByName(some), "links"), now
+            now = common.written(common.connected_components(some.unionByName(_as_links(now)), "a", "b"), "now")
+            common.discard(links, some, before)
+            links = both
         like = lambda x: F.transform(F.filter("m", lambda y: (y["id"] < x["id"]) & met(x, y) & alike(x["norm"], y["norm"])), lambda y: y["component"])
-        more = held.select(F.explode("m").alias("x"), "m", "key").select(F.col("x.id").alias("a"), F.explode(F.array_distinct(like(F.col("x")))).alias("b"))
+        held = mixed(["norm"], near.join(texts, "id"))
+        more = held.select(F.explode(F.transform("m", lambda x: F.struct(x["id"].alias("a"), F.array_distinct(like(x)).alias("b")))).alias("x")).select("x.a", F.explode("x.b").alias("b"))
         out = common.written(links.unionByName(more), "links")
         common.discard(near, texts, links, now)
         return out
@@ -229,7 +256,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     keys = common.written(some.join(kept, "group").select(*LINE, "keep"), "keys")
     at = F.struct("id", "body", "line")
     gone = common.written(seen.select("id", "body", "line", *LINE).join(keys, LINE).where(at != F.col("keep")).select("id", "body", "line"), "gone")
-    common.discard(seen, known, buckets, members, components, keys)
+    common.discard(seen, known, buckets, hot, members, components, keys)
     return gone
 
 
