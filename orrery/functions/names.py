@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def normalized(name: Column) -> Column:
-    """Lower case, without punctuation, white space collapsed."""
-    bare = F.regexp_replace(F.lower(name), r"[^\p{L}\p{M}\p{N}_\s]", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Lower case, without punctuation and combining marks, white space of any kind collapsed."""
+    bare = F.regexp_replace(F.lower(name), r"(?U)[^\p{L}\p{N}_\s]", "")
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
 def tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

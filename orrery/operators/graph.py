@@ -29,14 +29,17 @@ def neighbours(adj: DataFrame) -> DataFrame:
     return best.select("src", "dst", "s.*")
 
 
-def capped(adj: DataFrame, max_fanout: int | None) -> DataFrame:
-    """neighbours() with rank and degree, cut to the first max_fanout of each src in the order (dir, dst).
+def capped(adj: DataFrame, max_fanout: int | None, degree: bool = False) -> DataFrame:
+    """neighbours() with rank (and degree), cut to the first max_fanout of each src in the order (dir, dst).
 
     The cap depends on the node alone, not on what was visited, so it is applied once, before any search; it also bounds the
     rows that a supernode brings into each step."""
     by_src = Window.partitionBy("src")
-    out = neighbours(adj).withColumn("rank", F.row_number().over(by_src.orderBy("dir", "dst"))).withColumn("degree", F.count(F.lit(1)).over(by_src))
-    return out if max_fanout is None else out.where(F.col("rank") <= max_fanout)
+    best = neighbours(adj)
+    out = best.withColumn("rank", F.row_number().over(by_src.orderBy("dir", "dst")))
+    if max_fanout is not None:  # on the rank alone, so that each part of a supernode is cut before it is gathered
+        out = out.where(F.col("rank") <= max_fanout)
+    return out.join(best.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src") if degree else out
 
 
 def bfs(adj: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -21,30 +21,40 @@ def deterministic(incoming: DataFrame, alias_keys: DataFrame, open_cis: DataFram
     return hits.join(open_cis.select(F.col("id").alias("ci_id"), F.col("external_id").alias("canonical_external_id")), "ci_id").select("type", "external_id", "ci_id", "canonical_external_id", "matched_key")
 
 
-def _blocks() -> Column:
-    """What two items of a score of CANDIDATE_THRESHOLD or more have in common: a token of name, host or alias, or an address."""
-    spread = lambda v, tag: F.transform(v, lambda x: F.concat(F.lit(tag), x))
-    words = lambda v: F.flatten(F.transform(v, lambda x: names.tokens(names.normalized(x))))
-    hosts, own = F.coalesce("dns", F.array()), F.coalesce("aliases", F.array())
-    return F.array_distinct(
-        F.concat(spread(names.tokens(names.normalized(F.coalesce("name", F.lit("")))), "n:"), spread(words(hosts), "d:"), spread(hosts, "d:"), spread(F.coalesce("ips", F.array()), "i:"), spread(F.flatten(F.transform(own, names.tokens)), "a:"))
-    )
+def _met(own: DataFrame, threshold: float) -> DataFrame:
+    """(a_id, b_id, type): pairs of items that share what a score of `threshold` or more needs: a host name, an address, or of
+    name, hosts or aliases one of the n - ceil(n * threshold) + 1 rarest of n tokens, with numbers of tokens near
+    enough. What only common tokens bring together isn't met at all."""
+    words = lambda v, f: F.array_distinct(F.flatten(F.transform(v, f)))
+    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    split = lambda x: names.tokens(names.normalized(x))
+    bags = {"n": split(F.coalesce("name", F.lit(""))), "d": words(listed("dns"), split), "a": words(listed("aliases"), names.tokens)}
+    bag = F.explode(F.array(*(F.struct(F.lit(k).alias("tag"), v.alias("tokens")) for k, v in bags.items())))
+    each = own.select("id", "type", "sources", bag.alias("bag")).select("id", "type", "sources", "bag.tag", F.size("bag.tokens").alias("n"), F.explode("bag.tokens").alias("token"))
+    key = ["type", "tag", "token"]
+    known = each.groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("id", "type", "tag").orderBy("df", "token"))
+    rare = each.join(known, key).withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
+    tagged = lambda c, tag: F.transform(listed(c), lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("token")))
+    exact = F.explode(F.array_distinct(F.concat(tagged("dns", "h"), tagged("ips", "i"))))
+    whole = own.select("id", "type", "sources", exact.alias("e")).select("id", "type", "sources", "e.tag", F.lit(1).alias("n"), "e.token")
+    rows = rare.select("id", "type", "sources", "tag", "n", "token").unionByName(whole)
+    x, y = (rows.select(*key, *(F.col(c).alias(f"{s}_{c}") for c in ("id", "sources", "n"))) for s in "ab")
+    near = (F.col("a_id") < F.col("b_id")) & (F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n"))
+    only = (F.size(F.array_except("a_sources", "b_sources")) > 0) & (F.size(F.array_except("b_sources", "a_sources")) > 0)
+    return x.join(y, key).where(near & only).select("a_id", "b_id", "type").distinct()
 
 
 def scored_pairs(items: DataFrame, threshold: float = CANDIDATE_THRESHOLD) -> DataFrame:
     """(ci_id_a, ci_id_b, type, score, evidence) of likely duplicates among items (id, type, name, attributes, aliases,
-    sources): same type, id_a < id_b, each with a source that the other lacks, no alias in common, score of threshold or more.
-
-    Every signal that reaches the threshold needs a common token, value or address, so blocking on those loses nothing."""
+    sources): same type, id_a < id_b, each with a source that the other lacks, no alias in common, score of threshold or more,
+    which must be more than 0."""
     own = items.withColumn("dns", names.json_values(F.col("attributes"), DNS_KEYS)).withColumn("ips", names.json_values(F.col("attributes"), IP_KEYS))
     cols = ["id", "name", "dns", "ips", "aliases", "sources"]
-    block = own.select("id", "type", F.explode(_blocks()).alias("block"))
-    ids = block.alias("x").join(block.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.type") == F.col("y.type")) & (F.col("x.id") < F.col("y.id")))
-    ids = ids.select(F.col("x.id").alias("a_id"), F.col("y.id").alias("b_id"), F.col("x.type").alias("type")).distinct()
+    ids = _met(own, threshold)
     pairs = ids.join(own.select(*(F.col(c).alias(f"a_{c}") for c in cols)), "a_id").join(own.select(*(F.col(c).alias(f"b_{c}") for c in cols)), "b_id")
-    only = lambda a, b: F.size(F.array_except(f"{a}_sources", f"{b}_sources")) > 0
     aliases = lambda s: F.coalesce(f"{s}_aliases", F.array().cast("array<string>"))
-    pairs = pairs.where(only("a", "b") & only("b", "a") & ~F.arrays_overlap(aliases("a"), aliases("b")))
+    pairs = pairs.where(~F.arrays_overlap(aliases("a"), aliases("b")))
     words = lambda s: F.array_distinct(F.flatten(F.transform(aliases(s), names.tokens)))
     alias = F.when((F.size(aliases("a")) < 1) | (F.size(aliases("b")) < 1), 0.0).otherwise(F.least(names.jaccard(words("a"), words("b")), F.lit(ALIAS_CAP)))
     scores = {

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.confidence import canonical_id
@@ -78,9 +80,10 @@ def apply_findings(findings: DataFrame, desired: DataFrame, rule: tuple[str, str
 
 def latest_runs(runs: DataFrame, now: Column, stale_seconds: int = STALE_SECONDS) -> DataFrame:
     """The latest run of each source, its age in seconds since it finished, and whether it is stale (or never finished)."""
-    last = F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("started_at"), "run_id"))
+    newest = F.struct(F.col("started_at").isNull().alias("no_start"), (-F.unix_micros(F.col("started_at").cast("timestamp"))).alias("back"), F.col("run_id").alias("run_id"))
+    best = runs.groupBy("source").agg(F.min_by(F.struct(*runs.columns), newest).alias("r")).select("r.*")
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("finished_at").cast("timestamp"))) / 1e6
-    out = runs.withColumn("_n", last).where("_n = 1").drop("_n").withColumn("age_seconds", age)
+    out = best.withColumn("age_seconds", age)
     return out.withColumn("stale", F.coalesce(F.col("age_seconds") > stale_seconds, F.lit(True)))
 
 
@@ -107,7 +110,7 @@ def payloads(findings: DataFrame, kind: str) -> DataFrame:
     return findings.select("id", body.alias("payload"))
 
 
-def dispatch(payload_rows: DataFrame, send, attempts: int = 3, sleep=lambda s: None):
+def dispatch(payload_rows: DataFrame, send, attempts: int = 3, sleep=time.sleep):
     """(id, attempt, status) of each delivery, sent by the executors with send(payload) -> bool: up to `attempts` tries, 1, 2, ...
     seconds apart, then a row `dead_letter`. A lost task sends again: receivers must accept repeats."""
 

@@ -68,7 +68,7 @@ def g_neighbors(spark, sf_dir):
 @query(sql.with_(sql.CI, sql.EDGE, sql.adjacency("impact", 0.0, 20)) + "SELECT src, dst, dir, type, CAST(rank AS INTEGER) AS rank, degree FROM adj")
 def g_fanout_cap(spark, sf_dir):
     cis, edges = _graph(spark, sf_dir)
-    return graph.capped(graph.adjacency(edges, "impact", 0.0, cis), 20).select("src", "dst", "dir", "type", "rank", "degree")
+    return graph.capped(graph.adjacency(edges, "impact", 0.0, cis), 20, degree=True).select("src", "dst", "dir", "type", "rank", "degree")
 
 
 @query(sql.with_(sql.CI, sql.EDGE, sql.adjacency("reach")) + "SELECT src, dst, type FROM one")

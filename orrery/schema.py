@@ -4,8 +4,8 @@ from __future__ import annotations
 
 # Node, edge and source types, traversal directions, curve and rule constants.
 CI_TYPES = (
-    "account", "region", "vpc", "subnet", "security_group", "ec2_instance", "load_balancer", "elb", "dns_record", "rds", "eks_cluster", "iam_role",
-    "iam_user", "s3_bucket", "internet", "k8s_cluster", "k8s_node", "k8s_namespace", "k8s_deployment", "k8s_service", "k8s_pod", "azure_subscription",
+    "cloud_account", "region", "vpc", "subnet", "security_group", "ec2_instance", "elb", "dns_name", "rds", "eks_cluster", "iam_role",
+    "iam_user", "s3_bucket", "internet", "k8s_cluster", "k8s_node", "k8s_namespace", "k8s_workload", "k8s_service", "k8s_pod", "azure_subscription",
     "azure_resource_group", "azure_vnet", "azure_subnet", "azure_nsg", "azure_vm", "gcp_project", "gcp_network", "gcp_subnetwork", "gcp_firewall",
     "gcp_instance", "db_instance", "db_database", "db_schema", "db_table", "saas_app", "saas_account", "saas_resource",
 )

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SOURCE = "k8s"
+SOURCE = "kubernetes"
 META = "metadata struct<uid:string,name:string,namespace:string,labels:map<string,string>,creationTimestamp:string,ownerReferences:array<struct<kind:string,uid:string>>>"
 NODES, NAMESPACES = META, META
 DEPLOYMENTS = f"{META}, spec struct<replicas:int,selector:struct<matchLabels:map<string,string>>>"
 SERVICES = f"{META}, spec struct<type:string,selector:map<string,string>>"
 PODS = f"{META}, spec struct<nodeName:string>, status struct<phase:string>"
 WATCH = f"type string, object struct<kind:string,{META.replace('metadata ', 'metadata:', 1)},spec:struct<nodeName:string,replicas:int,type:string>,status:struct<phase:string>>"
-KINDS = {"Node": "k8s_node", "Namespace": "k8s_namespace", "Deployment": "k8s_deployment", "Service": "k8s_service", "Pod": "k8s_pod"}
+KINDS = {"Node": "k8s_node", "Namespace": "k8s_namespace", "Deployment": "k8s_workload", "Service": "k8s_service", "Pod": "k8s_pod"}
 
 
 def selects(selector: Column, labels: Column) -> Column:
@@ -38,7 +38,7 @@ def inventory(cluster: str, nodes: DataFrame, namespaces: DataFrame, deployments
         common.item(top, "k8s_cluster", F.lit(cluster), F.lit(cluster)),
         common.item(nodes, "k8s_node", uid, name),
         common.item(namespaces, "k8s_namespace", uid, name),
-        common.item(deployments, "k8s_deployment", uid, name, namespace=space, replicas=c("spec.replicas")),
+        common.item(deployments, "k8s_workload", uid, name, namespace=space, replicas=c("spec.replicas")),
         common.item(services, "k8s_service", uid, name, namespace=space, service_type=c("spec.type")),
         common.item(pods, "k8s_pod", uid, name, namespace=space, phase=c("status.phase")),
     )
@@ -52,9 +52,9 @@ def inventory(cluster: str, nodes: DataFrame, namespaces: DataFrame, deployments
     edges = common.union(
         e(nodes, "CONTAINS", ("k8s_cluster", F.lit(cluster)), ("k8s_node", uid), SOURCE, now),
         e(namespaces, "CONTAINS", ("k8s_cluster", F.lit(cluster)), ("k8s_namespace", uid), SOURCE, now),
-        *(e(inside(df), "CONTAINS", ("k8s_namespace", c("_space_uid")), (t, uid), SOURCE, now) for df, t in ((deployments, "k8s_deployment"), (services, "k8s_service"), (pods, "k8s_pod"))),
+        *(e(inside(df), "CONTAINS", ("k8s_namespace", c("_space_uid")), (t, uid), SOURCE, now) for df, t in ((deployments, "k8s_workload"), (services, "k8s_service"), (pods, "k8s_pod"))),
         e(hosts, "RUNS_ON", ("k8s_pod", uid), ("k8s_node", c("_node_uid")), SOURCE, now),
-        e(owned.unionByName(by_ref), "MEMBER_OF", ("k8s_pod", c("pod")), ("k8s_deployment", c("owner")), SOURCE, now),
+        e(owned.unionByName(by_ref), "MEMBER_OF", ("k8s_pod", c("pod")), ("k8s_workload", c("owner")), SOURCE, now),
         e(routed, "ROUTES_TO", ("k8s_service", c("owner")), ("k8s_pod", c("pod")), SOURCE, now),
         e(routed, "EXPOSES", ("k8s_service", c("owner")), ("k8s_pod", c("pod")), SOURCE, now),
     )
@@ -72,7 +72,7 @@ def watch(events: DataFrame, now: Column) -> dict[str, DataFrame]:
     c = F.col
     items = common.union(*(common.item(live.where(c("t") == t), t, c("uid"), c("w.object.metadata.name"), None, namespace=c("space"), phase=c("w.object.status.phase")) for t in KINDS.values()))
     edges = common.union(
-        *(common.edge(live.where(c("t") == t), "CONTAINS", ("k8s_namespace", c("space")), (t, c("uid")), "k8s-watch", now) for t in ("k8s_deployment", "k8s_service", "k8s_pod")),
-        common.edge(live.where("t = 'k8s_pod'"), "RUNS_ON", ("k8s_pod", c("uid")), ("k8s_node", c("node")), "k8s-watch", now),
+        *(common.edge(live.where(c("t") == t), "CONTAINS", ("k8s_namespace", c("space")), (t, c("uid")), "k8s-events", now) for t in ("k8s_workload", "k8s_service", "k8s_pod")),
+        common.edge(live.where("t = 'k8s_pod'"), "RUNS_ON", ("k8s_pod", c("uid")), ("k8s_node", c("node")), "k8s-events", now),
     )
     return {"cis": items, "edges": edges, "removed_cis": read.where("reason is null and w.type = 'DELETED'").select(c("t").alias("type"), c("uid").alias("external_id")), "rejected": read.where("reason is not null").select("value", "reason")}
