@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Times the size of a block from which a bucket that still holds several components is dealt to finer buckets, which takes
+#: more rows than comparing its parts with each other where these are few.
+SPLIT_FROM = 16
+
 
 def sized(members: DataFrame) -> DataFrame:
     """members (key, id) of buckets of two ids and more, with the bucket's count n."""
@@ -46,25 +50,26 @@ def linked_components(
     members has (key, id, n) with the count of its bucket's members, two or more; with the columns beside them, which
     go along. compare(blocks, components) gets (key, block, id) and gives links (a, b) that decide each
     pair of a block: two ids of a block that pass are linked, or joined through others. Buckets of more than `limit`
-    members that then hold several components go on: `split`, if there is one, deals their members (key, id) to finer
-    buckets in which all pairs that could pass still meet. What is then still larger and mixed is compared part by
-    part, each part with each, which is exact for any bucket. Null ids are not among the members."""
+    members that then hold several components go on: `split`, if there is one, deals the members (key, id) of those of more
+    than SPLIT_FROM * limit to finer buckets in which all pairs that could pass still meet. What is then still larger and mixed is
+    compared part by part, each part with each, which is exact for any bucket. Null ids are not among the members."""
     links = compare(dealt(members, limit), None)
     components = common.written(common.connected_components(links, "a", "b"), "components")
     common.discard(links)
     large = _mixed(members.where(F.col("n") > limit), components)
-    for deal in ([dealt] if split else []) + [crossed]:
-        if large.isEmpty():
-            break
-        rows = common.written(sized(split(large)), "finer") if deal is dealt else large
-        links = compare(deal(rows, limit), components)
-        new = joined(components, links)
-        if deal is dealt:
-            common.discard(large)
-            large = _mixed(rows.where(F.col("n") > limit), new)
-            common.discard(rows)
-        common.discard(links, *([components] if new is not components else []))
-        components = new
+    huge = large.where(F.col("n") > SPLIT_FROM * limit)
+    if split is not None and not huge.isEmpty():
+        finer = common.written(sized(split(huge)), "finer")
+        links = compare(dealt(finer, limit), components)
+        components, before = joined(components, links), components
+        common.discard(links, *([before] if before is not components else []))
+        left = _mixed(finer.where(F.col("n") > limit), components).unionByName(large.where(F.col("n") <= SPLIT_FROM * limit).select("key", "id", "n"))
+        common.discard(finer)
+        large = left
+    if not large.isEmpty():
+        links = compare(crossed(large, limit), components)
+        components, before = joined(components, links), components
+        common.discard(links, *([before] if before is not components else []))
     return components
 
 

@@ -105,6 +105,7 @@ def test_signature_estimate_is_close(spark):
 def test_hot_near_duplicates(spark, monkeypatch, block):
     """Copies of one text with words replaced, some of them like few others only, and unlike texts that share a passage."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(linking, "SPLIT_FROM", 3)
     rng = np.random.default_rng(7)
     words, passage = [f"w{k}" for k in range(150)], [f"p{k}" for k in range(60)]
     rows = []
