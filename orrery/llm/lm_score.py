@@ -1,131 +1,118 @@
 """Language-model scores from a hierarchical Pitman-Yor model of words.
 
-The restaurant of a context is chosen by the last two bytes of the word before: FINE restaurants, whose parents are
-the COARSE restaurants of the last byte alone, whose parent is one restaurant of all words, over a uniform
-distribution of the V words learned and one for any other. The customers of a parent are the tables of its children. Seating is
-sampled by blocked Gibbs sweeps, in which each word draws its numbers of tables in every restaurant given its
-customers there and the parent's prediction; predictive probabilities are averaged over sweeps.
-
-A word's counts in all restaurants are one row, so a sweep is one pass over the rows without a shuffle; only the
-restaurants' totals, FINE + COARSE + 1 of them, meet between sweeps.
+Each word, and the begin of a text, is a context with a restaurant of its own; all share one parent, the restaurant of
+words without a context, over a uniform distribution of the V words learned and one for any other. The customers of
+the parent are the tables of its children. Seating is sampled by blocked Gibbs sweeps, in which each dish of a restaurant draws its
+number of tables given its customers and the parent's prediction; predictive probabilities are averaged over sweeps.
+
+The model is two tables: cells, of a context, a word and its customers and tables there, and the vocabulary. A sweep joins a
+context's weight and a word's prediction to the cells, draws, and sums tables by context and by word. A dish of one customer has
+one table in every sweep, so only cells of two customers or more are kept; the others are numbers in the vocabulary, and
+are met again among the pairs of the texts that are scored.
 """
 
 from __future__ import annotations
 
 import functools
-import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .words import BYTE_VALUES, NOT_SPACE, Words, encoded, mix, slices
+from .words import NOT_SPACE, Words, encoded, mix, slices
 
-#: Restaurants of the last two bytes and of the last byte of the word before.
-COARSE, SUB = 8, 8
-FINE = COARSE * SUB
-#: Discount and strength of the root, the coarse and the fine restaurants.
-DISCOUNT, STRENGTH = (0.6, 0.75, 0.85), (20.0, 20.0, 20.0)
+#: Discount and strength of the root and of the restaurants of contexts.
+DISCOUNT, STRENGTH = (0.6, 0.75), (20.0, 2.0)
 #: Sweeps that are not averaged, and those that are.
-BURN_IN, SAMPLES = 1, 2
-#: Most words whose scores are broadcast: those of a share of the training tokens of 1 / FREQUENT or more, of which there
-#: are FREQUENT at most. Others are joined.
-FREQUENT = 1 << 18
+BURN_IN, SAMPLES = 2, 3
+#: Most words and most pairs of words that are broadcast for scoring: those of a share of the training tokens of 1 / FREQUENT and
+#: 1 / FREQUENT_PAIRS or more, of which there can't be more. Others are joined.
+FREQUENT, FREQUENT_PAIRS = 1 << 18, 1 << 20
 #: Customers of a dish up to which its tables are drawn from their exact distribution; beyond, from a normal one.
 EXACT = 256
-#: Different pairs of word and restaurant that a task holds before it passes their counts on, and the words of a step.
-HELD, STEP = 2_000_000, 20_000
+#: Different keys that a task holds before it passes their counts on.
+HELD = 1_000_000
 
-#: The end of a text as a token. No hash of a word is known to equal it; it is one value of 2**64.
+#: The begin of a text as a context and the end as a token. No hash of a word is known to equal it; it is one value of 2**64.
 END = np.uint64(0x456E64206F662074)
 
-_CLASS = mix(BYTE_VALUES.copy())
-_LAST, _BEFORE = (_CLASS % np.uint64(COARSE)).astype(np.int64) * SUB, (_CLASS >> np.uint64(32)).astype(np.int64) % SUB
-
 
 class Tokens:
-    """The tokens of texts, words and ends: `hash`, `fine` (restaurant) and `doc` of each, in no particular order."""
+    """The tokens of texts, words and ends, in order: `hash`, `context` (that of the token before) and `doc` of each."""
 
     def __init__(self, texts: list[bytes]):
         w = Words(texts, NOT_SPACE)
-        n = len(w.hash)
-        # of each word, the restaurant of the token after it
-        last = w.ends - 1
-        after = _LAST[w.buf[last]] + np.where(last > w.starts, _BEFORE[w.buf[last - 1]], _BEFORE[0]) if n else np.zeros(0, np.int64)
-        first = _LAST[0] + _BEFORE[0]
-        fine = np.concatenate([[first], after[:-1]]) if n else np.zeros(0, np.int64)
-        fine[w.first[:-1][np.diff(w.first) > 0]] = first
-        ends = np.full(len(texts), first)
-        some = np.diff(w.first) > 0
-        ends[some] = after[w.first[1:][some] - 1]
-        self.hash = np.concatenate([w.hash, np.full(len(texts), END)])
-        self.fine = np.concatenate([fine, ends])
-        self.doc = np.concatenate([w.doc, np.arange(len(texts))])
-
+        self.hash = np.insert(w.hash, w.first[1:], END)
+        self.context = np.concatenate([[END], self.hash[:-1]]) if len(texts) else self.hash
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(w.first) + 1)
 
-def _batch(columns: dict, types) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v if isinstance(v, np.ndarray) else list(v), t) for v, t in zip(columns.values(), types)], names=list(columns))
 
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context.view(np.uint64)) + word.view(np.uint64)).view(np.int64)
 
-def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
+def _summed(keys: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Sorted different keys (by the last one first) and the sums of their values."""
+    order = np.lexsort(keys)
+    keys, values = [k[order] for k in keys], [v[order] for v in values]
+    if not len(order):
+        return (*keys, *values)
+    new = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    return (*(k[new] for k in keys), *(np.add.reduceat(v, new) for v in values))
 
-def _merged(key: np.ndarray, fine: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted different (key, fine) and the sums of n."""
-    order = np.lexsort((fine, key))
-    key, fine, n = key[order], fine[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fine[1:] != fine[:-1])])) if len(key) else np.zeros(0, np.int64)
-    return key[new], fine[new], np.add.reduceat(n, new) if len(new) else n
 
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
-def _rows(key: np.ndarray, fine: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """One row for each key of sorted (key, fine, n): cells of n * 256 + fine."""
-    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([new, [len(key)]]))
-    return pa.RecordBatch.from_arrays([pa.array(key[new], pa.int64()), _lists(n * 256 + fine, sizes)], names=["key", "cells"])
 
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(key, cells): of each different token of (text, learn) how often it stands in each restaurant in the texts to learn
-    from, as n * 256 + fine; restaurants in which only other texts have it are among the cells with 0."""
+def pairs(docs: DataFrame) -> DataFrame:
+    """Of the texts to learn from (text): (context, word, n) for each pair that occurs n times, twice or more; and
+    with a null context, (word, n, x, y) that add up to the number n of its occurrences, and how many pairs that
+    occur once have it as word (x) and as context (y)."""
 
     def count(batches):
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            texts, learn = encoded(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = encoded(batch.column(0))
             for a, b in slices(texts):
                 t = Tokens(texts[a:b])
-                held.append(_merged(t.hash.view(np.int64), t.fine, learn[a:b][t.doc].astype(np.int64)))
+                held.append(_summed((t.context.view(np.int64), t.hash.view(np.int64)), (np.ones(len(t.hash), np.int64),)))
                 size += len(held[-1][0])
                 if size > HELD:
-                    held = [_merged(*map(np.concatenate, zip(*held)))]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield _rows(*held[0])
-                        held, size = [], 0
+                    c, w, n = map(np.concatenate, zip(*held))
+                    yield _batch(**dict(zip(("context", "word", "n"), _summed((c, w), (n,)))))
+                    held, size = [], 0
         if held:
-            yield _rows(*_merged(*map(np.concatenate, zip(*held))))
+            c, w, n = map(np.concatenate, zip(*held))
+            yield _batch(**dict(zip(("context", "word", "n"), _summed((c, w), (n,)))))
+
+    def split(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def words():
+            word, n, x, y = _summed((np.concatenate([h[0] for h in held]),), tuple(np.concatenate([h[k] for h in held]) for k in (1, 2, 3)))
+            return _batch(context=pa.nulls(len(word), pa.int64()), word=word, n=n, x=x, y=y)
 
-    def merge(batches):
-        rest = (np.zeros(0, np.int64),) * 3
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy()
-            cells = batch.column(1).flatten().to_numpy()
-            now = (np.repeat(batch.column(0).to_numpy(), sizes), cells & 255, cells >> 8)
-            key, fine, n = _merged(*(np.concatenate(x) for x in zip(rest, now)))
-            if not len(key):
-                continue
-            cut = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
-            yield _rows(key[:cut], fine[:cut], n[:cut])
-            rest = key[cut:], fine[cut:], n[cut:]
-        yield _rows(*rest)
+            c, w, n = (batch.column(k).to_numpy() for k in range(3))
+            more, zero = n > 1, np.zeros(len(n), np.int64)
+            yield _batch(context=c[more], word=w[more], n=n[more], x=zero[more], y=zero[more])
+            once = (~more).astype(np.int64)
+            held.append(_summed((np.concatenate([w, c[~more]]),), (np.concatenate([n, zero[~more]]), np.concatenate([once, zero[~more]]), np.concatenate([zero, once[~more]]))))
+            size += len(held[-1][0])
+            if size > HELD:
+                yield words()
+                held, size = [], 0
+        if held:
+            yield words()
 
-    counted = docs.select("text", "learn").mapInArrow(count, "key long, cells array<long>")
-    return counted.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "key long, cells array<long>")
+    counted = docs.select("text").mapInArrow(count, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(split, "context long, word long, n long, x long, y long")
 
 
 @functools.cache
@@ -180,218 +167,176 @@ def drawn_tables(c: np.ndarray, a: np.ndarray, keys: np.ndarray, salt: int, disc
     return t
 
 
-STATE = "key long, cells array<long>, tables array<long>, coarse array<long>, root long, sums array<double>"
-
-
-class _Seats:
-    """Rows of STATE as arrays: cells (c, fine, t and row `of` each), and by row tables in the coarse restaurants and the root."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        sizes = batch.column(1).value_lengths().to_numpy()
-        cells = batch.column(1).flatten().to_numpy()
-        self.key, self.sizes = batch.column(0).to_numpy(), sizes
-        self.of = np.repeat(np.arange(len(sizes)), sizes)
-        self.c, self.fine = cells >> 8, cells & 255
-        self.t = batch.column(2).flatten().to_numpy()
-        self.coarse = batch.column(3).flatten().to_numpy().reshape(-1, COARSE)
-        self.root = batch.column(4).to_numpy()
-        self.sums = batch.column(5).flatten().to_numpy()
-
-    def customers(self) -> np.ndarray:
-        """Customers of each row in the coarse restaurants: the tables in the fine ones."""
-        flat = np.bincount(self.of * COARSE + self.fine // SUB, self.t, len(self.key) * COARSE)
-        return flat.astype(np.int64).reshape(-1, COARSE)
-
-    def predicted(self, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of each row's word in the root, in the coarse restaurants and in those of its cells."""
-        x, d, s = self.customers(), DISCOUNT, STRENGTH
-        root = (x_root(self.coarse) - d[0] * self.root + totals.weight(0)[0] * totals.base) / (s[0] + totals.customers[0])
-        coarse = (x - d[1] * self.coarse + totals.weight(1) * root[:, None]) / (s[1] + totals.customers[1])
-        fine = (self.c - d[2] * self.t + totals.weight(2)[self.fine] * coarse[self.of, self.fine // SUB]) / (s[2] + totals.customers[2][self.fine])
-        return root, coarse, fine
-
-    def sweep(self, totals: Totals, salt: int) -> None:
-        """Draws tables anew, from the fine restaurants to the root."""
-        root, coarse, _ = self.predicted(totals)
-        a = totals.weight(2)[self.fine] * coarse[self.of, self.fine // SUB]
-        self.t = drawn_tables(self.c, a, self.key[self.of] * 256 + self.fine, salt, DISCOUNT[2])
-        x = self.customers()
-        keys = (self.key[:, None] * 256 + 128 + np.arange(COARSE)).ravel()
-        self.coarse = drawn_tables(x.ravel(), (totals.weight(1) * root[:, None]).ravel(), keys, salt, DISCOUNT[1]).reshape(x.shape)
-        n = x_root(self.coarse)
-        self.root = drawn_tables(n, np.full(len(n), totals.weight(0)[0] * totals.base), self.key, salt, DISCOUNT[0])
-
-    def batch(self) -> pa.RecordBatch:
-        n = len(self.key)
-        sums = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.sizes)]), pa.int32()), pa.array(self.sums, pa.float64()))
-        columns = [pa.array(self.key), _lists(self.c * 256 + self.fine, self.sizes), _lists(self.t, self.sizes), _lists(self.coarse.ravel(), np.full(n, COARSE)), pa.array(self.root, pa.int64()), sums]
-        return pa.RecordBatch.from_arrays(columns, names=["key", "cells", "tables", "coarse", "root", "sums"])
-
-
-def x_root(coarse: np.ndarray) -> np.ndarray:
-    """Customers of the root: the tables in the coarse restaurants."""
-    return coarse.sum(1)
-
-
-class Totals:
-    """Customers and tables of the restaurants: of the root, the coarse and the fine ones; and the root's base."""
-
-    def __init__(self, customers: np.ndarray, fine: np.ndarray, coarse: np.ndarray, root: int, words: int):
-        self.tables = (np.array([root]), coarse, fine)
-        self.customers = (coarse.sum(), fine.reshape(COARSE, SUB).sum(1), customers)
-        self.base = 1 / (words + 1)
-
-    def weight(self, level: int) -> np.ndarray:
-        """Weight of a new table, before the parent's prediction."""
-        return STRENGTH[level] + DISCOUNT[level] * self.tables[level]
-
-    def unknown(self) -> np.ndarray:
-        """Probability in each fine restaurant of a word that wasn't learned."""
-        p = self.weight(0)[0] * self.base / (STRENGTH[0] + self.customers[0])
-        p = self.weight(1) * p / (STRENGTH[1] + self.customers[1])
-        return self.weight(2) * np.repeat(p, SUB) / (STRENGTH[2] + self.customers[2])
-
-
-def _steps(batches):
-    for batch in batches:
-        for k in range(0, batch.num_rows, STEP):
-            yield batch.slice(k, STEP)
-
-
-def _totals(state: DataFrame, words: int) -> Totals:
-    def add(batches):
-        out = np.zeros(2 * FINE + COARSE + 1, np.int64)
-        for batch in _steps(batches):
-            s = _Seats(batch)
-            out += np.concatenate([np.bincount(s.fine, s.c, FINE), np.bincount(s.fine, s.t, FINE), s.coarse.sum(0), [s.root.sum()]]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int32()), pa.array(out)], names=["k", "n"])
-
-    n = np.zeros(2 * FINE + COARSE + 1, np.int64)
-    for r in state.mapInArrow(add, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        n[r.k] = r.n
-    return Totals(n[:FINE], n[FINE : 2 * FINE], n[2 * FINE : -1], int(n[-1]), words)
-
-
-def fit(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
-    """The model of documents (text, learn): rows (key, c, fine, logp) of each learned token, with base-10 logarithms of
-    averaged predictive probabilities in the restaurants in which any text has it; those of a token that wasn't learned,
-    by restaurant; the number N of training tokens; and V of different ones."""
-
-    def first(batches):
-        for batch in _steps(batches):
-            sizes = batch.column(1).value_lengths().to_numpy()
-            cells = batch.column(1).flatten().to_numpy()
-            zero = np.zeros(len(sizes), np.int64)
-            some = np.minimum(cells >> 8, 1)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            coarse = np.minimum(np.bincount(of * COARSE + (cells & 255) // SUB, some, len(sizes) * COARSE), 1).astype(np.int64)
-            columns = [batch.column(0), batch.column(1), _lists(some, sizes), _lists(coarse, zero + COARSE), pa.array(np.minimum(coarse.reshape(-1, COARSE).sum(1), 1))]
-            sums = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.zeros(len(cells))))
-            yield pa.RecordBatch.from_arrays([*columns, sums], names=["key", "cells", "tables", "coarse", "root", "sums"])
-
-    learned = F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x, 8)) > 0
-    state = common.written(token_counts(docs).where(learned).mapInArrow(first, STATE), "seats")
-    words = state.count()
-    totals = _totals(state, words)
-    n = int(totals.customers[2].sum())
-    unknown = np.zeros(FINE)
-    for s in range(BURN_IN + SAMPLES):
-        now = _swept(state, totals, s + 1)
-        after = _totals(now, words)
-        common.discard(state)
-        state, totals = now, after
-        if s >= BURN_IN:
-            unknown += totals.unknown() / SAMPLES
-            now = _averaged(state, totals)
-            common.discard(state)
-            state = now
-    logp = F.transform("sums", lambda x: F.log10(x / SAMPLES))
-    rows = state.select("key", F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x, 8)).alias("c"), F.transform("cells", lambda x: x.bitwiseAND(F.lit(255)).cast("int")).alias("fine"), logp.alias("logp"))
-    return rows, np.log10(np.maximum(unknown, 1e-300)), n, words
-
-
-def _swept(state: DataFrame, totals: Totals, salt: int) -> DataFrame:
-    def step(batches):
-        for batch in _steps(batches):
-            s = _Seats(batch)
-            s.sweep(totals, salt)
-            yield s.batch()
-
-    return common.written(state.mapInArrow(step, STATE), "seats")
-
-
-def _averaged(state: DataFrame, totals: Totals) -> DataFrame:
-    def step(batches):
-        for batch in _steps(batches):
-            s = _Seats(batch)
-            s.sums = s.sums + s.predicted(totals)[2]
-            yield s.batch()
-
-    return common.written(state.mapInArrow(step, STATE), "seats")
-
-
-TOKENS = "_doc long, key long, fine int, n long, tokens long, known long, based double, scored double"
-_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-
-
-def score(docs: DataFrame, model: DataFrame, unknown: np.ndarray, total: int, distinct: int, frequent: int = FREQUENT) -> DataFrame:
-    """(_doc, n_tokens, n_known, base_score, score) for each different document key _doc of (text, _doc).
-
-    Frequent tokens are looked up in a broadcast table; the others of each document go through a join by token.
+CELLS = "context long, word long, n long, t long, sum long"
+WORDS = "word long, n long, x long, y long, t long"
+
+
+class Model(NamedTuple):
+    """words: (word, n, inverse, weights, predictions) of each learned token: its occurrences; as a context, 1 / (strength +
+    customers), and of each sample the weight of a new table times that; its probability in the root of each sample.
+    cells: (key, n, r) of each pair that occurs twice or more: its customers less the discounts of its tables, averaged.
+    unknown: of each sample, the root's probability of a word that wasn't learned. total: training tokens; distinct: different ones."""
+
+    words: DataFrame
+    cells: DataFrame
+    unknown: list[float]
+    total: int
+    distinct: int
+
+
+def _drawn(cells: DataFrame, words: DataFrame, root: tuple[float, float], salt: int, sampled: bool) -> DataFrame:
+    """cells with tables drawn anew, given the words' state; root is what a word's customers are divided by, and what every word gets."""
+
+    def draw(batches):
+        for batch in batches:
+            c, w, n, s, a = (batch.column(k).to_numpy() for k in range(5))
+            t = drawn_tables(n, a, pair_key(c, w), salt, DISCOUNT[1])
+            yield _batch(context=c, word=w, n=n, t=t, sum=s + t if sampled else s)
+
+    by_context = words.select(F.col("word").alias("context"), (F.lit(STRENGTH[1]) + DISCOUNT[1] * F.col("y")).alias("a"))
+    by_word = words.select("word", ((F.col("x") - DISCOUNT[0] * F.col("t") + F.lit(root[1])) / root[0]).alias("p"))
+    joined = cells.drop("t").join(by_context, "context").join(by_word, "word")
+    return common.written(joined.select("context", "word", "n", "sum", (F.col("a") * F.col("p")).alias("a")).mapInArrow(draw, CELLS), "cells")
+
+
+def _seated(single: DataFrame, cells: DataFrame, weight: float, salt: int) -> tuple[DataFrame, int, int]:
+    """WORDS: x customers of each word in the root, drawn to t tables there, and y tables in its own restaurant; and the
+    sums of x and t. `weight` is that of a new table of the root for each word."""
+
+    def draw(batches):
+        for batch in batches:
+            w, n, x, y = (batch.column(k).to_numpy() for k in range(4))
+            yield _batch(word=w, n=n, x=x, y=y, t=drawn_tables(x, np.full(len(x), weight), w, salt, DISCOUNT[0]))
+
+    zero = F.lit(0).cast("long")
+    dishes = cells.select("word", zero.alias("n"), F.col("t").alias("x"), zero.alias("y"))
+    restaurants = cells.select(F.col("context").alias("word"), zero.alias("n"), zero.alias("x"), F.col("t").alias("y"))
+    summed = single.unionAll(dishes).unionAll(restaurants).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y")))
+    words = common.written(summed.mapInArrow(draw, WORDS), "words")
+    x, t = words.agg(F.sum("x"), F.sum("t")).first()
+    return words, x or 0, t or 0
+
+
+def fit(docs: DataFrame) -> Model:
+    """The model of documents (text, learn)."""
+    counted = common.written(pairs(docs.where("learn")), "pairs")
+    single = common.written(counted.where("context is null").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y"))), "single")
+    cells = common.written(counted.where("context is not null").select("context", "word", "n", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum")), "cells")
+    common.discard(counted)
+    total, distinct = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    base = 1 / (distinct + 1)
+    words, x, t = _seated(single, cells, STRENGTH[0] * base, 0)
+    samples = []
+    for s in range(1, BURN_IN + SAMPLES + 1):
+        root = (STRENGTH[0] + x, (STRENGTH[0] + DISCOUNT[0] * t) * base)
+        now = _drawn(cells, words, root, 2 * s, s > BURN_IN)
+        after, x, t = _seated(single, now, root[1], 2 * s + 1)
+        common.discard(cells)
+        if s <= BURN_IN + 1:
+            common.discard(words)
+        cells, words = now, after
+        if s > BURN_IN:
+            samples.append((words, STRENGTH[0] + x, (STRENGTH[0] + DISCOUNT[0] * t) * base))
+    inverse = 1 / (F.lit(STRENGTH[1]) + F.col("n"))  # each occurrence of a word is a customer of its restaurant
+    each = [w.select("word", "n", F.lit(k).alias("k"), ((F.lit(STRENGTH[1]) + DISCOUNT[1] * F.col("y")) * inverse).alias("g"), ((F.col("x") - DISCOUNT[0] * F.col("t") + F.lit(r)) / F.lit(c)).alias("p")) for k, (w, c, r) in enumerate(samples)]
+    of = lambda c: F.array(*(F.sum(F.when(F.col("k") == k, F.col(c))) for k in range(SAMPLES)))
+    gathered = functools.reduce(DataFrame.unionAll, each).groupBy("word").agg(F.max("n").alias("n"), of("g").alias("weights"), of("p").alias("predictions"))
+    vocabulary = common.written(gathered.select("word", "n", inverse.alias("inverse"), "weights", "predictions"), "vocabulary")
+
+    def last(batches):
+        for batch in batches:
+            c, w, n, s = (batch.column(k).to_numpy() for k in range(4))
+            yield _batch(key=pair_key(c, w), n=n, r=n - DISCOUNT[1] * s / SAMPLES)
+
+    found = common.written(cells.select("context", "word", "n", "sum").mapInArrow(last, "key long, n long, r double"), "found")
+    common.discard(single, cells, *(w for w, _, _ in samples))
+    return Model(vocabulary, found, [r / c for _, c, r in samples], total, distinct)
+
+
+TOKENS = "_doc long, key long, learn boolean, n long, inverse double, back double, tokens long, known long, based double, scored double"
+RARE = "_doc long, key long, learn boolean, n long, context long, word long, frequent boolean"
+
+
+def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted keys hold the wanted ones, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
+    """(_doc, n_tokens, n_known, base_score, score) for each different document key _doc of (text, learn, _doc).
+
+    Frequent words and pairs are looked up in broadcast tables. Pairs of frequent words that aren't frequent themselves are joined
+    with the cells; those with a rare word are joined with the vocabulary first.
     """
-    floor = 0.1 * (distinct + 1) + total
-    least = max(1, -(-total // frequent))
-    table = model.where(F.col("c") >= least).toArrow().combine_chunks()  # `frequent` tokens at most
-    keys = table.column("key").to_numpy()
-    by_fine = np.full((len(keys), FINE), np.nan, np.float32)
-    if len(keys):
-        sizes = table.column("fine").combine_chunks().value_lengths().to_numpy()
-        by_fine[np.repeat(np.arange(len(keys)), sizes), table.column("fine").combine_chunks().flatten().to_numpy()] = table.column("logp").combine_chunks().flatten().to_numpy()
-    order = np.argsort(keys)
-    base = np.log10((table.column("c").to_numpy() + 0.1) / floor) if len(keys) else np.zeros(0)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], by_fine[order], base[order]))
-    lost = math.log10(0.1 / floor)
-
-    def tokens(batches):
-        keys, by_fine, base = shared.value
+    floor = 0.1 * (model.distinct + 1) + model.total
+    least, least_pair = max(1, -(-model.total // frequent)), max(2, -(-model.total // frequent_pairs))
+    some = model.words.where(F.col("n") >= least).orderBy("word").toArrow().combine_chunks()  # `frequent` at most
+    top = model.cells.where(F.col("n") >= least_pair).select("key", "r").orderBy("key").toArrow()  # `frequent_pairs` at most
+    listed = lambda c: some.column(c).combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+    based = np.log10((some.column("n").to_numpy() + 0.1) / floor)
+    tables = some.column("word").to_numpy(), some.column("inverse").to_numpy(), listed("weights"), listed("predictions"), based, top.column("key").to_numpy(), top.column("r").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    lost = float(np.log10(0.1 / floor))
+
+    def slices_of(batches):
         for batch in batches:
-            texts, docs_ = encoded(batch.column(0)), batch.column(1).to_numpy()
+            texts, learn, own = encoded(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2).to_numpy()
             for a, b in slices(texts):
-                t, n = Tokens(texts[a:b]), b - a
-                h = t.hash.view(np.int64)
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                count, seen = np.bincount(t.doc, minlength=n), np.bincount(t.doc[hit], minlength=n)
-                based = np.bincount(t.doc[hit], base[at[hit]], n)
-                scored = np.bincount(t.doc[hit], by_fine[at[hit], t.fine[hit]], n)
-                own, zero = docs_[a:b], np.zeros(n, np.int64)
-                yield _batch(dict(_doc=own, key=own, fine=zero - 1, n=zero, tokens=count, known=seen, based=based, scored=scored), _TYPES)
-                doc, key, fine = t.doc[~hit], h[~hit], t.fine[~hit]
-                code, place, k = _merged(key, doc * 256 + fine, np.ones(len(key), np.int64)) if len(key) else (key, key, key)
-                zero = np.zeros(len(code), np.int64)
-                yield _batch(dict(_doc=own[place >> 8], key=code, fine=place & 255, n=k, tokens=zero, known=zero, based=zero, scored=zero), _TYPES)
-
-    rows = docs.select("text", "_doc").mapInArrow(tokens, TOKENS)
-    rare = model.where(F.col("c") < least).withColumnRenamed("c", "_c").withColumnRenamed("fine", "_fine")
-    joined = rows.join(rare, "key", "left")
-    none = F.array(*(F.lit(float(x)) for x in unknown))
-    own = F.element_at("logp", F.array_position("_fine", F.col("fine")).cast("int"))
-    n, hit = F.col("n"), F.col("_c").isNotNull()
-    logp = F.when(n == 0, 0.0).when(hit, own).otherwise(F.get(none, F.greatest("fine", F.lit(0))))
-    based = F.when(n == 0, 0.0).when(hit, F.log10((F.col("_c") + 0.1) / floor)).otherwise(lost)
-    some = joined.select(
-        "_doc",
-        (F.col("fine") < 0).cast("long").alias("rows"),
-        "tokens",
-        (F.col("known") + F.when(hit, n).otherwise(0)).alias("known"),
-        (F.col("based") + n * based).alias("based"),
-        (F.col("scored") + n * logp).alias("scored"),
-    )
-    # Equal rows of the input add up; each is the sum divided by their number.
-    summed = some.groupBy("_doc").agg(*(F.sum(c).alias(c) for c in ("rows", "tokens", "known", "based", "scored")))
-    each = lambda c: F.col(c) / F.col("rows")
-    return summed.select("_doc", each("tokens").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), each("based").alias("base_score"), each("scored").alias("score"))
+                t = Tokens(texts[a:b])
+                yield t, t.context.view(np.int64), t.hash.view(np.int64), learn[a:b], own[a:b]
+
+    def summed(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(doc, values, n).astype(np.float64)  # bincount of nothing gives integers
+
+    def common_pairs(batches):
+        words, inverse, weights, predictions, based, cells, rest = shared.value
+        for t, context, word, learn, own in slices_of(batches):
+            n = len(own)
+            (at, hit), (by, held) = _place(words, word), _place(words, context)
+            ok = hit & held
+            at_ok, by_ok, doc, key = at[ok], by[ok], t.doc[ok], pair_key(context[ok], word[ok])
+            place, known = _place(cells, key)
+            back = (weights[by_ok] * predictions[at_ok]).mean(1)
+            p = rest[place[known]] * inverse[by_ok[known]] + back[known]
+            zero, none = np.zeros(n, np.int64), np.zeros(n)
+            yield _batch(_doc=own, key=own, learn=np.zeros(n, bool), n=zero, inverse=none, back=none, tokens=np.bincount(t.doc, minlength=n), known=np.bincount(t.doc[hit], minlength=n), based=summed(t.doc[hit], based[at[hit]], n), scored=summed(doc[known], np.log10(p), n))
+            # A document's pairs stay together, which the shuffle's compression makes use of.
+            doc, key, inv, back = doc[~known], key[~known], inverse[by_ok[~known]], back[~known]
+            order = np.lexsort((key, doc))
+            doc, key, inv, back = doc[order], key[order], inv[order], back[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+            zero, none = np.zeros(len(new), np.int64), np.zeros(len(new))
+            yield _batch(_doc=own[doc[new]], key=key[new], learn=learn[doc[new]], n=np.diff(np.append(new, len(key))), inverse=inv[new], back=back[new], tokens=zero, known=zero, based=none, scored=none)
+
+    def rare_pairs(batches):
+        words = shared.value[0]
+        for t, context, word, learn, own in slices_of(batches):
+            (_, hit), (_, held) = _place(words, word), _place(words, context)
+            rare = ~(hit & held)
+            doc, w, c, n = _summed((t.doc[rare], word[rare], context[rare]), (np.ones(rare.sum(), np.int64),))
+            yield _batch(_doc=own[doc], key=pair_key(c, w), learn=learn[doc], n=n, context=c, word=w, frequent=_place(words, w)[1])
+
+    texts = docs.select("text", "learn", "_doc")
+    as_word = model.words.select("word", F.col("n").alias("_n"), "predictions")
+    as_context = model.words.select(F.col("word").alias("context"), "inverse", "weights")
+    both = texts.mapInArrow(rare_pairs, RARE).join(as_word, "word", "left").join(as_context, "context", "left")
+    unknown, own = F.array(*map(F.lit, model.unknown)), F.array(*[F.lit(1.0)] * SAMPLES)
+    back = F.aggregate(F.zip_with(F.coalesce("weights", own), F.coalesce("predictions", unknown), lambda g, p: g * p), F.lit(0.0), lambda a, x: a + x) / SAMPLES
+    own_base = F.when(F.col("frequent"), 0.0).when(F.col("_n").isNull(), lost).otherwise(F.log10((F.col("_n") + 0.1) / floor))
+    known = F.when(~F.col("frequent") & F.col("_n").isNotNull(), F.col("n")).otherwise(0)
+    rare = both.select("_doc", "key", "learn", "n", F.coalesce("inverse", F.lit(0.0)).alias("inverse"), back.alias("back"), F.lit(0).cast("long").alias("tokens"), known.alias("known"), (F.col("n") * own_base).alias("based"), F.lit(0.0).alias("scored"))
+    rows = texts.mapInArrow(common_pairs, TOKENS).unionAll(rare).join(model.cells.select("key", "r"), "key", "left")
+    # A pair that isn't among the cells occurs once if a text to learn from has it, else never.
+    once = F.max("learn").over(Window.partitionBy("key"))
+    seated = F.coalesce("r", F.when(once, 1 - DISCOUNT[1]).otherwise(0.0))
+    each = rows.select("_doc", "n", "tokens", "known", "based", (F.col("scored") + F.when(F.col("n") > 0, F.col("n") * F.log10(seated * F.col("inverse") + F.col("back"))).otherwise(0.0)).alias("scored"))
+    # Equal rows of the input add up; each is the sum divided by their number, that of their rows with tokens.
+    summed = each.groupBy("_doc").agg(F.sum((F.col("tokens") > 0).cast("long")).alias("rows"), *(F.sum(c).alias(c) for c in ("tokens", "known", "based", "scored")))
+    mean = lambda c: F.col(c) / F.col("rows")
+    return summed.select("_doc", mean("tokens").cast("long").alias("n_tokens"), mean("known").cast("long").alias("n_known"), mean("based").alias("base_score"), mean("scored").alias("score"))
 
 
 def scored(docs: DataFrame, learn, frequent: int = FREQUENT) -> DataFrame:
@@ -405,9 +350,9 @@ def scored(docs: DataFrame, learn, frequent: int = FREQUENT) -> DataFrame:
     """
     text = common.text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.xxhash64("doc_id", text).alias("_doc"))
-    model, unknown, total, distinct = fit(rows)
-    found = score(rows, model, unknown, total, distinct, frequent)
-    return rows.select("doc_id", "learn", "_doc").join(found, "_doc").select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    model = fit(rows)
+    found = score(rows, model, frequent)
+    return rows.select("doc_id", "learn", "_doc").join(found, "_doc").select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scores: DataFrame) -> DataFrame:
