@@ -51,7 +51,8 @@ class Tokens:
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(context.view(np.uint64)) + word.view(np.uint64)).view(np.int64)
+    """A negative number for each pair; pairs of frequent words have their places in the list of these as keys, which are positive."""
+    return mix(mix(context.view(np.uint64)) + word.view(np.uint64)).view(np.int64) | np.int64(-(2**63))
 
 
 def _summed(keys: tuple[np.ndarray, ...], values: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -167,14 +168,14 @@ def drawn_tables(c: np.ndarray, a: np.ndarray, keys: np.ndarray, salt: int, disc
     return t
 
 
-CELLS = "context long, word long, n long, t long, sum long"
+CELLS = "context long, word long, n long, t long, sum long, rare boolean"
 WORDS = "word long, n long, x long, y long, t long"
 
 
 class Model(NamedTuple):
     """words: (word, n, inverse, weights, predictions) of each learned token: its occurrences; as a context, 1 / (strength +
     customers), and of each sample the weight of a new table times that; its probability in the root of each sample.
-    cells: (key, n, r) of each pair that occurs twice or more: its customers less the discounts of its tables, averaged.
+    cells: (context, word, n, r) of each pair that occurs twice or more: its customers less the discounts of its tables, averaged.
     unknown: of each sample, the root's probability of a word that wasn't learned. total: training tokens; distinct: different ones."""
 
     words: DataFrame
@@ -184,19 +185,36 @@ class Model(NamedTuple):
     distinct: int
 
 
-def _drawn(cells: DataFrame, words: DataFrame, root: tuple[float, float], salt: int, sampled: bool) -> DataFrame:
-    """cells with tables drawn anew, given the words' state; root is what a word's customers are divided by, and what every word gets."""
+def _frequent(words: DataFrame, total: int, frequent: int, *columns: str) -> pa.Table:
+    """The columns of words of a share of the training tokens of 1 / frequent or more: `frequent` rows at most, sorted by word."""
+    return words.where(F.col("n") >= max(1, -(-total // frequent))).select("word", *columns).orderBy("word").toArrow().combine_chunks()
+
+
+def _drawn(cells: DataFrame, words: DataFrame, root: tuple[float, float], total: int, salt: int, sampled: bool) -> DataFrame:
+    """cells with tables drawn anew, given the words' state; root is what a word's customers are divided by, and what every word gets.
+    Cells of two frequent words find weight and prediction in a broadcast table, the others (`rare`) by joins."""
+    words = words.select("word", "n", (F.lit(STRENGTH[1]) + DISCOUNT[1] * F.col("y")).alias("a"), ((F.col("x") - DISCOUNT[0] * F.col("t") + F.lit(root[1])) / root[0]).alias("p"))
+    table = _frequent(words, total, FREQUENT, "a", "p")
+    shared = cells.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("word", "a", "p")))
+
+    def batch_of(c, w, n, s, a, rare):
+        t = drawn_tables(n, a, pair_key(c, w), salt, DISCOUNT[1])
+        return _batch(context=c, word=w, n=n, t=t, sum=s + t if sampled else s, rare=np.full(len(n), rare))
+
+    def look_up(batches):
+        keys, a, p = shared.value
+        for batch in batches:
+            c, w, n, s = (batch.column(k).to_numpy() for k in range(4))
+            yield batch_of(c, w, n, s, a[_place(keys, c)[0]] * p[_place(keys, w)[0]] if len(n) else np.zeros(0), False)
 
     def draw(batches):
         for batch in batches:
-            c, w, n, s, a = (batch.column(k).to_numpy() for k in range(5))
-            t = drawn_tables(n, a, pair_key(c, w), salt, DISCOUNT[1])
-            yield _batch(context=c, word=w, n=n, t=t, sum=s + t if sampled else s)
+            yield batch_of(*(batch.column(k).to_numpy() for k in range(5)), True)
 
-    by_context = words.select(F.col("word").alias("context"), (F.lit(STRENGTH[1]) + DISCOUNT[1] * F.col("y")).alias("a"))
-    by_word = words.select("word", ((F.col("x") - DISCOUNT[0] * F.col("t") + F.lit(root[1])) / root[0]).alias("p"))
-    joined = cells.drop("t").join(by_context, "context").join(by_word, "word")
-    return common.written(joined.select("context", "word", "n", "sum", (F.col("a") * F.col("p")).alias("a")).mapInArrow(draw, CELLS), "cells")
+    own = ["context", "word", "n", "sum"]
+    joined = cells.where("rare").select(*own).join(words.select(F.col("word").alias("context"), "a"), "context").join(words.select("word", "p"), "word")
+    easy = cells.where("not rare").select(*own).mapInArrow(look_up, CELLS)
+    return common.written(easy.unionAll(joined.select(*own, (F.col("a") * F.col("p")).alias("a")).mapInArrow(draw, CELLS)), "cells")
 
 
 def _seated(single: DataFrame, cells: DataFrame, weight: float, salt: int) -> tuple[DataFrame, int, int]:
@@ -221,15 +239,23 @@ def fit(docs: DataFrame) -> Model:
     """The model of documents (text, learn)."""
     counted = common.written(pairs(docs.where("learn")), "pairs")
     single = common.written(counted.where("context is null").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y"))), "single")
-    cells = common.written(counted.where("context is not null").select("context", "word", "n", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum")), "cells")
-    common.discard(counted)
     total, distinct = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    listed = docs.sparkSession.sparkContext.broadcast(_frequent(single, total, FREQUENT).column("word").to_numpy())
+
+    def first(batches):
+        for batch in batches:
+            c, w, n = (batch.column(k).to_numpy() for k in range(3))
+            rare = ~(_place(listed.value, c)[1] & _place(listed.value, w)[1])
+            yield _batch(context=c, word=w, n=n, t=np.ones(len(n), np.int64), sum=np.zeros(len(n), np.int64), rare=rare)
+
+    cells = common.written(counted.where("context is not null").select("context", "word", "n").mapInArrow(first, CELLS), "cells")
+    common.discard(counted)
     base = 1 / (distinct + 1)
     words, x, t = _seated(single, cells, STRENGTH[0] * base, 0)
     samples = []
     for s in range(1, BURN_IN + SAMPLES + 1):
         root = (STRENGTH[0] + x, (STRENGTH[0] + DISCOUNT[0] * t) * base)
-        now = _drawn(cells, words, root, 2 * s, s > BURN_IN)
+        now = _drawn(cells, words, root, total, 2 * s, s > BURN_IN)
         after, x, t = _seated(single, now, root[1], 2 * s + 1)
         common.discard(cells)
         if s <= BURN_IN + 1:
@@ -243,18 +269,13 @@ def fit(docs: DataFrame) -> Model:
     gathered = functools.reduce(DataFrame.unionAll, each).groupBy("word").agg(F.max("n").alias("n"), of("g").alias("weights"), of("p").alias("predictions"))
     vocabulary = common.written(gathered.select("word", "n", inverse.alias("inverse"), "weights", "predictions"), "vocabulary")
 
-    def last(batches):
-        for batch in batches:
-            c, w, n, s = (batch.column(k).to_numpy() for k in range(4))
-            yield _batch(key=pair_key(c, w), n=n, r=n - DISCOUNT[1] * s / SAMPLES)
-
-    found = common.written(cells.select("context", "word", "n", "sum").mapInArrow(last, "key long, n long, r double"), "found")
+    found = common.written(cells.select("context", "word", "n", (F.col("n") - F.col("sum") * (DISCOUNT[1] / SAMPLES)).alias("r")), "found")
     common.discard(single, cells, *(w for w, _, _ in samples))
     return Model(vocabulary, found, [r / c for _, c, r in samples], total, distinct)
 
 
-TOKENS = "_doc long, key long, learn boolean, n long, inverse double, back double, tokens long, known long, based double, scored double"
-RARE = "_doc long, key long, learn boolean, n long, context long, word long, frequent boolean"
+TOKENS = "_doc long, key long, n long, own array<double>"
+RARE = "_doc long, key long, n long, context long, word long, frequent boolean"
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,16 +290,24 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
     """(_doc, n_tokens, n_known, base_score, score) for each different document key _doc of (text, learn, _doc).
 
     Frequent words and pairs are looked up in broadcast tables. Pairs of frequent words that aren't frequent themselves are joined
-    with the cells; those with a rare word are joined with the vocabulary first.
+    with the cells; those with a rare word are joined with the vocabulary first. In rows of pairs, n is how often the document
+    has the pair, less than zero if it isn't to be learned from; `own` are sums of a document that need no join.
     """
     floor = 0.1 * (model.distinct + 1) + model.total
-    least, least_pair = max(1, -(-model.total // frequent)), max(2, -(-model.total // frequent_pairs))
-    some = model.words.where(F.col("n") >= least).orderBy("word").toArrow().combine_chunks()  # `frequent` at most
-    top = model.cells.where(F.col("n") >= least_pair).select("key", "r").orderBy("key").toArrow()  # `frequent_pairs` at most
+    least_pair = max(2, -(-model.total // frequent_pairs))
+    some = _frequent(model.words, model.total, frequent, "n", "inverse", "weights", "predictions")
     listed = lambda c: some.column(c).combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
     based = np.log10((some.column("n").to_numpy() + 0.1) / floor)
-    tables = some.column("word").to_numpy(), some.column("inverse").to_numpy(), listed("weights"), listed("predictions"), based, top.column("key").to_numpy(), top.column("r").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    words = some.column("word").to_numpy()
+
+    def keys_of(words: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        (at, hit), (by, held) = _place(words, word), _place(words, context)
+        return np.where(hit & held, by * max(1, len(words)) + at, pair_key(context, word))
+
+    top = model.cells.where(F.col("n") >= least_pair).select("context", "word", "r").toArrow()  # `frequent_pairs` at most
+    keys = keys_of(words, top.column("context").to_numpy(), top.column("word").to_numpy())
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((words, some.column("inverse").to_numpy(), listed("weights"), listed("predictions"), based, keys[order], top.column("r").to_numpy()[order]))
     lost = float(np.log10(0.1 / floor))
 
     def slices_of(batches):
@@ -286,7 +315,7 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
             texts, learn, own = encoded(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2).to_numpy()
             for a, b in slices(texts):
                 t = Tokens(texts[a:b])
-                yield t, t.context.view(np.int64), t.hash.view(np.int64), learn[a:b], own[a:b]
+                yield t, t.context.view(np.int64), t.hash.view(np.int64), np.where(learn[a:b], 1, -1), own[a:b]
 
     def summed(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(doc, values, n).astype(np.float64)  # bincount of nothing gives integers
@@ -297,19 +326,15 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
             n = len(own)
             (at, hit), (by, held) = _place(words, word), _place(words, context)
             ok = hit & held
-            at_ok, by_ok, doc, key = at[ok], by[ok], t.doc[ok], pair_key(context[ok], word[ok])
+            at_ok, by_ok, doc = at[ok], by[ok], t.doc[ok]
+            key = by_ok * max(1, len(words)) + at_ok
             place, known = _place(cells, key)
-            back = (weights[by_ok] * predictions[at_ok]).mean(1)
-            p = rest[place[known]] * inverse[by_ok[known]] + back[known]
-            zero, none = np.zeros(n, np.int64), np.zeros(n)
-            yield _batch(_doc=own, key=own, learn=np.zeros(n, bool), n=zero, inverse=none, back=none, tokens=np.bincount(t.doc, minlength=n), known=np.bincount(t.doc[hit], minlength=n), based=summed(t.doc[hit], based[at[hit]], n), scored=summed(doc[known], np.log10(p), n))
+            p = rest[place[known]] * inverse[by_ok[known]] + (weights[by_ok[known]] * predictions[at_ok[known]]).mean(1)
+            sums = np.stack([np.bincount(t.doc, minlength=n), np.bincount(t.doc[hit], minlength=n), summed(t.doc[hit], based[at[hit]], n), summed(doc[known], np.log10(p), n)], axis=1)
+            yield _batch(_doc=own, key=own, n=np.zeros(n, np.int64), own=pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4, pa.int32()), pa.array(sums.ravel().astype(np.float64))))
             # A document's pairs stay together, which the shuffle's compression makes use of.
-            doc, key, inv, back = doc[~known], key[~known], inverse[by_ok[~known]], back[~known]
-            order = np.lexsort((key, doc))
-            doc, key, inv, back = doc[order], key[order], inv[order], back[order]
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
-            zero, none = np.zeros(len(new), np.int64), np.zeros(len(new))
-            yield _batch(_doc=own[doc[new]], key=key[new], learn=learn[doc[new]], n=np.diff(np.append(new, len(key))), inverse=inv[new], back=back[new], tokens=zero, known=zero, based=none, scored=none)
+            key, doc, n = _summed((key[~known], doc[~known]), (np.ones((~known).sum(), np.int64),))
+            yield _batch(_doc=own[doc], key=key, n=n * learn[doc], own=pa.nulls(len(doc), pa.list_(pa.float64())))
 
     def rare_pairs(batches):
         words = shared.value[0]
@@ -317,7 +342,7 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
             (_, hit), (_, held) = _place(words, word), _place(words, context)
             rare = ~(hit & held)
             doc, w, c, n = _summed((t.doc[rare], word[rare], context[rare]), (np.ones(rare.sum(), np.int64),))
-            yield _batch(_doc=own[doc], key=pair_key(c, w), learn=learn[doc], n=n, context=c, word=w, frequent=_place(words, w)[1])
+            yield _batch(_doc=own[doc], key=pair_key(c, w), n=n * learn[doc], context=c, word=w, frequent=_place(words, w)[1])
 
     texts = docs.select("text", "learn", "_doc")
     as_word = model.words.select("word", F.col("n").alias("_n"), "predictions")
@@ -326,13 +351,37 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
     unknown, own = F.array(*map(F.lit, model.unknown)), F.array(*[F.lit(1.0)] * SAMPLES)
     back = F.aggregate(F.zip_with(F.coalesce("weights", own), F.coalesce("predictions", unknown), lambda g, p: g * p), F.lit(0.0), lambda a, x: a + x) / SAMPLES
     own_base = F.when(F.col("frequent"), 0.0).when(F.col("_n").isNull(), lost).otherwise(F.log10((F.col("_n") + 0.1) / floor))
-    known = F.when(~F.col("frequent") & F.col("_n").isNotNull(), F.col("n")).otherwise(0)
-    rare = both.select("_doc", "key", "learn", "n", F.coalesce("inverse", F.lit(0.0)).alias("inverse"), back.alias("back"), F.lit(0).cast("long").alias("tokens"), known.alias("known"), (F.col("n") * own_base).alias("based"), F.lit(0.0).alias("scored"))
-    rows = texts.mapInArrow(common_pairs, TOKENS).unionAll(rare).join(model.cells.select("key", "r"), "key", "left")
+    n = F.abs("n")
+    known = F.when(~F.col("frequent") & F.col("_n").isNotNull(), n).otherwise(0).cast("double")
+    rare = both.select("_doc", "key", "n", F.array(F.lit(0.0), known, n * own_base, F.lit(0.0)).alias("own"), F.coalesce("inverse", F.lit(0.0)).alias("inverse"), back.alias("back"))
+    nothing = F.lit(None).cast("double")
+    rows = texts.mapInArrow(common_pairs, TOKENS).withColumns({"inverse": nothing, "back": nothing}).unionAll(rare)
+
+    def keyed(batches):
+        words = shared.value[0]
+        for batch in batches:
+            c, w, r = (batch.column(k).to_numpy() for k in range(3))
+            yield _batch(key=keys_of(words, c, w), r=r)
+
+    met = rows.join(model.cells.select("context", "word", "r").mapInArrow(keyed, "key long, r double"), "key", "left")
     # A pair that isn't among the cells occurs once if a text to learn from has it, else never.
-    once = F.max("learn").over(Window.partitionBy("key"))
+    once = F.max(F.col("n") > 0).over(Window.partitionBy("key"))
     seated = F.coalesce("r", F.when(once, 1 - DISCOUNT[1]).otherwise(0.0))
-    each = rows.select("_doc", "n", "tokens", "known", "based", (F.col("scored") + F.when(F.col("n") > 0, F.col("n") * F.log10(seated * F.col("inverse") + F.col("back"))).otherwise(0.0)).alias("scored"))
+
+    def logarithms(batches):
+        words, inverses, weights, predictions, *_ = shared.value
+        for batch in batches:
+            key, n, seated, inverse, back = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
+            inverse, back, n = np.array(inverse, np.float64), np.array(back, np.float64), np.abs(n)
+            ours = (key >= 0) & (n > 0)
+            by, at = key[ours] // max(1, len(words)), key[ours] % max(1, len(words))
+            inverse[ours], back[ours] = inverses[by], (weights[by] * predictions[at]).mean(1)
+            p = np.where(n > 0, seated * inverse + back, 1.0)
+            yield _batch(_doc=batch.column(0), scored=n * np.log10(p), own=batch.column(6))
+
+    found = met.select("_doc", "key", "n", seated.alias("seated"), "inverse", "back", "own").mapInArrow(logarithms, "_doc long, scored double, own array<double>")
+    get = lambda k: F.coalesce(F.get("own", F.lit(k)), F.lit(0.0))
+    each = found.select("_doc", get(0).alias("tokens"), get(1).alias("known"), get(2).alias("based"), (get(3) + F.col("scored")).alias("scored"))
     # Equal rows of the input add up; each is the sum divided by their number, that of their rows with tokens.
     summed = each.groupBy("_doc").agg(F.sum((F.col("tokens") > 0).cast("long")).alias("rows"), *(F.sum(c).alias(c) for c in ("tokens", "known", "based", "scored")))
     mean = lambda c: F.col(c) / F.col("rows")

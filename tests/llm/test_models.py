@@ -114,18 +114,15 @@ def test_predictions_of_a_restaurant_sum_to_one(spark):
     model = lm_score.fit(spark.createDataFrame([(t, True) for t in texts] + [("a z b", False)], "text string, learn boolean"))
     words = {r.word: r for r in model.words.collect()}
     assert model.total == sum(r.n for r in words.values()) == 20 * 10 and model.distinct == len(words) == 26
-    cells = {r.key: r.r for r in model.cells.collect()}
+    cells = {(r.context, r.word): r.r for r in model.cells.collect()}
     pairs = Counter()
     for t in texts:
         tokens = lm_score.Tokens([t.encode()])
         pairs.update(zip(tokens.context.view(np.int64).tolist(), tokens.hash.view(np.int64).tolist()))
-    key = lambda v, w: int(lm_score.pair_key(np.array([v]), np.array([w]))[0])
-    once = {key(*p) for p, n in pairs.items() if n == 1}
-    assert set(cells) == {key(*p) for p, n in pairs.items() if n > 1}
+    assert set(cells) == {p for p, n in pairs.items() if n > 1}
     mean = lambda g, p: sum(x * y for x, y in zip(g, p)) / len(g)
     for v, r in words.items():
-        k = {w: key(v, w) for w in words}
-        p = [(cells.get(k[w], 0.25 if k[w] in once else 0)) * r.inverse + mean(r.weights, words[w].predictions) for w in words]
+        p = [cells.get((v, w), 0.25 if pairs[v, w] else 0) * r.inverse + mean(r.weights, words[w].predictions) for w in words]
         assert min(p) > 0 and math.isclose(sum(p) + mean(r.weights, model.unknown), 1)
 
 
