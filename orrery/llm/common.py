@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +24,6 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are written; else it waits for the driver's next collection of
-    garbage, which a driver with little to do may not make in hours (spark.cleaner.periodicGC.interval)."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def whole_groups(batches, keys: tuple[str, ...], rows: int = 20_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches of whole groups of a partition that is sorted by some columns of longs, with the edges of the groups in each.
     A batch has some `rows` rows, or one group if that has more."""

@@ -261,7 +261,6 @@ def fit(docs: DataFrame) -> Model:
         if s <= BURN_IN + 1:
             common.discard(words)
         cells, words = now, after
-        common.release(docs.sparkSession)
         if s > BURN_IN:
             samples.append((words, STRENGTH[0] + x, (STRENGTH[0] + DISCOUNT[0] * t) * base))
     inverse = 1 / (F.lit(STRENGTH[1]) + F.col("n"))  # each occurrence of a word is a customer of its restaurant
@@ -272,7 +271,6 @@ def fit(docs: DataFrame) -> Model:
 
     found = common.written(cells.select("context", "word", "n", (F.col("n") - F.col("sum") * (DISCOUNT[1] / SAMPLES)).alias("r")), "found")
     common.discard(single, cells, *(w for w, _, _ in samples))
-    common.release(docs.sparkSession)
     return Model(vocabulary, found, [r / c for _, c, r in samples], total, distinct)
 
 
