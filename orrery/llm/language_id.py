@@ -72,6 +72,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, script
 
 
+@functools.cache
+def _marks() -> np.ndarray:
+    """Of each code point, whether it is a mark."""
+    return np.array([unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)])
+
+
 class Letters:
     """Words (runs of letters of one script) of some texts: `starts` and `sizes` of words among the letters, `at` (code
     point offset in its text) and `feature` of each letter, `script` and `doc` of each word, `first` word of each text."""
@@ -83,6 +89,9 @@ class Letters:
         lengths = np.array([len(x) for x in decoded], np.int64) + 1
         base = np.concatenate([[0], np.cumsum(lengths)])
         kind = script[points]
+        # Marks go on with a word but don't begin one: those without a letter before them in their run are left out.
+        place = np.arange(len(points))
+        kind[_marks()[points] & (np.maximum.accumulate(np.where((kind > 0) & ~_marks()[points], place, -1)) <= np.maximum.accumulate(np.where(kind == 0, place, -1)))] = 0
         letter = kind > 0
         low = np.where(letter, lower[points], 0).astype(np.uint64)
         place = np.flatnonzero(letter)

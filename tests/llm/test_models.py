@@ -67,13 +67,13 @@ def test_language_spans_and_odd_rows(spark, data, odd, empty):
     russian = spark.createDataFrame([(-5, "мир и дом на горе " * 30, "ru", "x", 1)], docs.schema)
     model = language_id.fit(docs.unionByName(russian))
     mixed = texts["en"] + " 🙂 " + texts["fr"] + " мир и дом"
-    rows = [(1, mixed), (2, "日本語"), (3, "12 + 34"), (4, None), (5, "мир")]
+    rows = [(1, mixed), (2, "日本語"), (3, "12 + 34"), (4, None), (5, "мир"), (6, "\u0301\u0301 \u0301"), (7, "12\u0301")]
     got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     spans = [s for s in got[1].spans if s.stop - s.start > 60]
     assert [s.lang for s in spans] == ["en", "fr"] and got[1].spans[-1].lang == "ru"
     assert abs(spans[0].stop - 800) < 60 and 0.3 < got[1].score < 0.7 and mixed[got[1].spans[-1].start :] == "мир и дом"
     assert got[2].score == 0 and got[2].lang_pred != "und"
-    assert got[3].lang_pred == got[4].lang_pred == "und" and got[5].lang_pred == "ru"
+    assert got[3].lang_pred == got[4].lang_pred == got[6].lang_pred == got[7].lang_pred == "und" and got[5].lang_pred == "ru"
     assert language_id.identify(odd, model).count() == odd.count()
     nothing = language_id.fit(empty)
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
