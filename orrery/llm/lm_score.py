@@ -14,11 +14,13 @@ are met again among the pairs of the texts that are scored.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -69,6 +71,81 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
 
+#: Rows of columns are shuffled as blocks: `data` holds up to BLOCK of them, column by column, each of eight bytes, compressed, of
+#: one bucket and kind. Of a bucket the kinds come in this order: a table to look things up in, pairs of texts to learn from (PLAIN ones
+#: of frequent words alone), pairs of the other texts, sums of documents.
+BLOCKS, BLOCK = "bucket long, kind int, data binary", 256
+TABLE, PLAIN_LEARNED, LEARNED, PLAIN, OTHER, SUMS = range(6)
+#: Tokens that a bucket holds on average, at most.
+BUCKET_TOKENS = 4_000_000
+
+
+def _buckets(docs: DataFrame, tokens: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(buckets)).view(np.int64)
+
+
+def _real(column: np.ndarray) -> np.ndarray:
+    return column.view(np.float64)
+
+
+def _state(inverse: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Customers of restaurants, and tables in each sample, of which inverse and weights were made: whole numbers compress well."""
+    customers = 1 / inverse
+    return [np.rint(v).astype(np.int64) for v in (customers - STRENGTH[1], *((weights * customers[:, None] - STRENGTH[1]) / DISCOUNT[1]).T)]
+
+
+def _blocks(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch of BLOCKS of rows of 64-bit columns, which keep their order within a bucket; none of no rows."""
+    if not len(bucket):
+        return
+    order = np.argsort(bucket, kind="stable")
+    bucket, table = bucket[order], np.stack([c[order].view(np.int64) for c in columns])
+    first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+    place = np.arange(len(bucket))
+    edges = np.flatnonzero((place - np.maximum.accumulate(np.where(first, place, 0))) % BLOCK == 0)
+    ends = [*edges[1:].tolist(), len(bucket)]
+    packed = zstandard.ZstdCompressor(level=1).compress
+    data = pa.array([packed(table[:, a:b].tobytes()) for a, b in zip(edges.tolist(), ends)], pa.binary())
+    yield _batch(bucket=bucket[edges], kind=np.full(len(edges), kind, np.int32), data=data)
+
+
+def _met(rows: DataFrame, table: DataFrame) -> DataFrame:
+    return rows.unionAll(table).repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _runs(batches, widths: dict[int, int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(bucket, kind, columns) of sorted BLOCKS; a bucket's kind may come in several runs."""
+    unpacked = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        bucket, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data = batch.column(2)
+        edges = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(bucket)]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                parts = [np.frombuffer(unpacked(d.as_buffer()), np.int64).reshape(widths[int(kind[a])], -1) for d in data[a:b]]
+                yield int(bucket[a]), int(kind[a]), np.concatenate(parts, axis=1)
+
+
+def _beside_table(batches, widths: dict[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, table, columns) of the runs of sorted BLOCKS that are no TABLE, where table is that of their bucket, sorted by its
+    first column."""
+    now, held, table = None, [], None
+    for bucket, kind, rows in _runs(batches, widths):
+        if bucket != now:
+            now, held, table = bucket, [], None
+        if kind == TABLE:
+            held.append(rows)
+            continue
+        if table is None:
+            table = np.concatenate([np.zeros((widths[TABLE], 0), np.int64), *held], axis=1)
+            table, held = table[:, np.argsort(table[0])], []
+        yield kind, table, rows
+
+
 def pairs(docs: DataFrame) -> DataFrame:
     """Of the texts to learn from (text): (context, word, n) for each pair that occurs n times, twice or more; and
     with a null context, (word, n, x, y) that add up to the number n of its occurrences, and how many pairs that
@@ -274,10 +351,6 @@ def fit(docs: DataFrame) -> Model:
     return Model(vocabulary, found, [r / c for _, c, r in samples], total, distinct)
 
 
-TOKENS = "_doc long, key long, n long, own array<double>"
-RARE = "_doc long, key long, n long, context long, word long, frequent boolean"
-
-
 def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where sorted keys hold the wanted ones, and whether they do."""
     if not len(keys):
@@ -289,9 +362,9 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS) -> DataFrame:
     """(_doc, n_tokens, n_known, base_score, score) for each different document key _doc of (text, learn, _doc).
 
-    Frequent words and pairs are looked up in broadcast tables. Pairs of frequent words that aren't frequent themselves are joined
-    with the cells; those with a rare word are joined with the vocabulary first. In rows of pairs, n is how often the document
-    has the pair, less than zero if it isn't to be learned from; `own` are sums of a document that need no join.
+    Frequent words and pairs are looked up in broadcast tables. Other pairs go as blocks to where the cells are; those with a rare
+    word go by the rows of their context and of their word in the vocabulary first. In all three places the table of a bucket comes before
+    the pairs, which pass by it: what a task holds is a bucket's table and its pairs of one occurrence, whatever a pair's frequency.
     """
     floor = 0.1 * (model.distinct + 1) + model.total
     least_pair = max(2, -(-model.total // frequent_pairs))
@@ -299,6 +372,7 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
     listed = lambda c: some.column(c).combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
     based = np.log10((some.column("n").to_numpy() + 0.1) / floor)
     words = some.column("word").to_numpy()
+    buckets = _buckets(docs, model.total)
 
     def keys_of(words: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         (at, hit), (by, held) = _place(words, word), _place(words, context)
@@ -308,21 +382,23 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
     keys = keys_of(words, top.column("context").to_numpy(), top.column("word").to_numpy())
     order = np.argsort(keys)
     shared = docs.sparkSession.sparkContext.broadcast((words, some.column("inverse").to_numpy(), listed("weights"), listed("predictions"), based, keys[order], top.column("r").to_numpy()[order]))
-    lost = float(np.log10(0.1 / floor))
+    unknown = np.array(model.unknown)
+    texts = docs.select("text", "learn", "_doc")
 
-    def slices_of(batches):
+    def texts_of(batches):
         for batch in batches:
             texts, learn, own = encoded(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2).to_numpy()
             for a, b in slices(texts):
                 t = Tokens(texts[a:b])
-                yield t, t.context.view(np.int64), t.hash.view(np.int64), np.where(learn[a:b], 1, -1), own[a:b]
+                yield t, t.context.view(np.int64), t.hash.view(np.int64), learn[a:b], own[a:b]
 
-    def summed(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(doc, values, n).astype(np.float64)  # bincount of nothing gives integers
+    def two_kinds(key, learn, columns, kinds):
+        for kind, which in zip(kinds, (learn, ~learn)):
+            yield from _blocks(_bucket(key[which], buckets), kind, *(c[which] for c in columns))
 
     def common_pairs(batches):
         words, inverse, weights, predictions, based, cells, rest = shared.value
-        for t, context, word, learn, own in slices_of(batches):
+        for t, context, word, learn, own in texts_of(batches):
             n = len(own)
             (at, hit), (by, held) = _place(words, word), _place(words, context)
             ok = hit & held
@@ -330,60 +406,118 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT, frequent_pair
             key = by_ok * max(1, len(words)) + at_ok
             place, known = _place(cells, key)
             p = rest[place[known]] * inverse[by_ok[known]] + (weights[by_ok[known]] * predictions[at_ok[known]]).mean(1)
-            sums = np.stack([np.bincount(t.doc, minlength=n), np.bincount(t.doc[hit], minlength=n), summed(t.doc[hit], based[at[hit]], n), summed(doc[known], np.log10(p), n)], axis=1)
-            yield _batch(_doc=own, key=own, n=np.zeros(n, np.int64), own=pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 4, pa.int32()), pa.array(sums.ravel().astype(np.float64))))
-            # A document's pairs stay together, which the shuffle's compression makes use of.
-            key, doc, n = _summed((key[~known], doc[~known]), (np.ones((~known).sum(), np.int64),))
-            yield _batch(_doc=own[doc], key=key, n=n * learn[doc], own=pa.nulls(len(doc), pa.list_(pa.float64())))
-
-    def rare_pairs(batches):
-        words = shared.value[0]
-        for t, context, word, learn, own in slices_of(batches):
-            (_, hit), (_, held) = _place(words, word), _place(words, context)
-            rare = ~(hit & held)
-            doc, w, c, n = _summed((t.doc[rare], word[rare], context[rare]), (np.ones(rare.sum(), np.int64),))
-            yield _batch(_doc=own[doc], key=pair_key(c, w), n=n * learn[doc], context=c, word=w, frequent=_place(words, w)[1])
+            summed = lambda d, v: np.bincount(d, v, n).astype(np.float64)
+            tokens, of_known = np.bincount(t.doc, minlength=n), np.bincount(t.doc[hit], minlength=n)
+            yield from _blocks(_bucket(own, buckets), SUMS, own, np.ones(n, np.int64), tokens, of_known, summed(t.doc[hit], based[at[hit]]), summed(doc[known], np.log10(p)))
+            key, doc, times = _summed((key[~known], doc[~known]), (np.ones((~known).sum(), np.int64),))
+            yield from two_kinds(key, learn[doc], (key, own[doc], times), (PLAIN_LEARNED, PLAIN))
+
+    def rare_pairs(rare_context: bool, rare_word: bool):
+        """Pairs of just these two; those of a frequent context with what to_words adds."""
+
+        def pairs_of(batches):
+            words, inverse, weights, *_ = shared.value
+            for t, context, word, learn, own in texts_of(batches):
+                (at, hit), (by, held) = _place(words, word), _place(words, context)
+                some = (hit != rare_word) & (held != rare_context)
+                rows = word[some], context[some], t.doc[some]
+                if not rare_context:
+                    c, w, at, doc, n = _summed((rows[1], rows[0], by[some], rows[2]), (np.ones(len(rows[0]), np.int64),))
+                    yield from two_kinds(w, learn[doc], (w, c, own[doc], n, *_state(inverse[at], weights[at])), (LEARNED, OTHER))
+                else:
+                    w, c, doc, n = _summed(rows, (np.ones(len(rows[0]), np.int64),))
+                    yield from two_kinds(c, learn[doc], (w, c, own[doc], n), (LEARNED, OTHER))
+
+        return texts.mapInArrow(pairs_of, BLOCKS)
+
+    def as_contexts(batches):
+        for batch in batches:
+            word, inverse = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield from _blocks(_bucket(word, buckets), TABLE, word, *_state(inverse, batch.column(2).flatten().to_numpy().reshape(-1, SAMPLES)))
 
-    texts = docs.select("text", "learn", "_doc")
-    as_word = model.words.select("word", F.col("n").alias("_n"), "predictions")
-    as_context = model.words.select(F.col("word").alias("context"), "inverse", "weights")
-    both = texts.mapInArrow(rare_pairs, RARE).join(as_word, "word", "left").join(as_context, "context", "left")
-    unknown, own = F.array(*map(F.lit, model.unknown)), F.array(*[F.lit(1.0)] * SAMPLES)
-    back = F.aggregate(F.zip_with(F.coalesce("weights", own), F.coalesce("predictions", unknown), lambda g, p: g * p), F.lit(0.0), lambda a, x: a + x) / SAMPLES
-    own_base = F.when(F.col("frequent"), 0.0).when(F.col("_n").isNull(), lost).otherwise(F.log10((F.col("_n") + 0.1) / floor))
-    n = F.abs("n")
-    known = F.when(~F.col("frequent") & F.col("_n").isNotNull(), n).otherwise(0).cast("double")
-    rare = both.select("_doc", "key", "n", F.array(F.lit(0.0), known, n * own_base, F.lit(0.0)).alias("own"), F.coalesce("inverse", F.lit(0.0)).alias("inverse"), back.alias("back"))
-    nothing = F.lit(None).cast("double")
-    rows = texts.mapInArrow(common_pairs, TOKENS).withColumns({"inverse": nothing, "back": nothing}).unionAll(rare)
-
-    def keyed(batches):
+    def as_words(batches):
+        for batch in batches:
+            word, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield from _blocks(_bucket(word, buckets), TABLE, word, n, *batch.column(2).flatten().to_numpy().reshape(-1, SAMPLES).T)
+
+    def with_context(batches):
+        """Kind, word, context, document, number, and the context's customers and tables: none of one that wasn't learned."""
+        for kind, table, rows in _beside_table(batches, {TABLE: 2 + SAMPLES, LEARNED: 4, OTHER: 4}):
+            at, hit = _place(table[0], rows[1])
+            yield kind, *rows, *(np.where(hit, v[at], 0) if len(v) else np.zeros(len(hit), np.int64) for v in table[1:])
+
+    def ended(kind, w, c, doc, n, customers, tables, p):
+        key, weights = pair_key(c, w), (STRENGTH[1] + DISCOUNT[1] * np.stack(tables, axis=1)) / (STRENGTH[1] + customers[:, None])
+        yield from _blocks(_bucket(key, buckets), kind, key, doc, n, customers, (weights * p).mean(1))
+
+    def to_words(batches):
+        for kind, w, *others in with_context(batches):
+            yield from _blocks(_bucket(w, buckets), kind, w, *others)
+
+    def of_frequent(batches):
+        words, predictions = shared.value[0], shared.value[3]
+        for kind, w, c, doc, n, customers, *tables in with_context(batches):
+            yield from ended(kind, w, c, doc, n, customers, tables, predictions[_place(words, w)[0]])
+
+    def to_pairs(batches):
+        for kind, table, rows in _beside_table(batches, {TABLE: 2 + SAMPLES, LEARNED: 5 + SAMPLES, OTHER: 5 + SAMPLES}):
+            w, c, doc, n, customers, *tables = rows
+            at, hit = _place(table[0], w)
+            p, occurs = np.tile(unknown, (len(w), 1)), np.zeros(len(w), np.int64)
+            p[hit] = np.stack([_real(v)[at[hit]] for v in table[2:]], axis=1)
+            occurs[hit] = table[1][at[hit]]
+            yield from ended(kind, w, c, doc, n, customers, tables, p)
+            doc, known, base = _summed((doc,), (n * (occurs > 0), n * np.log10((occurs + 0.1) / floor)))
+            zero = np.zeros(len(doc), np.int64)
+            yield from _blocks(_bucket(doc, buckets), SUMS, doc, zero, zero, known, base, np.zeros(len(doc)))
+
+    def of_cells(batches):
         words = shared.value[0]
         for batch in batches:
             c, w, r = (batch.column(k).to_numpy() for k in range(3))
-            yield _batch(key=keys_of(words, c, w), r=r)
-
-    met = rows.join(model.cells.select("context", "word", "r").mapInArrow(keyed, "key long, r double"), "key", "left")
-    # A pair that isn't among the cells occurs once if a text to learn from has it, else never.
-    once = F.max(F.col("n") > 0).over(Window.partitionBy("key"))
-    seated = F.coalesce("r", F.when(once, 1 - DISCOUNT[1]).otherwise(0.0))
+            key = keys_of(words, c, w)
+            yield from _blocks(_bucket(key, buckets), TABLE, key, r)
 
-    def logarithms(batches):
+    def sums(batches):
         words, inverses, weights, predictions, *_ = shared.value
-        for batch in batches:
-            key, n, seated, inverse, back = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
-            inverse, back, n = np.array(inverse, np.float64), np.array(back, np.float64), np.abs(n)
-            ours = (key >= 0) & (n > 0)
-            by, at = key[ours] // max(1, len(words)), key[ours] % max(1, len(words))
-            inverse[ours], back[ours] = inverses[by], (weights[by] * predictions[at]).mean(1)
-            p = np.where(n > 0, seated * inverse + back, 1.0)
-            yield _batch(_doc=batch.column(0), scored=n * np.log10(p), own=batch.column(6))
-
-    found = met.select("_doc", "key", "n", seated.alias("seated"), "inverse", "back", "own").mapInArrow(logarithms, "_doc long, scored double, own array<double>")
-    get = lambda k: F.coalesce(F.get("own", F.lit(k)), F.lit(0.0))
-    each = found.select("_doc", get(0).alias("tokens"), get(1).alias("known"), get(2).alias("based"), (get(3) + F.col("scored")).alias("scored"))
-    # Equal rows of the input add up; each is the sum divided by their number, that of their rows with tokens.
-    summed = each.groupBy("_doc").agg(F.sum((F.col("tokens") > 0).cast("long")).alias("rows"), *(F.sum(c).alias(c) for c in ("tokens", "known", "based", "scored")))
+        once: list[np.ndarray] = []
+        seen, listed_once = None, np.zeros(0, np.int64)
+        widths = {TABLE: 2, PLAIN_LEARNED: 3, LEARNED: 5, PLAIN: 3, OTHER: 5, SUMS: 6}
+        for kind, table, rows in _beside_table(batches, widths):
+            if kind == SUMS:
+                doc, *values = _summed((rows[0],), (*rows[1:4], *map(_real, rows[4:])))
+            else:
+                if table is not seen:
+                    seen, once, listed_once = table, [], np.zeros(0, np.int64)
+                key, doc, n = rows[:3]
+                at, hit = _place(table[0], key)
+                seated = np.where(hit, _real(table[1])[at], 0.0) if len(table[0]) else np.zeros(len(key))
+                # A pair that isn't among the cells occurs once if a text to learn from has it, else never.
+                if kind in (PLAIN_LEARNED, LEARNED):
+                    once.append(key[~hit])
+                    seated[~hit] = 1 - DISCOUNT[1]
+                else:
+                    if once:
+                        listed_once, once = np.sort(np.concatenate([listed_once, *once])), []
+                    seated[~hit & _place(listed_once, key)[1]] = 1 - DISCOUNT[1]
+                if kind in (PLAIN_LEARNED, PLAIN):
+                    by, at = key // max(1, len(words)), key % max(1, len(words))
+                    p = seated * inverses[by] + (weights[by] * predictions[at]).mean(1)
+                else:
+                    p = seated / (STRENGTH[1] + rows[3]) + _real(rows[4])
+                doc, score = _summed((doc,), (n * np.log10(p),))
+                zero = np.zeros(len(doc), np.int64)
+                values = [zero, zero, zero, np.zeros(len(doc)), score]
+            yield _batch(**dict(zip(("_doc", "rows", "tokens", "known", "based", "scored"), (doc, *values))))
+
+    of_context = model.words.select("word", "inverse", "weights").mapInArrow(as_contexts, BLOCKS)
+    of_word = model.words.select("word", "n", "predictions").mapInArrow(as_words, BLOCKS)
+    rare_words = _met(rare_pairs(True, True), of_context).mapInArrow(to_words, BLOCKS).unionAll(rare_pairs(False, True))
+    rare = _met(rare_words, of_word).mapInArrow(to_pairs, BLOCKS).unionAll(_met(rare_pairs(True, False), of_context).mapInArrow(of_frequent, BLOCKS))
+    cells = model.cells.select("context", "word", "r").mapInArrow(of_cells, BLOCKS)
+    each = _met(texts.mapInArrow(common_pairs, BLOCKS).unionAll(rare), cells).mapInArrow(sums, "_doc long, rows long, tokens long, known long, based double, scored double")
+    # Equal rows of the input add up; each is the sum divided by their number.
+    summed = each.groupBy("_doc").agg(*(F.sum(c).alias(c) for c in ("rows", "tokens", "known", "based", "scored")))
     mean = lambda c: F.col(c) / F.col("rows")
     return summed.select("_doc", mean("tokens").cast("long").alias("n_tokens"), mean("known").cast("long").alias("n_known"), mean("based").alias("base_score"), mean("scored").alias("score"))
 
