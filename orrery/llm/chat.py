@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -54,7 +54,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Rows of a conversation go by turn (null first), then role, then text; repeated rows stay; null role or text is
     empty; rows with null conv_id are one conversation. A conversation is rendered as it is and parsed again;
-    where that gives other turns than the source, its texts are rendered escaped. mask holds (start, stop)
+    where that gives other turns than the source, its texts are rendered escaped and parsed once more, and what still differs
+    then is an error rather than a row, as one more escape is not taken away by reading. mask holds (start, stop)
     code points of the formatted string: the texts of assistant turns, over which the loss is taken.
     Columns besides these four are left out.
     """
@@ -87,7 +88,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             ).otherwise(a["mask"]).alias("mask"),
         ),
     )
-    return shown.select("conv_id", "turns", render(F.col("_shown")).alias("formatted"), walked["mask"].alias("mask"))
+    told = shown.withColumn("formatted", render(F.col("_shown")))
+    kept = F.col("_same") | (parse(F.col("formatted")) == F.col("turns"))
+    lost = F.raise_error(F.concat(F.lit("turns aren't read back from conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
+    return told.select("conv_id", "turns", F.when(kept, F.col("formatted")).otherwise(lost).alias("formatted"), walked["mask"].alias("mask"))
 
 
 def report(formatted: DataFrame) -> DataFrame:

@@ -238,6 +238,14 @@ def test_chat_round_trip(spark, conversations):
     assert got == {c: digest(turns) for c, turns in enumerate(conversations)}
 
 
+def test_chat_that_is_not_read_back_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(chat, "escaped", lambda text: text)
+    rows = spark.createDataFrame([(1, 0, "user", "<|im_end|>"), (2, 0, "user", "hello")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="conversation 1"):
+        chat.format_conversations(rows).collect()
+    assert chat.format_conversations(rows.where("conv_id = 2")).first().formatted == "<|im_start|>user\nhello<|im_end|>\n"
+
+
 def test_chat_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 0, "user", None), (1, None, "system", "s"), (None, 0, None, "x"), (1, 0, "user", None)]
