@@ -78,6 +78,23 @@ def apply_findings(findings: DataFrame, desired: DataFrame, rule: tuple[str, str
     return kept.unionByName(new.select(*findings.columns))
 
 
+def evaluate_findings(findings: DataFrame, cis: DataFrame, edges: DataFrame, tenant_id: str, now: Column, principals: tuple[str, ...] = ("iam_role", "iam_user"), databases: tuple[str, ...] = ("rds",)) -> tuple[DataFrame, DataFrame]:
+    """The table of findings after both rules, and one row (evaluated, opened, resolved, open_count): open items of the rules' types, and
+    findings of both rules. cis and edges are the open ones. Both results read `findings`: write the table before the next evaluation."""
+    reached = internet_databases(cis, edges, databases).select("subject_ci_id", F.to_json(F.struct("internet_id", "distance")).alias("evidence"))
+    broad = broad_access(cis, edges, principals).select("subject_ci_id", F.to_json(F.struct("target_count")).alias("evidence"))
+    after = apply_findings(apply_findings(findings, reached, INTERNET_DATABASE, tenant_id, now), broad, BROAD_ACCESS, tenant_id, now)
+    count = lambda c: F.count(F.when(c, 1))
+    is_open = F.col("valid_to").isNull() & (F.col("status") == "open")
+    own = F.col("rule_id").isin(INTERNET_DATABASE[0], BROAD_ACCESS[0])
+    was = findings.where(own & is_open).select("id", F.lit(True).alias("_was"))
+    told = after.where(own).join(was, "id", "left").withColumn("_was", F.coalesce("_was", F.lit(False)))
+    counters = told.agg(F.lit(0).alias("evaluated"), count(is_open & ~F.col("_was")).alias("opened"), count(~is_open & F.col("_was")).alias("resolved"), count(is_open).alias("open_count"))
+    zero = F.lit(0)
+    examined = cis.agg(count(F.col("type").isin(*principals, *databases)).alias("evaluated"), zero.alias("opened"), zero.alias("resolved"), zero.alias("open_count"))
+    return after, examined.unionByName(counters).agg(*(F.sum(c).alias(c) for c in counters.columns))
+
+
 def latest_runs(runs: DataFrame, now: Column, stale_seconds: int = STALE_SECONDS) -> DataFrame:
     """The latest run of each source, its age in seconds since it finished, and whether it is stale (or never finished)."""
     newest = F.struct(F.col("started_at").isNull().alias("no_start"), (-F.unix_micros(F.col("started_at").cast("timestamp"))).alias("back"), F.col("run_id").alias("run_id"))

@@ -67,6 +67,11 @@ def open_findings(findings: DataFrame, rule_id: str | None = None) -> DataFrame:
     return (out if rule_id is None else out.where(F.col("rule_id") == rule_id)).orderBy(F.desc("detected_at"), F.desc("id"))
 
 
+def finding_for_subject(findings: DataFrame, rule_id: str, subject_ci_id: str) -> DataFrame:
+    """The open finding of a rule on an item: one row (the newest, should there be several) or none."""
+    return open_findings(findings.where(F.col("subject_ci_id") == subject_ci_id), rule_id).limit(1)
+
+
 def top(df: DataFrame, limit: int, *order: str) -> DataFrame:
     """The last `limit` rows by some columns; a negative limit is none."""
     return df.orderBy(*(F.desc(c) for c in order)).limit(max(0, limit))

@@ -6,7 +6,7 @@ import pytest
 from orrery import schema
 from orrery.functions import confidence as conf
 from orrery.functions import names
-from orrery.operators import resolution, rules, versions
+from orrery.operators import resolution, rules, temporal, versions
 from pyspark.sql import functions as F
 
 
@@ -174,6 +174,20 @@ def test_findings_open_keep_resolve(spark):
     assert sorted((r.attempt, r.status) for r in sent) == [(1, "delivered"), (1, "failed"), (2, "failed"), (3, "failed"), (4, "dead_letter")]
 
 
+def test_evaluation_counts_what_it_opens_and_resolves(spark):
+    cis = spark.createDataFrame([("net", "internet", "net"), ("db", "rds", "db"), ("far", "rds", "far"), ("role", "iam_role", "role")], "id string, type string, name string")
+    access = [("HAS_ACCESS_TO", "role", f"r{k}") for k in range(10)]
+    row = "type string, from_id string, to_id string"
+    made = lambda rows: spark.createDataFrame(rows, row).selectExpr("type", "from_id", "to_id", "'' edge_key", "'declared' source", "1.0D confidence", f"cast(array() as {schema.EVIDENCE}) evidence")
+    nothing = spark.createDataFrame([], schema.FINDING)
+    one, first = rules.evaluate_findings(nothing, cis, made([("CONNECTS_TO", "net", "db"), *access]), "t", now(1))
+    assert first.first().asDict() == {"evaluated": 3, "opened": 2, "resolved": 0, "open_count": 2}
+    two, second = rules.evaluate_findings(one, cis, made([("CONNECTS_TO", "net", "far"), *access]), "t", now(2))
+    assert second.first().asDict() == {"evaluated": 3, "opened": 1, "resolved": 1, "open_count": 2}
+    of = lambda i: [r.subject_ci_id for r in temporal.finding_for_subject(two, rules.INTERNET_DATABASE[0], i).collect()]
+    assert of("far") == ["far"] and of("db") == [] and of("role") == []
+
+
 def test_freshness(spark):
     runs = spark.createDataFrame([(1, "ok", "ok", day(1), day(1)), (2, "late", "ok", day(1), day(1)), (3, "bad", "error", day(9), day(9)), (4, "going", "partial", day(9), None)], "run_id long, source string, status string, started_at timestamp, finished_at timestamp")
     slos = spark.createDataFrame([("ok", 10**6), ("late", 60), ("bad", 10**6), ("going", 10**6), ("never", 60)], "source string, expected_interval_seconds int")
