@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secret_scan, sharding, sql
+from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, pieces, secret_scan, sharding, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(_table(spark, sf_dir, "documents"), common.crc_mod("doc_id", 10) != 0)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.report(pieces.encode(_table(spark, sf_dir, "documents"), path), path)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -77,6 +84,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 #: The others have none: tokens, models, SimHash, best-fit placing and patterns with lookahead are not DuckDB SQL.
