@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, pieces, secret_scan, sharding, sql
+from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, periodic, pieces, secret_scan, sharding, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(_table(spark, sf_dir, "documents"), common.crc_mod("doc_id", 10) != 0)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(_table(spark, sf_dir, "documents"))
+    return periodic.report(periodic.find_runs(docs, min_exponent=4, min_length=6))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_sentencepiece": op12_sentencepiece,
 }
 
