@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, periodic, pieces, secret_scan, sharding, sql
+from . import chat, common, decontamination, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, periodic, pieces, search, secret_scan, sharding, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(pieces.encode(_table(spark, sf_dir, "documents"), path), path)
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -91,12 +95,14 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-#: The others have none: tokens, models, SimHash, best-fit placing and patterns with lookahead are not DuckDB SQL.
+#: The others have none: tokens, models, runs, SimHash, best-fit placing and patterns with lookahead are not DuckDB SQL.
 ORACLE_SQL: dict[str, str] = {
     "op2_minhash_near_dedup": sql.NEAR_DEDUP,
     "op4_benchmark_decontamination": sql.DECONTAMINATION,
     "op8_embedding_near_dedup": sql.EMBEDDING_DEDUP,
     "op9_chat_formatting": sql.CHAT,
+    "op13_ranked_search": sql.SEARCH,
 }

@@ -61,3 +61,14 @@ WITH own AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text),
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
  CAST(chars + CASE WHEN escapes THEN marks ELSE 0 END AS BIGINT) AS formatted_chars
 FROM said"""
+
+SEARCH = f"""
+WITH term AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents) WHERE len(w) > 0),
+ total AS (SELECT count(DISTINCT doc_id) AS docs, count(*) AS words FROM term),
+ posting AS (SELECT doc_id, t, any_value(n) AS n, count(*) AS tf FROM term GROUP BY doc_id, t),
+ weighed AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM posting, total GROUP BY t, docs),
+ asked AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark)),
+ scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+   FROM asked JOIN posting USING (t) JOIN weighed USING (t), total GROUP BY item_id, doc_id),
+ placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
