@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..schema import WALKS
-from ..session import written
+from ..session import bucketed, counted, discard, written
 
 
 def adjacency(edges: DataFrame, walk: str, min_confidence: float = 0.0, nodes: DataFrame | None = None) -> DataFrame:
@@ -23,6 +26,82 @@ def adjacency(edges: DataFrame, walk: str, min_confidence: float = 0.0, nodes: D
     return out.unionByName(back)
 
 
+def directed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, dir, type, from_id, to_id, edge_key, confidence): each open edge between nodes, as a step along it and one against it."""
+    ids = nodes.select("id").distinct()
+    kept = edges.select("type", "from_id", "to_id", "edge_key", "confidence")
+    kept = kept.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    way = F.explode(F.array(F.struct(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.lit(0).alias("dir")), F.struct(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), F.lit(1).alias("dir"))))
+    return kept.withColumn("_way", way).select("_way.*", "type", "from_id", "to_id", "edge_key", "confidence")
+
+
+@dataclass
+class Projection:
+    """A graph kept for searches: nodes and edges as written tables, and steps (directed()) bucketed and sorted by src.
+
+    A search finds the neighbours of a node in its bucket, so neither what it expands nor the fan-out cap shuffles the
+    adjacency. A change of some edges overwrites the buckets of their ends alone."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    table: str
+    buckets: int
+
+    @classmethod
+    def build(cls, cis: DataFrame, edges: DataFrame, buckets: int | None = None) -> Projection:
+        """cis and edges are the open ones; edges with an end that isn't open are left out of the steps."""
+        buckets = buckets or int(cis.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        nodes, links = written(cis, "nodes"), written(edges, "edges")
+        return cls(nodes, links, bucketed(directed(links, nodes), "steps", "src", buckets, partition="bucket"), buckets)
+
+    @property
+    def steps(self) -> DataFrame:
+        return self.nodes.sparkSession.table(self.table).drop("bucket")
+
+    def walk(self, name: str, min_confidence: float = 0.0) -> DataFrame:
+        """adjacency() of a walk."""
+        forward, backward = WALKS[name]
+        way = ((F.col("dir") == 0) & F.col("type").isin(*forward)) | ((F.col("dir") == 1) & F.col("type").isin(*backward))
+        return self.steps.where(way & (F.col("confidence") >= min_confidence)).drop("confidence")
+
+    def update(self, opened: DataFrame, closed: DataFrame, cis: DataFrame, edges: DataFrame) -> Projection:
+        """The projection after some edges opened and some closed, given the open cis and edges after it. A new version of an edge is
+        among both. Edges of items that were closed must be among `closed`, those of items that opened among `opened`.
+
+        The steps table is changed in place: buckets that hold an end of a changed edge are written anew, the others aren't touched or read."""
+        spark = cis.sparkSession
+        nodes, links = written(cis, "nodes"), written(edges, "edges")
+        key = ["type", "from_id", "to_id", "edge_key"]
+        ends = opened.select(*key).unionByName(closed.select(*key)).select(F.explode(F.array("from_id", "to_id")).alias("src"))
+        touched = [r.b for r in ends.select(F.pmod(F.hash("src"), F.lit(self.buckets)).alias("b")).distinct().collect()]  # `buckets` numbers at most
+        if not touched:
+            return Projection(nodes, links, self.table, self.buckets)
+        now = spark.table(self.table).where(F.col("bucket").isin(touched))
+        rest = now.drop("bucket").join(closed.select(*key).distinct(), key, "left_anti")
+        # Both steps of an edge are made; each bucket takes its own.
+        after = rest.unionByName(directed(opened, nodes)).withColumn("bucket", F.pmod(F.hash("src"), F.lit(self.buckets)))
+        empty = spark.createDataFrame([(b,) for b in touched], "bucket int").join(after.select("bucket").distinct(), "bucket", "left_anti")
+        fresh = written(after, "buckets")
+        gone = [r.bucket for r in empty.collect()]
+        columns = spark.table(self.table).columns
+        dealt = fresh.select(*columns).repartition(self.buckets, "src")
+        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            dealt.write.insertInto(self.table, overwrite=True)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        for b in gone:  # overwriting by partition leaves one alone that has no rows any more
+            spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (bucket = {b}) PURGE")
+        discard(fresh)
+        return Projection(nodes, links, self.table, self.buckets)
+
+    def drop(self) -> None:
+        spark = self.nodes.sparkSession
+        discard(self.nodes, self.edges)
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
 def neighbours(adj: DataFrame) -> DataFrame:
     """(src, dst, dir, type, edge_key, from_id, to_id): parallel steps are one, the least (dir, type, edge_key)."""
     best = adj.groupBy("src", "dst").agg(F.min(F.struct("dir", "type", "edge_key", "from_id", "to_id")).alias("s"))
@@ -42,31 +121,94 @@ def capped(adj: DataFrame, max_fanout: int | None, degree: bool = False) -> Data
     return out.join(best.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src") if degree else out
 
 
-def bfs(adj: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(seed, node, distance, ranks, hops) of all nodes within max_depth steps of each seed, itself at 0.
+def bfs(adj: DataFrame, seeds: DataFrame, max_depth: int, parents: bool = False, kept: bool = False) -> DataFrame:
+    """(seed, node, distance) of all nodes within max_depth steps of each seed, itself at 0; with parents also (order, parent, dir, type):
+    the step that leads to the node on the path that a queue would find first, which is the one of the least sequence of ranks.
 
-    adj is capped(). A node keeps the path that a queue would find first: the least sequence of ranks. Levels expand
-    all seeds together, drop what was visited, and are written, so a level's plan doesn't grow with its depth."""
-    hop = "array<struct<type:string,from_id:string,to_id:string,src:string,dst:string>>"
-    step = adj.select("src", "dst", "rank", F.struct("type", "from_id", "to_id", "src", "dst").alias("hop"))
-    start = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.array().cast("array<int>").alias("ranks"), F.array().cast(hop).alias("hops")).distinct()
-    visited = frontier = start
-    if max_depth > 1:
+    adj is capped(). All seeds are expanded together, level by level. A row holds no path: `order` is the sequence of ranks, eight digits
+    a step, and paths are rebuilt from parents by chained(). Levels are written, so a level's plan doesn't grow with its depth, and deleted
+    when the result is. With kept, adj comes from a bucketed table and only the neighbours of the level's nodes are read from it again;
+    else it is written once."""
+    none = F.lit(None).cast("string")
+    own = {"order": F.lit(""), "parent": none, "dir": F.lit(None).cast("int"), "type": none} if parents else {}
+    step = adj.select("src", "dst", *(["rank", "dir", "type"] if parents else []))
+    scratch = []
+    if max_depth > 1 and not kept:
         step = written(step, "steps")
+        scratch.append(step)
+    frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node")).distinct().withColumn("distance", F.lit(0)).withColumns(own)
+    visited = frontier
     for depth in range(1, max_depth + 1):
-        grown = frontier.join(step, frontier.node == step.src).select(
-            "seed", F.col("dst").alias("node"), F.struct(F.concat("ranks", F.array("rank")).alias("ranks"), F.concat("hops", F.array("hop")).alias("hops")).alias("p")
-        )
-        first = grown.groupBy("seed", "node").agg(F.min("p").alias("p"))
-        new = first.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(depth).alias("distance"), "p.ranks", "p.hops")
-        if depth < max_depth:
-            frontier = written(new, "level")
-            if frontier.isEmpty():
-                break
+        here = step.join(frontier.select(F.col("node").alias("src")).distinct(), "src", "left_semi") if kept else step
+        grown = frontier.select("seed", F.col("node").alias("src"), *(["order"] if parents else [])).join(here, "src")
+        if parents:
+            order = F.concat("order", F.lpad(F.hex("rank"), 8, "0"))
+            p = F.struct(order.alias("order"), F.col("src").alias("parent"), "dir", "type")
+            first = grown.groupBy("seed", F.col("dst").alias("node")).agg(F.min(p).alias("p")).select("seed", "node", F.lit(depth).alias("distance"), "p.*")
         else:
-            frontier = new
+            first = grown.select("seed", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(depth))
+        new = first.join(visited.select("seed", "node"), ["seed", "node"], "left_anti")
+        if depth == max_depth:
+            visited = visited.unionByName(new)
+            break
+        frontier, found = counted(new, "level")
+        scratch.append(frontier)
+        if not found:
+            break
+        visited = visited.unionByName(frontier)
+    if not max_depth:
+        return visited
+    out = written(visited, "reached")
+    discard(*scratch)
+    return out
+
+
+def nearest(adj: DataFrame, sources: DataFrame, max_depth: int, buckets: int | None = None) -> DataFrame:
+    """(node, distance, source, parent, dir, type) of nodes from which a source lies within max_depth steps along adj: the nearest one, the least id of
+    equally near ones, and the first step of the path to it, which is the one of the least sequence of ranks.
+
+    All sources are searched at once, against the steps. A node has one row whatever the number of sources and of nodes that look for one,
+    so a level is never more than the nodes; the least source of a node is the least of its neighbours one step nearer, and any such neighbour
+    of that source lies on a shortest path to it. adj is capped(), and is bucketed once by where its steps lead to."""
+    spark, none = adj.sparkSession, F.lit(None).cast("string")
+    back = bucketed(adj.select("src", "dst", "rank", "dir", "type"), "back", "dst", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    step = spark.table(back)
+    frontier = sources.select(F.col("id").alias("node"), F.lit(0).alias("distance"), F.col("id").alias("source"), none.alias("parent"), F.lit(None).cast("int").alias("dir"), none.alias("type")).dropDuplicates(["node"])
+    visited, scratch = frontier, []
+    for depth in range(1, max_depth + 1):
+        grown = frontier.select(F.col("node").alias("dst"), "source").join(step, "dst")
+        p = F.struct("source", "rank", F.col("dst").alias("parent"), "dir", "type")
+        best = grown.groupBy(F.col("src").alias("node")).agg(F.min(p).alias("p"))
+        new = best.join(visited.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("distance"), "p.source", "p.parent", "p.dir", "p.type")
+        frontier, found = counted(new, "level")
+        scratch.append(frontier)
         visited = visited.unionByName(frontier)
-    return visited
+        if not found:
+            break
+    out = written(visited, "nearest")
+    discard(step, *scratch)
+    spark.sql(f"DROP TABLE {back}")
+    return out
+
+
+def hop(extra: tuple[str, ...] = ()) -> Column:
+    """The step from parent to node as its edge (type, from_id, to_id): dir says whether it was walked against it."""
+    along = F.col("dir") == 0
+    return F.struct("type", F.when(along, F.col("parent")).otherwise(F.col("node")).alias("from_id"), F.when(along, F.col("node")).otherwise(F.col("parent")).alias("to_id"), *extra)
+
+
+def chained(wanted: DataFrame, predecessors: DataFrame, key: list[str], max_depth: int) -> DataFrame:
+    """wanted, rows of key and `node`, with `hops`: those that lead to node by its predecessors (key, node, parent, hop), the nearest to it last.
+
+    One look-up a hop, of the wanted rows alone, so no path is carried through a search or made for a node that isn't asked for."""
+    # A node without a parent, where paths begin, has no row, and the look-up of a path that is complete finds nothing.
+    step = predecessors.where("parent is not null").select(*key, F.col("node").alias("_at"), F.col("parent").alias("_up"), F.col("hop").alias("_hop"))
+    none = F.array().cast(ArrayType(step.schema["_hop"].dataType))
+    out = wanted.withColumn("_at", F.col("node")).withColumn("hops", none)
+    for _ in range(max_depth):
+        out = out.join(step, [*key, "_at"], "left").withColumn("hops", F.when(F.col("_hop").isNull(), F.col("hops")).otherwise(F.concat(F.array("_hop"), "hops")))
+        out = out.withColumn("_at", F.col("_up")).drop("_up", "_hop")
+    return out.drop("_at")
 
 
 def supernodes(adj_uncapped: DataFrame, reached: DataFrame, max_depth: int, max_fanout: int) -> DataFrame:

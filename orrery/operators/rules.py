@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.confidence import canonical_id
 from ..schema import ACCESS_BREADTH, DATABASE_TYPES, MONTHLY_QUOTA, STALE_SECONDS
-from . import traversal
+from . import graph, traversal
 
 INTERNET_DATABASE = ("internet_reachable_database", "critical", "Database reachable from the internet")
 BROAD_ACCESS = ("over_permissive_iam_role", "high", "Principal with access to many resources")
@@ -17,13 +17,11 @@ PUBLIC_DATABASE = ("anomaly_public_ip_on_database", "critical", "Database became
 OPEN_GROUP = ("anomaly_security_group_opened_to_world", "high", "Security group opened to the world")
 
 
-def internet_databases(cis: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("rds",), max_depth: int = 6, max_fanout: int = 1000) -> DataFrame:
-    """(subject_ci_id, internet_id, distance, path): databases that an internet node reaches, by the nearest one. One search
-    serves all databases, keyed by target."""
+def internet_databases(cis: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("rds",), max_depth: int = 6, max_fanout: int = 1000, kept: graph.Projection | None = None) -> DataFrame:
+    """(subject_ci_id, internet_id, distance, path): databases that an internet node reaches, by the nearest one. One search from the internet
+    serves all databases."""
     targets = cis.where(F.col("type").isin(*types)).select("id")
-    found = traversal.reachability(cis, edges, targets, max_depth, 0.0, max_fanout).where("is_internet")
-    best = found.groupBy("seed").agg(F.min(F.struct("distance", "id", "path")).alias("b"))
-    return best.select(F.col("seed").alias("subject_ci_id"), F.col("b.id").alias("internet_id"), F.col("b.distance").alias("distance"), F.col("b.path").alias("path"))
+    return traversal.nearest_internet(cis, edges, targets, max_depth, 0.0, max_fanout, kept).withColumnRenamed("seed", "subject_ci_id")
 
 
 def broad_access(cis: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("iam_role", "iam_user"), least: int = ACCESS_BREADTH) -> DataFrame:
@@ -33,15 +31,19 @@ def broad_access(cis: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("ia
     return held.where(F.size("targets") >= least).select(F.col("from_id").alias("subject_ci_id"), F.size("targets").cast("long").alias("target_count"), "targets")
 
 
-def public_databases(cis: DataFrame, edges: DataFrame, changes: DataFrame, types: tuple[str, ...] = DATABASE_TYPES, max_depth: int = 6, max_fanout: int = 1000) -> DataFrame:
+DATABASE_EDGES = ("CONNECTS_TO", "EXPOSES", "ROUTES_TO", "RESOLVES_TO")
+
+
+def public_databases(cis: DataFrame, edges: DataFrame, changes: DataFrame, types: tuple[str, ...] = DATABASE_TYPES, max_depth: int = 6, max_fanout: int = 1000, kept: graph.Projection | None = None) -> DataFrame:
     """(subject_ci_id, triggers): databases that changed, or got a new edge that leads to them, among `changes`, and that an
     internet node reaches now."""
     databases = cis.where(F.col("type").isin(*types)).select("id")
-    edge_hit = changes.where("entity = 'edge' and kind = 'created'").where(F.col("type").isin("CONNECTS_TO", "EXPOSES", "ROUTES_TO", "RESOLVES_TO")).select(F.col("to_id").alias("id"))
+    edge_hit = changes.where("entity = 'edge' and kind = 'created'").where(F.col("type").isin(*DATABASE_EDGES)).select(F.col("to_id").alias("id"))
     own_hit = changes.where("entity = 'ci' and kind in ('created', 'updated')").select("id")
     hit = edge_hit.unionByName(own_hit).join(databases, "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("triggers"))
-    reached = internet_databases(cis, edges, types, max_depth, max_fanout)
-    return hit.join(reached, hit.id == reached.subject_ci_id).select("subject_ci_id", "triggers")
+    # Only what was hit is looked for, so paths are made for no other database.
+    reached = traversal.nearest_internet(cis, edges, hit.select("id"), max_depth, 0.0, max_fanout, kept)
+    return hit.join(reached.select(F.col("seed").alias("id")), "id", "left_semi").select(F.col("id").alias("subject_ci_id"), "triggers")
 
 
 def opened_groups(cis: DataFrame, changes: DataFrame, group_type: str = "security_group") -> DataFrame:

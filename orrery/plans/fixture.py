@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.confidence import for_observations
+from ..operators.graph import Projection
 
 TENANT = "acme"
 
@@ -38,11 +41,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     contains = row(nation, "CONTAINS", _key("region", "n_regionkey"), _key("vpc", "n_nationkey"))
     contains = contains.unionByName(row(customer, "CONTAINS", _key("vpc", "c_nationkey"), _key("ec2_instance", "c_custkey"))).unionByName(row(supplier, "CONTAINS", _key("vpc", "s_nationkey"), _key("elb", "s_suppkey")))
-    routes = row(line.where("l_returnflag = 'R' and l_linenumber = 1").select("l_suppkey", "l_partkey").distinct(), "ROUTES_TO", _key("elb", "l_suppkey"), _key("rds", "l_partkey"))
-    ordered = line.where("l_linenumber = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    routes = row(line.where("l_returnflag = 'R'").select("l_suppkey", "l_partkey").distinct(), "ROUTES_TO", _key("elb", "l_suppkey"), _key("rds", "l_partkey"))
+    ordered = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
     depends = row(ordered, "DEPENDS_ON", _key("ec2_instance", "o_custkey"), _key("rds", "l_partkey"), "inferred", for_observations(F.col("n")))
-    access = line.where("l_linenumber = 2").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
-    granted = row(access, "HAS_ACCESS_TO", _key("ec2_instance", "o_custkey"), _key("rds", "l_partkey"))
+    granted = row(ordered, "HAS_ACCESS_TO", _key("ec2_instance", "o_custkey"), _key("rds", "l_partkey"))
     public = row(supplier.where("s_acctbal > 8000"), "CONNECTS_TO", F.lit("internet:0"), _key("elb", "s_suppkey"))
     talk = flows(spark, sf_dir).where("action = 'ACCEPT'").select("src", "dst").distinct()
     talked = row(talk, "CONNECTS_TO", _key("ec2_instance", "src"), _key("ec2_instance", "dst"), "inferred", F.lit(0.6))
@@ -51,6 +53,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumns({"evidence": evidence, "tenant_id": F.lit(TENANT)})
 
 
+@functools.cache
+def _kept(application: str, spark: SparkSession, sf_dir: str) -> Projection:
+    return Projection.build(cis(spark, sf_dir), edges(spark, sf_dir))
+
+
+def kept(spark: SparkSession, sf_dir: str) -> Projection:
+    """The graph of the tables as a projection, built once a session, as a graph that is searched many times is. The tables are read-only."""
+    return _kept(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, src, dst, action, at) of events as traffic."""
     e = read(spark, sf_dir, "events")

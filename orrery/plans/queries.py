@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
@@ -29,108 +29,112 @@ def _seed(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return fx.cis(spark, sf_dir), fx.edges(spark, sf_dir)
+def _graph(spark: SparkSession, sf_dir: str) -> dict:
+    """The projection, and its open items and edges: the first arguments of a search."""
+    kept = fx.kept(spark, sf_dir)
+    return {"cis": kept.nodes, "edges": kept.edges, "kept": kept}
 
 
 def _sql(tail: str, walk: str, seeds: str, depth: int, least: float = 0.0, cap: int | None = 1000, path: bool = False) -> str:
-    parts = [sql.CI, sql.EDGE, sql.adjacency(walk, least, cap), sql.reached(seeds, depth)] + ([sql.paths(depth)] if path else [])
-    return sql.with_(*parts, recursive=True) + tail
+    return sql.with_(sql.CI, sql.EDGE, sql.adjacency(walk, least, cap), sql.paths(seeds, depth) if path else sql.reached(seeds, depth), recursive=not path) + tail
+
+
+def _hops(path: str) -> Column:
+    return F.array_join(F.transform(path, lambda h: F.concat_ws("|", h["type"], h["from_id"], h["to_id"])), " > ")
 
 
 REGION, PARTS = "SELECT 'region:0' AS id", "SELECT id FROM ci WHERE id IN ('rds:5','rds:7','rds:11')"
 FOUND = "SELECT seed, id, type, name, distance FROM dist JOIN ci ON id = node WHERE distance > 0"
+NEAR = sql.with_(sql.CI, sql.EDGE, sql.adjacency("reach"), sql.internet(6), recursive=True)
 
 # Traversal
 
 
 @query(_sql(FOUND, "impact", REGION, 4))
 def blast_radius(spark, sf_dir):
-    return traversal.blast_radius(*_graph(spark, sf_dir), _seed(spark, "region:0"))
+    return traversal.blast_radius(seeds=_seed(spark, "region:0"), **_graph(spark, sf_dir))
 
 
 @query(_sql(FOUND, "impact", REGION, 4, 0.7, 20))
 def blast_radius_capped(spark, sf_dir):
-    return traversal.blast_radius(*_graph(spark, sf_dir), _seed(spark, "region:0"), min_confidence=0.7, max_fanout=20)
+    return traversal.blast_radius(seeds=_seed(spark, "region:0"), min_confidence=0.7, max_fanout=20, **_graph(spark, sf_dir))
 
 
 @query(_sql("SELECT DISTINCT seed, node AS id, degree, distance AS depth FROM dist JOIN ranked ON src = node WHERE distance < 4 AND degree > 20", "impact", REGION, 4, 0.0, 20))
 def supernodes(spark, sf_dir):
-    return traversal.truncated(*_graph(spark, sf_dir), _seed(spark, "region:0"), max_fanout=20)
+    return traversal.truncated(seeds=_seed(spark, "region:0"), max_fanout=20, **_graph(spark, sf_dir))
 
 
 @query(sql.with_(sql.CI, sql.EDGE, sql.adjacency("impact", 0.8)) + "SELECT src, dst, dir, type FROM step")
 def g_neighbors(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    return graph.adjacency(edges, "impact", 0.8, cis).select("src", "dst", "dir", "type")
+    return fx.kept(spark, sf_dir).walk("impact", 0.8).select("src", "dst", "dir", "type")
 
 
 @query(sql.with_(sql.CI, sql.EDGE, sql.adjacency("impact", 0.0, 20)) + "SELECT src, dst, dir, type, CAST(rank AS INTEGER) AS rank, degree FROM adj")
 def g_fanout_cap(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    return graph.capped(graph.adjacency(edges, "impact", 0.0, cis), 20, degree=True).select("src", "dst", "dir", "type", "rank", "degree")
+    return graph.capped(fx.kept(spark, sf_dir).walk("impact"), 20, degree=True).select("src", "dst", "dir", "type", "rank", "degree")
 
 
 @query(sql.with_(sql.CI, sql.EDGE, sql.adjacency("reach")) + "SELECT src, dst, type FROM one")
 def g_reach_neighbors(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    return graph.neighbours(graph.adjacency(edges, "reach", 0.0, cis)).select("src", "dst", "type")
+    return graph.neighbours(fx.kept(spark, sf_dir).walk("reach")).select("src", "dst", "type")
 
 
 @query(sql.with_(sql.CI, sql.EDGE, sql.adjacency("upstream")) + "SELECT src, dst, dir, type FROM one")
 def g_upstream_neighbors(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    return graph.neighbours(graph.adjacency(edges, "upstream", 0.0, cis)).select("src", "dst", "dir", "type")
+    return graph.neighbours(fx.kept(spark, sf_dir).walk("upstream")).select("src", "dst", "dir", "type")
 
 
-@query(_sql("SELECT seed, node, distance FROM dist", "impact", "SELECT id FROM ci WHERE type = 'region'", 3))
+@query(_sql("SELECT seed, node, distance FROM dist", "impact", "SELECT id FROM ci WHERE type = 'region'", 4))
 def g_bfs(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    adj = graph.capped(graph.adjacency(edges, "impact", 0.0, cis), 1000)
-    return graph.bfs(adj, cis.where("type = 'region'").select("id"), 3).select("seed", "node", "distance")
+    kept = fx.kept(spark, sf_dir)
+    return graph.bfs(graph.capped(kept.walk("impact"), 1000), kept.nodes.where("type = 'region'").select("id"), 4, kept=True).select("seed", "node", "distance")
 
 
 @query(_sql("SELECT seed, id, type, name, distance, type = 'internet' AS is_internet FROM dist JOIN ci ON id = node WHERE distance > 0", "reach", PARTS, 6))
 def reachability(spark, sf_dir):
-    return traversal.reachability(*_graph(spark, sf_dir), _seed(spark, "rds:5", "rds:7", "rds:11")).drop("path")
+    return traversal.reachability(targets=_seed(spark, "rds:5", "rds:7", "rds:11"), **_graph(spark, sf_dir)).drop("path")
 
 
-@query(_sql("SELECT seed, id, distance, array_to_string(list_reverse(hops), ' > ') AS path FROM best JOIN ci ON id = node WHERE distance > 0", "reach", PARTS, 3, path=True))
+@query(_sql("SELECT seed, id, distance, array_to_string(list_reverse(hops), ' > ') AS path FROM best JOIN ci ON id = node WHERE distance > 0", "reach", PARTS, 6, path=True))
 def reachability_paths(spark, sf_dir):
-    found = traversal.reachability(*_graph(spark, sf_dir), _seed(spark, "rds:5", "rds:7", "rds:11"), max_depth=3)
-    return found.select("seed", "id", "distance", F.array_join(F.transform("path", lambda h: F.concat_ws("|", h["type"], h["from_id"], h["to_id"])), " > ").alias("path"))
+    found = traversal.reachability(targets=_seed(spark, "rds:5", "rds:7", "rds:11"), **_graph(spark, sf_dir))
+    return found.select("seed", "id", "distance", _hops("path").alias("path"))
 
 
-@query(_sql("SELECT seed, bool_or(type = 'internet') AS reached_by_internet FROM dist JOIN ci ON id = node WHERE distance > 0 GROUP BY seed", "reach", "SELECT id FROM ci WHERE type = 'rds'", 2))
+@query(NEAR + "SELECT id AS seed, id IN (SELECT node FROM far) AS reached_by_internet FROM ci WHERE type = 'rds'")
 def reach_internet(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    return traversal.reached_by_internet(traversal.reachability(cis, edges, cis.where("type = 'rds'").select("id"), max_depth=2))
+    g = _graph(spark, sf_dir)
+    return traversal.exposure(targets=g["cis"].where("type = 'rds'").select("id"), **g)
 
 
-@query(_sql("SELECT b.seed, b.id, CAST(generate_subscripts AS INTEGER) - 1 AS pos, split_part(h, '|', 1) AS type, split_part(h, '|', 2) AS from_id, split_part(h, '|', 3) AS to_id, e.confidence FROM (SELECT seed, node AS id, unnest(list_reverse(hops)) AS h, generate_subscripts(hops, 1) AS generate_subscripts FROM best WHERE distance > 0) b JOIN edge e ON e.type = split_part(h, '|', 1) AND e.from_id = split_part(h, '|', 2) AND e.to_id = split_part(h, '|', 3)", "reach", PARTS, 2, path=True))
+@query(_sql("""SELECT b.seed, b.id, b.pos, split_part(h, '|', 1) AS type, split_part(h, '|', 2) AS from_id, split_part(h, '|', 3) AS to_id, e.source, e.confidence, 'fixture/2024-01-01' AS evidence
+ FROM (SELECT seed, node AS id, unnest(list_reverse(hops)) AS h, CAST(generate_subscripts(hops, 1) - 1 AS INTEGER) AS pos FROM best WHERE distance > 0) b
+ JOIN edge e ON e.type = split_part(h, '|', 1) AND e.from_id = split_part(h, '|', 2) AND e.to_id = split_part(h, '|', 3)""", "reach", PARTS, 6, path=True))
 def g_hop_lookup(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    found = traversal.reachability(cis, edges, _seed(spark, "rds:5", "rds:7", "rds:11"), max_depth=2)
-    return traversal.with_hop_evidence(found, edges, ["seed", "id"]).select("seed", "id", "pos", "type", "from_id", "to_id", "confidence")
+    g = _graph(spark, sf_dir)
+    found = traversal.reachability(targets=_seed(spark, "rds:5", "rds:7", "rds:11"), **g)
+    told = F.array_join(F.transform("evidence", lambda e: F.concat_ws("/", e["source"], F.date_format(e["observed_at"], "yyyy-MM-dd"), e["detail"])), ",")
+    return traversal.with_hop_evidence(found, g["edges"], ["seed", "id"]).withColumn("evidence", told)
 
 
 @query(_sql("SELECT seed, id, type, name, distance FROM dist JOIN ci ON id = node", "upstream", "SELECT 'ec2_instance:1' AS id UNION ALL SELECT 'rds:5'", 3, 0.0, None))
 def rca_neighborhood(spark, sf_dir):
-    return traversal.rca_neighborhood(*_graph(spark, sf_dir), _seed(spark, "ec2_instance:1", "rds:5"))
+    return traversal.rca_neighborhood(targets=_seed(spark, "ec2_instance:1", "rds:5"), **_graph(spark, sf_dir))
 
 
 def _what_if_sql(factor: str) -> str:
-    return _sql(f"SELECT seed, id, type, name, distance, conf * {factor} AS confidence, array_to_string(list_transform(hops, lambda h: split_part(h, '|', 1)), '>') AS hops_text FROM best JOIN ci ON id = node WHERE distance > 0", "impact", "SELECT id FROM ci WHERE id IN ('rds:5','vpc:3')", 3, 0.0, 50, True)
+    return _sql(f"SELECT seed, id, type, name, distance, conf * {factor} AS confidence, array_to_string(list_transform(hops, lambda h: split_part(h, '|', 1)), '>') AS hops_text FROM best JOIN ci ON id = node WHERE distance > 0", "impact", "SELECT id FROM ci WHERE id IN ('rds:5','vpc:3')", 4, 0.0, 1000, True)
 
 
 @query(_what_if_sql("1.0"))
 def whatif_remove(spark, sf_dir):
-    return traversal.what_if(*_graph(spark, sf_dir), _seed(spark, "rds:5", "vpc:3"), "remove", max_depth=3, max_fanout=50)
+    return traversal.what_if(seeds=_seed(spark, "rds:5", "vpc:3"), change_kind="remove", **_graph(spark, sf_dir))
 
 
 @query(_what_if_sql("0.5"))
 def whatif_modify(spark, sf_dir):
-    return traversal.what_if(*_graph(spark, sf_dir), _seed(spark, "rds:5", "vpc:3"), "modify", max_depth=3, max_fanout=50)
+    return traversal.what_if(seeds=_seed(spark, "rds:5", "vpc:3"), change_kind="modify", **_graph(spark, sf_dir))
 
 
 INCIDENT = "2024-01-20 12:00:00"
@@ -144,8 +148,7 @@ _RCA = (
 
 @query(_RCA)
 def rca(spark, sf_dir):
-    cis, edges = _graph(spark, sf_dir)
-    near = traversal.rca_neighborhood(cis, edges, _seed(spark, "region:0", "ec2_instance:1"))
+    near = traversal.rca_neighborhood(targets=_seed(spark, "region:0", "ec2_instance:1"), **_graph(spark, sf_dir))
     until = F.lit(INCIDENT).cast("timestamp_ntz")
     feed = temporal.changes(fx.versions(spark, sf_dir), "ci", until - F.expr("interval 24 hours"), until).withColumn("id", F.concat(F.lit("ec2_instance:"), "id"))
     found = traversal.root_cause(near, feed, until)
@@ -154,12 +157,14 @@ def rca(spark, sf_dir):
 
 @query(sql.with_(sql.CI) + "SELECT id, type, external_id, name FROM ci ORDER BY type, external_id, id LIMIT 500")
 def topology_nodes(spark, sf_dir):
-    return traversal.topology(*_graph(spark, sf_dir))[0].select("id", "type", "external_id", "name")
+    kept = fx.kept(spark, sf_dir)
+    return traversal.topology(kept.nodes, kept.edges)[0].select("id", "type", "external_id", "name")
 
 
 @query(sql.with_(sql.CI, sql.EDGE, "top AS (SELECT id FROM ci ORDER BY type, external_id, id LIMIT 2000)") + "SELECT type, from_id, to_id FROM edge WHERE from_id IN (SELECT id FROM top) AND to_id IN (SELECT id FROM top)")
 def topology_edges(spark, sf_dir):
-    return traversal.topology(*_graph(spark, sf_dir), 2000)[1].select("type", "from_id", "to_id")
+    kept = fx.kept(spark, sf_dir)
+    return traversal.topology(kept.nodes, kept.edges, 2000)[1].select("type", "from_id", "to_id")
 
 
 # Temporal reads
@@ -346,14 +351,15 @@ def retention_kept(spark, sf_dir):
 # Rules
 
 
-@query(_sql("SELECT seed AS subject_ci_id, CAST(min(distance) AS INTEGER) AS distance FROM dist JOIN ci ON id = node WHERE type = 'internet' GROUP BY seed", "reach", "SELECT id FROM ci WHERE type = 'rds'", 2))
+@query(NEAR + "SELECT node AS subject_ci_id, 'internet:0' AS internet_id, distance, path FROM near JOIN ci ON id = node WHERE type = 'rds'")
 def rule_internet_db(spark, sf_dir):
-    return rules.internet_databases(*_graph(spark, sf_dir), max_depth=2).select("subject_ci_id", "distance")
+    return rules.internet_databases(**_graph(spark, sf_dir)).withColumn("path", _hops("path"))
 
 
 @query(sql.with_(sql.CI, sql.EDGE) + "SELECT from_id AS subject_ci_id, count(DISTINCT to_id) AS target_count, string_agg(DISTINCT to_id, ',' ORDER BY to_id) AS targets FROM edge JOIN ci ON id = from_id WHERE edge.type = 'HAS_ACCESS_TO' AND ci.type = 'ec2_instance' GROUP BY from_id HAVING count(DISTINCT to_id) >= 10")
 def rule_iam_breadth(spark, sf_dir):
-    found = rules.broad_access(*_graph(spark, sf_dir), types=("ec2_instance",))
+    kept = fx.kept(spark, sf_dir)
+    found = rules.broad_access(kept.nodes, kept.edges, types=("ec2_instance",))
     return found.withColumn("targets", F.array_join("targets", ","))
 
 
@@ -364,15 +370,16 @@ def anom_sg_world(spark, sf_dir):
 
 
 def _part_changes(spark, sf_dir) -> DataFrame:
-    e = fx.read(spark, sf_dir, "events").where("event_id % 7 = 0")
+    """Each event as a new edge that leads to a part, of a type that matters but for views."""
+    e = fx.read(spark, sf_dir, "events")
     none = F.lit(None).cast("string")
     part = F.concat(F.lit("rds:"), F.get_json_object("props", "$.k"))
     return e.select(F.lit("edge").alias("entity"), F.lit("created").alias("kind"), F.col("ts").alias("at"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "view", "OWNS").otherwise("ROUTES_TO").alias("type"), none.alias("name"), none.alias("from_id"), part.alias("to_id"))
 
 
-@query(_sql("SELECT e.id AS subject_ci_id, e.triggers FROM (SELECT 'rds:' || json_extract_string(props,'$.k') AS id, count(*) AS triggers FROM events WHERE event_id % 7 = 0 AND event_type <> 'view' GROUP BY 1) e WHERE e.id IN (SELECT seed FROM dist JOIN ci ON ci.id = node WHERE type = 'internet')", "reach", "SELECT id FROM ci WHERE type = 'rds'", 2))
+@query(NEAR + "SELECT 'rds:' || json_extract_string(props, '$.k') AS subject_ci_id, count(*) AS triggers FROM events WHERE event_type <> 'view' AND 'rds:' || json_extract_string(props, '$.k') IN (SELECT node FROM far JOIN ci ON id = node WHERE type = 'rds') GROUP BY 1")
 def anom_public_db(spark, sf_dir):
-    return rules.public_databases(*_graph(spark, sf_dir), _part_changes(spark, sf_dir), max_depth=2)
+    return rules.public_databases(changes=_part_changes(spark, sf_dir), **_graph(spark, sf_dir))
 
 
 @query("SELECT 'r' AS rule_id, CAST(p_partkey AS VARCHAR) AS subject_ci_id, CASE WHEN p_size > 25 AND p_retailprice > 1000 THEN 'keep' WHEN p_size > 25 THEN 'resolve' ELSE 'open' END AS action FROM part WHERE p_size > 25 OR p_retailprice > 1000")

@@ -17,9 +17,9 @@ EDGE = FLOW + """, edge AS (
  SELECT 'CONTAINS' AS type, 'region:'||n_regionkey AS from_id, 'vpc:'||n_nationkey AS to_id, 'declared' AS source, CAST(1.0 AS DOUBLE) AS confidence FROM nation
  UNION ALL SELECT 'CONTAINS', 'vpc:'||c_nationkey, 'ec2_instance:'||c_custkey, 'declared', 1.0 FROM customer
  UNION ALL SELECT 'CONTAINS', 'vpc:'||s_nationkey, 'elb:'||s_suppkey, 'declared', 1.0 FROM supplier
- UNION ALL SELECT DISTINCT 'ROUTES_TO', 'elb:'||l_suppkey, 'rds:'||l_partkey, 'declared', 1.0 FROM lineitem WHERE l_returnflag='R' AND l_linenumber=1
- UNION ALL SELECT 'DEPENDS_ON', 'ec2_instance:'||o_custkey, 'rds:'||l_partkey, 'inferred', 1.0 - (1.0 - CAST(0.6 AS DOUBLE)) * pow(0.5, count(*) - 1) FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber=1 GROUP BY o_custkey, l_partkey
- UNION ALL SELECT DISTINCT 'HAS_ACCESS_TO', 'ec2_instance:'||o_custkey, 'rds:'||l_partkey, 'declared', 1.0 FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_linenumber=2
+ UNION ALL SELECT DISTINCT 'ROUTES_TO', 'elb:'||l_suppkey, 'rds:'||l_partkey, 'declared', 1.0 FROM lineitem WHERE l_returnflag='R'
+ UNION ALL SELECT 'DEPENDS_ON', 'ec2_instance:'||o_custkey, 'rds:'||l_partkey, 'inferred', 1.0 - (1.0 - CAST(0.6 AS DOUBLE)) * pow(0.5, count(*) - 1) FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY o_custkey, l_partkey
+ UNION ALL SELECT DISTINCT 'HAS_ACCESS_TO', 'ec2_instance:'||o_custkey, 'rds:'||l_partkey, 'declared', 1.0 FROM lineitem JOIN orders ON l_orderkey=o_orderkey
  UNION ALL SELECT 'CONNECTS_TO', 'internet:0', 'elb:'||s_suppkey, 'declared', 1.0 FROM supplier WHERE s_acctbal > 8000
  UNION ALL SELECT DISTINCT 'CONNECTS_TO', 'ec2_instance:'||src, 'ec2_instance:'||dst, 'inferred', CAST(0.6 AS DOUBLE) FROM flow WHERE action='ACCEPT')"""
 
@@ -48,12 +48,27 @@ def reached(seeds: str, depth: int) -> str:
  dist AS (SELECT seed, node, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY seed, node)"""
 
 
-def paths(depth: int) -> str:
-    """best(seed, node, distance, hops, conf): of all shortest paths the one of the least sequence of ranks."""
-    return f"""trail AS (SELECT seed, node, distance, CAST([] AS BIGINT[]) AS ranks, CAST([] AS VARCHAR[]) AS hops, CAST(1.0 AS DOUBLE) AS conf FROM dist WHERE distance = 0
-  UNION ALL SELECT t.seed, a.dst, t.distance + 1, list_append(t.ranks, a.rank), list_append(t.hops, a.type || '|' || a.from_id || '|' || a.to_id), t.conf * a.confidence
-  FROM trail t JOIN adj a ON a.src = t.node JOIN dist x ON x.seed = t.seed AND x.node = a.dst AND x.distance = t.distance + 1 WHERE t.distance < {depth}),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed, node ORDER BY ranks) AS n FROM trail) WHERE n = 1)"""
+def paths(seeds: str, depth: int) -> str:
+    """best(seed, node, distance, hops, conf), level by level as a queue goes: within a seed, nodes stand in the order in which they came, and a
+    node comes by the first in the queue that has it as a neighbour."""
+    levels = [f"lv0 AS MATERIALIZED (SELECT id AS seed, id AS node, 0 AS distance, CAST(1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS hops, CAST(1.0 AS DOUBLE) AS conf FROM ({seeds}))"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT seed, node FROM lv{j}" for j in range(k))
+        levels.append(
+            f"""lv{k} AS MATERIALIZED (SELECT seed, node, {k} AS distance, row_number() OVER (PARTITION BY seed ORDER BY before, rank) AS pos, hops, conf FROM
+ (SELECT l.seed, a.dst AS node, l.pos AS before, a.rank, list_append(l.hops, a.type || '|' || a.from_id || '|' || a.to_id) AS hops, l.conf * a.confidence AS conf,
+  row_number() OVER (PARTITION BY l.seed, a.dst ORDER BY l.pos, a.rank) AS n FROM lv{k - 1} l JOIN adj a ON a.src = l.node ANTI JOIN ({seen}) v ON v.seed = l.seed AND v.node = a.dst) WHERE n = 1)"""
+        )
+    return ", ".join(levels) + ", best AS (" + " UNION ALL ".join(f"SELECT * FROM lv{k}" for k in range(depth + 1)) + ")"
+
+
+def internet(depth: int) -> str:
+    """near(node, distance, path): nodes that internet:0 reaches, found from there against adj of the walk `reach`; path runs from
+    it to the node, at each node by the neighbour of the least rank among those one step nearer."""
+    return f"""toward AS (SELECT 'internet:0' AS node, 0 AS d UNION SELECT a.src, t.d + 1 FROM toward t JOIN adj a ON a.dst = t.node WHERE t.d < {depth}),
+ far AS (SELECT node, CAST(min(d) AS INTEGER) AS distance FROM toward GROUP BY node),
+ nextstep AS (SELECT src, dst, type || '|' || from_id || '|' || to_id AS hop FROM (SELECT a.*, row_number() OVER (PARTITION BY a.src ORDER BY a.rank) AS nth FROM adj a JOIN far f ON f.node = a.src JOIN far g ON g.node = a.dst WHERE g.distance = f.distance - 1) WHERE nth = 1),
+ near AS (SELECT node, distance, '' AS path FROM far WHERE distance = 0 UNION ALL SELECT s.src, n.distance + 1, n.path || CASE WHEN n.path = '' THEN '' ELSE ' > ' END || s.hop FROM near n JOIN nextstep s ON s.dst = n.node)"""
 
 
 VERSION = """version AS (SELECT CAST(user_id AS VARCHAR) AS id, 'ec2_instance' AS type, event_type AS name, 'internet:0' AS from_id, 'ec2_instance:'||user_id AS to_id, ts AS valid_from, value,

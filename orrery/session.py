@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,14 +31,47 @@ def _own_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix="orrery-")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a Parquet table in the folder of spark.checkpoint.dir (in local mode, if unset, an own one)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; in local mode, if unset, an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = _own_folder(spark.sparkContext.applicationId)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df from a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """written(), and the number of its rows, counted on the way."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
+def bucketed(df: DataFrame, name: str, by: str, buckets: int, partition: str | None = None) -> str:
+    """The name of a table with the rows of df, in the shared folder, bucketed and sorted by a column: joins and groups on it need no
+    shuffle. With partition, a column of that name holds the bucket, so that single buckets can be overwritten."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    # Rows are dealt out by the hash that numbers the buckets, so each has one file.
+    dealt = df.repartition(buckets, by)
+    writer = (dealt.withColumn(partition, F.pmod(F.hash(by), F.lit(buckets))) if partition else dealt).write
+    if partition:
+        writer = writer.partitionBy(partition)
+    writer.bucketBy(buckets, by).sortBy(by).option("path", f"{shared_folder(df.sparkSession)}/{table}").saveAsTable(table)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables from written() that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for file in table.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+            folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
