@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.confidence import canonical_json, iso_timestamp
+from ..operators import events
 from . import common
 
 SOURCE = "kubernetes"
@@ -13,7 +15,8 @@ NODES, NAMESPACES = META, META
 DEPLOYMENTS = f"{META}, spec struct<replicas:int,selector:struct<matchLabels:map<string,string>>>"
 SERVICES = f"{META}, spec struct<type:string,selector:map<string,string>>"
 PODS = f"{META}, spec struct<nodeName:string>, status struct<phase:string>"
-WATCH = f"type string, object struct<kind:string,{META.replace('metadata ', 'metadata:', 1)},spec:struct<nodeName:string,replicas:int,type:string>,status:struct<phase:string>>"
+#: A selector is read as JSON: a Deployment's has the labels one level deeper than a Service's.
+WATCH = "type string, object struct<kind:string,metadata:struct<uid:string,name:string,namespace:string,resourceVersion:string,labels:map<string,string>,creationTimestamp:string>,spec:struct<nodeName:string,selector:string>,status:struct<phase:string>>"
 KINDS = {"Node": "k8s_node", "Namespace": "k8s_namespace", "Deployment": "k8s_workload", "Service": "k8s_service", "Pod": "k8s_pod"}
 
 
@@ -61,18 +64,52 @@ def inventory(cluster: str, nodes: DataFrame, namespaces: DataFrame, deployments
     return items, edges
 
 
-def watch(events: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The delta of watch events, one JSON record in `value` each: ADDED and MODIFIED objects of five kinds are upserts, DELETED
-    ones removals; the rest are `rejected` (value, reason). Edges name namespaces and nodes by name."""
-    read = events.select("value", F.from_json("value", WATCH).alias("w"))
-    type_ = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[F.col("w.object.kind")]
-    reason = F.when(F.col("w.type").isNull(), "unreadable").when(type_.isNull(), "unsupported kind").when(~F.col("w.type").isin("ADDED", "MODIFIED", "DELETED"), "unsupported event").when(F.col("w.object.metadata.uid").isNull(), "no uid")
-    read = read.withColumns({"reason": reason, "t": type_, "uid": F.col("w.object.metadata.uid"), "space": F.col("w.object.metadata.namespace"), "node": F.col("w.object.spec.nodeName")})
-    live = read.where("reason is null and w.type <> 'DELETED'")
-    c = F.col
-    items = common.union(*(common.item(live.where(c("t") == t), t, c("uid"), c("w.object.metadata.name"), None, namespace=c("space"), phase=c("w.object.status.phase")) for t in KINDS.values()))
-    edges = common.union(
-        *(common.edge(live.where(c("t") == t), "CONTAINS", ("k8s_namespace", c("space")), (t, c("uid")), "k8s-events", now) for t in ("k8s_workload", "k8s_service", "k8s_pod")),
-        common.edge(live.where("t = 'k8s_pod'"), "RUNS_ON", ("k8s_pod", c("uid")), ("k8s_node", c("node")), "k8s-events", now),
+def watch_log(records: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(log, rejected) of watch events, one JSON record in `value` each: ADDED and MODIFIED objects of five kinds are upserts, DELETED ones remove the item and
+    the edge that it had. The log (events.LOG) is in the order of column `at`, where there is one, else of now, and of the objects' resource versions.
+    Evidence is as old as the object, or as now. Edges name namespaces and nodes by name."""
+    at = F.col("at") if "at" in records.columns else now
+    c, o = F.col, "w.object"
+    read = records.select("value", at.alias("at"), F.from_json("value", WATCH).alias("w"))
+    type_ = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[c(f"{o}.kind")]
+    reason = F.when(c("w.type").isNull() | c(f"{o}.kind").isNull(), "unreadable").when(c(f"{o}.metadata.uid").isNull(), "no uid").when(type_.isNull(), "unsupported kind").when(~c("w.type").isin("ADDED", "MODIFIED", "DELETED"), "unsupported event")
+    made = iso_timestamp(c(f"{o}.metadata.creationTimestamp"))
+    read = read.withColumns({"reason": reason, "t": type_, "kind": c(f"{o}.kind"), "uid": c(f"{o}.metadata.uid"), "space": F.coalesce(f"{o}.metadata.namespace", F.lit("")), "node": F.nullif(c(f"{o}.spec.nodeName"), F.lit("")), "made": F.coalesce(made, now)})
+    ok = read.where("reason is null").withColumn("seq", F.coalesce(c(f"{o}.metadata.resourceVersion").try_cast("long"), F.lit(0).cast("long")))
+    own = (F.concat_ws("/", "uid", c("seq").cast("string"), "w.type"), c("at"), c("seq"))
+    plain = F.coalesce(F.nullif(c(f"{o}.metadata.name"), F.lit("")), c("uid"))
+    name = F.when(c("kind").isin("Node", "Namespace") | (c("space") == ""), plain).otherwise(F.concat(c("space"), F.lit("/"), plain))
+    none = F.create_map().cast("map<string,string>")
+    attributes = {
+        "Node": F.struct(plain.alias("node_name")),
+        "Namespace": F.struct(F.lit(None).cast("string").alias("none")),
+        "Deployment": F.struct(c("space").alias("namespace"), F.lit("Deployment").alias("kind"), F.coalesce(F.from_json(F.get_json_object(c("w.object.spec.selector"), "$.matchLabels"), "map<string,string>"), none).alias("selector")),
+        "Service": F.struct(c("space").alias("namespace"), F.coalesce(F.from_json(c("w.object.spec.selector"), "map<string,string>"), none).alias("selector")),
+        "Pod": F.struct(c("space").alias("namespace"), c("node").alias("node_name"), c("w.object.status.phase").alias("phase"), F.coalesce(c(f"{o}.metadata.labels"), none).alias("labels")),
+    }
+    told = F.concat(c("w.type"), F.lit(" "), c("kind"), F.lit(" (uid="), c("uid"), F.lit(")"))
+    evidence = F.array(F.struct(F.lit("k8s-events").alias("source"), c("made").alias("observed_at"), told.alias("detail")))
+    live, gone = ok.where("w.type <> 'DELETED'"), ok.where("w.type = 'DELETED'")
+
+    def links(df: DataFrame, step: int) -> list[DataFrame]:
+        more = {"source": F.lit("declared"), "confidence": F.lit(1.0), "evidence": evidence} if step == events.UPSERT_EDGE else {}
+        held = df.where("kind in ('Deployment', 'Service') and space <> ''")
+        ran = df.where("kind = 'Pod' and node is not null")
+        return [
+            events.rows(held, step, *own, type=F.lit("CONTAINS"), from_type=F.lit("k8s_namespace"), from_ext=c("space"), to_type=c("t"), to_ext=c("uid"), edge_key=F.lit(""), **more),
+            events.rows(ran, step, *own, type=F.lit("RUNS_ON"), from_type=F.lit("k8s_pod"), from_ext=c("uid"), to_type=F.lit("k8s_node"), to_ext=c("node"), edge_key=F.lit(""), **more),
+        ]
+
+    log = common.union(
+        *(events.rows(live.where(c("kind") == k), events.UPSERT_CI, *own, type=c("t"), external_id=c("uid"), name=name, attributes=canonical_json(F.to_json(a)), alias_keys=F.array().cast("array<string>"), confidence=F.lit(1.0)) for k, a in attributes.items()),
+        *links(live, events.UPSERT_EDGE),
+        events.rows(gone, events.REMOVE_CI, *own, type=c("t"), external_id=c("uid")),
+        *links(gone, events.REMOVE_EDGE),
     )
-    return {"cis": items, "edges": edges, "removed_cis": read.where("reason is null and w.type = 'DELETED'").select(c("t").alias("type"), c("uid").alias("external_id")), "rejected": read.where("reason is not null").select("value", "reason")}
+    return log, read.where("reason is not null").select("value", "reason")
+
+
+def watch(records: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """The log's parts without their order: `cis`, `edges`, `removed_cis`, `removed_edges`, and `rejected`."""
+    log, rejected = watch_log(records, now)
+    return events.parts(log) | {"rejected": rejected}
