@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import ALIAS_KEYS, CI, EDGE, SOURCE_KEYS
+from ..schema import ALIAS_KEYS, CANDIDATE, CI, EDGE, MERGE, SOURCE_KEYS, UNMERGE
 
-EMPTY = {"cis": CI, "edges": EDGE, "source_keys": SOURCE_KEYS, "alias_keys": ALIAS_KEYS, "merges": "tenant_id string, source string, type string, external_id string, ci_id string, matched_key string"}
+EMPTY = {"cis": CI, "edges": EDGE, "source_keys": SOURCE_KEYS, "alias_keys": ALIAS_KEYS, "candidates": CANDIDATE, "merges": MERGE, "unmerges": UNMERGE}
 FACTS = "tenant_id string, source string, observed_at timestamp, event_id string, payload string, batch_id bigint"
 RUN = "run_id string, tenant_id string, source string, status string, started_at timestamp, finished_at timestamp, batch_id bigint, counts string"
 

@@ -118,15 +118,19 @@ def _ends(changes: DataFrame, cis: DataFrame, created: DataFrame, source_keys: D
 def apply_log(state: dict[str, DataFrame], log: DataFrame, tenant_id: str, source: str) -> dict[str, DataFrame]:
     """The state (cis, edges, source_keys, alias_keys, merges) after the events of one source, and `counts`, one row of counters.
 
-    log has the columns of LOG. A new item that shares an alias with exactly one open item of another source is an upsert of that item, and `merges` says so.
+    log has the columns of LOG. A new item that shares an alias with exactly one open item of another source is an upsert of that item
+    from then on, and `merges` says so.
     An upserted edge whose end isn't open at its time is an error, and so is an inferred one; a removed edge without such an end is none. An empty log
     changes nothing. What is read more than once is written."""
     upserts = log.where(F.col("step") == UPSERT_CI)
     live = state["cis"].where("valid_to is null")
     fresh = upserts.select("type", "external_id", "alias_keys").join(live, CI_KEY, "left_anti")
     fresh = fresh.groupBy(*CI_KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("alias_keys", F.array())))).alias("alias_keys"))
-    merged = written(resolution.deterministic(fresh, state["alias_keys"], live, source), "merges")
-    rename = merged.select("type", "external_id", F.col("canonical_external_id").alias("_canonical"))
+    # An identity that the source has been merged by before stays with its item; else an alias may lead it to one.
+    own = state["source_keys"].where(F.col("source") == source).select(F.col("native_id").alias("external_id"), "ci_id").join(live.select(F.col("id").alias("ci_id"), "type", F.col("external_id").alias("_canonical")), "ci_id")
+    known = written(fresh.join(own, CI_KEY).groupBy(*CI_KEY).agg(F.min("_canonical").alias("_canonical")), "known")
+    merged = written(resolution.deterministic(fresh.join(known, CI_KEY, "left_anti"), state["alias_keys"], live, source), "merges")
+    rename = known.unionByName(merged.select("type", "external_id", F.col("canonical_external_id").alias("_canonical")))
     items = log.where(F.col("step").isin(UPSERT_CI, REMOVE_CI)).join(rename, CI_KEY, "left").withColumn("_native", F.col("external_id"))
     items = items.withColumn("external_id", F.when(F.col("op") == "upsert", F.coalesce("_canonical", "external_id")).otherwise(F.col("external_id"))).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
     items = written(items.withColumn("attributes", F.coalesce("attributes", F.lit("{}"))), "items")
@@ -161,6 +165,12 @@ def apply_log(state: dict[str, DataFrame], log: DataFrame, tenant_id: str, sourc
     count = lambda *a: F.coalesce(F.sum(F.when(F.col("action").isin(*a), 1)), F.lit(0)).cast("long")
     of_items = ci_acts.agg(count("create").alias("cis_created"), count("update").alias("cis_updated"), count("touch").alias("cis_unchanged"), count("close").alias("cis_closed"), count("stale").alias("cis_stale"))
     of_edges = edge_acts.agg(count("create", "update", "touch").alias("edges_written"), count("close").alias("edges_closed"), count("stale").alias("edges_stale"))
-    appended = merged.select(F.lit(tenant_id).alias("tenant_id"), F.lit(source).alias("source"), "type", "external_id", "ci_id", "matched_key")
-    merges = appended if "merges" not in state else state["merges"].unionByName(appended, True)
+    when = upserts.groupBy(*CI_KEY).agg(F.min("at").alias("merged_at"))
+    appended = merged.join(when, CI_KEY).select(
+        canonical_id(F.lit(tenant_id), F.lit("merge"), "ci_id", F.lit(source), "external_id").alias("merge_id"), F.lit(tenant_id).alias("tenant_id"), F.col("ci_id").alias("canonical_ci_id"), F.lit(None).cast("string").alias("merged_ci_id"),
+        F.lit(source).alias("merged_source"), F.col("external_id").alias("merged_external_id"), F.col("matched_key").alias("matched_alias_key"),
+        F.concat(F.lit(f"merged {source}:"), "external_id", F.lit(" into canonical "), "ci_id", F.lit(" via alias_key="), "matched_key").alias("evidence"), "merged_at",
+    )
+    # A merged identity that comes again is no new merge.
+    merges = state["merges"].unionByName(written(appended.join(state["merges"], "merge_id", "left_anti"), "ledger"))
     return {"cis": cis, "edges": edges, "source_keys": source_keys, "alias_keys": alias_keys, "merges": merges, "counts": of_items.crossJoin(F.broadcast(of_edges))}

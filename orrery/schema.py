@@ -34,3 +34,6 @@ DISCOVERED_CI = "type string, external_id string, name string, attributes string
 DISCOVERED_EDGE = f"type string, from_type string, from_ext string, to_type string, to_ext string, source string, confidence double, evidence {EVIDENCE}, edge_key string"
 SOURCE_KEYS = "tenant_id string, source string, native_id string, ci_id string, observed_at timestamp"
 ALIAS_KEYS = "tenant_id string, alias_key string, ci_id string, ci_type string, source string, observed_at timestamp"
+CANDIDATE = "candidate_id string, tenant_id string, ci_id_a string, ci_id_b string, type string, score double, evidence string, status string, resolved_merge_id string, generated_at timestamp, resolved_at timestamp"
+MERGE = "merge_id string, tenant_id string, canonical_ci_id string, merged_ci_id string, merged_source string, merged_external_id string, matched_alias_key string, evidence string, merged_at timestamp"
+UNMERGE = "unmerge_id string, tenant_id string, original_merge_id string, canonical_ci_id string, restored_ci_id string, restored_source string, restored_external_id string, evidence string, unmerged_at timestamp"
