@@ -50,8 +50,8 @@ def components(pairs: DataFrame, order: DataFrame) -> DataFrame:
 def fused(state: dict[str, DataFrame], merged: DataFrame, now: Column, note: Column) -> dict[str, DataFrame]:
     """The state after items (merged_ci_id, canonical_ci_id) went into others: their keys and declared open edges go along and they are closed.
 
-    Edges between items that became one are closed. Edges that fall together are one, with all their evidence and the greatest confidence, and a moved
-    edge has a note (of old and new ends) among its evidence."""
+    Edges between items that became one stay as they are. Edges that fall together are one, with all their evidence and the greatest confidence, and a
+    moved edge has a note (of old and new ends) among its evidence."""
     to = lambda c: merged.select(F.col("merged_ci_id").alias(c), F.col("canonical_ci_id").alias(f"_{c}"))
     moved_keys = lambda t: t.join(to("ci_id"), "ci_id", "left").withColumns({"observed_at": F.when(F.col("_ci_id").isNotNull(), now).otherwise(F.col("observed_at")), "ci_id": F.coalesce("_ci_id", "ci_id")}).select(*t.columns)
     edges = state["edges"]
@@ -67,8 +67,8 @@ def fused(state: dict[str, DataFrame], merged: DataFrame, now: Column, note: Col
     ordered = F.array_sort(F.collect_list(F.struct("_new", "evidence")))  # those of the edge that was there come first
     joined = both.groupBy("tenant_id", *EDGE_KEY).agg(F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["evidence"]))).alias("evidence"))
     opened = joined.withColumns({"id": canonical_id(F.col("tenant_id"), *EDGE_KEY, now.cast("string")), "source": F.lit(DECLARED), "valid_from": now, "valid_to": F.lit(None).cast("timestamp")}).select(*edges.columns)
-    # The versions that end: what moved, what lost an end to itself, and what others fell upon.
-    ended = seen.where("_hit").select("id", "valid_from").unionByName(there.select("id", "valid_from")).distinct().withColumn("_ended", F.lit(True))
+    # The versions that end: what moved, and what others fell upon.
+    ended = moves.select("id", "valid_from").unionByName(there.select("id", "valid_from")).distinct().withColumn("_ended", F.lit(True))
     closed = edges.join(ended, ["id", "valid_from"], "left").withColumn("valid_to", F.when(F.col("_ended") & F.col("valid_to").isNull(), now).otherwise(F.col("valid_to"))).select(*edges.columns)
     gone = merged.select(F.col("merged_ci_id").alias("id"), F.lit(True).alias("_gone"))
     cis = state["cis"].join(gone, "id", "left").withColumn("valid_to", F.when(F.col("_gone") & F.col("valid_to").isNull(), now).otherwise(F.col("valid_to"))).select(*state["cis"].columns)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.confidence import canonical_id
 from ..schema import ALIAS_CAP, CANDIDATE_THRESHOLD, DECLARED, IP_SCORE
+from ..session import written
+from . import merges
 
 DNS_KEYS, IP_KEYS = ("dns_name", "hostname", "fqdn", "private_dns"), ("private_ip", "public_ip", "ip")
 
@@ -85,25 +87,14 @@ def decide(candidates: DataFrame, ci_id_a: str, ci_id_b: str, status: str) -> Da
 
 
 def accept(state: dict[str, DataFrame], pairs: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The state after merging accepted pairs (ci_id_a, ci_id_b), each item in one pair at most: the smaller external_id (then
-    id) stays; keys and declared open edges of the other go to it, but for edges that would join it to itself; the other
-    is closed. `merges` has (canonical_id, merged_id)."""
-    cis = state["cis"].where("valid_to is null").select("id", "external_id")
-    both = pairs.join(cis.select(F.col("id").alias("ci_id_a"), F.col("external_id").alias("_a")), "ci_id_a").join(cis.select(F.col("id").alias("ci_id_b"), F.col("external_id").alias("_b")), "ci_id_b")
-    first = F.struct("_a", "ci_id_a") <= F.struct(F.col("_b").alias("_a"), F.col("ci_id_b").alias("ci_id_a"))
-    merges = both.select(F.when(first, F.col("ci_id_a")).otherwise(F.col("ci_id_b")).alias("canonical_id"), F.when(first, F.col("ci_id_b")).otherwise(F.col("ci_id_a")).alias("merged_id"))
-    to = lambda c: merges.select(F.col("merged_id").alias(c), F.col("canonical_id").alias(f"_{c}"))
-    moved_keys = lambda t: t.join(to("ci_id"), "ci_id", "left").withColumn("ci_id", F.coalesce("_ci_id", "ci_id")).select(*t.columns)
-    edges = state["edges"]
-    seen = edges.join(to("from_id"), "from_id", "left").join(to("to_id"), "to_id", "left")
-    f, t = F.coalesce("_from_id", "from_id"), F.coalesce("_to_id", "to_id")
-    moves = F.col("valid_to").isNull() & (F.col("source") == DECLARED) & (F.col("_from_id").isNotNull() | F.col("_to_id").isNotNull()) & (f != t)
-    old = seen.withColumn("valid_to", F.when(moves, now).otherwise(F.col("valid_to"))).select(*edges.columns)
-    new = seen.where(moves).withColumn("id", canonical_id(F.col("tenant_id"), F.col("type"), f, t, F.col("edge_key"), now.cast("string"))).withColumn("from_id", f).withColumn("to_id", t).withColumn("valid_from", now).select(*edges.columns)
-    gone = merges.select(F.col("merged_id").alias("id"), F.lit(True).alias("_gone"))
-    items = state["cis"].join(gone, "id", "left").withColumn("valid_to", F.when(F.col("_gone") & F.col("valid_to").isNull(), now).otherwise(F.col("valid_to"))).select(*state["cis"].columns)
-    new = new.dropDuplicates(["type", "from_id", "to_id", "edge_key"]).join(old.where("valid_to is null"), ["type", "from_id", "to_id", "edge_key"], "left_anti").select(*edges.columns)
-    return state | {"cis": items, "edges": old.unionByName(new), "source_keys": moved_keys(state["source_keys"]), "alias_keys": moved_keys(state["alias_keys"]), "merges": merges}
+    """The state after merging accepted pairs (ci_id_a, ci_id_b), chains included: of the items that hang together the one of the least (external_id, id)
+    stays, the others go into it (merges.fused()). `merges` gains (canonical_id, merged_id); merges.accept() keeps a full ledger of candidates."""
+    order = state["cis"].where("valid_to is null").select("id", F.col("external_id").alias("rank"))
+    roots = merges.components(pairs.select(F.col("ci_id_a").alias("a"), F.col("ci_id_b").alias("b")), order)
+    merged = written(roots.where("id <> root").select(F.col("id").alias("merged_ci_id"), F.col("root").alias("canonical_ci_id")), "merged")
+    note = F.concat(F.lit("re-pointed from "), "from_id", F.lit(">"), "to_id", F.lit(" to "), "_f", F.lit(">"), "_t", F.lit(" by accepted pairs"))
+    fresh = merged.select(F.col("canonical_ci_id").alias("canonical_id"), F.col("merged_ci_id").alias("merged_id"))
+    return merges.fused(state, merged, now, note) | {"merges": state["merges"].unionByName(fresh, True) if "merges" in state else fresh}
 
 
 def unmerge(state: dict[str, DataFrame], canonical_id_: str, source: str, external_id: str, tenant_id: str, now: Column) -> dict[str, DataFrame]:

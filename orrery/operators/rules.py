@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.confidence import canonical_id
 from ..schema import ACCESS_BREADTH, DATABASE_TYPES, MONTHLY_QUOTA, STALE_SECONDS
+from ..session import written
 from . import graph, traversal
 
 INTERNET_DATABASE = ("internet_reachable_database", "critical", "Database reachable from the internet")
@@ -80,10 +82,10 @@ def apply_findings(findings: DataFrame, desired: DataFrame, rule: tuple[str, str
     return kept.unionByName(new.select(*findings.columns))
 
 
-def evaluate_findings(findings: DataFrame, cis: DataFrame, edges: DataFrame, tenant_id: str, now: Column, principals: tuple[str, ...] = ("iam_role", "iam_user"), databases: tuple[str, ...] = ("rds",)) -> tuple[DataFrame, DataFrame]:
+def evaluate_findings(findings: DataFrame, cis: DataFrame, edges: DataFrame, tenant_id: str, now: Column, principals: tuple[str, ...] = ("iam_role", "iam_user"), databases: tuple[str, ...] = ("rds",), kept: graph.Projection | None = None) -> tuple[DataFrame, DataFrame]:
     """The table of findings after both rules, and one row (evaluated, opened, resolved, open_count): open items of the rules' types, and
     findings of both rules. cis and edges are the open ones. Both results read `findings`: write the table before the next evaluation."""
-    reached = internet_databases(cis, edges, databases).select("subject_ci_id", F.to_json(F.struct("internet_id", "distance")).alias("evidence"))
+    reached = internet_databases(cis, edges, databases, kept=kept).select("subject_ci_id", F.to_json(F.struct("internet_id", "distance")).alias("evidence"))
     broad = broad_access(cis, edges, principals).select("subject_ci_id", F.to_json(F.struct("target_count")).alias("evidence"))
     after = apply_findings(apply_findings(findings, reached, INTERNET_DATABASE, tenant_id, now), broad, BROAD_ACCESS, tenant_id, now)
     count = lambda c: F.count(F.when(c, 1))
@@ -97,6 +99,48 @@ def evaluate_findings(findings: DataFrame, cis: DataFrame, edges: DataFrame, ten
     return after, examined.unionByName(counters).agg(*(F.sum(c).alias(c) for c in counters.columns))
 
 
+def _label(cis: DataFrame) -> DataFrame:
+    return cis.select(F.col("id").alias("subject_ci_id"), "external_id")
+
+
+def evaluate_anomalies(
+    findings: DataFrame, cis: DataFrame, edges: DataFrame, changes: DataFrame, tenant_id: str, since: datetime, until: datetime, now: Column, databases: tuple[str, ...] = DATABASE_TYPES, group_type: str = "security_group", kept: graph.Projection | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The table of findings after both anomaly rules over the changes in [since, until), and one row (scanned_events, opened, resolved, open_count).
+
+    Findings of other rules are neither counted nor touched. What was found in an earlier window and isn't in this one is resolved. A finding's
+    evidence has its rule, its subject, the window, the changes that triggered it by (at, id), and for databases the nearest internet item; it is as long as
+    there are such changes. cis and edges are the open ones. since must be before until. Both rules scan each change."""
+    if since >= until:
+        raise ValueError("since must be before until")
+    window = changes.where((F.col("at") >= F.lit(since)) & (F.col("at") < F.lit(until)))
+    own = F.struct("at", "id", "entity", "kind", "type", "from_id", "to_id")
+    span = F.struct(F.lit(since.isoformat()).alias("since"), F.lit(until.isoformat()).alias("until")).alias("window")
+    gathered = lambda hits: hits.groupBy("subject_ci_id").agg(F.array_sort(F.collect_list("event")).alias("triggering_events")).join(_label(cis), "subject_ci_id")
+
+    subjects = cis.where(F.col("type").isin(*databases)).select(F.col("id").alias("subject_ci_id"))
+    to_it = window.where("entity = 'edge' and kind = 'created'").where(F.col("type").isin(*DATABASE_EDGES)).select(F.col("to_id").alias("subject_ci_id"), own.alias("event"))
+    itself = window.where("entity = 'ci' and kind in ('created', 'updated')").select(F.col("id").alias("subject_ci_id"), own.alias("event"))
+    hit = to_it.unionByName(itself).join(subjects, "subject_ci_id", "left_semi")
+    near = traversal.nearest_internet(cis, edges, hit.select(F.col("subject_ci_id").alias("id")), kept=kept).select(F.col("seed").alias("subject_ci_id"), F.struct(F.col("internet_id").alias("id"), "distance").alias("reaching_source"))
+    public = gathered(hit).join(near, "subject_ci_id")
+    public = public.select("subject_ci_id", F.to_json(F.struct(F.lit(PUBLIC_DATABASE[0]).alias("rule_id"), F.col("external_id").alias("subject_external_id"), "triggering_events", "reaching_source", span)).alias("evidence"))
+
+    made = window.where("entity = 'edge' and kind = 'created' and type = 'CONNECTS_TO'").select("from_id", F.col("to_id").alias("subject_ci_id"), own.alias("event"))
+    made = made.join(cis.where("type = 'internet'").select(F.col("id").alias("from_id")), "from_id", "left_semi").join(cis.where(F.col("type") == group_type).select(F.col("id").alias("subject_ci_id")), "subject_ci_id", "left_semi")
+    opened = gathered(made).select("subject_ci_id", F.to_json(F.struct(F.lit(OPEN_GROUP[0]).alias("rule_id"), F.col("external_id").alias("subject_external_id"), F.lit("0.0.0.0/0").alias("world_cidr"), "triggering_events", span)).alias("evidence"))
+
+    after = written(apply_findings(apply_findings(findings, public, PUBLIC_DATABASE, tenant_id, now), opened, OPEN_GROUP, tenant_id, now), "findings")
+    is_open = F.col("valid_to").isNull() & (F.col("status") == "open")
+    mine = F.col("rule_id").isin(PUBLIC_DATABASE[0], OPEN_GROUP[0])
+    was = findings.where(mine & is_open).select("id", F.lit(True).alias("_was"))
+    told = after.where(mine).join(was, "id", "left").withColumn("_was", F.coalesce("_was", F.lit(False)))
+    count = lambda c: F.count(F.when(c, 1))
+    counters = told.agg(count(is_open & ~F.col("_was")).alias("opened"), count(~is_open & F.col("_was")).alias("resolved"), count(is_open).alias("open_count"))
+    scanned = window.agg((2 * F.count(F.lit(1))).alias("scanned_events"))
+    return after, scanned.crossJoin(F.broadcast(counters))
+
+
 def latest_runs(runs: DataFrame, now: Column, stale_seconds: int = STALE_SECONDS) -> DataFrame:
     """The latest run of each source, its age in seconds since it finished, and whether it is stale (or never finished)."""
     newest = F.struct(F.col("started_at").isNull().alias("no_start"), (-F.unix_micros(F.col("started_at").cast("timestamp"))).alias("back"), F.col("run_id").alias("run_id"))
@@ -115,8 +159,8 @@ def freshness(slos: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
 
 
 def month_usage(usage: DataFrame, now: Column, quota: int = MONTHLY_QUOTA) -> DataFrame:
-    """(used, remaining, exhausted) of the calendar month of now."""
-    used = usage.where((F.col("occurred_at") >= F.date_trunc("month", now)) & (F.col("occurred_at") <= now)).agg(F.count(F.lit(1)).alias("used"))
+    """(used, remaining, exhausted) since the start of the calendar month of now."""
+    used = usage.where(F.col("occurred_at") >= F.date_trunc("month", now)).agg(F.count(F.lit(1)).alias("used"))
     return used.withColumn("remaining", F.greatest(F.lit(quota) - F.col("used"), F.lit(0))).withColumn("exhausted", F.col("used") >= quota)
 
 
@@ -131,7 +175,8 @@ def payloads(findings: DataFrame, kind: str) -> DataFrame:
 
 def dispatch(payload_rows: DataFrame, send, attempts: int = 3, sleep=time.sleep):
     """(id, attempt, status) of each delivery, sent by the executors with send(payload) -> bool: up to `attempts` tries, 1, 2, ...
-    seconds apart, then a row `dead_letter`. A lost task sends again: receivers must accept repeats."""
+    seconds apart, then a row `dead_letter`. Deliveries are made once, before the result is returned, which is a written table of them;
+    only a lost task sends again: receivers must accept repeats."""
 
     def deliver(batches):
         import pyarrow as pa
@@ -149,4 +194,4 @@ def dispatch(payload_rows: DataFrame, send, attempts: int = 3, sleep=time.sleep)
                     rows.append((i, attempts + 1, "dead_letter"))
             yield pa.RecordBatch.from_pylist([dict(zip(("id", "attempt", "status"), r)) for r in rows], schema=pa.schema([("id", pa.string()), ("attempt", pa.int32()), ("status", pa.string())]))
 
-    return payload_rows.select("id", "payload").mapInArrow(deliver, "id string, attempt int, status string")
+    return written(payload_rows.select("id", "payload").mapInArrow(deliver, "id string, attempt int, status string"), "deliveries")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
 from ..functions import names
-from ..operators import graph, resolution, rules, temporal, traversal, versions
-from ..sources import telemetry
+from ..operators import events, graph, resolution, rules, temporal, traversal, versions
+from ..session import written
+from ..sources import aws, kubernetes, telemetry
 from . import fixture as fx
 from . import sql
 
@@ -402,7 +403,7 @@ def freshness_eval(spark, sf_dir):
     return rules.freshness(fx.slos(spark), fx.runs(spark, sf_dir), F.lit(NOW))
 
 
-@query("SELECT count(*) AS used, greatest(100000 - count(*), 0) AS remaining, count(*) >= 100000 AS exhausted FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-20'")
+@query("SELECT count(*) AS used, greatest(100000 - count(*), 0) AS remaining, count(*) >= 100000 AS exhausted FROM events WHERE ts >= TIMESTAMP '2024-01-01'")
 def usage_month(spark, sf_dir):
     return rules.month_usage(fx.read(spark, sf_dir, "events").withColumnRenamed("ts", "occurred_at"), F.lit("2024-01-20").cast("timestamp_ntz"))
 
@@ -466,5 +467,95 @@ def flow_edges(spark, sf_dir):
     return found.select("from_ext", "to_ext", F.unix_seconds(F.element_at("evidence", 1)["observed_at"]).alias("first_start"))
 
 
+@query("""WITH b AS (SELECT lower(replace(p_type, ' ', '-')) || '-' || p_partkey AS name, p_partkey FROM part), r AS (SELECT s_suppkey, left(name, 3 + s_suppkey % 7) AS prefix FROM supplier JOIN b ON p_partkey = s_suppkey)
+SELECT 'role-' || s_suppkey AS from_ext, name AS to_ext, 's3:GetObject,s3:PutObject' AS actions FROM r JOIN b ON starts_with(name, prefix)""")
+def src_bucket_grants(spark, sf_dir):
+    part = fx.read(spark, sf_dir, "part")
+    buckets = part.select(F.concat_ws("-", F.lower(F.translate("p_type", " ", "-")), F.col("p_partkey").cast("string")).alias("Name"), "p_partkey")
+    roles = fx.read(spark, sf_dir, "supplier").join(buckets, F.col("p_partkey") == F.col("s_suppkey"))
+    resource = F.concat(F.lit("arn:aws:s3:::"), F.expr("left(Name, 3 + s_suppkey % 7)"), F.lit("*"))
+    statement = F.struct(F.lit("Allow").alias("Effect"), F.array(F.lit("s3:GetObject"), F.lit("s3:PutObject"), F.lit("ec2:RunInstances")).alias("Action"), resource.alias("Resource"))
+    policies = roles.select(F.lit("iam_role").alias("principal_type"), F.concat(F.lit("role-"), "s_suppkey").alias("principal"), F.to_json(F.struct(F.array(statement).alias("Statement"))).alias("policy"))
+    found = aws.bucket_grants(policies, buckets.select("Name"), F.lit(NOW).cast("timestamp"))
+    return found.select("from_ext", "to_ext", F.array_join("evidence.detail", ",").alias("actions"))
+
+
+@query("""WITH pod AS (SELECT c_custkey, c_mktsegment AS seg, c_nationkey AS n FROM customer), want AS (SELECT s_suppkey, s_nationkey AS n, CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' END AS seg FROM supplier)
+SELECT CAST(s_suppkey AS VARCHAR) AS owner, CAST(c_custkey AS VARCHAR) AS pod FROM want JOIN pod ON pod.n = want.n AND (want.seg IS NULL OR want.seg = pod.seg)""")
+def src_pod_selectors(spark, sf_dir):
+    c, s = fx.read(spark, sf_dir, "customer"), fx.read(spark, sf_dir, "supplier")
+    labels = F.create_map(F.lit("app"), F.lit("web"), F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("seg"), F.col("c_mktsegment"))
+    pods = c.select(F.struct(F.col("c_custkey").cast("string").alias("uid"), labels.alias("labels")).alias("metadata"))
+    seg = F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").when(F.col("s_suppkey") % 3 == 1, "MACHINERY")
+    selector = F.create_map(F.lit("app"), F.lit("web"), F.lit("nation"), F.col("s_nationkey").cast("string"))
+    selector = F.when(seg.isNull(), selector).otherwise(F.map_concat(selector, F.create_map(F.lit("seg"), F.coalesce(seg, F.lit("")))))
+    services = s.select(F.struct(F.col("s_suppkey").cast("string").alias("uid")).alias("metadata"), F.struct(selector.alias("selector")).alias("spec"))
+    return kubernetes.selected(services, "spec.selector", pods)
+
+
+# Events and evaluations
+
+
+@query("""WITH e AS (SELECT user_id, event_type AS name, ts, event_id, event_type <> 'error' AS up, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+ a AS (SELECT *, CASE WHEN up AND (before IS NULL OR before = 'error') THEN 'create' WHEN up AND before <> name THEN 'update' WHEN up THEN 'touch' WHEN before <> 'error' THEN 'close' END AS action FROM e),
+ v AS (SELECT *, count(*) FILTER (action IN ('create', 'update')) OVER w AS nth, count(*) FILTER (action = 'create') OVER w AS life FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+ m AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM v WHERE action IN ('create', 'update', 'close')),
+ seen AS (SELECT user_id, nth, max(ts) AS last_seen FROM v WHERE up GROUP BY ALL), born AS (SELECT user_id, life, min(ts) AS first_seen FROM v WHERE action = 'create' GROUP BY ALL)
+SELECT CAST(m.user_id AS VARCHAR) AS external_id, name, first_seen, last_seen, ts AS valid_from, valid_to FROM m JOIN seen USING (user_id, nth) JOIN born USING (user_id, life) WHERE action <> 'close'""")
+def event_fold(spark, sf_dir):
+    """Events as upserts and removals of items, folded in two batches; the SQL knows of no batches."""
+    from ..schema import CI
+
+    e = fx.read(spark, sf_dir, "events")
+    gone = F.col("event_type") == "error"
+    log = e.select(
+        F.lit("ec2_instance").alias("type"), F.col("user_id").cast("string").alias("external_id"), F.col("event_type").alias("name"), F.lit("{}").alias("attributes"), F.lit(1.0).alias("confidence"),
+        F.when(gone, "remove").otherwise("upsert").alias("op"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("seq"), F.col("event_id").cast("string").alias("event_id"), F.when(gone, events.REMOVE_CI).otherwise(events.UPSERT_CI).alias("step"),
+    )
+    state = spark.createDataFrame([], CI)
+    new_id = conf.canonical_id(F.col("type"), F.col("external_id"), F.col("at").cast("string"))
+    half = F.lit(AT).cast("timestamp")
+    for batch in (log.where(F.col("at") < half), log.where(F.col("at") >= half)):
+        state = written(events.folded(state, batch, ["type", "external_id"], ["name", "attributes", "confidence"], new_id, "first_seen", "last_seen")[0], "state")
+    return state.select("external_id", "name", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen", "valid_from", "valid_to")))
+
+
+@query(NEAR.rstrip() + """, broad AS (SELECT from_id FROM edge JOIN ci ON id = from_id WHERE edge.type = 'HAS_ACCESS_TO' AND ci.type = 'ec2_instance' GROUP BY from_id HAVING count(DISTINCT to_id) >= 10),
+ found AS (SELECT (SELECT count(*) FROM far JOIN ci ON id = node WHERE type = 'rds') + (SELECT count(*) FROM broad) AS n)
+SELECT (SELECT count(*) FROM ci WHERE type IN ('rds', 'ec2_instance')) AS evaluated, n AS opened, CAST(0 AS BIGINT) AS resolved, n AS open_count FROM found""")
+def findings_eval(spark, sf_dir):
+    from ..schema import FINDING
+
+    kept = fx.kept(spark, sf_dir)
+    return rules.evaluate_findings(spark.createDataFrame([], FINDING), kept.nodes, kept.edges, fx.TENANT, F.lit(NOW).cast("timestamp"), principals=("ec2_instance",), kept=kept)[1]
+
+
+_WEEKS = ("2024-01-08", "2024-01-15"), ("2024-01-15", "2024-01-22")
+
+
+def _triggered(k: int) -> str:
+    since, until = (f"TIMESTAMP '{d}'" for d in _WEEKS[k])
+    return f"""w{k} AS (SELECT 'anomaly_public_ip_on_database' AS rule_id, 'rds:' || json_extract_string(props, '$.k') AS subject, count(*) AS n FROM events WHERE event_type <> 'view' AND ts >= {since} AND ts < {until}
+  AND 'rds:' || json_extract_string(props, '$.k') IN (SELECT node FROM far JOIN ci ON id = node WHERE type = 'rds') GROUP BY 2
+ UNION ALL SELECT 'anomaly_security_group_opened_to_world', to_id, count(*) FROM ({sql.changes('edge', since, until)}) WHERE kind = 'created' GROUP BY 2)"""
+
+
+@query(NEAR.rstrip() + f", {sql.VERSION}, {_triggered(0)}, {_triggered(1)} SELECT b.rule_id, b.subject AS subject_ci_id, CASE WHEN a.subject IS NULL THEN '{_WEEKS[1][0]}' ELSE '{_WEEKS[0][0]}' END AS since, coalesce(a.n, b.n) AS triggers FROM w1 b LEFT JOIN w0 a ON a.rule_id = b.rule_id AND a.subject = b.subject")
+def anomalies_eval(spark, sf_dir):
+    """Open findings after two windows: those of the first that the second doesn't trigger are resolved, those that it does stay as they were."""
+    import datetime as dt
+
+    from ..schema import FINDING
+
+    kept = fx.kept(spark, sf_dir)
+    seen = fx.versions(spark, sf_dir).withColumn("type", F.lit("CONNECTS_TO"))
+    feed = _part_changes(spark, sf_dir).unionByName(temporal.changes(seen, "edge", F.lit(_WEEKS[0][0]).cast("timestamp_ntz"), F.lit(_WEEKS[1][1]).cast("timestamp_ntz")))
+    findings = spark.createDataFrame([], FINDING)
+    for since, until in _WEEKS:
+        findings, _ = rules.evaluate_anomalies(findings, kept.nodes, kept.edges, feed, fx.TENANT, dt.datetime.fromisoformat(since), dt.datetime.fromisoformat(until), F.lit(until).cast("timestamp"), group_type="ec2_instance", kept=kept)
+    triggers = F.size(F.from_json(F.get_json_object("evidence", "$.triggering_events"), "array<string>")).cast("long")
+    return temporal.open_findings(findings).select("rule_id", "subject_ci_id", F.substring(F.get_json_object("evidence", "$.window.since"), 1, 10).alias("since"), triggers.alias("triggers"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blast_radius(spark, sf_dir)

@@ -26,11 +26,16 @@ def selects(selector: Column, labels: Column) -> Column:
     return F.coalesce((F.size(pairs) > 0) & F.forall(pairs, lambda p: F.try_element_at(labels, p["key"]).eqNullSafe(p["value"])), F.lit(False))
 
 
-def _selected(owners: DataFrame, selector: str, pods: DataFrame) -> DataFrame:
-    """(owner, pod): pods of any namespace by selector. Joined by one label of the selector, the least, then checked in full."""
-    s = owners.select(F.col("metadata.uid").alias("owner"), F.col(selector).alias("sel")).where(F.size("sel") > 0).withColumn("one", F.array_min(F.map_entries("sel")))
-    p = pods.select(F.col("metadata.uid").alias("pod"), F.col("metadata.labels").alias("labels")).withColumn("one", F.explode(F.map_entries("labels")))
-    return s.join(p, "one").where(selects(F.col("sel"), F.col("labels"))).select("owner", "pod")
+def selected(owners: DataFrame, selector: str, pods: DataFrame) -> DataFrame:
+    """(owner, pod): pods of any namespace by selector. A selector is looked up by that one of its labels that the fewest pods have, and then checked in
+    full: a label like app=web that most pods carry brings none of them in where a rarer one is asked for too."""
+    labelled = pods.select(F.col("metadata.uid").alias("pod"), F.col("metadata.labels").alias("labels")).withColumn("one", F.explode(F.map_entries("labels")))
+    frequent = labelled.groupBy("one").agg(F.count(F.lit(1)).alias("_n"))
+    asked = owners.select(F.col("metadata.uid").alias("owner"), F.col(selector).alias("sel")).where(F.size("sel") > 0)
+    # A label that no pod has is the rarest of all, and selects none.
+    each = asked.withColumn("one", F.explode(F.map_entries("sel"))).join(frequent, "one", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = each.groupBy("owner").agg(F.min_by("one", F.struct("_n", "one")).alias("one"))
+    return asked.join(rarest, "owner").join(labelled, "one").where(selects(F.col("sel"), F.col("labels"))).select("owner", "pod")
 
 
 def inventory(cluster: str, nodes: DataFrame, namespaces: DataFrame, deployments: DataFrame, services: DataFrame, pods: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +53,9 @@ def inventory(cluster: str, nodes: DataFrame, namespaces: DataFrame, deployments
     spaces = namespaces.select(c("metadata.name").alias("_space"), uid.alias("_space_uid"))
     inside = lambda df: df.join(spaces, space == F.col("_space"))
     hosts = pods.join(nodes.select(c("metadata.name").alias("_node"), uid.alias("_node_uid")), c("spec.nodeName") == c("_node"))
-    owned = _selected(deployments, "spec.selector.matchLabels", pods)
+    owned = selected(deployments, "spec.selector.matchLabels", pods)
     by_ref = pods.select(uid.alias("pod"), F.explode("metadata.ownerReferences").alias("o")).where("o.kind = 'Deployment'").select(c("o.uid").alias("owner"), "pod").join(owned, "pod", "left_anti").select("owner", "pod")
-    routed = _selected(services, "spec.selector", pods)
+    routed = selected(services, "spec.selector", pods)
     e = common.edge
     edges = common.union(
         e(nodes, "CONTAINS", ("k8s_cluster", F.lit(cluster)), ("k8s_node", uid), SOURCE, now),

@@ -43,7 +43,7 @@ def test_a_chain_in_one_call_is_that_of_three(spark):
     one = merges.accept(a_state(spark, pairs), ["c-bc", "c-ab", "c-cd"], "t", now(1))
     open_, edges, keys = facts(one)
     assert open_ == ["id-a", "id-e", "id-x"]
-    assert edges == [("CONNECTS_TO", "id-a", "id-x", "declared", 0.8, ("merge-candidate", "src-a", "src-b", "src-c", "src-d")), ("CONNECTS_TO", "id-e", "id-x", "declared", 0.9, ("src-e",)), ("CONNECTS_TO", "id-x", "id-c", "inferred", 0.6, ("src-x",))]
+    assert edges == [("CONNECTS_TO", "id-a", "id-x", "declared", 0.8, ("merge-candidate", "src-a", "src-b", "src-c", "src-d")), ("CONNECTS_TO", "id-e", "id-x", "declared", 0.9, ("src-e",)), ("CONNECTS_TO", "id-x", "id-c", "inferred", 0.6, ("src-x",)), ("CONTAINS", "id-a", "id-b", "declared", 1.0, ("src-a",))]
     assert keys == sorted((f"src-{x}", f"ext-{x}", "id-a" if x in "abcd" else "id-x") for x in "abcdx")
     ledger = {r.merged_ci_id: (r.canonical_ci_id, r.merged_source, r.merged_external_id) for r in one["merges"].collect()}
     assert ledger == {f"id-{x}": ("id-a", f"src-{x}", f"ext-{x}") for x in "bcd"}
