@@ -80,6 +80,18 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("id"), F.lit("ec2_instance").alias("type"), F.col("event_type").alias("name"), F.lit("internet:0").alias("from_id"), _key("ec2_instance", "user_id").alias("to_id"), F.col("ts").alias("valid_from"), to.alias("valid_to"), F.col("value").alias("value"))
 
 
+def edge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of edges between hosts (id, type, from_id, to_id, valid_from, valid_to): each event between two hosts opens one, which the next
+    one between them closes, or a day passes."""
+    from pyspark.sql import Window
+
+    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    e = e.withColumn("_next", F.lead("ts").over(Window.partitionBy("user_id", "k").orderBy("ts", "event_id")))
+    day = F.col("ts") + F.expr("interval 1 day")
+    to = F.when(F.col("_next").isNull(), None).when(F.col("_next") <= day, F.col("_next")).otherwise(day)
+    return e.select(F.concat_ws(">", F.col("user_id").cast("string"), F.col("k").cast("string")).alias("id"), F.lit("CONNECTS_TO").alias("type"), _key("ec2_instance", "user_id").alias("from_id"), _key("ec2_instance", "k").alias("to_id"), F.col("ts").alias("valid_from"), to.alias("valid_to"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, source, status, started_at, finished_at) of connector runs."""
     k = F.get_json_object("props", "$.k").cast("long")

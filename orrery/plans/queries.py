@@ -9,7 +9,7 @@ from ..functions import confidence as conf
 from ..functions import names
 from ..operators import events, graph, resolution, rules, temporal, traversal, versions
 from ..session import written
-from ..sources import aws, kubernetes, telemetry
+from ..sources import aws, clouds, kubernetes, telemetry
 from . import fixture as fx
 from . import sql
 
@@ -194,14 +194,14 @@ def ci_history(spark, sf_dir):
     return temporal.history(fx.versions(spark, sf_dir), "7").select("id", "type", "name", "valid_from", "valid_to")
 
 
-@query(sql.with_(sql.VERSION) + "SELECT from_id, to_id, valid_from FROM version WHERE valid_to IS NULL")
+@query(sql.with_(sql.EDGE_VERSION) + "SELECT id, from_id, to_id, valid_from FROM link WHERE valid_to IS NULL")
 def edge_current(spark, sf_dir):
-    return temporal.current(fx.versions(spark, sf_dir)).select("from_id", "to_id", "valid_from")
+    return temporal.current(fx.edge_versions(spark, sf_dir)).select("id", "from_id", "to_id", "valid_from")
 
 
-@query(sql.with_(sql.VERSION) + f"SELECT from_id, to_id, valid_from FROM version WHERE valid_from <= TIMESTAMP '{AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}')")
+@query(sql.with_(sql.EDGE_VERSION) + f"SELECT id, from_id, to_id, valid_from FROM link WHERE valid_from <= TIMESTAMP '{AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}')")
 def edge_as_of(spark, sf_dir):
-    return temporal.as_of(fx.versions(spark, sf_dir), F.lit(AT).cast("timestamp_ntz")).select("from_id", "to_id", "valid_from")
+    return temporal.as_of(fx.edge_versions(spark, sf_dir), F.lit(AT).cast("timestamp_ntz")).select("id", "from_id", "to_id", "valid_from")
 
 
 @query(sql.with_(sql.VERSION, sql.FLOW, f"live AS (SELECT 'ec2_instance:'||id AS id FROM version WHERE valid_from <= TIMESTAMP '{AT}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AT}'))") + f"SELECT DISTINCT 'ec2_instance:'||src AS from_id, 'ec2_instance:'||dst AS to_id FROM flow WHERE seen <= TIMESTAMP '{AT}' AND 'ec2_instance:'||src IN (SELECT id FROM live) AND 'ec2_instance:'||dst IN (SELECT id FROM live)")
@@ -233,15 +233,14 @@ def change_feed_ci(spark, sf_dir):
     return temporal.changes(fx.versions(spark, sf_dir), "ci", *_window())
 
 
-@query(sql.with_(sql.VERSION) + sql.changes("edge", SINCE, UNTIL))
+@query(sql.with_(sql.EDGE_VERSION) + sql.changes("edge", SINCE, UNTIL, "link"))
 def change_feed_edge(spark, sf_dir):
-    return temporal.changes(fx.versions(spark, sf_dir), "edge", *_window())
+    return temporal.changes(fx.edge_versions(spark, sf_dir), "edge", *_window())
 
 
-@query(sql.with_(sql.VERSION) + sql.changes("ci", SINCE, UNTIL) + " UNION ALL " + sql.changes("edge", SINCE, UNTIL))
+@query(sql.with_(sql.VERSION, sql.EDGE_VERSION) + sql.changes("ci", SINCE, UNTIL) + " UNION ALL " + sql.changes("edge", SINCE, UNTIL, "link"))
 def change_feed(spark, sf_dir):
-    v = fx.versions(spark, sf_dir)
-    return temporal.change_feed(v, v, F.lit("2024-01-17").cast("timestamp_ntz"), 7)
+    return temporal.change_feed(fx.versions(spark, sf_dir), fx.edge_versions(spark, sf_dir), F.lit("2024-01-17").cast("timestamp_ntz"), 7)
 
 
 # Confidence and versioned writes
@@ -468,14 +467,14 @@ def flow_edges(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT lower(replace(p_type, ' ', '-')) || '-' || p_partkey AS name, p_partkey FROM part), r AS (SELECT s_suppkey, left(name, 3 + s_suppkey % 7) AS prefix FROM supplier JOIN b ON p_partkey = s_suppkey)
-SELECT 'role-' || s_suppkey AS from_ext, name AS to_ext, 's3:GetObject,s3:PutObject' AS actions FROM r JOIN b ON starts_with(name, prefix)""")
+SELECT 'role-' || s_suppkey AS from_ext, name AS to_ext, 'inline:p grants s3:GetObject,inline:p grants s3:PutObject' AS actions FROM r JOIN b ON starts_with(name, prefix)""")
 def src_bucket_grants(spark, sf_dir):
     part = fx.read(spark, sf_dir, "part")
     buckets = part.select(F.concat_ws("-", F.lower(F.translate("p_type", " ", "-")), F.col("p_partkey").cast("string")).alias("Name"), "p_partkey")
     roles = fx.read(spark, sf_dir, "supplier").join(buckets, F.col("p_partkey") == F.col("s_suppkey"))
     resource = F.concat(F.lit("arn:aws:s3:::"), F.expr("left(Name, 3 + s_suppkey % 7)"), F.lit("*"))
     statement = F.struct(F.lit("Allow").alias("Effect"), F.array(F.lit("s3:GetObject"), F.lit("s3:PutObject"), F.lit("ec2:RunInstances")).alias("Action"), resource.alias("Resource"))
-    policies = roles.select(F.lit("iam_role").alias("principal_type"), F.concat(F.lit("role-"), "s_suppkey").alias("principal"), F.to_json(F.struct(F.array(statement).alias("Statement"))).alias("policy"))
+    policies = roles.select(F.lit("iam_role").alias("principal_type"), F.concat(F.lit("role-"), "s_suppkey").alias("principal"), F.lit("inline:p").alias("label"), F.to_json(F.struct(F.array(statement).alias("Statement"))).alias("policy"))
     found = aws.bucket_grants(policies, buckets.select("Name"), F.lit(NOW).cast("timestamp"))
     return found.select("from_ext", "to_ext", F.array_join("evidence.detail", ",").alias("actions"))
 
@@ -493,6 +492,79 @@ def src_pod_selectors(spark, sf_dir):
     return kubernetes.selected(services, "spec.selector", pods)
 
 
+def _told(edges: DataFrame) -> DataFrame:
+    return edges.select("type", "from_ext", "to_ext", "edge_key", F.array_join("evidence.detail", ",").alias("details"))
+
+
+@query("""WITH tg AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A')
+SELECT t AS type, 'lb-' || l_suppkey AS from_ext, 'i-' || o_custkey AS to_ext, '' AS edge_key, 'aws:elbv2:describe_target_health' AS details FROM tg, (VALUES ('ROUTES_TO'), ('EXPOSES')) v(t)
+UNION ALL SELECT 'CONTAINS', 'vpc-' || s_nationkey, 'lb-' || s_suppkey, '', 'aws:elbv2:describe_load_balancers' FROM supplier
+UNION ALL SELECT 'RESOLVES_TO', lower(s_name), 'lb-' || s_suppkey, '', 'aws:elbv2:describe_load_balancers' FROM supplier WHERE s_acctbal > 0""")
+def src_aws_balancers(spark, sf_dir):
+    """Suppliers as load balancers with a target group each, whose targets are the customers they sold to."""
+    s, line, orders = (fx.read(spark, sf_dir, t) for t in ("supplier", "lineitem", "orders"))
+    arn = lambda c: F.concat(F.lit("lb-"), c)
+    none = F.lit(None).cast("string")
+    lbs = s.select(arn("s_suppkey").alias("LoadBalancerArn"), F.col("s_name").alias("LoadBalancerName"), none.alias("Type"), none.alias("Scheme"), F.when(F.col("s_acctbal") > 0, F.lower("s_name")).alias("DNSName"), F.concat(F.lit("vpc-"), "s_nationkey").alias("VpcId"))
+    groups = s.select(F.concat(F.lit("tg-"), "s_suppkey").alias("TargetGroupArn"), F.array(arn("s_suppkey")).alias("LoadBalancerArns"))
+    sold = line.where("l_returnflag = 'A'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    health = sold.select(F.concat(F.lit("tg-"), "l_suppkey").alias("TargetGroupArn"), F.struct(F.concat(F.lit("i-"), "o_custkey").alias("Id")).alias("Target"))
+    return _told(aws.balancers(lbs, groups, health, F.lit(NOW).cast("timestamp"))[1])
+
+
+@query("""WITH placed AS (SELECT 'i-' || c_custkey AS i, 'sn-' || c_nationkey AS sn, c_nationkey % 5 AS net, c_mktsegment AS tag FROM customer),
+ fw AS (SELECT 'fw-' || s_suppkey AS f, s_suppkey % 5 AS net, CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' END AS tag, s_suppkey % 7 <> 0 AS live, s_suppkey AS k FROM supplier)
+SELECT DISTINCT 'CONNECTS_TO' AS type, f AS from_ext, sn AS to_ext, '' AS edge_key, 'gcp:firewall:rule:' || f || ' allows tcp/' || k || ' from *' AS details FROM fw JOIN placed p ON p.net = fw.net AND (fw.tag IS NULL OR p.tag = fw.tag) WHERE live
+UNION ALL SELECT 'RUNS_ON', i, sn, '', 'gcp:instance:nic:subnetwork' FROM placed
+UNION ALL SELECT 'CONTAINS', 'p', i, '', 'gcp:project:instance' FROM placed
+UNION ALL SELECT 'CONTAINS', 'net-' || (n_nationkey % 5), 'sn-' || n_nationkey, '', 'gcp:network:subnetwork' FROM nation
+UNION ALL SELECT DISTINCT 'CONTAINS', 'p', 'net-' || (n_nationkey % 5), '', 'gcp:project:network' FROM nation""")
+def src_gcp(spark, sf_dir):
+    """Nations as subnetworks of five networks, customers as instances in them, suppliers as firewalls, some off or with a target tag."""
+    n, c, s = (fx.read(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    none, strings = F.lit(None).cast("string"), F.array().cast("array<string>")
+    net = lambda k: F.concat(F.lit("net-"), (F.col(k) % 5).cast("string"))
+    networks = n.select(net("n_nationkey").alias("selfLink")).distinct().select("selfLink", none.alias("name"), F.lit(None).cast("boolean").alias("autoCreateSubnetworks"), F.struct(none.alias("routingMode")).alias("routingConfig"))
+    subnets = n.select(F.concat(F.lit("sn-"), "n_nationkey").alias("selfLink"), F.col("n_name").alias("name"), net("n_nationkey").alias("network"), none.alias("region"), none.alias("ipCidrRange"))
+    instances = c.select(F.concat(F.lit("i-"), "c_custkey").alias("selfLink"), F.col("c_name").alias("name"), none.alias("machineType"), none.alias("zone"), F.struct(F.array("c_mktsegment").alias("items")).alias("tags"), F.array(F.struct(F.concat(F.lit("sn-"), "c_nationkey").alias("subnetwork"))).alias("networkInterfaces"))
+    name, k = F.concat(F.lit("fw-"), "s_suppkey"), F.col("s_suppkey")
+    targets = F.when(k % 3 == 0, F.array(F.lit("BUILDING"))).when(k % 3 == 1, F.array(F.lit("MACHINERY"))).otherwise(strings)
+    firewalls = s.select(name.alias("selfLink"), name.alias("name"), net("s_suppkey").alias("network"), F.lit("INGRESS").alias("direction"), (k % 7 == 0).alias("disabled"), F.array(F.struct(F.lit("tcp").alias("IPProtocol"), F.array(k.cast("string")).alias("ports"))).alias("allowed"), targets.alias("targetTags"), strings.alias("sourceRanges"), strings.alias("sourceTags"))
+    return _told(clouds.gcp("p", networks, subnets, firewalls, instances, F.lit(NOW).cast("timestamp"))[1])
+
+
+@query("""WITH r AS (SELECT CAST(p_partkey AS VARCHAR) AS id, 'app-' || (p_partkey % 25) AS app, p_size FROM part), g AS (SELECT DISTINCT o_custkey, l_partkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')
+SELECT 'CONTAINS' AS type, 'acme/' || app AS from_ext, 'acme/' || app || '/' || id AS to_ext, '' AS edge_key, 'saas:app:resource' AS details FROM r WHERE CAST(split_part(app, '-', 2) AS INTEGER) IN (SELECT n_nationkey FROM nation)
+UNION ALL SELECT 'DEPENDS_ON', 'acme/' || app || '/' || id, 'acme/x/' || p_size, 'acme/x/' || p_size, 'saas:resource:depends_on:acme/x/' || p_size FROM r WHERE p_size > 40
+UNION ALL SELECT 'CONTAINS', 'acme/app-' || c_nationkey, 'acme/' || c_custkey, '', 'saas:app:account' FROM customer
+UNION ALL SELECT 'HAS_ACCESS_TO', 'acme/' || o_custkey, 'acme/' || app || '/' || id, CAST(l_linenumber AS VARCHAR), 'saas:grant:' || l_linenumber || ' (scope=read)' FROM g JOIN r ON id = CAST(l_partkey AS VARCHAR)""")
+def src_saas(spark, sf_dir):
+    """Nations as applications, customers as accounts, parts as resources, returned lines as grants."""
+    n, c, p, line, orders = (fx.read(spark, sf_dir, t) for t in ("nation", "customer", "part", "lineitem", "orders"))
+    none, app = F.lit(None).cast("string"), lambda k: F.concat(F.lit("app-"), k)
+    apps = n.select(app("n_nationkey").alias("id"), F.col("n_name").alias("name"), none.alias("vendor"), none.alias("category"))
+    accounts = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), none.alias("email"), none.alias("kind"), app("c_nationkey").alias("app_id"))
+    handle = F.when(F.col("p_size") > 40, F.concat(F.lit("acme/x/"), "p_size"))
+    resources = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), none.alias("kind"), app((F.col("p_partkey") % 25).cast("string")).alias("app_id"), handle.alias("external_handle"))
+    given = line.where("l_returnflag = 'R'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    grants = given.select(F.col("l_linenumber").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("account_id"), F.col("l_partkey").cast("string").alias("resource_id"), F.lit("read").alias("scope"))
+    return _told(clouds.saas("acme", apps, accounts, resources, grants, F.lit(NOW).cast("timestamp"))[1])
+
+
+@query("""SELECT type, f AS from_ext, t AS to_ext, "at", CASE WHEN gone THEN 3 ELSE 1 END AS step, CASE WHEN NOT gone THEN name || ' (eventID=' || event_id || ')' END AS detail FROM
+ (SELECT 'CONNECTS_TO' AS type, 'sg-' || json_extract_string(props, '$.k') AS f, 'sg-' || user_id AS t, ts AS "at", event_type = 'error' AS gone, 'AuthorizeSecurityGroupIngress' AS name, event_id FROM events)""")
+def src_cloudtrail(spark, sf_dir):
+    """Each event as a rule that one group's traffic may come from another, or for errors that it no longer may."""
+    e = fx.read(spark, sf_dir, "events")
+    gone = F.col("event_type") == "error"
+    peer = F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("sg-"), F.get_json_object("props", "$.k")).alias("groupId"))).alias("items")).alias("groups"))).alias("items"))
+    request = F.struct(F.concat(F.lit("sg-"), "user_id").alias("groupId"), peer.alias("ipPermissions"))
+    name = F.when(gone, "RevokeSecurityGroupIngress").otherwise("AuthorizeSecurityGroupIngress")
+    text = F.to_json(F.struct(name.alias("eventName"), F.col("event_id").cast("string").alias("eventID"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("eventTime"), request.alias("requestParameters")))
+    log, _ = aws.cloudtrail_log(e.select(text.alias("value")))
+    return log.select("type", "from_ext", "to_ext", F.col("at").cast("timestamp_ntz").alias("at"), "step", F.get("evidence", F.lit(0))["detail"].alias("detail"))
+
+
 # Events and evaluations
 
 

@@ -75,6 +75,10 @@ VERSION = """version AS (SELECT CAST(user_id AS VARCHAR) AS id, 'ec2_instance' A
  CASE WHEN nx IS NULL THEN NULL WHEN nx <= ts + INTERVAL 1 DAY THEN nx ELSE ts + INTERVAL 1 DAY END AS valid_to
  FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nx FROM events))"""
 
+EDGE_VERSION = """link AS (SELECT user_id || '>' || k AS id, 'CONNECTS_TO' AS type, 'ec2_instance:' || user_id AS from_id, 'ec2_instance:' || k AS to_id, ts AS valid_from,
+ CASE WHEN nx IS NULL THEN NULL WHEN nx <= ts + INTERVAL 1 DAY THEN nx ELSE ts + INTERVAL 1 DAY END AS valid_to
+ FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id, k ORDER BY ts, event_id) AS nx FROM (SELECT *, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events)))"""
+
 RUN = """run AS (SELECT event_id AS run_id, event_type AS source, CASE WHEN k % 17 = 0 THEN 'partial' WHEN k % 5 = 0 THEN 'error' ELSE 'ok' END AS status, ts AS started_at,
  CASE WHEN k % 17 <> 0 THEN ts + INTERVAL 5 MINUTE END AS finished_at FROM (SELECT *, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events))"""
 
@@ -86,11 +90,11 @@ def with_(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ", ".join(parts) + " "
 
 
-def changes(entity: str, since: str, until: str) -> str:
+def changes(entity: str, since: str, until: str, table: str = "version") -> str:
     """A feed by look-ups of predecessor and successor, where the DataFrame code uses a window."""
     ci = entity == "ci"
     cols = f"'{entity}' AS entity, {{kind}} AS kind, {{at}} AS at, v.id, v.type, {'v.name' if ci else 'CAST(NULL AS VARCHAR)'} AS name, {'CAST(NULL AS VARCHAR)' if ci else 'v.from_id'} AS from_id, {'CAST(NULL AS VARCHAR)' if ci else 'v.to_id'} AS to_id"
-    before = "CASE WHEN EXISTS (SELECT 1 FROM version p WHERE p.id = v.id AND p.valid_to = v.valid_from) THEN 'updated' ELSE 'created' END"
-    opened = f"SELECT {cols.format(kind=before, at='v.valid_from')} FROM version v WHERE v.valid_from >= {since} AND v.valid_from < {until}"
-    gone = f"SELECT {cols.format(kind=chr(39) + 'removed' + chr(39), at='v.valid_to')} FROM version v WHERE v.valid_to >= {since} AND v.valid_to < {until} AND NOT EXISTS (SELECT 1 FROM version s WHERE s.id = v.id AND s.valid_from = v.valid_to)"
+    before = f"CASE WHEN EXISTS (SELECT 1 FROM {table} p WHERE p.id = v.id AND p.valid_to = v.valid_from) THEN 'updated' ELSE 'created' END"
+    opened = f"SELECT {cols.format(kind=before, at='v.valid_from')} FROM {table} v WHERE v.valid_from >= {since} AND v.valid_from < {until}"
+    gone = f"SELECT {cols.format(kind=chr(39) + 'removed' + chr(39), at='v.valid_to')} FROM {table} v WHERE v.valid_to >= {since} AND v.valid_to < {until} AND NOT EXISTS (SELECT 1 FROM {table} s WHERE s.id = v.id AND s.valid_from = v.valid_to)"
     return f"{opened} UNION ALL {gone}"

@@ -12,8 +12,8 @@ from . import common
 SOURCE = "kubernetes"
 META = "metadata struct<uid:string,name:string,namespace:string,labels:map<string,string>,creationTimestamp:string,ownerReferences:array<struct<kind:string,uid:string>>>"
 NODES, NAMESPACES = META, META
-DEPLOYMENTS = f"{META}, spec struct<replicas:int,selector:struct<matchLabels:map<string,string>>>"
-SERVICES = f"{META}, spec struct<type:string,selector:map<string,string>>"
+DEPLOYMENTS = f"{META}, spec struct<selector:struct<matchLabels:map<string,string>>>"
+SERVICES = f"{META}, spec struct<selector:map<string,string>>"
 PODS = f"{META}, spec struct<nodeName:string>, status struct<phase:string>"
 #: A selector is read as JSON: a Deployment's has the labels one level deeper than a Service's.
 WATCH = "type string, object struct<kind:string,metadata:struct<uid:string,name:string,namespace:string,resourceVersion:string,labels:map<string,string>,creationTimestamp:string>,spec:struct<nodeName:string,selector:string>,status:struct<phase:string>>"
@@ -42,13 +42,16 @@ def inventory(cluster: str, nodes: DataFrame, namespaces: DataFrame, deployments
     """Items and edges of a cluster."""
     top, c = nodes.sparkSession.range(1), F.col
     uid, name, space = c("metadata.uid"), c("metadata.name"), c("metadata.namespace")
+    plain = F.coalesce(F.nullif(name, F.lit("")), uid)
+    full = F.when(F.coalesce(space, F.lit("")) == "", plain).otherwise(F.concat(space, F.lit("/"), plain))
+    none = F.create_map().cast("map<string,string>")
     items = common.union(
         common.item(top, "k8s_cluster", F.lit(cluster), F.lit(cluster)),
-        common.item(nodes, "k8s_node", uid, name),
-        common.item(namespaces, "k8s_namespace", uid, name),
-        common.item(deployments, "k8s_workload", uid, name, namespace=space, replicas=c("spec.replicas")),
-        common.item(services, "k8s_service", uid, name, namespace=space, service_type=c("spec.type")),
-        common.item(pods, "k8s_pod", uid, name, namespace=space, phase=c("status.phase")),
+        common.item(nodes, "k8s_node", uid, plain, node_name=plain),
+        common.item(namespaces, "k8s_namespace", uid, plain),
+        common.item(deployments, "k8s_workload", uid, full, namespace=space, kind=F.lit("Deployment"), selector=F.coalesce("spec.selector.matchLabels", none)),
+        common.item(services, "k8s_service", uid, full, namespace=space, selector=F.coalesce("spec.selector", none)),
+        common.item(pods, "k8s_pod", uid, full, namespace=space, node_name=c("spec.nodeName"), phase=c("status.phase"), labels=F.coalesce("metadata.labels", none)),
     )
     spaces = namespaces.select(c("metadata.name").alias("_space"), uid.alias("_space_uid"))
     inside = lambda df: df.join(spaces, space == F.col("_space"))

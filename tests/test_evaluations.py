@@ -79,7 +79,7 @@ def test_bucket_grants_by_prefix(spark):
     rows = []
     for k in range(25):
         resources = ["*", "arn:aws:s3:::*", "arn:aws:sqs:::aa*", "arn:aws-cn:s3:::a*"] if k == 0 else [f"arn:aws:s3:::{draw.choice(names)[: draw.randint(1, 6)]}{draw.choice(['', '*', '/key', '*/key'])}" for _ in range(2)]
-        rows.append(("iam_role", f"r{k}", json.dumps({"Statement": [{"Effect": "Allow", "Action": ["s3:GetObject"], "Resource": resources}, {"Effect": "Deny", "Action": "s3:*", "Resource": "*"}]})))
+        rows.append(("iam_role", f"r{k}", "inline:p", json.dumps({"Statement": [{"Effect": "Allow", "Action": ["s3:GetObject"], "Resource": resources}, {"Effect": "Deny", "Action": "s3:*", "Resource": "*"}]})))
         for r in resources:
             part = "*" if r == "*" else r.removeprefix("arn:aws:s3:::").split("/")[0] if r.startswith("arn:aws:s3:::") else None
             if part is not None:
@@ -88,7 +88,7 @@ def test_bucket_grants_by_prefix(spark):
     got = {}
     for r in found.collect():
         got.setdefault(r.from_ext, set()).add(r.to_ext)
-        assert [e.detail for e in r.evidence] == ["s3:GetObject"]
+        assert [e.detail for e in r.evidence] == ["inline:p grants s3:GetObject"]
     assert got == {k: v for k, v in wanted.items() if v}
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
