@@ -7,12 +7,12 @@ candidates of one store at a time, commits.Store lets one through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.confidence import canonical_id
 from ..schema import DECLARED
-from ..session import counted, discard, written
+from ..session import discard, written
 from .commits import Store
 from .versions import EDGE_KEY
 
@@ -38,12 +38,14 @@ def components(pairs: DataFrame, order: DataFrame) -> DataFrame:
     while True:
         near = links.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("_near"))
         least = now.join(near, "id", "left").select("id", "root", F.least("root", "_near").alias("_next"))
-        jumped = least.join(now.select(F.col("id").alias("_at"), F.col("root").alias("_up")), F.col("_next.id") == F.col("_at"), "left").select("id", F.least("_next", "_up").alias("root"), (F.least("_next", "_up") != F.col("root")).alias("_moved"))
-        before, step = now, written(jumped, "roots")
-        moved = step.where("_moved").limit(1).count()
-        now, _ = counted(step.drop("_moved"), "roots")
-        discard(before, step)
-        if not moved:
+        up = now.select(F.col("id").alias("_at"), F.col("root").alias("_up"))
+        jumped = least.join(up, F.col("_next.id") == F.col("_at"), "left").select("id", F.least("_next", "_up").alias("_root"), "root")
+        moves, before = Observation(), now
+        seen = jumped.observe(moves, F.coalesce(F.sum(F.when(F.col("_root") != F.col("root"), 1)), F.lit(0)).alias("n"))
+        now = written(seen.select("id", F.col("_root").alias("root")), "roots")
+        discard(before)
+        if not moves.get["n"]:
+            discard(links)
             return now.select("id", F.col("root.id").alias("root"))
 
 
