@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
 from ..functions import names
-from ..operators import events, graph, resolution, rules, temporal, traversal, versions
+from ..operators import events, graph, merges, resolution, rules, temporal, traversal, versions
 from ..session import written
 from ..sources import aws, clouds, kubernetes, telemetry
 from . import fixture as fx
@@ -441,6 +441,27 @@ def er_deterministic(spark, sf_dir):
     return resolution.deterministic(incoming, known, items, "mine").select("external_id", "ci_id", "matched_key")
 
 
+@query("""WITH h AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, c_mktsegment AS type, CAST(c_custkey // 40 AS VARCHAR) AS ip, c_custkey % 3 AS source FROM customer)
+SELECT a.id AS ci_id_a, b.id AS ci_id_b, a.type, CAST(0.9 AS DOUBLE) AS score, 'probable match: ip 0.90' AS evidence FROM h a JOIN h b ON a.ip = b.ip AND a.type = b.type AND a.id < b.id AND a.source <> b.source""")
+def er_ip_pairs(spark, sf_dir):
+    """Customers as hosts without names, of which some of a type share an address."""
+    c = fx.read(spark, sf_dir, "customer")
+    address = F.floor(F.col("c_custkey") / 40).cast("string")
+    hosts = c.select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id"), F.col("c_mktsegment").alias("type"), F.lit(None).cast("string").alias("name"), F.to_json(F.struct(address.alias("private_ip"))).alias("attributes"), F.array().cast("array<string>").alias("aliases"), F.array((F.col("c_custkey") % 3).cast("string")).alias("sources"))
+    return resolution.scored_pairs(hosts)
+
+
+@query("""SELECT 'ci-' || p_partkey AS id, first_value('ci-' || p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_name, 'ci-' || p_partkey) AS root
+FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_size) > 1""")
+def er_merge_groups(spark, sf_dir):
+    """Parts of a brand and size, each linked with the one before it alone: a chain is one group, named by its least (name, id)."""
+    from pyspark.sql import Window
+
+    part = fx.read(spark, sf_dir, "part").select(F.concat(F.lit("ci-"), "p_partkey").alias("id"), F.col("p_name").alias("rank"), "p_brand", "p_size", "p_partkey")
+    before = F.lag("id").over(Window.partitionBy("p_brand", "p_size").orderBy("p_partkey"))
+    return merges.components(part.select(F.col("id").alias("a"), before.alias("b")).where("b is not null"), part.select("id", "rank"))
+
+
 # Sources
 
 

@@ -44,7 +44,7 @@ def queue(edges, seed, walk, depth, cap, least=0.0):
     return found
 
 
-@pytest.mark.parametrize("seed,cap", [(1, 1000), (2, 2)])
+@pytest.mark.parametrize("seed,cap", [(2, 2)])
 def test_searches_find_what_a_queue_finds(spark, seed, cap):
     nodes, edges = random_graph(seed)
     cis, e = items(spark, *nodes), links(spark, *edges)
