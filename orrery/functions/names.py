@@ -17,22 +17,32 @@ def tokens(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two token arrays; two empty ones are equal."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Similarity of two arrays of distinct tokens; two empty ones are equal."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+
+
+def token_score(x: Column, y: Column, x_tokens: Column, y_tokens: Column) -> Column:
+    """1 for equal normalised names, else the similarity of their tokens; 0 where one is missing or empty."""
+    missing = x.isNull() | y.isNull() | (x == "") | (y == "")
+    return F.when(missing, 0.0).when(x == y, 1.0).otherwise(jaccard(x_tokens, y_tokens))
 
 
 def name_score(a: Column, b: Column) -> Column:
-    """1 for equal normalised names, else their token similarity; 0 where one is missing or empty."""
+    """token_score of two names as they are written."""
     x, y = normalized(a), normalized(b)
-    missing = x.isNull() | y.isNull() | (x == "") | (y == "")
-    return F.when(missing, 0.0).when(x == y, 1.0).otherwise(jaccard(tokens(x), tokens(y)))
+    return token_score(x, y, tokens(x), tokens(y))
+
+
+def spread(values: Column) -> Column:
+    """The distinct tokens of an array of names."""
+    return F.array_distinct(F.flatten(F.transform(values, lambda x: tokens(normalized(x)))))
 
 
-def shared_or_similar(a: Column, b: Column) -> Column:
+def shared_or_similar(a: Column, b: Column, a_tokens: Column | None = None, b_tokens: Column | None = None) -> Column:
     """1 where two arrays of names share one, else the similarity of all their tokens; 0 where one is empty."""
-    spread = lambda v: F.array_distinct(F.flatten(F.transform(v, lambda x: tokens(normalized(x)))))
-    return F.when((F.size(a) < 1) | (F.size(b) < 1), 0.0).when(F.arrays_overlap(a, b), 1.0).otherwise(jaccard(spread(a), spread(b)))
+    similar = jaccard(spread(a) if a_tokens is None else a_tokens, spread(b) if b_tokens is None else b_tokens)
+    return F.when((F.size(a) < 1) | (F.size(b) < 1), 0.0).when(F.arrays_overlap(a, b), 1.0).otherwise(similar)
 
 
 def json_values(attributes: Column, keys: tuple[str, ...]) -> Column:

@@ -23,51 +23,62 @@ def deterministic(incoming: DataFrame, alias_keys: DataFrame, open_cis: DataFram
     return hits.join(open_cis.select(F.col("id").alias("ci_id"), F.col("external_id").alias("canonical_external_id")), "ci_id").select("type", "external_id", "ci_id", "canonical_external_id", "matched_key")
 
 
+def _listed(c: str) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
+def _tokenized(items: DataFrame) -> DataFrame:
+    """items with what a score compares, made once an item: dns, ips, norm and the distinct tokens of name, hosts and aliases."""
+    own = items.withColumn("dns", names.json_values(F.col("attributes"), DNS_KEYS)).withColumn("ips", names.json_values(F.col("attributes"), IP_KEYS)).withColumn("norm", names.normalized(F.col("name")))
+    words = F.array_distinct(F.flatten(F.transform(_listed("aliases"), names.tokens)))
+    return own.withColumns({"name_tokens": names.tokens(F.coalesce("norm", F.lit(""))), "dns_tokens": names.spread(_listed("dns")), "alias_tokens": words})
+
+
 def _met(own: DataFrame, threshold: float) -> DataFrame:
     """(a_id, b_id, type): pairs of items that share what a score of `threshold` or more needs: a host name, an address, or of
     name, hosts or aliases one of the n - ceil(n * threshold) + 1 rarest of n tokens, with numbers of tokens near
-    enough. What only common tokens bring together isn't met at all."""
-    words = lambda v, f: F.array_distinct(F.flatten(F.transform(v, f)))
-    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    split = lambda x: names.tokens(names.normalized(x))
-    bags = {"n": split(F.coalesce("name", F.lit(""))), "d": words(listed("dns"), split), "a": words(listed("aliases"), names.tokens)}
-    bag = F.explode(F.array(*(F.struct(F.lit(k).alias("tag"), v.alias("tokens")) for k, v in bags.items())))
+    enough. What only common tokens bring together isn't met at all. Tokens stand in one order for all items, so behind the last rare token that
+    two share each has as many left as it has places: a pair for which that and the shared ones are too few goes without its tokens being compared."""
+    bags = {"n": "name_tokens", "d": "dns_tokens", "a": "alias_tokens"}
+    bag = F.explode(F.array(*(F.struct(F.lit(k).alias("tag"), F.col(v).alias("tokens")) for k, v in bags.items())))
     each = own.select("id", "type", "sources", bag.alias("bag")).select("id", "type", "sources", "bag.tag", F.size("bag.tokens").alias("n"), F.explode("bag.tokens").alias("token"))
     key = ["type", "tag", "token"]
     known = each.groupBy(*key).agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("id", "type", "tag").orderBy("df", "token"))
     rare = each.join(known, key).withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
-    tagged = lambda c, tag: F.transform(listed(c), lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("token")))
+    tagged = lambda c, tag: F.transform(_listed(c), lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("token")))
     exact = F.explode(F.array_distinct(F.concat(tagged("dns", "h"), tagged("ips", "i"))))
-    whole = own.select("id", "type", "sources", exact.alias("e")).select("id", "type", "sources", "e.tag", F.lit(1).alias("n"), "e.token")
-    rows = rare.select("id", "type", "sources", "tag", "n", "token").unionByName(whole)
-    x, y = (rows.select(*key, *(F.col(c).alias(f"{s}_{c}") for c in ("id", "sources", "n"))) for s in "ab")
+    whole = own.select("id", "type", "sources", exact.alias("e")).select("id", "type", "sources", "e.tag", F.lit(1).alias("n"), "e.token", F.lit(1).alias("place"))
+    rows = rare.select("id", "type", "sources", "tag", "n", "token", "place").unionByName(whole)
+    x, y = (rows.select(*key, *(F.col(c).alias(f"{s}_{c}") for c in ("id", "sources", "n", "place"))) for s in "ab")
     near = (F.col("a_id") < F.col("b_id")) & (F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n"))
     only = (F.size(F.array_except("a_sources", "b_sources")) > 0) & (F.size(F.array_except("b_sources", "a_sources")) > 0)
-    return x.join(y, key).where(near & only).select("a_id", "b_id", "type").distinct()
+    met = x.join(y, key).where(near & only).groupBy("a_id", "b_id", "type", "tag", "a_n", "b_n").agg(F.count(F.lit(1)).alias("m"), F.max("a_place").alias("i"), F.max("b_place").alias("j"))
+    most = F.col("m") + F.least(F.col("a_n") - F.col("i"), F.col("b_n") - F.col("j"))
+    needed = (F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-6
+    return met.where(most >= needed).select("a_id", "b_id", "type").distinct()
 
 
 def scored_pairs(items: DataFrame, threshold: float = CANDIDATE_THRESHOLD) -> DataFrame:
     """(ci_id_a, ci_id_b, type, score, evidence) of likely duplicates among items (id, type, name, attributes, aliases,
     sources): same type, id_a < id_b, each with a source that the other lacks, no alias in common, score of threshold or more,
     which must be more than 0."""
-    own = items.withColumn("dns", names.json_values(F.col("attributes"), DNS_KEYS)).withColumn("ips", names.json_values(F.col("attributes"), IP_KEYS))
-    cols = ["id", "name", "dns", "ips", "aliases", "sources"]
+    own = _tokenized(items)
+    cols = ["id", "norm", "dns", "ips", "aliases", "name_tokens", "dns_tokens", "alias_tokens"]
     ids = _met(own, threshold)
     pairs = ids.join(own.select(*(F.col(c).alias(f"a_{c}") for c in cols)), "a_id").join(own.select(*(F.col(c).alias(f"b_{c}") for c in cols)), "b_id")
-    aliases = lambda s: F.coalesce(f"{s}_aliases", F.array().cast("array<string>"))
-    pairs = pairs.where(~F.arrays_overlap(aliases("a"), aliases("b")))
-    words = lambda s: F.array_distinct(F.flatten(F.transform(aliases(s), names.tokens)))
-    alias = F.when((F.size(aliases("a")) < 1) | (F.size(aliases("b")) < 1), 0.0).otherwise(F.least(names.jaccard(words("a"), words("b")), F.lit(ALIAS_CAP)))
+    a, b = _listed("a_aliases"), _listed("b_aliases")
+    pairs = pairs.where(~F.arrays_overlap(a, b))
+    alias = F.when((F.size(a) < 1) | (F.size(b) < 1), 0.0).otherwise(F.least(names.jaccard(F.col("a_alias_tokens"), F.col("b_alias_tokens")), F.lit(ALIAS_CAP)))
     scores = {
-        "name": names.name_score(F.col("a_name"), F.col("b_name")),
-        "dns": names.shared_or_similar(F.col("a_dns"), F.col("b_dns")),
+        "name": names.token_score(*(F.col(f"{s}_{c}") for c in ("norm", "name_tokens") for s in "ab")),
+        "dns": names.shared_or_similar(*(F.col(f"{s}_{c}") for c in ("dns", "dns_tokens") for s in "ab")),
         "ip": F.when(F.arrays_overlap("a_ips", "b_ips"), IP_SCORE).otherwise(0.0),
         "alias": alias,
     }
-    pairs = pairs.withColumns({f"s_{k}": v for k, v in scores.items()}).withColumn("score", F.greatest(*(f"s_{k}" for k in scores)))
+    pairs = pairs.select(F.col("a_id").alias("ci_id_a"), F.col("b_id").alias("ci_id_b"), "type", *(v.alias(f"s_{k}") for k, v in scores.items())).withColumn("score", F.greatest(*(f"s_{k}" for k in scores)))
     told = F.concat_ws("; ", *(F.when(F.col(f"s_{k}") > 0, F.format_string(f"{k} %.2f", F.col(f"s_{k}"))) for k in scores))
-    return pairs.where(F.col("score") >= threshold).select(F.col("a_id").alias("ci_id_a"), F.col("b_id").alias("ci_id_b"), "type", "score", F.concat(F.lit("probable match: "), told).alias("evidence"))
+    return pairs.where(F.col("score") >= threshold).select("ci_id_a", "ci_id_b", "type", "score", F.concat(F.lit("probable match: "), told).alias("evidence"))
 
 
 def upsert_candidates(candidates: DataFrame, found: DataFrame, now: Column) -> DataFrame:

@@ -105,7 +105,6 @@ def slos(spark: SparkSession) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity records (id, type, source, name, attributes, aliases, sources): documents by their first eight words."""
+    """Entity records (id, type, source, name, attributes, aliases, sources): documents, named by their whole texts."""
     d = read(spark, sf_dir, "documents")
-    words = F.slice(F.split("text", "\\s+"), 1, 8)
-    return d.select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), F.col("lang").alias("type"), F.array_join(words, " ").alias("name"), F.lit("{}").alias("attributes"), F.array().cast("array<string>").alias("aliases"), F.array("source").alias("sources"), "source")
+    return d.select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), F.col("lang").alias("type"), F.col("text").alias("name"), F.lit("{}").alias("attributes"), F.array().cast("array<string>").alias("aliases"), F.array("source").alias("sources"), "source")

@@ -82,8 +82,8 @@ EDGE_VERSION = """link AS (SELECT user_id || '>' || k AS id, 'CONNECTS_TO' AS ty
 RUN = """run AS (SELECT event_id AS run_id, event_type AS source, CASE WHEN k % 17 = 0 THEN 'partial' WHEN k % 5 = 0 THEN 'error' ELSE 'ok' END AS status, ts AS started_at,
  CASE WHEN k % 17 <> 0 THEN ts + INTERVAL 5 MINUTE END AS finished_at FROM (SELECT *, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k FROM events))"""
 
-RECORD = """record AS (SELECT lpad(CAST(doc_id AS VARCHAR),9,'0') AS id, lang AS type, source, array_to_string(list_slice(regexp_split_to_array(text,'\\s+'),1,8),' ') AS name FROM documents)"""
-NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+RECORD = """record AS (SELECT lpad(CAST(doc_id AS VARCHAR),9,'0') AS id, lang AS type, source, text AS name FROM documents)"""
+NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s\x0B\x{{85}}\p{{Z}}]', '', 'g'), '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g'))"
 
 
 def with_(*parts: str, recursive: bool = False) -> str:
