@@ -9,8 +9,9 @@ from ..schema import BASELINE_CONFIDENCE, CONFIDENCE_CEILING, CONFIDENCE_FLOOR,
 
 
 def for_observations(n: Column) -> Column:
-    """Confidence after n observations: 0.6, 0.8, 0.9, ...; null below one."""
-    return F.when(n >= 1, F.least(1.0 - (1.0 - BASELINE_CONFIDENCE) * F.pow(F.lit(CONFIDENCE_RATIO), n - 1), F.lit(CONFIDENCE_CEILING)))
+    """Confidence after n observations: 0.6, 0.8, 0.9, ...; below one is an error, null is null."""
+    refused = F.raise_error(F.concat(F.lit("a count of observations must be 1 or more, not "), n.cast("string"))).cast("double")
+    return F.when(n < 1, refused).when(n >= 1, F.least(1.0 - (1.0 - BASELINE_CONFIDENCE) * F.pow(F.lit(CONFIDENCE_RATIO), n - 1), F.lit(CONFIDENCE_CEILING)))
 
 
 def age_days(observed_at: Column, now: Column) -> Column:
@@ -19,9 +20,10 @@ def age_days(observed_at: Column, now: Column) -> Column:
 
 
 def decayed(confidence: Column, days: Column) -> Column:
-    """Confidence that was last confirmed `days` ago; null for a negative age."""
+    """Confidence that was last confirmed `days` ago; a negative age is an error, null is null."""
     past = confidence - F.lit(DECAY_PER_DAY) * (days - FRESH_DAYS)
-    return F.when(days < 0, None).when(days <= FRESH_DAYS, confidence).otherwise(F.greatest(F.lit(CONFIDENCE_FLOOR), F.least(confidence, past)))
+    refused = F.raise_error(F.concat(F.lit("an age must not be negative, as "), days.cast("string"), F.lit(" days are"))).cast("double")
+    return F.when(days < 0, refused).when(days.isNull(), None).when(days <= FRESH_DAYS, confidence).otherwise(F.greatest(F.lit(CONFIDENCE_FLOOR), F.least(confidence, past)))
 
 
 def timedelta_text(seconds: Column) -> Column:

@@ -139,7 +139,7 @@ def aging_actions(edges: DataFrame, now: Column) -> DataFrame:
     fresh window if that lowers the confidence, else `untouched`) and new_confidence. Without a marker, with a time in
     the future, or with a version of this very time, nothing is done."""
     aged = edges.where((F.col("valid_to").isNull()) & (F.col("source") == INFERRED)).withColumn("days", conf.age_days(last_observed(F.col("evidence")), now))
-    lower = conf.decayed(F.col("confidence"), F.col("days"))
+    lower = F.when(F.col("days") >= 0, conf.decayed(F.col("confidence"), F.col("days")))
     action = (
         F.when(F.col("days").isNull() | (F.col("days") < 0), "untouched")
         .when(F.col("days") > TTL_DAYS, "close")
@@ -160,6 +160,21 @@ def aging_sweep(state: DataFrame, now: Column) -> DataFrame:
     return kept.select(*state.columns).unionByName(opened.select(*state.columns))
 
 
+def write_decayed(state: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """The table of edges after decays (id, new_confidence, decay_evidence), one an id: the open version is closed and one of the same id opened, with the
+    entry behind its evidence, whose marker stays. A declared edge, a confidence that isn't lower and an id without an open edge are errors."""
+    cut = changes.select("id", "new_confidence", "decay_evidence")
+    hit = cut.join(state.where("valid_to is null"), "id", "left")
+    fault = (
+        F.when(F.col("source").isNull(), F.lit("no open edge "))
+        .when(F.col("source") != INFERRED, F.lit("only inferred edges decay, not "))
+        .when(~F.coalesce(F.col("new_confidence") < F.col("confidence"), F.lit(False)), F.lit("a decay must lower the confidence of "))
+    )
+    checked = hit.where(F.when(fault.isNull(), True).otherwise(F.raise_error(F.concat(fault, "id")).cast("boolean")))
+    opened = checked.withColumns({"confidence": F.col("new_confidence"), "evidence": F.concat("evidence", F.array("decay_evidence")).cast(EVIDENCE), "valid_from": now})
+    return closed(state, cut, ["id"], now).unionByName(opened.select(*state.columns))
+
+
 def retention_split(versions: DataFrame, horizon: Column) -> DataFrame:
     """versions with `removed`: closed before the horizon and not the latest closed version of its id."""
     latest = F.row_number().over(Window.partitionBy("id", F.col("valid_to").isNull()).orderBy(F.desc("valid_from")))

@@ -11,7 +11,7 @@ from ..operators import events, graph, merges, resolution, rules, temporal, trav
 from ..session import written
 from ..sources import aws, clouds, kubernetes, telemetry
 from . import fixture as fx
-from . import sql
+from . import sql, templates
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -142,8 +142,9 @@ INCIDENT = "2024-01-20 12:00:00"
 _RCA = (
     sql.with_(sql.CI, sql.EDGE, sql.VERSION, sql.adjacency("upstream", 0.0, None), sql.reached("SELECT 'region:0' AS id UNION ALL SELECT 'ec2_instance:1'", 3), f"feed AS ({sql.changes('ci', f'TIMESTAMP {chr(39)}{INCIDENT}{chr(39)} - INTERVAL 24 HOUR', f'TIMESTAMP {chr(39)}{INCIDENT}{chr(39)}')})", recursive=True)
     + f"""SELECT seed, f.kind, f.at, f.id, distance, (epoch_us(TIMESTAMP '{INCIDENT}') - epoch_us(f.at)) / 1e6 AS age_seconds,
- CASE f.kind WHEN 'removed' THEN 3.0 WHEN 'updated' THEN 2.0 ELSE 1.0 END * (1.0/(1.0+distance) + 86400.0/(86400.0 + ((epoch_us(TIMESTAMP '{INCIDENT}') - epoch_us(f.at)) / 1e6))) AS score
- FROM feed f JOIN dist ON node = 'ec2_instance:' || f.id"""
+ CASE f.kind WHEN 'removed' THEN 3.0 WHEN 'updated' THEN 2.0 ELSE 1.0 END * (1.0/(1.0+distance) + 86400.0/(86400.0 + ((epoch_us(TIMESTAMP '{INCIDENT}') - epoch_us(f.at)) / 1e6))) AS score,
+ 'ci ' || f.name || ' was ' || f.kind || ' ' || CASE WHEN s >= 86400 THEN '1 day, ' ELSE '' END || format('{{:d}}:{{:02d}}:{{:02d}}', s % 86400 // 3600, s % 3600 // 60, s % 60) || ' before the incident, ' || distance || CASE distance WHEN 1 THEN ' hop' ELSE ' hops' END || ' upstream' AS evidence
+ FROM (SELECT *, (epoch_us(TIMESTAMP '{INCIDENT}') - epoch_us("at")) // 1000000 AS s FROM feed) f JOIN dist ON node = 'ec2_instance:' || f.id"""
 )
 
 
@@ -153,7 +154,7 @@ def rca(spark, sf_dir):
     until = F.lit(INCIDENT).cast("timestamp_ntz")
     feed = temporal.changes(fx.versions(spark, sf_dir), "ci", until - F.expr("interval 24 hours"), until).withColumn("id", F.concat(F.lit("ec2_instance:"), "id"))
     found = traversal.root_cause(near, feed, until)
-    return found.select("seed", "kind", "at", F.regexp_replace("id", "^ec2_instance:", "").alias("id"), "distance", "age_seconds", "score")
+    return found.select("seed", "kind", "at", F.regexp_replace("id", "^ec2_instance:", "").alias("id"), "distance", "age_seconds", "score", "evidence")
 
 
 @query(sql.with_(sql.CI) + "SELECT id, type, external_id, name FROM ci ORDER BY type, external_id, id LIMIT 500")
@@ -249,7 +250,7 @@ def change_feed(spark, sf_dir):
 @query("SELECT n, CASE WHEN n >= 1 THEN least(1.0 - (1.0 - CAST(0.6 AS DOUBLE)) * pow(0.5, n - 1), 1 - 1e-15) END AS confidence FROM (SELECT DISTINCT l_linenumber AS n FROM lineitem UNION SELECT 0)")
 def conf_curve(spark, sf_dir):
     n = fx.read(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("n")).distinct().unionByName(spark.range(1).select(F.lit(0).alias("n")))
-    return n.select("n", conf.for_observations(F.col("n")).alias("confidence"))
+    return n.select("n", F.when(F.col("n") >= 1, conf.for_observations(F.col("n"))).alias("confidence"))
 
 
 NOW = "2024-02-01 00:00:00"
@@ -451,6 +452,41 @@ def er_ip_pairs(spark, sf_dir):
     return resolution.scored_pairs(hosts)
 
 
+_HOSTS = """WITH c AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, c_mktsegment AS type, c_custkey % 3 AS source, c_custkey % 2 = 0 AS plain, [{0}] AS values FROM customer),
+ h AS (SELECT *, list_transform(values, lambda v: lower(replace(v, '-', ''))) AS toks FROM c),
+ j AS (SELECT a.id AS ci_id_a, b.id AS ci_id_b, a.type, len(list_intersect(a.values, b.values)) > 0 AS shared, len(list_intersect(a.toks, b.toks)) AS n, a.plain = b.plain AS alike FROM h a JOIN h b ON a.type = b.type AND a.id < b.id AND a.source <> b.source),
+ s AS (SELECT *, CAST(n AS DOUBLE) / (6 - n) AS jac FROM j)
+"""
+_DNS = [f"CASE WHEN c_custkey % 2 = 0 THEN '{k}' || {v} ELSE '{k.upper()}-' || {v} END" for k, v in (("h", "c_custkey // 40"), ("g", "c_custkey // 80"), ("n", "c_nationkey"))]
+
+
+def _bare_hosts(spark, sf_dir, dns: Column | None, aliases: Column | None) -> DataFrame:
+    """Customers as hosts without names."""
+    c = fx.read(spark, sf_dir, "customer")
+    none = F.array().cast("array<string>")
+    return c.select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id"), F.col("c_mktsegment").alias("type"), F.lit(None).cast("string").alias("name"), (F.lit("{}") if dns is None else F.to_json(dns)).alias("attributes"), (none if aliases is None else aliases).alias("aliases"), F.array((F.col("c_custkey") % 3).cast("string")).alias("sources"))
+
+
+def _parts() -> dict[str, Column]:
+    return {"h": F.floor(F.col("c_custkey") / 40).cast("string"), "g": F.floor(F.col("c_custkey") / 80).cast("string"), "n": F.col("c_nationkey").cast("string")}
+
+
+@query(_HOSTS.format(", ".join(_DNS)) + "SELECT ci_id_a, ci_id_b, type, CASE WHEN shared THEN 1.0 ELSE jac END AS score, 'probable match: dns ' || CASE WHEN shared OR jac = 1 THEN '1.00' ELSE '0.50' END AS evidence FROM s WHERE shared OR jac >= 0.5")
+def er_dns_pairs(spark, sf_dir):
+    """Host names of which even and odd hosts have other spellings: pairs share one, or their tokens are alike."""
+    even = F.col("c_custkey") % 2 == 0
+    h, g, n = (F.when(even, F.concat(F.lit(k), v)).otherwise(F.concat(F.lit(f"{k.upper()}-"), v)) for k, v in _parts().items())
+    return resolution.scored_pairs(_bare_hosts(spark, sf_dir, F.struct(h.alias("dns_name"), g.alias("hostname"), n.alias("fqdn")), None))
+
+
+@query(_HOSTS.format("'h' || (c_custkey // 40), 'g' || (c_custkey // 80), 'n' || c_nationkey") + "SELECT ci_id_a, ci_id_b, type, least(jac, 0.8) AS score, 'probable match: alias ' || CASE WHEN jac = 1 THEN '0.80' ELSE '0.50' END AS evidence FROM s WHERE jac >= 0.5 AND NOT (n = 3 AND alike)")
+def er_alias_pairs(spark, sf_dir):
+    """Aliases of the same words in two orders: equal ones are no candidates, alike ones score 0.8 at most."""
+    h, g, n = (F.concat(F.lit(k), v) for k, v in _parts().items())
+    alias = F.when(F.col("c_custkey") % 2 == 0, F.concat_ws(" ", h, g, n)).otherwise(F.concat_ws(" ", n, g, h))
+    return resolution.scored_pairs(_bare_hosts(spark, sf_dir, None, F.array(alias)))
+
+
 @query("""SELECT 'ci-' || p_partkey AS id, first_value('ci-' || p_partkey) OVER (PARTITION BY p_brand, p_size ORDER BY p_name, 'ci-' || p_partkey) AS root
 FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_size) > 1""")
 def er_merge_groups(spark, sf_dir):
@@ -650,5 +686,35 @@ def anomalies_eval(spark, sf_dir):
     return temporal.open_findings(findings).select("rule_id", "subject_ci_id", F.substring(F.get_json_object("evidence", "$.window.since"), 1, 10).alias("since"), triggers.alias("triggers"))
 
 
+# Questions
+
+_ASKED = {
+    "inventory": {"type": "vpc"}, "count_by_type": {}, "recent_changes": {"days": 7}, "blast_radius": {"external_id": "000000001"},
+    "reachability": {"external_id": "000000001"},
+}
+_CHANGED = f"""SELECT count(*) FROM ({sql.changes('ci', SINCE, UNTIL)} UNION ALL {sql.changes('edge', SINCE, UNTIL, 'link')})"""
+_FIRST = "SELECT min_by(id, type || id) AS id FROM ci WHERE external_id = '000000001'"
+
+
+@query(
+    sql.with_(sql.CI, sql.EDGE, sql.adjacency("impact"), sql.reached(_FIRST, 4), "hit AS MATERIALIZED (SELECT count(*) AS n FROM dist JOIN ci ON id = node WHERE distance > 0)", recursive=True)
+    + f"""SELECT 'inventory' AS template, 'Found ' || count(*) || ' configuration items of type vpc.' AS summary FROM ci WHERE type = 'vpc'
+ UNION ALL SELECT 'count_by_type', count(*) || ' configuration items across ' || count(DISTINCT type) || ' type(s).' FROM ci
+ UNION ALL SELECT 'recent_changes', (WITH {sql.VERSION}, {sql.EDGE_VERSION} {_CHANGED}) || ' changes in the last 7 days.'
+ UNION ALL SELECT 'blast_radius', n || CASE n WHEN 1 THEN ' resource' ELSE ' resources' END || ' would be impacted if ''000000001'' failed.' FROM hit
+ UNION ALL SELECT 'reachability', (WITH RECURSIVE {sql.adjacency("reach")}, {sql.reached(_FIRST, 6)} SELECT count(*) || CASE count(*) WHEN 1 THEN ' source' ELSE ' sources' END FROM dist JOIN ci ON id = node WHERE distance > 0) || ' can reach ''000000001''.'"""
+)
+def answers(spark, sf_dir):
+    """The sentence of each template: items of the graph, changes of the versions of hosts and links."""
+    kept = fx.kept(spark, sf_dir)
+    open_ = {"cis": kept.nodes.withColumn("valid_to", F.lit(None).cast("timestamp")), "open": kept.nodes, "open_edges": kept.edges, "kept": kept}
+    past = {"cis": fx.versions(spark, sf_dir), "edges": fx.edge_versions(spark, sf_dir), "now": F.lit("2024-01-17").cast("timestamp_ntz")}
+    told = [templates.answer(past if name == "recent_changes" else open_, name, templates.TEMPLATES[name].checked(args))[1].select(F.lit(name).alias("template"), "summary") for name, args in _ASKED.items()]
+    out = told[0]
+    for one in told[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blast_radius(spark, sf_dir)

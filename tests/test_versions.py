@@ -34,10 +34,14 @@ BATCH = f"type string, from_id string, to_id string, edge_key string, source str
 
 
 def test_curves(spark):
-    got = [r[0] for r in spark.range(0, 6).select(conf.for_observations(F.col("id"))).collect()]
-    assert got[0] is None and [round(x, 12) for x in got[1:]] == [0.6, 0.8, 0.9, 0.95, 0.975]
-    d = spark.createDataFrame([(7.0,), (8.0,), (30.0,), (-1.0,)], "d double").select(conf.decayed(F.lit(0.6), F.col("d"))).collect()
+    got = [r[0] for r in spark.range(1, 6).select(conf.for_observations(F.col("id"))).collect()]
+    assert [round(x, 12) for x in got] == [0.6, 0.8, 0.9, 0.95, 0.975]
+    d = spark.createDataFrame([(7.0,), (8.0,), (30.0,), (None,)], "d double").select(conf.decayed(F.lit(0.6), F.col("d"))).collect()
     assert d[0][0] == 0.6 and abs(d[1][0] - 0.55) < 1e-9 and d[2][0] == 0.2 and d[3][0] is None
+    assert spark.range(1).select(conf.for_observations(F.lit(None).cast("int"))).first()[0] is None
+    for refused in (conf.for_observations(F.col("id")), conf.decayed(F.lit(0.6), F.col("id") - 0.5)):
+        with pytest.raises(Exception, match="must"):
+            spark.range(1).select(refused).collect()
     assert spark.range(1).select(conf.timedelta_text(F.lit(93784))).first()[0] == "1 day, 2:03:04"
 
 
@@ -73,6 +77,18 @@ def test_edges_accumulate_age_and_are_marked(spark):
     assert note.evidence[-1].detail == "decayed 0.6000->0.5000 age_days=9" and abs(note.confidence - 0.5) < 1e-9
 
 
+def test_decays_are_written_or_refused(spark):
+    state = spark.createDataFrame([edge("a", "x", "inferred", 0.6, ev(("aws-flowlogs-count", 22, "1"))), edge("b", "x", "declared", 0.6, ev(("s", 1, "1"))), edge("c", "x", "inferred", 0.6, ev(("s", 1, "1")))], schema.EDGE)
+    change = lambda i, c: spark.createDataFrame([(i, c, ("aging", day(31), "decayed"))], "id string, new_confidence double, decay_evidence struct<source:string,observed_at:timestamp,detail:string>")
+    rows = versions.write_decayed(state, change("a>x", 0.5), now(31)).collect()
+    old, new = sorted((r for r in rows if r.id == "a>x"), key=lambda r: r.valid_from)
+    assert len(rows) == 4 and old.valid_to == new.valid_from and new.valid_to is None and old.confidence == 0.6 and new.confidence == 0.5
+    assert [e.source for e in new.evidence] == ["aws-flowlogs-count", "aging"] and new.evidence[0] == old.evidence[0]
+    for i, c, told in (("b>x", 0.5, "only inferred"), ("a>x", 0.6, "must lower"), ("a>x", 0.7, "must lower"), ("a>x", None, "must lower"), ("gone", 0.1, "no open edge")):
+        with pytest.raises(Exception, match=told):
+            versions.write_decayed(state, change(i, c), now(31)).collect()
+
+
 def test_declared_edges_and_empty_evidence(spark):
     state = spark.createDataFrame([edge("a", "b", "declared", 1.0, ev(("s", 1, None)))], schema.EDGE)
     same = spark.createDataFrame([("CONNECTS_TO", "a", "b", "", "declared", 1.0, ev(("s", 1, None)))], BATCH)
