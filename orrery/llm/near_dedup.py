@@ -241,6 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     that hold several groups are dealt to pairs of bands. Null, empty and wordless
     texts, and rows with a null doc_id, link with nothing; a null doc_id has a null component_id and is kept. Rows of
     one doc_id are one document that has the links of all its texts. Other columns are left out; no rows give none.
+    The result is a written table; the tables on the way to it, texts among them, are deleted as soon as nothing reads them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).where("id is not null and text is not null")
     sketch = common.written(sketched(docs, width), "sketch")
@@ -268,17 +269,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
 
     components = linked_components(members, compare, BLOCK, split)
+    common.discard(shared, members, first)
     # Rows of one doc_id with several texts tie the classes of these together.
     ties = sketch.where("set_key is not null").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     named = classes.join(components, classes.rep == components.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     repeated = ties.groupBy("a").agg(F.countDistinct("b").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         more = ties.join(repeated, "a", "left_semi").unionByName(components.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        components = common.written(common.connected_components(more, "a", "b"), "components")
+        components, before = common.written(common.connected_components(more, "a", "b"), "components"), components
+        common.discard(before)
         named = classes.join(components, classes.rep == components.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = sketch.join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    result = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    result = common.written(result, "near-duplicates")
+    common.discard(sketch, classes, components)
+    return result
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
