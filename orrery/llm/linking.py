@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Times the size of a block from which a bucket that still holds several components is dealt to finer buckets, which takes
-#: more rows than comparing its parts with each other where these are few.
+#: Times the size of a block from which a bucket that still holds several components is dealt to finer buckets before its parts are
+#: compared with each other.
 SPLIT_FROM = 16
 
 
@@ -51,21 +51,20 @@ def linked_components(
     go along. compare(blocks, components) gets (key, block, id) and gives links (a, b) that decide each
     pair of a block: two ids of a block that pass are linked, or joined through others. Buckets of more than `limit`
     members that then hold several components go on: `split`, if there is one, deals the members (key, id) of those of more
-    than SPLIT_FROM * limit to finer buckets in which all pairs that could pass still meet. What is then still larger and mixed is
-    compared part by part, each part with each, which is exact for any bucket. Null ids are not among the members."""
+    than SPLIT_FROM * limit to finer buckets, in which most of what is alike becomes one; it decides nothing. Each bucket that is then still
+    mixed is compared part by part, each part with each, so a pair is decided alike in a bucket of any size. Null ids are not among the members."""
     links = compare(dealt(members, limit), None)
     components = common.written(common.connected_components(links, "a", "b"), "components")
     common.discard(links)
-    large = _mixed(members.where(F.col("n") > limit), components)
+    many = members.where(F.col("n") > limit)
+    large = _mixed(many, components)
     huge = large.where(F.col("n") > SPLIT_FROM * limit)
     if split is not None and not huge.isEmpty():
         finer = common.written(sized(split(huge)), "finer")
         links = compare(dealt(finer, limit), components)
         components, before = joined(components, links), components
-        common.discard(links, *([before] if before is not components else []))
-        left = _mixed(finer.where(F.col("n") > limit), components).unionByName(large.where(F.col("n") <= SPLIT_FROM * limit).select("key", "id", "n"))
-        common.discard(finer)
-        large = left
+        common.discard(links, finer, large, *([before] if before is not components else []))
+        large = _mixed(many, components)
     if not large.isEmpty():
         links = compare(crossed(large, limit), components)
         components, before = joined(components, links), components

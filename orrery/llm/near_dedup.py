@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Equal sets are one class, and only its smallest doc_id goes into band buckets, whose members are compared in blocks
     (see linked_components): packed b-bit signatures give a forest of likely pairs, which full sets confirm; what is
-    likely and still apart after that is decided by the full sets inside the block. Members of a bucket of more than BLOCK
-    that hold several groups are dealt to pairs of bands. Null, empty and wordless
+    likely and still apart after that is decided by the full sets inside the block. Buckets of many times BLOCK that hold several
+    groups are first dealt to pairs of bands, and what is then still mixed is compared part by part. Null, empty and wordless
     texts, and rows with a null doc_id, link with nothing; a null doc_id has a null component_id and is kept. Rows of
     one doc_id are one document that has the links of all its texts. Other columns are left out; no rows give none.
     The result is a written table; the tables on the way to it, texts among them, are deleted as soon as nothing reads them.
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return out
 
     def split(large: DataFrame) -> DataFrame:
-        # Similar sets that share a band share a second one but twice or thrice in a million pairs.
+        # Similar sets that share a band nearly always share a second one; those that don't meet when the bucket is compared part by part.
         pairs = large.select("key", "id").join(first.select("id", F.explode("bands").alias("other")), "id").where("key <> other")
         return pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
 

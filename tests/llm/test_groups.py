@@ -57,6 +57,18 @@ def test_linked_components_decides_all_pairs_of_a_bucket(spark, limit):
     assert {r.id: r.component for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("limit", [100, 10, 3])
+def test_a_split_that_parts_pairs_loses_no_link(spark, limit):
+    # The same links whether the bucket is a block, compared part by part, or split first, by which no linked pair meets.
+    n = 60
+    members = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id"), F.lit(n).cast("long").alias("n"))
+    compare = compare_within("a - b = 30")
+    written = lambda blocks, components: common.written(compare(blocks, components), "links")
+    split = lambda large: large.select((F.col("id") % 60).alias("key"), "id").unionByName(large.select((100 + F.floor(F.col("id") / 2)).alias("key"), "id"))
+    got = linking.linked_components(members, written, limit, split)
+    assert {r.id: r.component for r in got.collect()} == groups(range(n), [(i, i + 30) for i in range(n - 30)])
+
+
 def shingles(text, width):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
