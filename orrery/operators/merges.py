@@ -7,13 +7,14 @@ candidates of one store at a time, commits.Store lets one through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.confidence import canonical_id
 from ..schema import DECLARED
 from ..session import discard, written
 from .commits import Store
+from .components import connected_components
 from .versions import EDGE_KEY
 
 FUZZY = "fuzzy-candidate"
@@ -28,25 +29,20 @@ class AlreadyResolved(ValueError):
 
 
 def components(pairs: DataFrame, order: DataFrame) -> DataFrame:
-    """(id, root): of each item in pairs (a, b), the least item that pairs lead to, by order (id, rank, any comparable column).
+    """(id, root): of each item in pairs (a, b), the least item that pairs lead to, by order (id, rank, any comparable column). Items that order
+    doesn't have lead nowhere and have no row.
 
-    Each round an item takes the least root among its neighbours, and then its root's root, so a chain halves in length from round to round."""
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    links = written(both, "links")
+    Groups are found by their ids alone, in a number of passes that grows with the logarithm of the longest chain; ranks are compared once, at the end."""
+    met = written(pairs.select("a", "b"), "pairs")
     rank = order.select("id", F.struct("rank", "id").alias("root"))
-    now = written(links.select(F.col("a").alias("id")).distinct().join(rank, "id"), "roots")
-    while True:
-        near = links.join(now.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("_near"))
-        least = now.join(near, "id", "left").select("id", "root", F.least("root", "_near").alias("_next"))
-        up = now.select(F.col("id").alias("_at"), F.col("root").alias("_up"))
-        jumped = least.join(up, F.col("_next.id") == F.col("_at"), "left").select("id", F.least("_next", "_up").alias("_root"), "root")
-        moves, before = Observation(), now
-        seen = jumped.observe(moves, F.coalesce(F.sum(F.when(F.col("_root") != F.col("root"), 1)), F.lit(0)).alias("n"))
-        now = written(seen.select("id", F.col("_root").alias("root")), "roots")
-        discard(before)
-        if not moves.get["n"]:
-            discard(links)
-            return now.select("id", F.col("root.id").alias("root"))
+    nodes = written(met.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(rank, "id"), "nodes")
+    known = lambda c: nodes.select(F.col("id").alias(c))
+    groups = connected_components(met.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi"), "a", "b")
+    named = nodes.join(groups, "id", "left").select("id", "root", F.coalesce("component", "id").alias("group"))
+    least = named.groupBy("group").agg(F.min("root").alias("least"))
+    out = written(named.select("id", "group").join(least, "group").select("id", F.col("least.id").alias("root")), "roots")
+    discard(met, nodes, groups)
+    return out
 
 
 def fused(state: dict[str, DataFrame], merged: DataFrame, now: Column, note: Column) -> dict[str, DataFrame]:

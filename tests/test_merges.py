@@ -122,3 +122,20 @@ def test_an_alias_merge_is_in_the_ledger_once_and_can_be_undone(spark):
     back = merges.unmerge(again, row[0].merge_id, "t", now(3))
     assert sorted(r.external_id for r in back["cis"].where("valid_to is null").collect()) == ["a-1", "b-1"]
     assert json.loads(json.dumps({r.native_id: r.source for r in back["source_keys"].collect()})) == {"a-1": "srcA", "b-1": "srcB"}
+
+
+def test_long_chains_are_few_passes(spark, monkeypatch):
+    """A chain whose least item is at its end, one of items that lead through an unknown one, and an item paired with itself."""
+    from pathlib import Path
+
+    from orrery.operators import components as stars
+
+    tables = []
+    for module in (merges, stars):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: tables.append(name) or f(df, name))
+    n = 300
+    pairs = [(f"c{k:03}", f"c{k - 1:03}") for k in range(1, n)] + [("x1", "gone"), ("gone", "x2"), ("y", "y"), (None, "x1")]
+    order = [(f"c{k:03}", (k * 77) % n) for k in range(n)] + [("x1", 1), ("x2", 0), ("y", 5)]
+    got = merges.components(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(order, "id string, rank int"))
+    assert {r.id: r.root for r in got.collect()} == {f"c{k:03}": "c000" for k in range(n)} | {"x1": "x1", "x2": "x2", "y": "y"}
+    assert len(tables) < 20 and Path(got.inputFiles()[0].removeprefix("file://")).exists()
