@@ -215,3 +215,10 @@ def test_a_stream_runs_into_a_store(spark, tmp_path):
     run()
     m, state = store.read()
     assert m["batches"] == {"aws-events": 1} and state["cis"].count() == 2 and state["edges"].where("valid_to is null").count() == 1
+
+
+def test_a_trail_is_parsed_once(spark):
+    log, rejected = aws.cloudtrail_log(spark.createDataFrame([("{}",), ("no json",)], "value string"))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (log, rejected)]
+    assert all(p.count("from_json") + p.count("jsontostructs") == 0 for p in plans)
+    assert log.count() == 0 and rejected.count() == 2
