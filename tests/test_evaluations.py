@@ -101,3 +101,16 @@ def test_selectors_by_their_rarest_label(spark):
     s = spark.createDataFrame([({"uid": u}, {"selector": x}) for u, x in services], "metadata struct<uid:string>, spec struct<selector:map<string,string>>")
     got = {(r.owner, r.pod) for r in kubernetes.selected(s, "spec.selector", p).collect()}
     assert got == {(o, q) for o, x in services if x for q, y in pods if x.items() <= y.items()}
+
+
+def test_nested_patterns_bring_one_edge_without_gathering_pairs(spark):
+    """Patterns of one principal that begin with each other: the longest brings the edge, with the actions of all."""
+    policy = lambda *grants: json.dumps({"Statement": [{"Effect": "Allow", "Action": [f"s3:{a}"], "Resource": f"arn:aws:s3:::{r}"} for a, r in grants]})
+    rows = [("iam_role", "r", "p", policy(("A", "a*"), ("B", "ab*"), ("C", "abc"), ("D", "abc*"), ("E", "*"), ("F", "x"))), ("iam_role", "r", "q", policy(("B", "ab*/k"))), ("iam_user", "r", "p", policy(("Z", "ab")))]
+    names = ["a", "ab", "abc", "abcd", "b", "abc"]
+    found = aws.bucket_grants(spark.createDataFrame(rows, aws.GRANTS), spark.createDataFrame([(n,) for n in names], "Name string"), F.lit(day(1)).cast("timestamp"))
+    got = {(r.from_type, r.to_ext): "".join(e.detail[0] + e.detail[-1] for e in r.evidence) for r in found.collect()}
+    assert got == {("iam_role", "b"): "pE", ("iam_role", "a"): "pApE", ("iam_role", "ab"): "pApBpEqB", ("iam_role", "abcd"): "pApBpDpEqB", ("iam_role", "abc"): "pApBpCpDpEqB", ("iam_user", "ab"): "pZ"}
+    assert found.count() == len(got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # nothing is gathered of pairs
