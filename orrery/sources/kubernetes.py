@@ -19,6 +19,9 @@ PODS = f"{META}, spec struct<nodeName:string>, status struct<phase:string>"
 WATCH = "type string, object struct<kind:string,metadata:struct<uid:string,name:string,namespace:string,resourceVersion:string,labels:map<string,string>,creationTimestamp:string>,spec:struct<nodeName:string,selector:string>,status:struct<phase:string>>"
 KINDS = {"Node": "k8s_node", "Namespace": "k8s_namespace", "Deployment": "k8s_workload", "Service": "k8s_service", "Pod": "k8s_pod"}
 
+#: Parts that the pods of a selector are dealt to.
+POD_SALTS = 64
+
 
 def selects(selector: Column, labels: Column) -> Column:
     """Whether all of a selector's labels are among some labels; an empty selector selects nothing."""
@@ -27,15 +30,22 @@ def selects(selector: Column, labels: Column) -> Column:
 
 
 def selected(owners: DataFrame, selector: str, pods: DataFrame) -> DataFrame:
-    """(owner, pod): pods of any namespace by selector. A selector is looked up by that one of its labels that the fewest pods have, and then checked in
-    full: a label like app=web that most pods carry brings none of them in where a rarer one is asked for too."""
+    """(owner, pod): pods of any namespace by selector. Each different selector is looked up once, by that one of its labels that the fewest pods have, and then
+    checked in full: a label like app=web that most pods carry brings none of them in where a rarer one is asked for too. Its pods then go to all its
+    owners, dealt out by a hash of the pods, so that a selector of many owners and pods isn't one task's."""
     labelled = pods.select(F.col("metadata.uid").alias("pod"), F.col("metadata.labels").alias("labels")).withColumn("one", F.explode(F.map_entries("labels")))
     frequent = labelled.groupBy("one").agg(F.count(F.lit(1)).alias("_n"))
-    asked = owners.select(F.col("metadata.uid").alias("owner"), F.col(selector).alias("sel")).where(F.size("sel") > 0)
+    asked = owners.select(F.col("metadata.uid").alias("owner"), F.array_sort(F.map_entries(selector)).alias("sel")).where(F.size("sel") > 0)
+    asked = asked.withColumn("key", F.to_json("sel"))
+    kinds = asked.groupBy("key").agg(F.first("sel").alias("sel"))
     # A label that no pod has is the rarest of all, and selects none.
-    each = asked.withColumn("one", F.explode(F.map_entries("sel"))).join(frequent, "one", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = each.groupBy("owner").agg(F.min_by("one", F.struct("_n", "one")).alias("one"))
-    return asked.join(rarest, "owner").join(labelled, "one").where(selects(F.col("sel"), F.col("labels"))).select("owner", "pod")
+    each = kinds.withColumn("one", F.explode("sel")).join(frequent, "one", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = each.groupBy("key").agg(F.min_by("one", F.struct("_n", "one")).alias("one"), F.first("sel").alias("sel"))
+    met = rarest.join(labelled, "one").where(selects(F.map_from_entries("sel"), F.col("labels"))).select("key", "pod", F.pmod(F.xxhash64("pod"), F.lit(POD_SALTS)).alias("_salt"))
+    dealt = asked.select("owner", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(POD_SALTS - 1).cast("long"))).alias("_salt"))
+    # The number of partitions is given, as few rows make many pairs: by their bytes they would be brought together into few tasks.
+    tasks = int(pods.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "key", "_salt").join(met.repartition(tasks, "key", "_salt"), ["key", "_salt"]).select("owner", "pod")
 
 
 def inventory(cluster: str, nodes: DataFrame, namespaces: DataFrame, deployments: DataFrame, services: DataFrame, pods: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

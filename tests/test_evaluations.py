@@ -114,3 +114,14 @@ def test_nested_patterns_bring_one_edge_without_gathering_pairs(spark):
     assert found.count() == len(got)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # nothing is gathered of pairs
+
+
+def test_selectors_of_many_owners_are_looked_up_once(spark):
+    pods = [(f"p{k}", {"app": "web", "tier": "xyz"[k % 3]}) for k in range(30)]
+    services = [(f"s{k}", {"app": "web", "tier": "xyz"[k % 3]} if k % 2 else {"tier": "xyz"[k % 3], "app": "web"}) for k in range(50)] + [("s0", {"app": "web"})]
+    p = spark.createDataFrame([({"uid": u, "labels": x},) for u, x in pods], "metadata struct<uid:string,labels:map<string,string>>")
+    s = spark.createDataFrame([({"uid": u}, {"selector": x}) for u, x in services], "metadata struct<uid:string>, spec struct<selector:map<string,string>>")
+    out = kubernetes.selected(s, "spec.selector", p)
+    assert sorted((r.owner, r.pod) for r in out.collect()) == sorted((o, q) for o, x in services for q, y in pods if x.items() <= y.items())
+    top = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "forall" not in top  # labels are compared once for each different selector, below the join with its owners
