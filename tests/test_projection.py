@@ -129,3 +129,12 @@ def test_a_change_writes_its_buckets_alone(spark):
     assert files(same) == now
     for k in (kept, again, alone):
         k.drop()
+
+
+def test_first_items_need_no_projection(spark, data, monkeypatch):
+    from orrery.plans import fixture, queries
+
+    monkeypatch.setattr(fixture, "kept", lambda *_: pytest.fail("a projection was built"))
+    got = queries.topology_nodes(spark, data).collect()
+    every = fixture.cis(spark, data).select("id", "type", "external_id", "name").collect()
+    assert got == sorted(every, key=lambda r: (r.type, r.external_id, r.id))[:500]
