@@ -138,3 +138,17 @@ def test_first_items_need_no_projection(spark, data, monkeypatch):
     got = queries.topology_nodes(spark, data).collect()
     every = fixture.cis(spark, data).select("id", "type", "external_id", "name").collect()
     assert got == sorted(every, key=lambda r: (r.type, r.external_id, r.id))[:500]
+
+
+def test_buckets_grow_with_the_steps(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKET_STEPS", 10)
+    cis, edges = random_graph(3)
+    kept = graph.Projection.build(items(spark, *cis), links(spark, *edges))
+    assert kept.buckets == -(-2 * len(edges) // 10) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = []
+    monkeypatch.setattr(graph, "bucketed", lambda df, name, by, buckets, f=graph.bucketed: asked.append(buckets) or f(df, name, by, buckets))
+    found = {r.seed: r.reached_by_internet for r in traversal.exposure(kept.nodes, kept.edges, kept.nodes.select("id"), kept=kept).collect()}
+    assert asked == [kept.buckets]
+    alone = {r.seed: r.reached_by_internet for r in traversal.exposure(kept.nodes, kept.edges, kept.nodes.select("id")).collect()}
+    assert found == alone
+    kept.drop()
