@@ -23,8 +23,8 @@ SHARED, LEAST = 48, 64
 HEIGHT, LOAD = 4.0, 16
 #: Vectors of fewer dimensions are all compared: caps are of use in many dimensions only.
 LEAST_DIMENSIONS = 16
-#: Most members of a bucket that are compared in one step.
-BLOCK = 1024
+#: Most members of a bucket that are compared in one step, and of one whose sketches are compared together with those of other buckets.
+BLOCK, SMALL = 1024, 32
 
 
 class Code:
@@ -79,9 +79,17 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _sketch(unit: np.ndarray) -> np.ndarray:
+    """Each unit vector in eight bits a component, then the step between two of them and the norm of what rounding took, four bytes each."""
+    step = np.abs(unit).max(1, keepdims=True) / 127
+    near = np.rint(unit / step).astype(np.int8)
+    lost = np.linalg.norm(unit - near * step, axis=1, keepdims=True)
+    return np.hstack([near.view(np.uint8), np.hstack([step, lost]).astype("<f4").view(np.uint8)])
+
+
 def filtered(classes: DataFrame, vectors: int) -> DataFrame:
-    """classes (cid, rep, label, copies, embedding) with the filters of each vector, those of one length in a batch."""
-    schema = "cid long, rep long, label string, copies long, embedding array<double>, filters array<long>"
+    """classes (cid, rep, label, copies, embedding) with the filters and the sketch of each vector, those of one length in a batch."""
+    schema = "cid long, rep long, label string, copies long, embedding array<double>, filters array<long>, sketch binary"
 
     def decode(batches):
         for batch in batches:
@@ -90,12 +98,48 @@ def filtered(classes: DataFrame, vectors: int) -> DataFrame:
                 same = batch.filter(pa.array(sizes == d))
                 for k in range(0, same.num_rows, 256):
                     part = same.slice(k, 256)
-                    found = code(d, vectors).decode(_unit(part.column(4))) if d >= LEAST_DIMENSIONS else [[-1]] * part.num_rows
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([np.sort(f) for f in found], pa.list_(pa.int64()))], names=[*part.schema.names, "filters"])
+                    unit = _unit(part.column(4))
+                    found = code(d, vectors).decode(unit) if d >= LEAST_DIMENSIONS else [[-1]] * part.num_rows
+                    added = [pa.array([np.sort(f) for f in found], pa.list_(pa.int64())), pa.array([r.tobytes() for r in _sketch(unit)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, "filters", "sketch"])
 
     return classes.mapInArrow(decode, schema)
 
 
+def _likely(batches, cosine: float):
+    """The rows (cid, filter, i, j, chunk) of a partition sorted by (size, bucket) whose sketch leaves a cosine of `cosine` or more to
+    another one of their bucket open: no row that has such a link goes. Small buckets are compared all at once, by places, others one by one."""
+    names = ["cid", "filter", "i", "j", "chunk"]
+    for batch, edges in common.whole_groups(batches, ("size", "bucket")):
+        size = batch.column("size").to_numpy()
+        ends, sizes = np.repeat(edges[1:], np.diff(edges)), np.repeat(np.diff(edges), np.diff(edges))
+        hit = np.zeros(batch.num_rows, bool)
+        for d in np.unique(size).tolist():
+            rows = np.flatnonzero(size == d)  # of a sorted partition, so without a gap
+            a = int(rows[0])
+            raw = np.frombuffer(b"".join(batch.column("sketch").slice(a, len(rows)).to_pylist()), np.uint8).reshape(len(rows), d + 8)
+            told = np.ascontiguousarray(raw[:, d:]).view("<f4").astype(np.float64)
+            x = raw[:, :d].view(np.int8) * told[:, :1].astype(np.float32)
+            lost, end, small = told[:, 1], ends[rows] - a, sizes[rows] <= SMALL
+            # x.y is at most the product of the sketches, |e| for what x lost, and (1 + |e|) times what y lost; and some rounding
+            least = cosine - lost - 1e-4
+            for k in range(1, SMALL):
+                p = np.flatnonzero(small & (np.arange(len(rows)) + k < end))
+                if not len(p):
+                    break
+                q = p + k
+                near = np.einsum("ij,ij->i", x[p], x[q]) + (1 + lost[p]) * lost[q] >= least[p]
+                hit[a + p[near]] = hit[a + q[near]] = True
+            for u, v in zip(edges[:-1], edges[1:]):
+                if v - u > SMALL and a <= u < a + len(rows):
+                    y, e = x[u - a : v - a], lost[u - a : v - a]
+                    near = y @ y.T + (1 + e)[:, None] * e >= least[u - a : v - a, None]
+                    np.fill_diagonal(near, False)
+                    hit[u:v] = near.any(0) | near.any(1)
+        if hit.any():
+            yield batch.select(names).filter(pa.array(hit))
+
+
 def _blocks(batches):
     """Whole groups of the rows of a partition that is sorted by (bucket, i, j), as tables."""
     held: list[pa.Table] = []
@@ -179,7 +223,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     at a cosine of `cosine` or more, in double precision.
 
     Equal vectors of a label are one class that counts as often as it has rows. Each class goes to the buckets of
-    its filters; a bucket is compared in blocks of BLOCK members at most (two chunks at a time), in
+    its filters, first with a sketch alone, which leaves out what can't have a link in its bucket; a bucket is compared in blocks of BLOCK members at most (two chunks at a time), in
     which only counts and local components leave the block, never its pairs. Null labels and vectors that are
     null, empty, zero or hold null or non-finite components link with nothing; a null vec_id links with nothing,
     has a null component_id and is kept; vectors of different length never link. Other columns are left out.
@@ -200,16 +244,20 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     classes = common.written(rows.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.first("label").alias("label"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "classes")
     most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     known = common.written(filtered(classes.select("cid", "rep", "label", "copies", "embedding").repartition(F.col("cid")), 2 ** max(most, 1).bit_length()), "filters")
-    thin = known.select("cid", "label", F.size("embedding").alias("size"), F.explode("filters").alias("filter"))
-    key = ["label", "size", "filter"]
-    full = thin.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    # The table of classes joins the buckets by their hash and by a sketch; embeddings and filters go to those rows alone that are likely to have a link.
+    thin = known.select("cid", F.size("embedding").alias("size"), "label", F.explode("filters").alias("filter")).withColumn("bucket", F.xxhash64("label", "size", "filter")).drop("label")
+    full = thin.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     dealt = (
-        thin.join(full, key)
+        thin.join(full, "bucket")
         .withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
         .withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("cid", *key, "chunk", F.least("chunk", "_x").alias("i"), F.greatest("chunk", "_x").alias("j"))
+        .select("cid", F.col("size").cast("long").alias("size"), "bucket", "filter", "chunk", F.least("chunk", "_x").alias("i"), F.greatest("chunk", "_x").alias("j"))
+        .withColumn("bucket", F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("bucket")).otherwise(F.xxhash64("bucket", "i", "j")))
     )
-    members = dealt.join(known.drop("label"), "cid").select(*key, "i", "j", "chunk", "cid", "rep", "copies", "embedding", "filters")
+    met = dealt.join(known.select("cid", "sketch"), "cid").repartition("size", "bucket").sortWithinPartitions("size", "bucket")
+    likely = met.mapInArrow(lambda b: _likely(b, cosine), "cid long, filter long, i int, j int, chunk int")
+    key = ["label", "size", "filter"]
+    members = likely.join(known.drop("sketch"), "cid").withColumn("size", F.size("embedding")).select(*key, "i", "j", "chunk", "cid", "rep", "copies", "embedding", "filters")
     sorted_ = members.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j")
     links = common.written(sorted_.mapInArrow(lambda b: _links(b, cosine), "cid long, links long, rep long, component long"), "links")
     components = common.connected_components(links.where("rep <> component"), "rep", "component")

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -308,6 +309,26 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in got.collect()) == brute_vectors(rows)
 
 
+def test_sketches_leave_out_what_has_no_link_and_lose_none():
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for bucket, n in enumerate([1, 2, 3, 40, 7, 32, 33, 90] * 4):
+        size = 64 if bucket % 2 else 24
+        x = rng.standard_normal((n, size))
+        near = rng.random(n) < 0.2
+        x[near] = x[0] + rng.standard_normal((near.sum(), size)) * rng.uniform(0.2, 0.5)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        linked = (x @ x.T >= 0.93) & ~np.eye(n, dtype=bool)
+        for k, sketch in enumerate(embedding_dedup._sketch(x)):
+            want |= {len(rows)} if linked[k].any() else set()
+            rows.append((size, bucket, len(rows), 5, 0, 0, 0, sketch.tobytes()))
+    rows.sort(key=lambda r: r[:2])
+    table = pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], names=["size", "bucket", "cid", "filter", "i", "j", "chunk", "sketch"])
+    got = [c for b in embedding_dedup._likely(table.to_batches(max_chunksize=50), 0.93) for c in b.column("cid").to_pylist()]
+    assert want <= set(got) and len(got) == len(set(got)) and len(want) > 50
+    assert len(got) < len(want) + 0.1 * len(rows) < len(rows)
+
+
 def test_vectors_near_the_threshold_are_found():
     rng = np.random.default_rng(11)
     x, z = rng.standard_normal((2, 300, 64))
