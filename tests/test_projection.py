@@ -152,3 +152,30 @@ def test_buckets_grow_with_the_steps(spark, monkeypatch):
     alone = {r.seed: r.reached_by_internet for r in traversal.exposure(kept.nodes, kept.edges, kept.nodes.select("id")).collect()}
     assert found == alone
     kept.drop()
+
+
+def test_walks_hold_the_steps_that_they_take(spark):
+    nodes, edges = random_graph(4, 20, 80)
+    cis, e = items(spark, *nodes), links(spark, *edges, ("CONTAINS", "n00", "gone"), ("ROUTES_TO", "gone", "n01"))
+    kept = graph.Walks.build(cis, e, 10, buckets=3)
+    assert kept.tables == {}
+    for name in WALKS:
+        for least in (0.0, 0.7):
+            want = graph.adjacency(e, name, least, cis)
+            assert sorted(map(str, kept.walk(name, least).collect())) == sorted(map(str, want.collect()))
+        plan = graph.capped(kept.walk(name), 10)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+    everything = seeds(spark, *(i for i, _ in nodes))
+    for search in (lambda k: traversal.reachability(cis, e, everything, 4, 0.0, 2, k), lambda k: traversal.what_if(cis, e, everything, "modify", 3, 0.6, 2, kept=k), lambda k: rules.internet_databases(cis, e, max_fanout=2, kept=k)):
+        assert sorted(map(str, search(kept).collect())) == sorted(map(str, search(None).collect()))
+    kept.drop()
+
+
+def test_a_query_builds_its_walk_alone(spark, data):
+    from orrery.plans import fixture, queries
+
+    fixture._kept.cache_clear()
+    assert queries.g_fanout_cap(spark, data).count() > 0
+    kept = fixture.kept(spark, data)
+    assert list(kept.tables) == ["impact"]
+    assert {r.type for r in spark.table(kept.tables["impact"]).select("type").distinct().collect()} == {"CONTAINS", "DEPENDS_ON", "ROUTES_TO"}
