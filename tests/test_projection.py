@@ -5,6 +5,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.operators import graph, rules, traversal
 from orrery.schema import WALKS
@@ -179,3 +180,16 @@ def test_a_query_builds_its_walk_alone(spark, data):
     kept = fixture.kept(spark, data)
     assert list(kept.tables) == ["impact"]
     assert {r.type for r in spark.table(kept.tables["impact"]).select("type").distinct().collect()} == {"CONTAINS", "DEPENDS_ON", "ROUTES_TO"}
+
+
+def test_a_level_ranks_the_neighbours_of_its_nodes_alone(spark):
+    nodes, edges = random_graph(6)
+    kept = graph.Walks.build(items(spark, *nodes), links(spark, *edges), 10, buckets=3)
+    plan = graph.looked_up(kept.walk("impact"), 5)(seeds(spark, "n00").withColumnRenamed("id", "src"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate") < plan.index("LeftSemi")  # the outermost operator comes first
+    reached = graph.bfs(graph.looked_up(kept.walk("impact"), 2), seeds(spark, "n00", "n05"), 3, kept=True)
+    assert sorted(reached.collect()) == sorted(graph.bfs(graph.capped(kept.walk("impact"), 2), seeds(spark, "n00", "n05"), 3).collect())
+    cut = graph.supernodes(kept.walk("impact"), reached, 3, 2)
+    degrees = {r.src: r.n for r in graph.neighbours(kept.walk("impact")).groupBy("src").agg(F.count("*").alias("n")).collect()}
+    assert {(r.seed, r.id, r.degree, r.depth) for r in cut.collect()} == {(r.seed, r.node, degrees[r.node], r.distance) for r in reached.collect() if r.distance < 3 and degrees.get(r.node, 0) > 2}
+    kept.drop()
