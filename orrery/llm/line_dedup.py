@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -169,6 +169,18 @@ class Blocks:
         return (F.bit_count(differ) <= DISTANCE) & first
 
 
+def shared_buckets(known: DataFrame, blocks: Blocks) -> DataFrame:
+    """(key, id, sim, n, a, b) of the lines of different_lines() that share a key with n - 1 others; a bucket of two that are close is one row, of
+    its greater id a and b, and one of two that aren't is none. Lines are shuffled once: those of a bucket are counted where they meet."""
+    dealt_out = known.select(F.explode(blocks.keys(F.col("sim"))).alias("key"), F.col("lid").alias("id"), "sim")
+    told = {"n": F.count(F.lit(1)), "b": F.min("id"), "a": F.max("id"), "low": F.min("sim"), "high": F.max("sim")}
+    buckets = dealt_out.withColumns({k: v.over(Window.partitionBy("key")) for k, v in told.items()})
+    # Where all SimHashes of a bucket are equal, the first kind of key has it already.
+    equal = (F.col("low") == F.col("high")) & (F.pmod("key", F.lit(len(blocks.kinds))) > 0)
+    decided = ~equal & ((F.col("n") > 2) | blocks.owned(F.col("key"), F.col("low").bitwiseXOR(F.col("high"))))
+    return buckets.where((F.col("n") > 1) & decided).where("n > 2 or id = a").select("key", "id", "sim", "n", "a", "b")
+
+
 def _small(df: DataFrame, size: Column) -> DataFrame:
     """df, to be broadcast if the bytes of its rows are few."""
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
@@ -191,14 +203,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     seen = common.written(occurrences(docs), "lines")
     known = common.written(different_lines(seen), "lines")
     blocks = Blocks(known.count())
-    dealt_out = known.select(F.explode(blocks.keys(F.col("sim"))).alias("key"), F.col("lid").alias("id"), "sim")
-    buckets = dealt_out.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("b"), F.max("id").alias("a"), F.min("sim").alias("low"), F.max("sim").alias("high"))
-    # Where all SimHashes of a bucket are equal, the first kind of key has it already.
-    equal = (F.col("low") == F.col("high")) & (F.pmod("key", F.lit(len(blocks.kinds))) > 0)
-    decided = ~equal & ((F.col("n") > 2) | blocks.owned(F.col("key"), F.col("low").bitwiseXOR(F.col("high"))))
-    buckets = common.written(buckets.where((F.col("n") > 1) & decided).select("key", "n", "a", "b"), "buckets")
-    hot = common.written(buckets.where("n > 2").select("key", "n"), "hot")  # a few rows beside the pairs
-    members = common.written(dealt_out.join(hot, "key"), "members")
+    buckets = common.written(shared_buckets(known, blocks), "buckets")
+    members = common.written(buckets.where("n > 2").select("key", "id", "sim", "n"), "members")
     twos = buckets.where("n = 2").select("a", "b")
 
     def compare(of: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -256,7 +262,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     keys = common.written(some.join(kept, "group").select(*LINE, "keep"), "keys")
     at = F.struct("id", "body", "line")
     gone = common.written(seen.select("id", "body", "line", *LINE).join(keys, LINE).where(at != F.col("keep")).select("id", "body", "line"), "gone")
-    common.discard(seen, known, buckets, hot, members, components, keys)
+    common.discard(seen, known, buckets, members, components, keys)
     return gone
 
 

@@ -338,3 +338,30 @@ def test_vectors_near_the_threshold_are_found():
     code = embedding_dedup.code(64, 4096)
     found = [len(np.intersect1d(a, b)) > 0 for k in range(0, 300, 50) for a, b in zip(code.decode(x[k : k + 50]), code.decode(y[k : k + 50]))]
     assert np.mean(found) >= 0.98
+
+
+def _shuffled_once(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_lines_of_buckets_are_shuffled_once(spark):
+    from collections import defaultdict
+    from random import Random
+
+    from orrery.llm import line_dedup
+
+    pick = Random(5)
+    sims = [pick.getrandbits(63) for _ in range(100)]
+    sims += [s ^ (1 << pick.randrange(63)) for s in sims[:60]] + [s ^ 3 for s in sims[:20]] + sims[:5]
+    buckets = line_dedup.shared_buckets(spark.createDataFrame(list(enumerate(sims)), "lid long, sim long"), line_dedup.Blocks(len(sims)))
+    pairs, held = set(), defaultdict(set)
+    for r in buckets.collect():
+        if r.n == 2:
+            pairs.add((r.a, r.b))
+        held[r.key].add(r.id)
+    for ids in held.values():
+        pairs |= {(x, y) for x in ids for y in ids if x > y}
+    close = {(x, y) for x in range(len(sims)) for y in range(x) if (sims[x] ^ sims[y]).bit_count() <= line_dedup.DISTANCE}
+    assert len(close) > 80 and close <= pairs
+    _shuffled_once(buckets)
