@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -16,9 +16,9 @@ SPLIT_FROM = 16
 
 
 def sized(members: DataFrame) -> DataFrame:
-    """members (key, id) of buckets of two ids and more, with the bucket's count n."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(sizes, "key")
+    """members (key, id) of buckets of two ids and more, with the bucket's count n. Members are shuffled once, as buckets are counted where they
+    meet: a join of the counts would shuffle all again when these are too many to broadcast."""
+    return members.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
 
 
 def dealt(members: DataFrame, limit: int) -> DataFrame:

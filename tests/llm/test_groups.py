@@ -365,3 +365,17 @@ def test_lines_of_buckets_are_shuffled_once(spark):
     close = {(x, y) for x in range(len(sims)) for y in range(x) if (sims[x] ^ sims[y]).bit_count() <= line_dedup.DISTANCE}
     assert len(close) > 80 and close <= pairs
     _shuffled_once(buckets)
+
+
+def test_members_of_buckets_are_shuffled_once(spark):
+    from collections import Counter
+    from random import Random
+
+    from orrery.llm import linking
+
+    pick = Random(5)
+    rows = [(pick.randint(0, 300), i) for i in range(400)]
+    sized = linking.sized(spark.createDataFrame(rows, "key long, id long"))
+    sizes = Counter(k for k, _ in rows)
+    assert sorted(map(tuple, sized.select("key", "id", "n").collect())) == sorted((k, i, sizes[k]) for k, i in rows if sizes[k] > 1)
+    _shuffled_once(sized)
