@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import counted
 from . import common
 from .linking import joined, linked_components, sized, with_component
 from .words import NOT_SPACE, Words, encoded, mix, slices, window_hashes
@@ -20,6 +21,8 @@ BANDS, ROWS = 40, 5
 BITS, SLACK = 2, 0.19
 #: Members of a bucket that are compared in one block, and so the sets that a task holds at once.
 BLOCK = 1024
+#: Most ids that are broadcast to pick out their texts; of more, all texts are shuffled once.
+BROADCAST_IDS = 1 << 20
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _XOR = (_SEEDS[: BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)
@@ -231,6 +234,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct()
 
 
+def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The different (id, text) of these ids, as a written table: texts of other ids are read and not shuffled."""
+    wanted, n = counted(ids.distinct(), "wanted")
+    some = texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id", "left_semi")
+    out = common.written(some.distinct(), "texts")
+    common.discard(wanted)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents whose sets of `width`-word shingles have a similarity of
     percent / 100 or more are linked; component_id is the smallest doc_id reachable, kept where it is its own.
@@ -248,19 +260,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = common.written(sketch.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     first = common.written(sketch.join(classes, "set_key").where("doc_id = rep").select(F.col("doc_id").alias("id"), "bands", "signature"), "first")
     members = common.written(sized(first.select(F.explode("bands").alias("key"), "id")), "members")
-    shared = common.written(texts.join(members.select("id").distinct(), "id", "left_semi").distinct(), "texts")
 
     def compare(blocks: DataFrame, components: DataFrame | None) -> DataFrame:
         rows = blocks.select("key", "block", "id").join(first.select("id", "signature"), "id")
         rows = rows.withColumn("component", F.col("id")) if components is None else with_component(rows, components)
         signed = common.written(rows, "signed")
         pairs = common.written(likely_forest(signed, percent), "likely")
-        links = common.written(confirmed(pairs, shared, width, percent), "links")
+        paired = texts_of(texts, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
+        links = common.written(confirmed(pairs, paired, width, percent), "links")
         known = common.written(common.connected_components(links, "a", "b"), "known") if components is None else joined(components, links)
         left = common.written(undecided(with_component(signed.drop("component"), known), percent), "undecided")
-        more = common.written(exact_links(left.join(shared, "id"), width, percent), "more")
+        apart = texts_of(texts, left.select("id"))
+        more = common.written(exact_links(left.join(apart, "id"), width, percent), "more")
         out = common.written(links.unionByName(more), "links")
-        common.discard(signed, pairs, links, left, more, *([known] if known is not components else []))
+        common.discard(signed, pairs, paired, links, left, apart, more, *([known] if known is not components else []))
         return out
 
     def split(large: DataFrame) -> DataFrame:
@@ -269,7 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return pairs.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "id").distinct()
 
     components = linked_components(members, compare, BLOCK, split)
-    common.discard(shared, members, first)
+    common.discard(members, first)
     # Rows of one doc_id with several texts tie the classes of these together.
     ties = sketch.where("set_key is not null").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     named = classes.join(components, classes.rep == components.id, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))

@@ -379,3 +379,36 @@ def test_members_of_buckets_are_shuffled_once(spark):
     sizes = Counter(k for k, _ in rows)
     assert sorted(map(tuple, sized.select("key", "id", "n").collect())) == sorted((k, i, sizes[k]) for k, i in rows if sizes[k] > 1)
     _shuffled_once(sized)
+
+
+def test_near_dedup_shuffles_no_other_texts(spark):
+    """Texts that are like no other are read and not shuffled, at any size."""
+    import bench
+
+    rng = np.random.default_rng(5)
+    shared = " ".join(f"s{k}" for k in range(800))
+    texts = [f"{shared} " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 1200)) for _ in range(100)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, texts[0] + " and more")], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stage, _ = bench.shuffled(spark, 0)
+        got = near_dedup.near_duplicates(common.written(docs, "docs"), width=4)
+        moved = bench.shuffled(spark, stage)[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: 0 if i == 100 else i for i in range(101)}
+    assert moved < 0.3 * sum(map(len, texts)) / 1e6
+
+
+def test_majorities_of_any_number_of_features(spark):
+    """SimHashes of 1 to 600 features, on both sides of where the way of counting changes, against plain counts."""
+    words = [f"word{k * k % 977}x{k % 13}" for k in range(600)]
+    sizes = [4, 5, 6, 7, 15, 16, 63, 64, 126, 127, 128, 129, 300, 510, 511, 512, 600]
+    lines = spark.createDataFrame([(n, " ".join(words[:n])) for n in sizes], "n int, norm string")
+    got = {r.n: r.sim for r in line_dedup.simhashed(lines).collect()}
+
+    def majority(hashes):
+        return sum(1 << b for b in range(line_dedup.SIM_BITS) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    assert got == {n: majority([xxhash.xxh64_intdigest(w, 42) for w in words[:n]]) for n in sizes}
