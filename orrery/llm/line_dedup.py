@@ -17,8 +17,9 @@ MIN_WORDS, DISTANCE, SIMILARITY = 4, 3, 0.85
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 WORD_LETTERS, GRAM = 2, 3
 LONG_WORD = 4
-#: Bits of a SimHash. They are counted in lanes of packed longs: of LANES[0] bits in lines of few features, else of LANES[1].
-SIM_BITS, LANES = 63, (7, 21)
+#: Bits of a SimHash. Those of up to FEW features are counted all at once; of more, in lanes of packed longs, of the first of LANES bits that hold
+#: their number.
+SIM_BITS, FEW, LANES = 63, 127, (9, 21)
 #: Lines of a bucket that are compared in one block.
 BLOCK = 512
 #: Rounds in which a line is compared with PARTNERS others of its block.
@@ -68,6 +69,38 @@ def _majority(counts: Column, n: Column, lane: int) -> Column:
     return bits
 
 
+def _with_majority(rows: DataFrame, hashes: str, n: str, out: str) -> DataFrame:
+    """rows with the bits that more than half of n hashes have, of up to FEW. The hashes are added up bit by bit at once: three numbers
+    of a weight are one of it and one of twice the weight, until there is one of each, the digits of the counts."""
+    names = [f"_p{i}" for i in range(FEW)]
+    kept = [c for c in rows.columns]
+    rows = rows.select(*kept, *(F.coalesce(F.get(hashes, F.lit(i)), F.lit(0).cast("long")).alias(c) for i, c in enumerate(names)))
+    weights, step = [names], 0
+    while any(len(w) > 1 for w in weights):
+        after: list[list] = [[] for _ in range(len(weights) + 1)]
+        for k, w in enumerate(weights):
+            for i in range(0, len(w) - len(w) % 3, 3):
+                a, b, c = map(F.col, w[i : i + 3])
+                after[k].append(a.bitwiseXOR(b).bitwiseXOR(c))
+                after[k + 1].append(a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(a.bitwiseXOR(b))))
+            rest = [*map(F.col, w[len(w) - len(w) % 3 :])]
+            if len(rest) == 2 and len(w) == 2:
+                after[k].append(rest[0].bitwiseXOR(rest[1]))
+                after[k + 1].append(rest[0].bitwiseAND(rest[1]))
+            else:
+                after[k] += rest
+        weights = [[f"_q{step}_{k}_{i}" for i in range(len(w))] for k, w in enumerate(after) if w]
+        rows = rows.select(*kept, *(c.alias(name) for w, of in zip(weights, after) for name, c in zip(w, of)))
+        step += 1
+    # The counts are compared with n / 2 from their highest digit on.
+    more, equal, half = F.lit(0).cast("long"), F.lit(-1).cast("long"), F.floor(F.col(n) / 2).cast("long")
+    for k in reversed(range(len(weights))):
+        digit, other = F.col(weights[k][0]), -F.shiftright(half, k).bitwiseAND(F.lit(1).cast("long"))
+        more = more.bitwiseOR(equal.bitwiseAND(digit).bitwiseAND(F.bitwise_not(other)))
+        equal = equal.bitwiseAND(F.bitwise_not(digit.bitwiseXOR(other)))
+    return rows.select(*kept, more.bitwiseAND(F.lit(2**SIM_BITS - 1)).alias(out))
+
+
 def simhashed(lines: DataFrame) -> DataFrame:
     """lines with `sim`, the SimHash of the words of norm of LONG_WORD letters or more, as shorter ones
     are much the same in all lines of a language; of all words where those are fewer than MIN_WORDS; of runs of GRAM letters
@@ -80,12 +113,17 @@ def simhashed(lines: DataFrame) -> DataFrame:
     # Letters of UNSPACED scripts take three bytes, so lines of few such bytes needn't be searched for them.
     few_blanks = (F.octet_length("norm") >= 2 * F.length("norm")) & (2 * unspaced(F.col("norm")) >= F.length("norm"))
     features = F.when(few_blanks, grams).when(F.size("_some") >= MIN_WORDS, F.col("_some")).otherwise(every)
-    out = out.withColumn("_h", F.transform(features, lambda w: F.xxhash64(w))).withColumn("_n", F.size("_h"))
-    few = F.col("_n") < 2 ** LANES[0]
-    for k, lane in enumerate(LANES):
-        out = out.withColumn(f"_c{k}", F.when(few if k == 0 else ~few, _counts(F.col("_h"), lane)))
-    sim = F.when(few, _majority(F.col("_c0"), F.col("_n"), LANES[0])).otherwise(_majority(F.col("_c1"), F.col("_n"), LANES[1]))
-    return out.withColumn("sim", sim).drop("_some", "_h", "_n", "_c0", "_c1")
+    out = out.withColumn("_h", F.transform(features, lambda w: F.xxhash64(w))).withColumn("_n", F.size("_h")).drop("_some")
+    # Lines of more features than FEW, which are rare, have theirs counted one by one.
+    wide, over = [], F.lit(FEW)
+    for lane in LANES:
+        wide.append((F.col("_n") > over) & (F.col("_n") < 2**lane))
+        over = F.lit(2**lane - 1)
+    for lane, which in zip(LANES, wide):
+        out = out.withColumn(f"_c{lane}", F.when(which, _counts(F.col("_h"), lane)))
+    out = out.withColumn("_long", F.coalesce(*(F.when(which, _majority(F.col(f"_c{lane}"), F.col("_n"), lane)) for lane, which in zip(LANES, wide))))
+    out = _with_majority(out.drop(*(f"_c{lane}" for lane in LANES)), "_h", "_n", "_few")
+    return out.withColumn("sim", F.coalesce("_long", "_few")).drop("_h", "_n", "_long", "_few")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
