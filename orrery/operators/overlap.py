@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import tasks, written
 
 #: Parts that the sets of a key are dealt to, for parallel work, each of LEAST sets or so; of more than PARTS * PART sets the number of parts grows.
 PARTS, LEAST, PART = 16, 256, 1 << 15
 #: Most 64-bit words of a bitmap. It has at least four bits a token up to there; sets of more tokens are told apart less well.
 WORDS = 512
-#: Pairs that are compared at once.
-AT_ONCE = 1 << 16
+#: Rows by columns that are compared at once, and pairs of them by whole bitmaps.
+TILE, FULL = (128, 256), 1 << 12
 
 
 def bitmaps(hashes: list[np.ndarray]) -> list[np.ndarray]:
@@ -61,26 +61,68 @@ def near(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, bits: list[np.n
             if own and v < w:
                 continue
             words = min(w, v)
-            a, b = folded(x_bits, words), np.ascontiguousarray(folded(y_bits, words).T)
+            a, b, short = folded(x_bits, words), folded(y_bits, words), max(1, words // 2)
+            a_short, b_short = folded(a, short), np.ascontiguousarray(folded(b, short).T)
             n, m = sizes[x], sizes[y]
-            at = 0
-            while at < len(x):
-                low, high = np.searchsorted(m, n[at] * threshold - 1e-6), np.searchsorted(m, n[at] / threshold + 1e-6, "right")
-                end = at + max(1, AT_ONCE // max(1, int(high - low)))
-                high = np.searchsorted(m, n[min(end, len(x)) - 1] / threshold + 1e-6, "right")
-                some = slice(at, min(end, len(x)))
-                at = end
-                for k in range(low, high, AT_ONCE):
-                    part = slice(k, min(k + AT_ONCE, high))
-                    differ = np.zeros((some.stop - some.start, part.stop - part.start), np.int32)
-                    for q in range(words):
-                        differ += np.bitwise_count(a[some, q, None] ^ b[None, q, part])
-                    i, j = np.nonzero(differ <= (n[some, None] + m[None, part]) * apart + 1e-6)
+            for at in range(0, len(x), TILE[0]):
+                some = slice(at, min(at + TILE[0], len(x)))
+                least, most = n[some.start], n[some.stop - 1]
+                low, high = np.searchsorted(m, least * threshold - 1e-6), np.searchsorted(m, most / threshold + 1e-6, "right")
+                if own and v == w:
+                    low = max(low, at)
+                for k in range(low, high, TILE[1]):
+                    part = slice(k, min(k + TILE[1], high))
+                    # Folded bitmaps never differ in more bits, and rows of a tile are of about one size, so most pairs are told apart by half of the words and one bound.
+                    i, j = np.nonzero(_differ(a_short[some], b_short[:, part]) <= np.uint16((int(most) + int(m[part.stop - 1])) * apart + 1e-6))
                     i, j = i + some.start, j + part.start
                     keep = np.minimum(n[i], m[j]) >= threshold * np.maximum(n[i], m[j]) - 1e-6
                     if own and v == w:
                         keep &= i < j
-                    yield x[i[keep]], y[j[keep]]
+                    i, j = i[keep], j[keep]
+                    if len(i):
+                        near_ = np.concatenate([_count(a[i[q : q + FULL]] ^ b[j[q : q + FULL]]) for q in range(0, len(i), FULL)]) <= (n[i] + m[j]) * apart + 1e-6
+                        yield x[i[near_]], y[j[near_]]
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits each row of a differs from each column of b."""
+    shape = len(a), b.shape[1]
+    out, odd, some, count = np.zeros(shape, np.uint16), np.empty(shape, np.uint64), np.zeros(shape, np.uint8), np.empty(shape, np.uint8)
+    for q in range(len(b)):
+        np.bitwise_xor(a[:, q, None], b[None, q], out=odd)
+        np.bitwise_count(odd, out=count)
+        some += count
+        if q % 3 == 2 or q == len(b) - 1:  # three words differ in 192 bits at most
+            out += some
+            some[:] = 0
+    return out
+
+
+def _count(odd: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(odd).sum(axis=1, dtype=np.int32)
+
+
+def common(i: np.ndarray, j: np.ndarray, edges: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How many values the sets i[k] and j[k] share, of sets whose distinct values lie from edges[s] to edges[s + 1]."""
+    out = np.zeros(len(i), np.int64)
+    if not len(values):
+        return out
+    found, codes = np.unique(values, return_inverse=True)
+    has = np.zeros(len(found), bool)
+    order = np.argsort(i, kind="stable")
+    starts = np.flatnonzero(np.diff(i[order], prepend=-1))
+    for start, end in zip(starts, np.append(starts[1:], len(order))):
+        own = codes[edges[i[order[start]]] : edges[i[order[start]] + 1]]
+        has[own] = True
+        for k in range(start, end, 512):
+            some = order[k : min(k + 512, end)]
+            first, sizes = edges[j[some]], edges[j[some] + 1] - edges[j[some]]
+            past = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.repeat(first - past[:-1], sizes) + np.arange(past[-1])
+            hits = np.concatenate([[0], np.cumsum(has[codes[at]])])
+            out[some] = hits[past[1:]] - hits[past[:-1]]
+        has[own] = False
+    return out
 
 
 def likely_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -123,5 +165,6 @@ def likely_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.least("part", "other") * F.col("parts").cast("long") + F.greatest("part", "other")
     blocks = each.select("key", block.alias("block"), "part", (F.col("part") == F.col("other")).alias("alone"), "id", "kind", "wide", "n", "bits")
-    pairs = blocks.groupBy("key", "block").applyInArrow(compare, "x string, y string")
+    # The number of partitions is given, as small blocks make much work: by their bytes they would be brought together into few tasks.
+    pairs = blocks.repartition(tasks(sets), "key", "block").groupBy("key", "block").applyInArrow(compare, "x string, y string")
     return pairs.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).where("a_id < b_id")

@@ -118,3 +118,31 @@ def test_bitmaps_leave_all_similar_sets_and_few_others(spark, monkeypatch):
     want = {(a, b) for a, b in met if jaccard(sets[a], sets[b]) >= 0.5}
     assert len(want) > 50 and want <= {tuple(r) for r in got} <= met
     assert len(got) == len({tuple(r) for r in got}) < len(want) + len(met) / 100
+
+
+@pytest.mark.parametrize("part", [512, 16])
+def test_an_item_of_many_pairs_is_not_shuffled_for_each(spark, monkeypatch, part):
+    monkeypatch.setattr(resolution, "GROUP_PART", part)
+    pick, words = random.Random(8), [f"{random.Random(i).getrandbits(48):x}" for i in range(400)]
+    rows = [{"id": f"{i:04d}", "type": "p", "name": " ".join(pick.sample(words, 320)), "attributes": "{}", "aliases": [], "sources": [f"s{i % 7}"]} for i in range(150)]
+    got = resolution.scored_pairs(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)).collect()
+    want = brute(rows, 0.5)
+    assert len(got) == len(want) > 9000
+    assert {(r.ci_id_a, r.ci_id_b): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    units = resolution._grouped(spark.createDataFrame(sorted(want), "a_id string, b_id string"), len(want)).collect()
+    assert sorted((r.a_id, r.b_id) for r in units) == sorted(want)
+    held = {(i, r.unit) for r in units for i in (r.a_id, r.b_id)}
+    # One group: the item that is least, and the few that aren't pairs with it for their sources, begin their own.
+    assert len(held) < 150 * (4 if part == 512 else 24) < len(want)
+
+
+def test_values_in_common():
+    import numpy as np
+    from orrery.operators import overlap
+
+    pick = random.Random(9)
+    sets = [set(pick.sample(range(-50, 50), pick.choice([0, 1, 9, 60]))) for _ in range(40)]
+    i, j = (np.array([pick.randrange(40) for _ in range(2000)]) for _ in "ij")
+    edges, values = np.cumsum([0, *(len(s) for s in sets)]), np.array([v for s in sets for v in s])
+    assert overlap.common(i, j, edges, values).tolist() == [len(sets[a] & sets[b]) for a, b in zip(i, j)]
+    assert overlap.common(i, j, np.zeros(41, int), values[:0]).tolist() == [0] * 2000
