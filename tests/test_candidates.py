@@ -120,6 +120,35 @@ def test_bitmaps_leave_all_similar_sets_and_few_others(spark, monkeypatch):
     assert len(got) == len({tuple(r) for r in got}) < len(want) + len(met) / 100
 
 
+def hosts(seed, n):
+    """Items of which most have nothing but host names, or but addresses."""
+    pick = random.Random(seed)
+    rows = []
+    for i in range(n):
+        attributes = {k: f"H-{pick.randint(0, 8) ** 2}" for k in resolution.DNS_KEYS[:2]} if pick.random() < 0.6 else {"ip": f"10.0.0.{pick.randint(0, 9)}"}
+        if pick.random() < 0.4:
+            attributes["private_ip"] = f"10.0.0.{pick.randint(0, 9)}"
+        rows.append({"id": f"{i:04d}", "type": pick.choice("pq"), "name": pick.choice([None] * 9 + ["web one", "web two"]), "attributes": json.dumps(attributes), "aliases": pick.choice([None, None, [], [], ["x y"], ["y z"]]), "sources": pick.choice([["a"], ["b"], ["b", "b"], ["a", "b"], ["b", "c"]])})
+    return rows
+
+
+@pytest.mark.parametrize("part", [2048, 7])
+@pytest.mark.parametrize("threshold", [0.5, 0.95])
+def test_lone_items_are_told_once_each(spark, monkeypatch, part, threshold):
+    monkeypatch.setattr(resolution, "KEY_PART", part)
+    items = spark.createDataFrame([tuple(r.values()) for r in hosts(6, 260)], SCHEMA)
+    got = resolution.scored_pairs(items, threshold).collect()
+    want = brute(hosts(6, 260), threshold)
+    assert len(got) == len(want) > 500
+    assert {(r.ci_id_a, r.ci_id_b): round(r.score, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    # Pairs of items that only a host name or an address tells apart carry neither tokens nor attributes, and their evidence isn't put together pair by pair.
+    plan = resolution._lone_pairs(resolution._keys(resolution._tokenized(items), threshold), threshold)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "format_string" not in above and "tokens" not in above and "Aggregate" not in above and "Window" not in above
+    told = {r.evidence for r in got}
+    assert "probable match: dns 1.00" in told and ("probable match: ip 0.90" in told) == (threshold < 0.9) and "probable match: dns 1.00; ip 0.90" in told
+
+
 @pytest.mark.parametrize("part", [512, 16])
 def test_an_item_of_many_pairs_is_not_shuffled_for_each(spark, monkeypatch, part):
     monkeypatch.setattr(resolution, "GROUP_PART", part)
