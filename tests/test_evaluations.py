@@ -125,3 +125,21 @@ def test_selectors_of_many_owners_are_looked_up_once(spark):
     assert sorted((r.owner, r.pod) for r in out.collect()) == sorted((o, q) for o, x in services for q, y in pods if x.items() <= y.items())
     top = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
     assert "forall" not in top  # labels are compared once for each different selector, below the join with its owners
+
+
+def test_names_are_not_shuffled_for_each_prefix(spark, monkeypatch):
+    from bench import shuffled
+
+    monkeypatch.setattr(aws, "CHUNK", 100)
+    draw = random.Random(5)
+    names = sorted({f"{draw.getrandbits(200):x}" for _ in range(3000)})
+    wide, exact = ["", *(n[: draw.randint(1, 4)] for n in draw.sample(names, 40))], draw.sample(names, 10)
+    policy = lambda r: json.dumps({"Statement": [{"Effect": "Allow", "Action": "s3:A", "Resource": f"arn:aws:s3:::{r}"}]})
+    rows = [("iam_role", f"r{k}", "p", policy(r)) for k, r in enumerate([*(f"{p}*" for p in wide), *exact, "none", "zz*"])]
+    after, _ = shuffled(spark, 0)
+    found = aws.bucket_grants(spark.createDataFrame(rows, aws.GRANTS), spark.createDataFrame([(n,) for n in [*names, names[0], None]], "Name string"), F.lit(day(1)).cast("timestamp"))
+    got = sorted((r.from_ext, r.to_ext) for r in found.collect())
+    assert got == sorted([(f"r{k}", n) for k, p in enumerate(wide) for n in names if n.startswith(p)] + [(f"r{len(wide) + k}", n) for k, n in enumerate(exact)])
+    assert shuffled(spark, after)[1] < 1.0  # the names are 150 KB, all their prefixes 4 MB
+    none = aws.bucket_grants(spark.createDataFrame(rows, aws.GRANTS), spark.createDataFrame([], "Name string"), F.lit(day(1)).cast("timestamp"))
+    assert none.count() == 0
