@@ -16,6 +16,11 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != ""))
 
 
+def words(name: Column) -> Column:
+    """tokens() of a normalised name, which has no white space but single blanks."""
+    return F.array_distinct(F.filter(F.split(name, " "), lambda t: t != ""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays of distinct tokens; two empty ones are equal."""
     both = F.size(F.array_intersect(a, b))
@@ -36,7 +41,7 @@ def name_score(a: Column, b: Column) -> Column:
 
 def spread(values: Column) -> Column:
     """The distinct tokens of an array of names."""
-    return F.array_distinct(F.flatten(F.transform(values, lambda x: tokens(normalized(x)))))
+    return F.array_distinct(F.flatten(F.transform(values, lambda x: words(normalized(x)))))
 
 
 def shared_or_similar(a: Column, b: Column, a_tokens: Column | None = None, b_tokens: Column | None = None) -> Column:
